@@ -64,7 +64,7 @@ class Block:
 
     def __init__(self, table: pa.Table) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = table.column("doc_id")
+        self.table = table
         self.words = [words_of(t) for t in table.column("text").to_pylist()]
         known: dict[bytes, int] = {}
         for ws in self.words:
@@ -147,7 +147,7 @@ def _reply(asked: pa.Table) -> pa.Table:
     return pa.table({"block": asked.column("block"), "level": asked.column("level"), "bucket": asked.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
 
-def _finish(lengths: list[int], buckets: int, with_text: bool):
+def _finish(lengths: list[int], buckets: int, with_text: bool, names: list[str]):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(docs)
         answers = {(r["level"], r["bucket"]): r["bits"] for r in replies.to_pylist()}
@@ -165,17 +165,26 @@ def _finish(lengths: list[int], buckets: int, with_text: bool):
             at += len(ws)
         removed = block.sizes - np.array([int(keep[b - n : b].sum()) for b, n in zip(np.cumsum(block.sizes), block.sizes, strict=True)], np.int64)
         text = [k.decode("utf-8", "surrogatepass") for k in kept] if with_text else [""] * len(kept)
-        return pa.table({"doc_id": block.ids, "n_words": pa.array(block.sizes), "n_removed": pa.array(removed), "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "kept": text}, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
+        out = block.table.select(names)
+        for name, values in (("n_words", pa.array(block.sizes)), ("n_removed", pa.array(removed)), ("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())), ("kept", pa.array(text, pa.string()))):
+            out = out.append_column(name, values)
+        return out
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True, carry: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256, kept), one per row of docs; kept is empty unless with_text.
 
+    With carry, all columns of docs come along instead of doc_id alone (but for any named like a result or the block).
+
     Texts are dealt to their blocks once: the levels' plans share that exchange.
     """
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    own = ("n_words", "n_removed", "kept_sha256", "kept", "block")
+    docs = docs.drop(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    docs = docs if carry else docs.select("doc_id", "text")
+    names = docs.columns if carry else ["doc_id"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", n_words long, n_removed long, kept_sha256 string, kept string"
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     buckets = max(64, -(-size // (5 * BUCKET_WINDOWS)))
@@ -187,7 +196,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
         asked = grouped.applyInArrow(first, ASK) if replies is None else grouped.cogroup(replies.groupBy("block")).applyInArrow(later, ASK)
         reply = asked.groupBy("bucket").applyInArrow(_reply, REPLY)
         replies = reply if replies is None else replies.union(reply)
-    return grouped.cogroup(replies.groupBy("block")).applyInArrow(_finish(lengths, buckets, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return grouped.cogroup(replies.groupBy("block")).applyInArrow(_finish(lengths, buckets, with_text, names), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
