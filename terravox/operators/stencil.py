@@ -90,7 +90,7 @@ def signed_distance(cells: DataFrame, inside: Column, resolution: float) -> Data
     """Exact Euclidean distance to the mask, positive outside and negative inside.
 
     Each row's nearest cell of either kind comes from running windows; then, in each column, the least of the squared
-    sums over the rows. The second step is bounded by the map's height.
+    sums over the rows. The second step is bounded by the map's height. Null where all cells are of one kind.
     """
     far = 1e9
     marked = cells.select("i", "j", inside.alias("m"))
@@ -100,7 +100,7 @@ def signed_distance(cells: DataFrame, inside: Column, resolution: float) -> Data
     other = rows.select(F.col("i").alias("k"), "j", "to_in", "to_out")
     square = lambda c: F.min((F.col("i") - F.col("k")) ** 2 + F.col(c).cast("double") ** 2)
     both = marked.join(other, "j").groupBy("i", "j").agg(F.first("m").alias("m"), square("to_in").alias("a"), square("to_out").alias("b"))
-    return both.select("i", "j", (F.when(F.col("m"), -F.sqrt("b")).otherwise(F.sqrt("a")) * resolution).alias("sdf"))
+    return both.select("i", "j", (F.when(F.col("m") & (F.col("b") < far), -F.sqrt("b")).when(~F.col("m") & (F.col("a") < far), F.sqrt("a")) * resolution).alias("sdf"))
 
 
 def distance_to(cells: DataFrame, poses: DataFrame, x: Column, y: Column, reach: float, bound: float) -> DataFrame:
