@@ -54,7 +54,8 @@ def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
             n = len(h) - (size + width) + 1
             total = power[:n].copy() if total is None else total[:n] * factor + power[size : size + n]
             size += width
-        power = power[: len(power) - width] * factor + power[width:]
+        if 2 * width <= length:
+            power = power[: len(power) - width] * factor + power[width:]
         width, factor = 2 * width, factor * factor
     return mixed(total + np.uint64(length))
 
