@@ -7,8 +7,13 @@ some part has at most k2 differing ones, so that the two sets agree on n2 - k2 o
 of the features in one such choice of subparts; sets that are similar enough share one. Each set is signed for its own
 band and for the next.
 
+What is kept of a set is its features cut to as many leading bits as its size needs (all 64 for small sets), sorted and
+coded by their differences; signatures come from these. Two sets that are cut alike differ in no more features than
+the whole ones do, so no pair is lost; a pair whose similarity is so close to the threshold that cut features falling
+together could decide it is counted again over the whole sets.
+
 Texts with equal sets are one node. Sets that share a signature are candidates; a pair is verified by counting common
-features, over the whole sets. Large groups are not expanded into pairs: members are compared with a few pivots of their
+features. Large groups are not expanded into pairs: members are compared with a few pivots of their
 group, verified links are contracted into components, and only members that are still in different components go on to
 the next pivots, whose number grows each round, until every group is one component or each of its members was a pivot.
 So no link between different components is missed, and near copies cost one comparison each.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, words_of
+from .common import documents, materialize, pack, unpack, words_of
 from .components import components
 
 SHINGLE = 3
@@ -79,17 +85,21 @@ def bands(threshold: int, above: int) -> tuple[tuple[int, int], ...]:
 
 
 @lru_cache(maxsize=None)
-def plan(threshold: int, band: int) -> tuple[int, int, int]:
-    """(n1, n2, k2) for sets of this band and the one before: n1 parts, n2 subparts each, of which all but k2 are chosen.
+def plan(threshold: int, band: int) -> tuple[int, int, int, int]:
+    """(n1, n2, k2, k) for sets of this band and the one before: n1 parts, n2 subparts each, of which all but k2 are chosen.
 
-    Small differences are enumerated (one part or a few, k2 = 1: two of three subparts); beyond, k + 1 parts without
-    differing features are the cheaper choice and still hold several features each.
+    Small differences k are enumerated (one part or a few, k2 = 1: two of three subparts); beyond, parts without
+    differing features are the cheaper choice: more than k of them, by as many as are likely to be thin, so that thin
+    ones, on which sets without any likeness agree by chance, need no signature.
     """
-    most = bands_to(threshold, band)[band][1]
+    least, most = bands_to(threshold, band)[max(0, band - 1)][0], bands_to(threshold, band)[band][1]
     k = 2 * most * (100 - threshold) // (100 + threshold)
     if k == 0:
-        return 1, 1, 0
-    return ((k + 2) // 2, 3, 1) if k <= 12 else (k + 1, 1, 0)
+        return 1, 1, 0, k
+    if k <= 12:
+        return (k + 2) // 2, 3, 1, k
+    held = least / (k + 1)
+    return k + 3 + math.ceil(1.5 * (k + 1) * math.exp(-held) * (1 + held)), 1, 0, k
 
 
 @lru_cache(maxsize=None)
@@ -104,24 +114,56 @@ def band_of(threshold: int, size: int) -> int:
     return next(i for i, (_, most) in enumerate(bands(threshold, 1 << size.bit_length())) if size <= most)
 
 
-def signatures(features: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
-    """64-bit signatures of a set of 64-bit features, for its band and the next."""
-    own = band_of(threshold, len(features))
+#: Sets up to this size keep whole features; larger ones keep bits for SPARE times their size squared.
+WHOLE, SPARE_BITS = 128, 8
+#: A part with fewer features than this says little.
+THIN = 2
+#: Features that may fall together by their cut in one pair; closer decisions are made over whole sets.
+MARGIN = 3
+
+
+def bits_kept(size: int) -> int:
+    return 64 if size <= WHOLE else min(64, 2 * size.bit_length() + SPARE_BITS)
+
+
+def signatures(features: np.ndarray, kept: int, size: int, threshold: int = THRESHOLD) -> np.ndarray:
+    """48-bit signatures of a set of so many features, given by their leading `kept` bits, for its band and the next."""
+    own = band_of(threshold, size)
     out = []
     for band in (own, own + 1):
-        n1, n2, k2 = plan(threshold, band)
-        cell = (mixed(features + MIX) % np.uint64(n1 * n2)).astype(np.int64)
+        n1, n2, k2, k = plan(threshold, band)
+        # Sets of this band and of the one before are cut as the smallest of them.
+        least = bits_kept(bands_to(threshold, band)[max(0, band - 1)][0])
+        cut = features >> np.uint64(max(0, kept - least))
+        cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
+        cell = (mixed(cut + MIX) % np.uint64(n1 * n2)).astype(np.int64)
         # The sum of mixed features is a hash of the set in a cell, whatever their order.
+        order = np.argsort(cell, kind="stable")
+        filled, first = np.unique(cell[order], return_index=True)
         sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, cell, mixed(features ^ MIX))
+        sums[filled] = np.add.reduceat(mixed(cut ^ MIX)[order], first)
         sums = mixed(sums + np.uint64(band)).reshape(n1, n2)
         for chosen in itertools.combinations(range(n2), n2 - k2):
             salt = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(sum(1 << c for c in chosen))
             sig = mixed(salt * MIX + np.uint64(band))
             for c in chosen:
                 sig = mixed(sig * MIX + sums[:, c])
+            if n2 == 1:
+                # n1 - k parts or more agree with any similar set: if fewer are thin, one of those is not, there as here.
+                thin = np.bincount(cell, minlength=n1) < THIN
+                sig = sig[~thin] if np.count_nonzero(thin) < n1 - k else sig
             out.append(sig)
-    return np.unique(np.concatenate(out)).view(np.int64)
+    return np.unique(np.concatenate(out) >> np.uint64(16)).view(np.int64)
+
+
+def coded(features: np.ndarray) -> bytes:
+    """A sorted set, cut by its size, as differences."""
+    cut = features >> np.uint64(64 - bits_kept(len(features)))
+    return pack(np.diff(cut, prepend=np.uint64(0)))
+
+
+def decoded(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
 
 
 def _batches(text: pd.Series, step: int = 1000) -> Iterator[pd.Series]:
@@ -129,8 +171,8 @@ def _batches(text: pd.Series, step: int = 1000) -> Iterator[pd.Series]:
         yield text.iloc[k : k + step]
 
 
-def sign(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest of the set, signatures)."""
+def compact(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Rows (doc_id, n_shingles, digest of the set, features as coded())."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(width)
@@ -139,79 +181,129 @@ def sign(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> D
                 rows = []
                 for text in part:
                     s = shingles(text)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signatures(s, threshold) if len(s) else []))
-                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "sigs"])
+                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), coded(s)))
+                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "features"])
                 out.insert(0, "doc_id", batch["doc_id"].loc[part.index].to_numpy())
                 yield out
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sigs array<long>")
+    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, features binary")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, features) with the sorted features as bytes."""
+def sign(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows (node, size, sig), one for each signature of a set of (doc_id, n_shingles, features)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(width)
         for batch in batches:
-            for part in _batches(batch["text"]):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].loc[part.index], "features": [shingles(t).tobytes() for t in part]})
+            for k in range(0, len(batch), 500):
+                part = batch.iloc[k : k + 500]
+                sigs = [signatures(decoded(f), bits_kept(n), n, threshold) for f, n in zip(part["features"], part["n_shingles"], strict=True)]
+                times = [len(s) for s in sigs]
+                yield pd.DataFrame({"node": np.repeat(part["doc_id"].to_numpy(), times), "size": np.repeat(part["n_shingles"].to_numpy(), times), "sig": np.concatenate(sigs)})
+
+    return sets.mapInPandas(run, "node long, size long, sig long")
 
-    return docs.mapInPandas(run, "doc_id long, features binary")
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    if not len(x) or not len(y):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+
+def verdict(x: bytes, y: bytes, nx: int, ny: int, threshold: int) -> int:
+    """1 if the sets reach the threshold, 0 if not, 2 if only whole sets can tell."""
+    kx, ky = bits_kept(nx), bits_kept(ny)
+    both = common(*(decoded(d) >> np.uint64(k - min(kx, ky)) for d, k in ((x, kx), (y, ky))))
+    reaches = lambda n: 100 * n >= threshold * (nx + ny - n)
+    slack = 0 if min(kx, ky) == 64 else MARGIN
+    return 2 if reaches(both + slack) != reaches(both - slack) else int(reaches(both))
+
+
+#: Pairs up to which their ids are broadcast (two numbers each: some MB).
+FEW_PAIRS = 200_000
+
+
+def _of_pairs(table: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Rows of a table by doc_id that one of n pairs names."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return table.join(F.broadcast(ids) if n <= FEW_PAIRS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x, y = (sets.select(F.col("doc_id").alias(k), F.col("features").alias(v), F.col("n_shingles").alias(f"n{v}")) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            state = [verdict(*row, threshold) for row in zip(batch["x"], batch["y"], batch["nx"], batch["ny"], strict=True)]
+            out = batch[["a", "b"]].assign(state=np.array(state, np.int32))
+            yield out[out["state"] > 0]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(width)
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
+                x, y = shingles(x), shingles(y)
+                both = common(x, y)
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    x, y = sets.select(F.col("doc_id").alias("a"), F.col("features").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("features").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    near = _of_pairs(sets, pairs, pairs.count())
+    judged = materialize(_joined(pairs, near).mapInPandas(run, "a long, b long, state int"), "judged")
+    close = judged.where("state = 2").select("a", "b")
+    n = close.count()
+    sure = judged.where("state = 1").select("a", "b")
+    if not n:
+        return sure
+    texts = _of_pairs(docs, close, n).select("doc_id", F.col("text").alias("features"), F.lit(0).alias("n_shingles"))
+    return sure.union(materialize(_joined(close, texts).mapInPandas(whole, "a long, b long"), "close"))
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of docs."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    signed = materialize(sign(docs, threshold, width), "signed")
+    sets = materialize(compact(docs, width), "sets")
     # One node for equal sets: the least id.
-    nodes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("size"))
+    nodes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = materialize(nodes, "nodes")
-    leaders = signed.where("n_shingles > 0").join(nodes, (signed["digest"] == nodes["digest"]) & (signed["doc_id"] == nodes["node"]), "left_semi").dropDuplicates(["doc_id"])
-    bare = leaders.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("node"))
+    # Equal sets have equal features: combined before the shuffle, copies cost no more than one of them a task.
+    leaders = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("features").alias("features"))
     # One shuffle finds the signatures that several nodes share; the others, nearly all, go no further.
     group = Window.partitionBy("sig")
-    members = bare.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("place", F.row_number().over(group.orderBy(F.xxhash64("node"), "node"))).drop("n")
-    members = materialize(members.join(nodes.select("node", "size"), "node"), "members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
-    links, root, start, pivots = None, None, 1, 1
+    signed = sign(leaders.select("doc_id", "n_shingles", "features"), threshold)
+    members = signed.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("place", F.row_number().over(group.orderBy(F.xxhash64("node"), "node"))).drop("n")
+    members = materialize(members, "members")
+    # First, one comparison a node: with the foremost of the pivots of all its groups. Nearly all near copies meet so.
+    alike = 100 * F.least("size", "p_size") >= threshold * F.greatest("size", "p_size")
+    foremost = members.where("place = 1").select("sig", F.col("node").alias("p"), F.col("size").alias("p_size"))
+    met = members.where("place > 1").join(foremost, "sig").where(alike).groupBy("node").agg(F.min(F.struct(F.xxhash64("p"), F.col("p").alias("p"))).alias("m"))
+    links = _verify(materialize(met.select(F.col("m.p").alias("a"), F.col("node").alias("b")), "pairs"), sets, docs, threshold, width)
+    root, start, pivots = materialize(components(links), "roots"), 0, 1
     while True:
-        placed = members if root is None else members.join(root, members["node"] == root["id"], "left").select("sig", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-        placed = placed if root is not None else placed.withColumn("root", F.col("node"))
-        if root is not None:
-            # Groups that are one component are done, as are those whose members have all been pivots.
-            open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).where(f"low <> high and last > {start}")
-            placed = materialize(placed.join(open_.select("sig"), "sig", "left_semi"), "open")
-            if placed.isEmpty():
-                break
+        placed = members.join(root, members["node"] == root["id"], "left").select("sig", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+        # Groups that are one component are done, as are those whose members have all been pivots.
+        open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).where(f"low <> high and last > {start + 1}")
+        placed = materialize(placed.join(open_.select("sig"), "sig", "left_semi"), "open")
+        if placed.isEmpty():
+            break
+        start += 1
         pivot = placed.where(F.col("place").between(start, start + pivots - 1)).select("sig", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("root").alias("p_root"), F.col("place").alias("p_place"))
         pairs = placed.join(pivot, "sig").where("root <> p_root and (place > p_place)")
-        pairs = pairs.where(100 * F.least("size", "p_size") >= threshold * F.greatest("size", "p_size"))
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        found = materialize(_verify(pairs, sets, threshold), "links")
-        links = found if links is None else links.union(found)
+        # A pivot stands before its partners in an order that all groups share: each pair comes one way round.
+        pairs = pairs.where(alike).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+        found = _verify(materialize(pairs, "pairs"), sets, docs, threshold, width)
+        links = links.union(found)
         root = materialize(components(links), "roots")
-        start, pivots = start + pivots, pivots * 4
+        start, pivots = start + pivots - 1, pivots * 4
     whole = nodes.join(root, nodes["node"] == root["id"], "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return signed.join(whole, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return sets.drop("features").join(whole, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
