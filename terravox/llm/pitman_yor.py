@@ -23,13 +23,16 @@ Without training texts all probabilities are those of the base. Extra columns ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, words_of
+from .common import documents, fold, pack, unpack
 from .jaccard import MIX, mixed
 
 FOLDS, HELD_OUT = 5, 1
@@ -38,8 +41,8 @@ SWEEPS = 2
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 #: Customers up to which table counts are drawn from their exact weights.
 EXACT = 48
-BLOCK_BYTES = 8 << 20
-LEAST_BLOCKS = 128
+BLOCK_BYTES = 12 << 20
+LEAST_BLOCKS = 64
 #: Pairs that a bucket is made for; a text has about a pair for every 6 bytes.
 BUCKET_PAIRS = 4_000_000
 WORDS, PAIRS, FIRST_SWEEP = 0, 1, 2
@@ -49,25 +52,12 @@ ASK = "block int, kind int, bucket int, keys binary, values binary, more binary,
 REPLY = "block int, kind int, bucket int, values binary, s0 double, s1 double, s2 double, s3 double"
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, no more than the largest needs: small ones compress well."""
-    a = np.ascontiguousarray(a, dtype="<u8")
-    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view("<u8").ravel()
-
-
 def chance(key: np.ndarray, salt: int) -> np.ndarray:
     """A number in (0, 1) for each key."""
     return ((mixed(key ^ np.uint64(salt * int(MIX) % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+@lru_cache(maxsize=8)
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
     """Logarithms of generalised Stirling numbers S_d(c, t)."""
     log = np.full((most + 1, most + 1), -np.inf)
@@ -129,50 +119,56 @@ def discount(n1: float, n2: float) -> float:
 
 
 class Block:
-    """Tokens of a block's documents, in a fixed order, as places in its sorted vocabulary, and its distinct pairs."""
+    """Tokens of a block's documents, in a fixed order, as places in its vocabulary, and its distinct pairs by rising key."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, packed: pa.Table) -> None:
+        table = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for blob in packed.column("docs").to_pylist()])
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids, self.held = table.column("doc_id"), table.column("held_out").to_numpy()
         known: dict[bytes, int] = {}
         ids, sizes = [], []
-        for text in table.column("text").to_pylist():
-            words = words_of(text and text.translate(LOWER))
+        for text in table.column("text").cast(pa.binary()).to_pylist():
+            # bytes.lower() changes A-Z only, bytes.split() cuts at the six separators.
+            words = (text or b"").lower().split()
             sizes.append(len(words) + 1)
-            ids += [known.setdefault(w, len(known) + 2) for w in words]
-            ids.append(0)
+            ids.append(np.fromiter([known.setdefault(w, len(known) + 2) for w in words] + [0], np.int32, len(words) + 1))
         hashes = np.array([int(END), int(START), *map(xxhash.xxh64_intdigest, known)], np.uint64)
-        self.words, back = np.unique(hashes, return_inverse=True)
+        order = np.argsort(hashes)
+        self.words, place = hashes[order], np.empty(len(hashes), np.int32)
+        place[order] = np.arange(len(hashes), dtype=np.int32)
         self.sizes = np.array(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.token = back[np.array(ids, np.int64)]
-        context = np.concatenate([[back[1]], self.token[:-1]])
-        context[self.starts] = back[1]
+        self.token = place[np.concatenate(ids)]
+        context = np.concatenate([place[1:2], self.token[:-1]])
+        context[self.starts] = place[1]
         train = np.repeat(~self.held, self.sizes)
-        self.trained = np.bincount(self.token, train, len(self.words))
-        self.trained[back[1]] = np.count_nonzero(~self.held)
-        pair, self.pair_of = np.unique(context * len(self.words) + self.token, return_inverse=True)
-        self.context, self.word = np.divmod(pair, len(self.words))
-        self.pair_trained = np.bincount(self.pair_of, train, len(pair))
-        self.key = mixed(self.words[self.context] * MIX + self.words[self.word])
+        self.trained = np.bincount(self.token[train], minlength=len(hashes))
+        self.trained[place[1]] = np.count_nonzero(~self.held)
+        key = mixed((self.words * MIX)[context] + self.words[self.token])
+        self.order = np.argsort(key)
+        key = key[self.order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.key, self.times = key[first], np.diff(np.append(first, len(key)))
+        self.context, self.word = context[self.order[first]], self.token[self.order[first]]
+        self.pair_trained = np.add.reduceat(train[self.order].astype(np.int64), first)
 
 
-#: A-Z to a-z and nothing else.
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+def _by_bucket(key: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """(bucket, where its keys are) of rising keys: bucket b holds the b-th of equal shares of all keys."""
+    share = np.uint64(2**64 // buckets + 1)
+    cuts = np.searchsorted(key, np.arange(1, buckets, dtype=np.uint64) * share).tolist()
+    return [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(key)])) if hi > lo]
 
 
-def _by_bucket(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places of its keys, by rising key)."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((key, bucket))
-    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:])]
+def _short(key: np.ndarray, buckets: int) -> bytes:
+    """Keys of one bucket by 40 bits of what sets them apart there."""
+    return pack(key % np.uint64(2**64 // buckets + 1) >> np.uint64(max(0, 24 - buckets.bit_length() + 1)))
 
 
 class Replay:
     """What a block knows after the answers that it has: counts, and seating and predictive probabilities of each sweep."""
 
-    def __init__(self, block: Block, replies: list[dict], buckets: int) -> None:
+    def __init__(self, block: Block, replies: list[dict], buckets: int, asking: bool) -> None:
         self.block, self.buckets = block, buckets
         self.answers = {(r["kind"], r["bucket"]): r for r in replies}
         self.kinds = {r["kind"]: r for r in replies}
@@ -190,6 +186,8 @@ class Replay:
         self.sums = (self.types, self.types, self.d0)
         sweep = FIRST_SWEEP
         while True:
+            if sweep not in self.kinds and not asking:
+                break
             a = (STRENGTH + self.d * np.maximum(tables[block.context] - seated, 0)) * np.maximum(parent[block.word], 1e-300)
             seated = seat(self.pairs, a, block.key, sweep, self.d)
             self.seated = seated
@@ -204,7 +202,7 @@ class Replay:
             sweep += 1
         self.sweep = sweep
 
-    def gather(self, kind: int, places: list[tuple[int, np.ndarray]], size: int, columns: int = 1) -> list[np.ndarray]:
+    def gather(self, kind: int, places: list[tuple[int, slice]], size: int, columns: int = 1) -> list[np.ndarray]:
         out = [np.zeros(size, np.uint64) for _ in range(columns)]
         for bucket, at in places:
             got = unpack(self.answers[kind, bucket]["values"]).reshape(columns, -1)
@@ -213,22 +211,40 @@ class Replay:
         return out
 
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, docs): a batch's documents of one block as a compressed table, which takes half the room of rows in a shuffle."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        order = np.argsort(batch.column("block").to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        block = batch.column("block").to_numpy()
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+        blobs = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            part = batch.slice(lo, hi - lo).select(["doc_id", "text", "held_out"])
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_batch(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(block[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["block", "docs"])
+
+
 def _asks(buckets: int):
     def ask(docs: pa.Table, replies: pa.Table | None) -> pa.Table:
         rows: list[tuple] = []
         if docs.num_rows:
             number, block = docs.column("block")[0].as_py(), Block(docs)
-            known = Replay(block, [] if replies is None else replies.to_pylist(), buckets)
+            known = Replay(block, [] if replies is None else replies.to_pylist(), buckets, True)
             if replies is None:
                 for b, at in known.by_word:
                     rows.append((number, WORDS, b, pack(block.words[at]), pack(block.trained[at]), b"", 0.0, 0.0, 0.0))
                 for b, at in _by_bucket(block.key, buckets):
-                    rows.append((number, PAIRS, b, pack(block.key[at] >> np.uint64(24)), pack(block.pair_trained[at]), b"", 0.0, 0.0, 0.0))
+                    rows.append((number, PAIRS, b, _short(block.key[at], buckets), pack(block.pair_trained[at]), b"", 0.0, 0.0, 0.0))
             else:
                 mine = known.seated * known.own
                 tables, customers = (np.bincount(x, mine, len(block.words)) for x in (block.context, block.word))
                 for b, at in known.by_word:
-                    rows.append((number, known.sweep, b, pack(block.words[at]), pack(tables[at]), pack(customers[at]), *known.sums))
+                    rows.append((number, known.sweep, b, _short(block.words[at], buckets), pack(tables[at]), pack(customers[at]), *known.sums))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
         types = [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.float64()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "kind", "bucket", "keys", "values", "more", "s0", "s1", "s2"])
@@ -284,11 +300,12 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _finish(buckets: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(docs)
-        known = Replay(block, replies.to_pylist(), buckets)
+        known = Replay(block, replies.to_pylist(), buckets, False)
         base = np.log10((known.count + 0.5) / (known.n + 0.5 * (known.types + 1)))
         mean = np.log10(sum(known.predictive) / len(known.predictive))
         over = lambda values: np.add.reduceat(values, block.starts)
-        score = over(mean[block.pair_of])
+        document = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        score = np.bincount(document[block.order], np.repeat(mean, block.times), len(block.sizes))
         return pa.table({
             "doc_id": block.ids, "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes), "n_known": pa.array(over((known.count[block.token] > 0).astype(np.int64))),
             "train_tokens": pa.array([int(known.n)] * len(block.sizes), pa.int64()), "base_score": pa.array(over(base[block.token])), "score": pa.array(score), "perplexity": pa.array(10 ** np.minimum(300, -score / block.sizes)),
@@ -305,7 +322,7 @@ def scores(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES)), max(64, -(-size // (6 * BUCKET_PAIRS)))
-    grouped = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).groupBy("block")
+    grouped = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(_deal, "block int, docs binary").groupBy("block")
     first, later = _asks(buckets)
     replies = None
     for _ in range(sweeps + 1):
