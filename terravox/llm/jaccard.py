@@ -126,15 +126,21 @@ def bits_kept(size: int) -> int:
     return 64 if size <= WHOLE else min(64, 2 * size.bit_length() + SPARE_BITS)
 
 
+@lru_cache(maxsize=None)
+def shared_bits(threshold: int, band: int) -> int:
+    """The fewest bits that a set of this band or of the one before keeps: bits fall once, beyond WHOLE, and else never."""
+    least, most = bands_to(threshold, band)[max(0, band - 1)][0], bands_to(threshold, band)[band][1]
+    return min(bits_kept(least), bits_kept(min(most, max(least, WHOLE + 1))))
+
+
 def signatures(features: np.ndarray, kept: int, size: int, threshold: int = THRESHOLD) -> np.ndarray:
     """48-bit signatures of a set of so many features, given by their leading `kept` bits, for its band and the next."""
     own = band_of(threshold, size)
     out = []
     for band in (own, own + 1):
         n1, n2, k2, k = plan(threshold, band)
-        # Sets of this band and of the one before are cut as the smallest of them.
-        least = bits_kept(bands_to(threshold, band)[max(0, band - 1)][0])
-        cut = features >> np.uint64(max(0, kept - least))
+        # Sets of this band and of the one before are cut alike, to the bits that all of them keep.
+        cut = features >> np.uint64(kept - shared_bits(threshold, band))
         cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
         cell = (mixed(cut + MIX) % np.uint64(n1 * n2)).astype(np.int64)
         # The sum of mixed features is a hash of the set in a cell, whatever their order.

@@ -163,6 +163,24 @@ def test_jaccard_against_brute_force(spark, sf, width, threshold):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("width,threshold", [(3, 90), (5, 80)])
+def test_similar_sets_share_a_signature_where_fewer_bits_are_kept(spark, width, threshold):
+    for band in range(60):
+        least, most = jaccard.bands_to(threshold, band)[max(0, band - 1)][0], jaccard.bands_to(threshold, band)[band][1]
+        if most < 5000:
+            assert jaccard.shared_bits(threshold, band) == min(map(jaccard.bits_kept, range(least, most + 1)))
+    rows, linked = [], 0
+    for n in range(120, 146):  # pairs of n and n + 5 words, otherwise equal: only they are similar
+        ws = [f"d{n}w{k}" for k in range(n)]
+        rows += [(10 * n, " ".join(ws)), (10 * n + 1, " ".join([*ws, *(f"d{n}x{k}" for k in range(5))]))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, width).collect()}
+    for n in range(120, 146):
+        x, y = n - width + 1, n - width + 6
+        linked += x <= jaccard.WHOLE < y
+        assert 100 * x >= threshold * y and got[10 * n] == got[10 * n + 1] == 10 * n
+    assert linked == 5
+
+
 def test_close_decisions_are_left_to_whole_sets():
     rng = np.random.default_rng(5)
     x = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
