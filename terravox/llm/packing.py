@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -30,15 +30,20 @@ NUMBERING_GROUPS = 1024
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str):
-    """The vocabulary of a tokenizers file (byte-level BPE whose ids are its merge ranks), run by tiktoken: the ids are the same, several times faster."""
+    """The vocabulary of a tokenizers file (byte-level BPE whose ids are its merge ranks), run by tiktoken: the ids are the same, several times faster.
+
+    Texts are cut at the file's added tokens, as tokenizers cuts them; those that take blanks or word bounds into account are refused.
+    """
     import tiktoken
 
     back = {c: b for b, c in enumerate(byte_characters())}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} that do not stand for their exact text")
     ranks = {bytes(map(back.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("terravox", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("terravox", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -51,7 +56,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, end_id:
     """Rows (doc_id, start, length, ids, ids_crc32, doc_tokens) of the decomposition; ids are empty unless with_ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path, pattern).encode_ordinary
+        encode = partial(tokenizer(path, pattern).encode, allowed_special="all")
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

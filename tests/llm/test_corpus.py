@@ -377,6 +377,17 @@ def test_packing_holds_each_id_once(spark, sf):
         assert all(r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in parts)
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    own, end = Tokenizer.from_file(P.path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"end {end} more", end, f"a{end}{end} b", f" {end}\n\n x  {end}  ", f"<|endoftext|{end}|>", "<|ENDOFTEXT|> <|endoftext |>", f"漢{end}😀's {end}'s"]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=True).collect()
+    for i, text in enumerate(texts):
+        got = [t for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start) for t in r.ids]
+        assert got == [*own.encode(text, add_special_tokens=False).ids, 0]
+
+
 # Pipeline
 
 
