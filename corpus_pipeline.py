@@ -33,9 +33,23 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates; documents without id or words stay."""
-    others = jaccard.join(docs, THRESHOLD, SHINGLE).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, of the least id (one without id where none has any); documents without words stay."""
+    times = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(times.where("n > 1 or doc_id is null").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        others = jaccard.join(docs, THRESHOLD, SHINGLE).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    # Rows whose id is null or not theirs alone get a number of their own beyond all ids, so that each can stay or go by itself.
+    low, high = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
+    number = F.monotonically_increasing_id()
+    key = F.lit((high or 0) + 1) + number if (high or 0) < 1 << 62 else F.lit(low - 1) - number
+    same = docs["doc_id"].eqNullSafe(repeated["doc_id"])
+    again = materialize(docs.join(repeated, same, "left_semi").withColumn("_key", key), "again")
+    keyed = docs.join(repeated, same, "left_anti").withColumn("_key", F.col("doc_id").cast("long")).unionByName(again)
+    groups = jaccard.join(keyed.select(F.col("_key").alias("doc_id"), "text"), THRESHOLD, SHINGLE).select(F.col("doc_id").alias("_key"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key")
+    first = groups.join(keyed.select("doc_id", "_key"), "_key").groupBy("component_id").agg(F.min(rank).alias("m"))
+    return keyed.join(first.select(F.col("m._key").alias("_key")), "_key", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

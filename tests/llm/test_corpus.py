@@ -405,3 +405,21 @@ def test_pipeline_stages(spark, sf):
     cut = c.substring_dedup(spark, near, sf)
     assert cut.columns == docs.columns and cut.count() == near.count() and cut.where(F.length("text") != F.col("n_chars")).count() == 0
     assert c.run(spark, sf).count() > 0
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
+    import corpus_pipeline as c
+
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"r{k}" for k in rng.integers(0, 10**9, n))
+    a, b, d, e, f = (text(60) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, d), (None, d), (5, e), (5, e.upper()), (9, e + " end"), (6, f), (6, text(60)), (7, text(60)), (3, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = common.materialize(c.near_duplicates(spark, docs, sf), "near")
+    assert near.columns == docs.columns
+    assert Counter(r.doc_id for r in near.collect()) == Counter([1, 2, None, 5, 6, 6, 7, 3, None])
+    assert {(r.text or "").lower() for r in near.collect()} == {(t or "").lower() for _, t in rows if t != e + " end"}
+    cut = {(r.doc_id, (r.text or "").lower()) for r in c.substring_dedup(spark, near, sf).collect()}
+    assert {(1, a), (2, b), (None, d), (5, e)} <= cut
+    packed = c.pack(spark, c.substring_dedup(spark, near, sf), sf).collect()
+    assert min(sum(r.length for r in packed if r.doc_id == i) for i in (1, 2, 5)) > 60
