@@ -89,6 +89,45 @@ def last_overlap(frames: DataFrame, key: str, half: float, reach: int) -> DataFr
     return miss.groupBy(key, "idx").agg(F.coalesce(F.min("_m") - 1, F.col("idx") + reach).alias("last_idx"))
 
 
+#: Children of a block of frames.
+FAN = 32
+
+
+def last_overlap_any(frames: DataFrame, key: str, half: float) -> DataFrame:
+    """last_overlap without an end to the look-ahead, for running numbers idx without gaps.
+
+    Least and greatest places of blocks of FAN, FAN * FAN, ... frames tell whether all of a block overlaps. A frame asks
+    for the blocks up to the end of its parent, then of the parent's parent, and so on until one fails; the first frame
+    that fails is found from there downwards. Each frame meets at most FAN blocks a step, in steps logarithmic in the
+    run's length.
+    """
+    most = frames.agg(F.max("idx")).first()[0]
+    trees = [frames.select(key, F.col("idx").alias("_k"), F.col("p").alias("_lo"), F.col("p").alias("_hi"), F.col("p").isNotNull().alias("_all"))]
+    while FAN ** len(trees) <= (most or 0):
+        up = trees[-1].groupBy(key, F.floor(F.col("_k") / FAN).alias("_k"))
+        trees.append(up.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_all").alias("_all")))
+    overlaps = F.coalesce(F.col("_all") & (F.col("_hi") - F.col("p") <= 2 * half) & (F.col("p") - F.col("_lo") <= 2 * half), F.lit(False))
+
+    def first_miss(rows: DataFrame, level: int, start, stop) -> DataFrame:
+        asked = rows.withColumn("_k", F.explode(F.sequence(start, stop)))
+        met = asked.join(trees[level], [key, "_k"], "left")
+        return met.groupBy(key, "idx").agg(F.first("p").alias("p"), F.first("_s").alias("_s"), F.min(F.when(~overlaps, F.col("_k"))).alias("_m"))
+
+    # _s: the first block that is not yet known to overlap; failed[level]: frames whose first failing block is of that level.
+    rows, failed = frames.select(key, "idx", "p", F.col("idx").alias("_s")), []
+    for level in range(len(trees)):
+        parent = F.floor(F.col("_s") / FAN)
+        asked = first_miss(rows, level, F.col("_s"), parent * FAN + FAN - 1)
+        failed.append(asked.where("_m is not null").select(key, "idx", "p", F.col("_m").alias("_s")))
+        rows = asked.where("_m is null").select(key, "idx", "p", (parent + 1).alias("_s"))
+    below = failed[-1]
+    for level in range(len(trees) - 2, -1, -1):
+        found = first_miss(below, level, F.col("_s") * FAN, F.col("_s") * FAN + FAN - 1)
+        below = found.select(key, "idx", "p", F.col("_m").alias("_s")).unionByName(failed[level])
+    ends = frames.groupBy(key).agg(F.max("idx").alias("_end"))
+    return below.join(ends, key).select(key, "idx", F.least(F.col("_s") - 1, "_end").alias("last_idx"))
+
+
 def before_run(rows: DataFrame, key: str, bad: Column, longest: int) -> DataFrame:
     """Rows before the key's first run of `longest` bad ones in a row."""
     order = Window.partitionBy(key).orderBy("t")

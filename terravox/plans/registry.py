@@ -429,6 +429,13 @@ def last_overlapping_frame(spark, d):
     return temporal.last_overlap(frames, "run", 60.0, 20)
 
 
+@query(f"+{_IDX} SELECT a.run, a.idx, coalesce(min(CASE WHEN abs(a.p - b.p) > 120 THEN b.idx END) - 1, max(b.idx)) AS last_idx FROM f a JOIN f b ON a.run = b.run AND b.idx >= a.idx GROUP BY a.run, a.idx", "odo")
+def last_overlapping_frame_any(spark, d):
+    """last_overlapping_frame without its look-ahead of 20 frames."""
+    frames = tables.odometry(spark, d).select("run", "p", F.row_number().over(Window.partitionBy("run").orderBy("t")).cast("long").alias("idx"))
+    return temporal.last_overlap_any(frames, "run", 60.0)
+
+
 @query("SELECT event_id FROM (SELECT *, max(CASE WHEN bad >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY t) AS s FROM (SELECT *, sum(CASE WHEN p > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS bad FROM odo)) WHERE s = 0", "odo")
 def before_occluded_run(spark, d):
     return temporal.before_run(tables.odometry(spark, d), "run", F.col("p") > 100, 3).select("event_id")

@@ -111,6 +111,15 @@ def test_as_of_over_slices(spark):
         assert r.match_t == min((t for _, t, _ in right), key=lambda t: (abs(t - r.t), t))
 
 
+def test_last_overlap_reaches_any_frame(spark):
+    rng = np.random.default_rng(12)
+    runs = {0: [0.0] * 1100 + [9.0], 1: list(rng.normal(scale=0.3, size=400).cumsum()), 2: [0.0] * 70, 3: [5.0], 4: [0.0] * 63 + [9.0] + [0.0] * 40}
+    frames = spark.createDataFrame([(k, i, float(p)) for k, ps in runs.items() for i, p in enumerate(ps, 1)], "run long, idx long, p double")
+    got = {(r.run, r.idx): r.last_idx for r in temporal.last_overlap_any(frames, "run", 1.0).collect()}
+    want = {(k, i): next((j for j in range(i, len(ps)) if abs(ps[i - 1] - ps[j]) > 2), len(ps)) for k, ps in runs.items() for i in range(1, len(ps) + 1)}
+    assert got == want and max(j - i for (_, i), j in want.items()) > 1000
+
+
 def test_terrain_plan_fails_early(spark):
     with pytest.raises(ValueError, match="needs layers"):
         terrain.run([{"type": "slope", "input_layer": "z", "mask_layer": "m", "radius": 1.0}], cloud(spark), 1.0)
