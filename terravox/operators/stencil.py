@@ -115,3 +115,32 @@ def distance_to(cells: DataFrame, poses: DataFrame, x: Column, y: Column, reach:
     ours = poses.select(F.col("px"), F.col("py"), square(F.col("px")).alias("_sx"), square(F.col("py")).alias("_sy"))
     met = at.join(ours, ["_sx", "_sy"], "left").groupBy("i", "j").agg(F.min(F.hypot(F.col("_x") - F.col("px"), F.col("_y") - F.col("py"))).alias("d"))
     return met.select("i", "j", F.when(F.col("d") <= reach, F.col("d")).otherwise(bound).alias("distance"))
+
+
+def nearest_distance(cells: DataFrame, poses: DataFrame, x: Column, y: Column, side: float) -> DataFrame:
+    """Distance of each cell to the nearest of all poses, however far; null without poses.
+
+    Poses are bounded by boxes in squares of `side`, those by boxes in squares twice as wide, and so on up to a few. From
+    there downwards a cell follows the boxes that can hold a nearer pose than the farthest corner of its best box.
+    """
+    poses = poses.select("px", "py").where("px is not null and py is not null").distinct()
+    square = lambda c: F.floor(F.col(c) / side).cast("long")
+    box = {"_x0": F.min("_x0"), "_x1": F.max("_x1"), "_y0": F.min("_y0"), "_y1": F.max("_y1")}
+    squares = poses.select(square("px").alias("_sx"), square("py").alias("_sy"), *(F.col(c).alias(k) for c, ks in (("px", ("_x0", "_x1")), ("py", ("_y0", "_y1"))) for k in ks))
+    levels = [squares.groupBy("_sx", "_sy").agg(*(f.alias(k) for k, f in box.items()))]
+    span = squares.agg(F.greatest(F.max("_sx") - F.min("_sx"), F.max("_sy") - F.min("_sy"))).first()[0] or 0
+    while span >> (len(levels) - 1) > 1:
+        levels.append(levels[-1].groupBy(F.floor(F.col("_sx") / 2).alias("_sx"), F.floor(F.col("_sy") / 2).alias("_sy")).agg(*(f.alias(k) for k, f in box.items())))
+
+    def near(rows: DataFrame) -> DataFrame:
+        gap = [F.greatest(F.col(f"_{a}0") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"_{a}1"), F.lit(0.0)) for a in "xy"]
+        far = [F.greatest(F.abs(F.col(f"_{a}") - F.col(f"_{a}0")), F.abs(F.col(f"_{a}") - F.col(f"_{a}1"))) for a in "xy"]
+        best = F.min(F.hypot(*far)).over(Window.partitionBy("i", "j"))
+        return rows.withColumns({"_least": F.hypot(*gap), "_best": best}).where(F.col("_least") <= F.col("_best") * (1 + 1e-9)).select("i", "j", "_x", "_y", "_sx", "_sy")
+
+    at = near(cells.select("i", "j", x.alias("_x"), y.alias("_y")).crossJoin(F.broadcast(levels[-1])))
+    for level in reversed(levels[:-1]):
+        parent = {"_px": F.floor(F.col("_sx") / 2), "_py": F.floor(F.col("_sy") / 2)}
+        at = near(at.withColumnsRenamed({"_sx": "_px", "_sy": "_py"}).join(level.withColumns(parent), ["_px", "_py"]))
+    found = at.join(poses.withColumns({"_sx": square("px"), "_sy": square("py")}), ["_sx", "_sy"]).groupBy("i", "j").agg(F.min(F.hypot(F.col("_x") - F.col("px"), F.col("_y") - F.col("py"))).alias("distance"))
+    return cells.select("i", "j").join(found, ["i", "j"], "left")

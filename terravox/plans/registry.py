@@ -378,6 +378,13 @@ def distance_to_trajectory(spark, d):
     return made.withColumn("distance", F.when(F.col("distance") <= 4.0, round6("distance")).otherwise(F.col("distance")))
 
 
+@query(f"SELECT i, j, {r6('min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2)))')} AS distance FROM cells CROSS JOIN (SELECT DISTINCT (event_id * 7) % 40 + 0.25 AS px, (event_id * 11) % 40 + 0.75 AS py FROM events) p GROUP BY i, j", "cells")
+def distance_to_trajectory_any(spark, d):
+    """distance_to_trajectory over all poses, without a bound."""
+    poses = tables.table(spark, d, "events").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py"))
+    return rounded(stencil.nearest_distance(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0), "distance")
+
+
 @query()
 def terrain_pipeline(spark, d):
     """The shipped order of terrain blocks, from a configuration."""

@@ -85,6 +85,18 @@ def test_signed_distance_against_brute_force(spark):
         assert abs(r.sdf - want) < 1e-9
 
 
+def test_distance_to_the_nearest_of_all_poses(spark):
+    rng = np.random.default_rng(21)
+    cells = spark.createDataFrame([(i, j) for i in range(-20, 30, 3) for j in range(-30, 20, 3)], "i long, j long")
+    for xy in (rng.normal(scale=8.0, size=(300, 2)), rng.normal(loc=200.0, scale=30.0, size=(60, 2)), np.array([[7.25, -900.5]])):
+        poses = spark.createDataFrame([(float(a), float(b)) for a, b in xy] * 2 + [(None, 0.0)], "px double, py double")
+        got = {(r.i, r.j): r.distance for r in stencil.nearest_distance(cells, poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0).collect()}
+        assert len(got) == cells.count()
+        assert all(abs(v - np.hypot(*(xy - (i + 0.5, j + 0.5)).T).min()) < 1e-9 for (i, j), v in got.items())
+    none = stencil.nearest_distance(cells, poses.where("false"), F.col("i") + 0.5, F.col("j") + 0.5, 4.0)
+    assert none.count() == cells.count() == none.where("distance is null").count()
+
+
 def test_wall_scene_misses(spark):
     wall = spark.createDataFrame([(10.0, float(y) / 4, 0.0) for y in range(-8, 9)], "x double, y double, z double")
     voxels = spark.createDataFrame([(5, 0, 0, 0.0, 5.0, 0.01, 0.01), (15, 0, 0, 0.0, 15.0, 0.01, 0.01)], "gx long, gy long, gz long, misses double, cx double, cy double, cz double")
