@@ -221,6 +221,23 @@ def test_license_scan(spark):
     assert got == {k: v for k, (v, _) in enumerate([*texts, ("Zlib", zlib_text)])}
 
 
+def test_license_scan_of_whole_and_wrapped_texts(spark):
+    import textwrap
+    from terravox.llm.license_texts import LICENSES
+
+    whole = {f.stem: f.read_text() for f in licenses.FILES.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "GFDL-1.3", "CC0-1.0"} <= set(whole)
+    known = [*whole.items(), *((k, t) for k, (_, t) in LICENSES.items())]
+    one = lambda t: " ".join(t.split())
+    texts = [(k, v) for k, t in known for v in (t, one(t), textwrap.fill(one(t), 50), textwrap.fill(one(t), 97))]
+    texts += [(k, f"Copyright (c) 2020 X {one(LICENSES[k][1])}") for k in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense")]
+    texts += [("ISC", "ISC License\n\nCopyright 2019-2021, A Name\n\n" + textwrap.fill(one(LICENSES["ISC"][1]), 61)), ("BSD-3-Clause", "© 2018 Some Group. All rights reserved.\n\n" + textwrap.fill(one(LICENSES["BSD-3-Clause"][1]), 70))]
+    texts += [(None, whole["GPL-3.0"] + " more"), (None, "Copyright (c) 2020 X")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known(spark)).collect()}
+    assert [(v, got[k], t[:80]) for k, (v, t) in enumerate(texts) if got[k] != v] == []
+
+
 # 6
 
 
