@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,72 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result hangs on every bit of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of a word up to this place are looked up, further ones are computed.
+PLACES = 64
+BYTES = np.arange(256, dtype=np.uint64)
+IS_WORD = ~np.isin(BYTES, [32, *range(9, 14)])
+LOWER = np.where((BYTES >= 65) & (BYTES <= 90), BYTES + np.uint64(32), BYTES)
+
+
+@lru_cache(maxsize=2)
+def _byte_hashes(lower: bool) -> np.ndarray:
+    place = np.arange(PLACES, dtype=np.uint64)[:, None] << np.uint64(8)
+    return mixed((place + (LOWER if lower else BYTES) + np.uint64(1)) * MIX).ravel()
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, end to end, and each text's number of words.
+
+    A word's hash is the finalised sum of random numbers, one for each byte at its place: whole texts are cut and hashed
+    by array operations. With lower, A-Z count as a-z.
+    """
+    sizes = np.zeros(len(texts), np.int64)
+    out, table = [], _byte_hashes(lower)
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 17):
+            size += len(texts[hi]) + 1
+            hi += 1
+        data = np.frombuffer(b"\n".join(texts[lo:hi]) + b"\n", np.uint8)
+        word = IS_WORD[data]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if word[0] else edge
+        starts, lengths = edge[::2], edge[1::2] - edge[::2]
+        ends = np.cumsum(np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo) + 1)
+        sizes[lo:hi] = np.diff(np.searchsorted(starts, ends), prepend=0)
+        lo = hi
+        if not len(starts):
+            continue
+        first = np.cumsum(lengths) - lengths
+        letters = data[word]
+        place = np.arange(len(letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+        value = table[np.minimum(place, PLACES - 1) << 8 | letters]
+        if lengths.max() > PLACES:
+            far = np.flatnonzero(place >= PLACES)
+            letter = (LOWER if lower else BYTES)[letters[far]]
+            value[far] = mixed(((place[far].astype(np.uint64) << np.uint64(8)) + letter + np.uint64(1)) * MIX)
+        out.append(mixed(np.add.reduceat(value, first) + lengths.astype(np.uint64) * MIX))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
+
+
+def by_range(key: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """(bucket, where its keys are) of rising keys: bucket b holds the b-th of equal shares of all 64-bit keys."""
+    share = np.uint64(2**64 // buckets + 1)
+    cuts = np.searchsorted(key, np.arange(1, buckets, dtype=np.uint64) * share).tolist()
+    return [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(key)])) if hi > lo]
+
+
 def words_column(text: Column | str) -> Column:
     """The same words as an array column, without Python."""
     text = F.col(text) if isinstance(text, str) else text
@@ -40,9 +107,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which every executor of a cluster reaches; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which every executor of a cluster reaches; a temporary folder only on one machine, where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="terravox-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -53,7 +122,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_to
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def literal_array(values, kind: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,19 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("a <> b").distinct()
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether each node has one edge at most, to a node that has none: stars around the smallest of each component."""
+    from_ = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return from_.where("n > 1").isEmpty() and edges.join(from_.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, root) for every id of an edge (a, b): root is the smallest id that its links reach.
 
-    The number of rounds grows with the logarithm of the longest path. Nothing but a count reaches the driver.
+    The number of rounds grows with the logarithm of the longest path. Nothing but whether to go on reaches the driver.
     """
     now = materialize(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        now = materialize(_star(_star(now, large=True), large=False), "stars")
-        # Done when each node has one edge, to a node that has none: roots and leaves.
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if state == seen:
-            break
-        seen = state
-    rooted = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return rooted.union(rooted.select(F.col("root").alias("id"), "root").distinct())
+    while not _starred(now):
+        before, now = now, materialize(_star(_star(now, large=True), large=False), "stars")
+        discard(before)
+    rooted = materialize(now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()), "roots")
+    discard(now)
+    return rooted

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, words_of
-from .jaccard import MIX, mixed
+from .common import MIX, mixed
 
 WINDOW = 35
 SHORTEST = 9

@@ -7,19 +7,23 @@ some part has at most k2 differing ones, so that the two sets agree on n2 - k2 o
 of the features in one such choice of subparts; sets that are similar enough share one. Each set is signed for its own
 band and for the next.
 
-What is kept of a set is its features cut to as many leading bits as its size needs (all 64 for small sets), sorted and
-coded by their differences; signatures come from these. Two sets that are cut alike differ in no more features than
-the whole ones do, so no pair is lost; a pair whose similarity is so close to the threshold that cut features falling
-together could decide it is counted again over the whole sets.
-
-Texts with equal sets are one node. Sets that share a signature are candidates; a pair is verified by counting common
-features. Large groups are not expanded into pairs: members are compared with a few pivots of their
-group, verified links are contracted into components, and only members that are still in different components go on to
-the next pivots, whose number grows each round, until every group is one component or each of its members was a pivot.
-So no link between different components is missed, and near copies cost one comparison each.
+Before that, sets that cannot have a partner are told apart: a feature that no other set has cannot be common, so a set
+of which more than 1 - threshold is of that kind is linked with nothing. Documents are dealt into blocks; a block sends
+each distinct feature once to the bucket of its hash, and the bucket answers in how many blocks it occurs. The answer
+also orders features from rare to frequent, alike for all sets.
+
+Texts with equal sets are one node. Sets that share a signature are candidates. A group of them is not expanded into
+pairs: the set with the fewest features of its own is the group's pivot, and each set is compared with the pivot that it
+shares the most signatures with. Verified links are contracted into components. What is left are links between sets of
+different components: sets that share a signature with any other are looked up by their rarest features, as many as
+two sets of those sizes cannot all do without (similar sets share one of them, in places that leave enough features to
+follow). Of a feature's sets those of its most frequent component are met by the others only, so that a large group of
+near copies, already one component, makes no pairs within itself. Each such pair is verified as well, and the links join
+their components. No link between different components is missed; nothing repeats in rounds that grow with a group.
 
 Null, empty and wordless texts have the empty set, linked with nothing; fewer words than a shingle make one shingle.
-Repeated ids: the least id of a set stands for it. Extra columns are ignored.
+Repeated ids: each row is a text of its own; component_id is the least id among the texts of its component. A null id
+is never the least unless there is no other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,47 +35,42 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, pack, unpack, words_of
+from .common import MIX, by_range, discard, documents, materialize, mixed, word_hashes
 from .components import components
 
 SHINGLE = 3
 #: Similarity in hundredths.
 THRESHOLD = 90
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result hangs on every bit of x."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingles:
-    """Sorted distinct 64-bit shingle hashes of texts; word hashes are kept while they are few."""
+#: Bytes of text that a block is made for, and the least number of blocks.
+BLOCK_BYTES = 12 << 20
+LEAST_BLOCKS = 96
+#: Features that a bucket is made for; a text has one for about every 5 bytes.
+BUCKET_FEATURES = 2_000_000
+#: A part with fewer features than this says little.
+THIN = 2
 
-    def __init__(self, width: int = SHINGLE) -> None:
-        self.width, self.known = width, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        known, words = self.known, [w.lower() for w in words_of(text)]
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(known) > 400_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        x = np.full(len(h) - width + 1, width, np.uint64)
-        for k in range(width):
-            x = mixed(x * MIX + h[k : len(h) - width + 1 + k])
-        return np.unique(x)
+def shingles(texts: list[bytes], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct 64-bit shingle hashes."""
+    h, sizes = word_hashes(texts, lower=True)
+    factor = [np.uint64(int(MIX) ** (k + 1) % 2**64) for k in range(width)]
+    whole = np.zeros(0, np.uint64)
+    if len(h) >= width:
+        whole = sum(h[k : len(h) - width + 1 + k] * factor[k] for k in range(width))
+        whole = mixed(whole + np.uint64(width))
+    start = 0
+    for n in sizes.tolist():
+        if n >= width:
+            x = np.sort(whole[start : start + n - width + 1])
+            yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+        else:
+            yield mixed(sum((h[start + k] * factor[k] for k in range(n)), np.zeros(1, np.uint64)) + np.uint64(n)) if n else np.zeros(0, np.uint64)
+        start += n
 
 
 @lru_cache(maxsize=None)
@@ -114,40 +113,18 @@ def band_of(threshold: int, size: int) -> int:
     return next(i for i, (_, most) in enumerate(bands(threshold, 1 << size.bit_length())) if size <= most)
 
 
-#: Sets up to this size keep whole features; larger ones keep bits for SPARE times their size squared.
-WHOLE, SPARE_BITS = 128, 8
-#: A part with fewer features than this says little.
-THIN = 2
-#: Features that may fall together by their cut in one pair; closer decisions are made over whole sets.
-MARGIN = 3
-
-
-def bits_kept(size: int) -> int:
-    return 64 if size <= WHOLE else min(64, 2 * size.bit_length() + SPARE_BITS)
-
-
-@lru_cache(maxsize=None)
-def shared_bits(threshold: int, band: int) -> int:
-    """The fewest bits that a set of this band or of the one before keeps: bits fall once, beyond WHOLE, and else never."""
-    least, most = bands_to(threshold, band)[max(0, band - 1)][0], bands_to(threshold, band)[band][1]
-    return min(bits_kept(least), bits_kept(min(most, max(least, WHOLE + 1))))
-
-
-def signatures(features: np.ndarray, kept: int, size: int, threshold: int = THRESHOLD) -> np.ndarray:
-    """48-bit signatures of a set of so many features, given by their leading `kept` bits, for its band and the next."""
-    own = band_of(threshold, size)
+def signatures(features: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """64-bit signatures of a set for its band and the next."""
+    own = band_of(threshold, len(features))
     out = []
     for band in (own, own + 1):
         n1, n2, k2, k = plan(threshold, band)
-        # Sets of this band and of the one before are cut alike, to the bits that all of them keep.
-        cut = features >> np.uint64(kept - shared_bits(threshold, band))
-        cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])]
-        cell = (mixed(cut + MIX) % np.uint64(n1 * n2)).astype(np.int64)
+        cell = (mixed(features + MIX) % np.uint64(n1 * n2)).astype(np.int64)
         # The sum of mixed features is a hash of the set in a cell, whatever their order.
         order = np.argsort(cell, kind="stable")
         filled, first = np.unique(cell[order], return_index=True)
         sums = np.zeros(n1 * n2, np.uint64)
-        sums[filled] = np.add.reduceat(mixed(cut ^ MIX)[order], first)
+        sums[filled] = np.add.reduceat(mixed(features ^ MIX)[order], first)
         sums = mixed(sums + np.uint64(band)).reshape(n1, n2)
         for chosen in itertools.combinations(range(n2), n2 - k2):
             salt = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(sum(1 << c for c in chosen))
@@ -159,54 +136,124 @@ def signatures(features: np.ndarray, kept: int, size: int, threshold: int = THRE
                 thin = np.bincount(cell, minlength=n1) < THIN
                 sig = sig[~thin] if np.count_nonzero(thin) < n1 - k else sig
             out.append(sig)
-    return np.unique(np.concatenate(out) >> np.uint64(16)).view(np.int64)
-
-
-def coded(features: np.ndarray) -> bytes:
-    """A sorted set, cut by its size, as differences."""
-    cut = features >> np.uint64(64 - bits_kept(len(features)))
-    return pack(np.diff(cut, prepend=np.uint64(0)))
-
-
-def decoded(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _batches(text: pd.Series, step: int = 1000) -> Iterator[pd.Series]:
-    for k in range(0, len(text), step):
-        yield text.iloc[k : k + step]
+SETS = "block int, digest binary, n_shingles long, doc_ids array<bigint>, features binary"
 
 
-def compact(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, n_shingles, digest of the set, features as coded())."""
+def _sets(width: int, blocks: int):
+    """Rows of SETS for the distinct sets of a batch; the ids of its copies are listed, so that a batch sends a set once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        salt = (task.partitionId() if task else 0).to_bytes(4, "little")
         for batch in batches:
-            for part in _batches(batch["text"]):
-                rows = []
-                for text in part:
-                    s = shingles(text)
-                    rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), coded(s)))
-                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "features"])
-                out.insert(0, "doc_id", batch["doc_id"].loc[part.index].to_numpy())
-                yield out
-
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary, features binary")
-
-
-def sign(sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows (node, size, sig), one for each signature of a set of (doc_id, n_shingles, features)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, text = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
+            for lo in range(0, len(ids), 1000):
+                found: dict[bytes, list] = {}
+                for doc_id, s in zip(ids[lo : lo + 1000], shingles([t or b"" for t in text.slice(lo, 1000).to_pylist()], width), strict=True):
+                    data = s.tobytes()
+                    digest = hashlib.blake2b(data, digest_size=16).digest()
+                    found.setdefault(digest, [len(s), [], data])[1].append(doc_id)
+                block = [int.from_bytes(hashlib.blake2b(d + salt, digest_size=8).digest(), "little") % blocks for d in found]
+                columns = [pa.array(block, pa.int32()), pa.array(list(found), pa.binary())]
+                columns += [pa.array(c, t) for c, t in zip(zip(*found.values(), strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
+                yield pa.record_batch(columns, names=["block", "digest", "n_shingles", "doc_ids", "features"])
+
+    return run
+
+
+def _features(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of a block's distinct sets end to end, how many each set has, and to which of them each row belongs."""
+    place: dict[bytes, int] = {}
+    row = np.array([place.setdefault(d, len(place)) for d in sets.column("digest").to_pylist()], np.int64)
+    first = np.unique(row, return_index=True)[1]
+    data = sets.column("features").take(pa.array(first)).to_pylist()
+    return np.frombuffer(b"".join(data), np.uint64), np.array([len(d) // 8 for d in data], np.int64), row
+
+
+def _ask(buckets: int):
+    shift = np.uint64(max(0, 33 - buckets.bit_length()))
+
+    def run(sets: pa.Table) -> pa.Table:
+        """A block's distinct features, sorted into buckets, by 32 bits of what sets them apart there."""
+        key = np.unique(_features(sets)[0])
+        parts = by_range(key, buckets)
+        keys = [(key[at] % np.uint64(2**64 // buckets + 1) >> shift).astype("<u4").tobytes() for _, at in parts]
+        block = sets.column("block")[0].as_py()
+        return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "keys": pa.array(keys, pa.binary())})
+
+    return run
+
+
+#: Code of a number of blocks: 1 + CODE_STEPS times its logarithm to base 2. Code 0 marks a feature of one set alone.
+CODE_STEPS = 7
+
+
+def _reply(asked: pa.Table) -> pa.Table:
+    """For each block that asked this bucket: the codes of how many blocks have its keys."""
+    parts = [np.frombuffer(k, "<u4") for k in asked.column("keys").to_pylist()]
+    _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    code = (1 + np.floor(CODE_STEPS * np.log2(count))).astype(np.uint8)[back]
+    codes, at = [], 0
+    for part in parts:
+        codes.append(code[at : at + len(part)].tobytes())
+        at += len(part)
+    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "codes": pa.array(codes, pa.binary())})
+
+
+JUDGED = "digest binary, n_shingles long, doc_ids array<bigint>, alone int, features binary, codes binary"
+
+
+def _judge(buckets: int, threshold: int):
+    def run(sets: pa.Table, replies: pa.Table) -> pa.Table:
+        """The block's sets: features and codes of those that may have a partner, nulls for the others."""
+        features, sizes, row = _features(sets)
+        n = np.array(sets.column("n_shingles").to_pylist(), np.int64)
+        alone, rows, codes, may = np.zeros(len(sizes), np.int64), [None] * len(sizes), [None] * len(sizes), np.zeros(len(sizes), bool)
+        if len(features):
+            key, back, count = np.unique(features, return_inverse=True, return_counts=True)
+            answers = dict(zip(replies.column("bucket").to_pylist(), replies.column("codes").to_pylist(), strict=True))
+            code = np.zeros(len(key), np.uint8)
+            for b, at in by_range(key, buckets):
+                code[at] = np.frombuffer(answers[b], np.uint8)
+            code[(code == 1) & (count == 1)] = 0
+            code, starts = code[back], np.cumsum(sizes) - sizes
+            alone = np.bincount(np.repeat(np.arange(len(sizes)), sizes), code == 0, len(sizes)).astype(np.int64)
+            may = (sizes > 0) & (100 * alone <= (100 - threshold) * sizes)
+            for k in np.flatnonzero(may).tolist():
+                at = slice(starts[k], starts[k] + sizes[k])
+                rows[k], codes[k] = features[at].tobytes(), code[at].tobytes()
+        of = lambda values, kind: pa.array([values[k] for k in row.tolist()], kind)
+        return pa.table({"digest": sets.column("digest"), "n_shingles": pa.array(n), "doc_ids": sets.column("doc_ids"), "alone": of(alone, pa.int32()), "features": of(rows, pa.binary()), "codes": of(codes, pa.binary())})
+
+    return run
+
+
+def judged(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
+    """Rows of JUDGED; features is null for sets that are linked with nothing but copies of themselves."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, buckets = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES)), max(64, -(-size // (5 * BUCKET_FEATURES)))
+    grouped = docs.mapInArrow(_sets(width, blocks), SETS).groupBy("block")
+    asked = grouped.applyInArrow(_ask(buckets), "bucket int, block int, keys binary")
+    replies = asked.groupBy("bucket").applyInArrow(_reply, "block int, bucket int, codes binary")
+    return grouped.cogroup(replies.groupBy("block")).applyInArrow(_judge(buckets, threshold), JUDGED)
+
+
+def sign(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows (sig, node, size, alone), one for each signature of a set of (node, n_shingles, alone, features)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                sigs = [signatures(decoded(f), bits_kept(n), n, threshold) for f, n in zip(part["features"], part["n_shingles"], strict=True)]
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sigs = [signatures(np.frombuffer(f, np.uint64), threshold) for f in part.column("features").to_pylist()]
                 times = [len(s) for s in sigs]
-                yield pd.DataFrame({"node": np.repeat(part["doc_id"].to_numpy(), times), "size": np.repeat(part["n_shingles"].to_numpy(), times), "sig": np.concatenate(sigs)})
+                same = [np.repeat(part.column(c).to_numpy(), times) for c in ("node", "n_shingles", "alone")]
+                yield pa.record_batch([pa.array(np.concatenate(sigs)), *map(pa.array, same)], names=["sig", "node", "size", "alone"])
 
-    return sets.mapInPandas(run, "node long, size long, sig long")
+    return nodes.select("node", "n_shingles", "alone", "features").mapInArrow(run, "sig long, node long, size long, alone int")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -218,98 +265,86 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def verdict(x: bytes, y: bytes, nx: int, ny: int, threshold: int) -> int:
-    """1 if the sets reach the threshold, 0 if not, 2 if only whole sets can tell."""
-    kx, ky = bits_kept(nx), bits_kept(ny)
-    both = common(*(decoded(d) >> np.uint64(k - min(kx, ky)) for d, k in ((x, kx), (y, ky))))
-    reaches = lambda n: 100 * n >= threshold * (nx + ny - n)
-    slack = 0 if min(kx, ky) == 64 else MARGIN
-    return 2 if reaches(both + slack) != reaches(both - slack) else int(reaches(both))
-
-
-#: Pairs up to which their ids are broadcast (two numbers each: some MB).
-FEW_PAIRS = 200_000
-
-
-def _of_pairs(table: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Rows of a table by doc_id that one of n pairs names."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return table.join(F.broadcast(ids) if n <= FEW_PAIRS else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x, y = (sets.select(F.col("doc_id").alias(k), F.col("features").alias(v), F.col("n_shingles").alias(f"n{v}")) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "nx", "ny")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the threshold."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            state = [verdict(*row, threshold) for row in zip(batch["x"], batch["y"], batch["nx"], batch["ny"], strict=True)]
-            out = batch[["a", "b"]].assign(state=np.array(state, np.int32))
-            yield out[out["state"] > 0]
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles = Shingles(width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = shingles(x), shingles(y)
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = common(x, y)
                 keep.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (nodes.select(F.col("node").alias(k), F.col("features").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-    near = _of_pairs(sets, pairs, pairs.count())
-    judged = materialize(_joined(pairs, near).mapInPandas(run, "a long, b long, state int"), "judged")
-    close = judged.where("state = 2").select("a", "b")
-    n = close.count()
-    sure = judged.where("state = 1").select("a", "b")
-    if not n:
-        return sure
-    texts = _of_pairs(docs, close, n).select("doc_id", F.col("text").alias("features"), F.lit(0).alias("n_shingles"))
-    return sure.union(materialize(_joined(close, texts).mapInPandas(whole, "a long, b long"), "close"))
+
+def rare(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows (feature, node, size, root, place): a set's rarest features, as many as its smallest partner may do without and one.
+
+    Features of one set alone count as places but make no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, times = [], []
+            for f, c in zip(batch.column("features").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                f, c = np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint8)
+                order = np.lexsort((f, c))[: len(f) + threshold * len(f) // -100 + 1]
+                place = np.flatnonzero(c[order] > 0)
+                out.append((f[order[place]].view(np.int64), place))
+                times.append(len(place))
+            same = [np.repeat(batch.column(k).to_numpy(), times) for k in ("node", "n_shingles", "root")]
+            feature, place = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(feature), *map(pa.array, same), pa.array(place)], names=["feature", "node", "size", "root", "place"])
+
+    return nodes.select("node", "n_shingles", "root", "features", "codes").mapInArrow(run, "feature long, node long, size long, root long, place long")
+
+
+def _left_over(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share a rare feature, with enough features of both to follow it."""
+    by_root = rows.groupBy("feature", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = by_root.groupBy("feature").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    others = rows.join(most.select("feature", "most"), "feature").where("root <> most").select("feature", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root", "place")))
+    needed = F.ceil(threshold * (F.col("size") + F.col("o_size")) / (100 + threshold))
+    meets = (F.col("root") != F.col("o_root")) & (F.col("place") <= F.col("size") - needed) & (F.col("o_place") <= F.col("o_size") - needed)
+    return others.join(rows, "feature").where(meets).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per row of docs."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    sets = materialize(compact(docs, width), "sets")
-    # One node for equal sets: the least id.
-    nodes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(nodes, "nodes")
-    # Equal sets have equal features: combined before the shuffle, copies cost no more than one of them a task.
-    leaders = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("features").alias("features"))
-    # One shuffle finds the signatures that several nodes share; the others, nearly all, go no further.
-    group = Window.partitionBy("sig")
-    signed = sign(leaders.select("doc_id", "n_shingles", "features"), threshold)
-    members = signed.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("place", F.row_number().over(group.orderBy(F.xxhash64("node"), "node"))).drop("n")
-    members = materialize(members, "members")
-    # First, one comparison a node: with the foremost of the pivots of all its groups. Nearly all near copies meet so.
+    sets = materialize(judged(docs, threshold, width), "sets")
+    # One node for equal sets, numbered once they are written.
+    leaders = sets.where("features is not null").groupBy("digest").agg(F.first(F.struct("n_shingles", "alone", "features", "codes")).alias("s"))
+    nodes = materialize(leaders.select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"), "nodes")
+    signed = materialize(sign(nodes, threshold), "signed")
+    # Only signatures that several nodes share go further. A group's pivot is its node with the fewest features of its own.
+    groups = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("alone", F.xxhash64("node").alias("h"), "node", "size")).alias("p")).where("n > 1")
+    members = signed.join(groups.select("sig", F.col("p.node").alias("p"), F.col("p.size").alias("p_size")), "sig")
+    votes = materialize(members.groupBy("node", "size", "p", "p_size").agg(F.count(F.lit(1)).alias("votes")), "votes")
+    discard(signed)
     alike = 100 * F.least("size", "p_size") >= threshold * F.greatest("size", "p_size")
-    foremost = members.where("place = 1").select("sig", F.col("node").alias("p"), F.col("size").alias("p_size"))
-    met = members.where("place > 1").join(foremost, "sig").where(alike).groupBy("node").agg(F.min(F.struct(F.xxhash64("p"), F.col("p").alias("p"))).alias("m"))
-    links = _verify(materialize(met.select(F.col("m.p").alias("a"), F.col("node").alias("b")), "pairs"), sets, docs, threshold, width)
-    root, start, pivots = materialize(components(links), "roots"), 0, 1
-    while True:
-        placed = members.join(root, members["node"] == root["id"], "left").select("sig", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-        # Groups that are one component are done, as are those whose members have all been pivots.
-        open_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("place").alias("last")).where(f"low <> high and last > {start + 1}")
-        placed = materialize(placed.join(open_.select("sig"), "sig", "left_semi"), "open")
-        if placed.isEmpty():
-            break
-        start += 1
-        pivot = placed.where(F.col("place").between(start, start + pivots - 1)).select("sig", F.col("node").alias("p"), F.col("size").alias("p_size"), F.col("root").alias("p_root"), F.col("place").alias("p_place"))
-        pairs = placed.join(pivot, "sig").where("root <> p_root and (place > p_place)")
-        # A pivot stands before its partners in an order that all groups share: each pair comes one way round.
-        pairs = pairs.where(alike).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
-        found = _verify(materialize(pairs, "pairs"), sets, docs, threshold, width)
-        links = links.union(found)
-        root = materialize(components(links), "roots")
-        start, pivots = start + pivots - 1, pivots * 4
-    whole = nodes.join(root, nodes["node"] == root["id"], "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return sets.drop("features").join(whole, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    met = votes.where("node <> p").where(alike).groupBy("node").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
+    links = materialize(_verify(met.select(F.col("p").alias("a"), F.col("node").alias("b")), nodes, threshold), "links")
+    roots = components(links)
+    candidates = votes.select("node").distinct().join(roots, F.col("node") == roots["id"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    rows = materialize(rare(nodes.join(candidates, "node"), threshold), "rare")
+    found = materialize(_verify(_left_over(rows, threshold), nodes, threshold), "found")
+    discard(votes, rows, links)
+    if not found.isEmpty():
+        first, roots = roots, components(found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")))
+        discard(first)
+    discard(found)
+    # The least id of each set, then of each component.
+    own = sets.where("n_shingles > 0").groupBy("digest").agg(F.min(F.array_min("doc_ids")).alias("own"))
+    placed = own.join(nodes.select("digest", "node"), "digest", "left").join(roots, F.col("node") == roots["id"], "left").select("digest", "own", "root")
+    least = placed.where("root is not null").groupBy("root").agg(F.min("own").alias("least"))
+    classes = placed.join(least, "root", "left").select("digest", F.coalesce("least", "own").alias("component_id"))
+    rows = sets.select("digest", "n_shingles", F.explode("doc_ids").alias("doc_id")).join(classes, "digest", "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

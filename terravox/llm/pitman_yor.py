@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, pack, unpack
-from .jaccard import MIX, mixed
+from .common import MIX, mixed
 
 FOLDS, HELD_OUT = 5, 1
 SWEEPS = 2

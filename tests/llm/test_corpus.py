@@ -164,30 +164,72 @@ def test_jaccard_against_brute_force(spark, sf, width, threshold):
 
 
 @pytest.mark.parametrize("width,threshold", [(3, 90), (5, 80)])
-def test_similar_sets_share_a_signature_where_fewer_bits_are_kept(spark, width, threshold):
-    for band in range(60):
-        least, most = jaccard.bands_to(threshold, band)[max(0, band - 1)][0], jaccard.bands_to(threshold, band)[band][1]
-        if most < 5000:
-            assert jaccard.shared_bits(threshold, band) == min(map(jaccard.bits_kept, range(least, most + 1)))
-    rows, linked = [], 0
-    for n in range(120, 146):  # pairs of n and n + 5 words, otherwise equal: only they are similar
+def test_near_copies_of_all_sizes_are_linked(spark, width, threshold):
+    rows, want = [], {}
+    for n in [*range(width, 60), *range(120, 146), 700, 3000]:  # pairs of n words and as many more as the threshold allows, and one more
+        most = (n - width + 1) * 100 // threshold - (n - width + 1)
         ws = [f"d{n}w{k}" for k in range(n)]
-        rows += [(10 * n, " ".join(ws)), (10 * n + 1, " ".join([*ws, *(f"d{n}x{k}" for k in range(5))]))]
+        for j, extra in enumerate((0, most, most + 1)):
+            rows.append((10 * n + j, " ".join([*ws, *(f"d{n}x{j}y{k}" for k in range(extra))])))
+        want |= {10 * n: 10 * n, 10 * n + 1: 10 * n, 10 * n + 2: 10 * n + 2}
     got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, width).collect()}
-    for n in range(120, 146):
-        x, y = n - width + 1, n - width + 6
-        linked += x <= jaccard.WHOLE < y
-        assert 100 * x >= threshold * y and got[10 * n] == got[10 * n + 1] == 10 * n
-    assert linked == 5
-
-
-def test_close_decisions_are_left_to_whole_sets():
-    rng = np.random.default_rng(5)
-    x = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
-    for gone in (90, 100, 110, 300):
-        y = np.sort(x[gone:])
-        want = int(100 * len(y) >= 90 * len(x))
-        assert jaccard.verdict(jaccard.coded(x), jaccard.coded(y), len(x), len(y), 90) in (want, 2)
+    assert got == want
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(6)
+    for threshold in (90, 80):
+        for n in (1, 2, 5, 9, 10, 40, 61, 128, 129, 400, 2500):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+            for gone in range(0, n * (100 - threshold) // 100 + 1, max(1, n // 50)):
+                y, both = np.sort(rng.permutation(x)[gone:]), n - gone
+                more = (100 * both - threshold * n) // threshold
+                y = np.unique(np.concatenate([y, rng.integers(0, 2**63, more).astype(np.uint64)]))
+                assert 100 * jaccard.common(x, y) >= threshold * len(np.union1d(x, y))
+                assert np.intersect1d(jaccard.signatures(x, threshold), jaccard.signatures(y, threshold)).size
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    """Variants of one text, some within reach of each other and of others, against brute force."""
+    rng = np.random.default_rng(7)
+    base, rows = [f"b{k}" for k in range(100)], []
+    for i in range(400):
+        ws = list(base)
+        for at in rng.choice(100, int(rng.integers(0, 9)), replace=False):
+            ws[at] = f"v{rng.integers(0, 40)}"
+        rows.append((i, " ".join(ws[: int(rng.integers(90, 101))])))
+    for width, threshold in ((3, 90), (5, 80)):
+        assert {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, width).collect()} == brute(rows, threshold, width)
+
+
+def brute(rows, threshold, width):
+    """Component ids by comparing all pairs of rows (doc_id, text); the rows' ids are distinct."""
+    sets = {}
+    for i, t in rows:
+        ws = [w.lower() for w in words(t)]
+        sets[i] = {tuple(ws[k : k + min(width, len(ws))]) for k in range(max(1, len(ws) - width + 1))} if ws else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_jaccard_of_repeated_null_and_large_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    big = 2**60 + 1
+    rows = [(7, a), (7, b), (9, b + " end"), (None, a), (None, "only here once"), (big, b), (None, None), (big + 1, "")]
+    want = Counter([(7, 7)] * 2 + [(9, 7), (None, 7), (None, None), (big, 7), (None, None), (big + 1, big + 1)])
+    for order in (rows, rows[::-1]):
+        got = jaccard.join(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == want
 
 
 # 4
