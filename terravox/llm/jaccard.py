@@ -1,6 +1,6 @@
 """Operator 3: n-gram Jaccard join by PartEnum signatures.
 
-Sets are distinct word shingles, hashed to 64 bits. Sizes fall into bands [l, l / threshold]; two sets that reach the
+Sets are distinct word shingles, hashed to 56 bits. Sizes fall into bands [l, l / threshold]; two sets that reach the
 threshold lie in one band or in two next to each other, and within those the symmetric difference is at most some k.
 For that k the feature domain is cut into n1 parts and each of these into n2 (by a hash); as at most k features differ,
 some part has at most k2 differing ones, so that the two sets agree on n2 - k2 of its subparts. A signature is the hash
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, by_range, discard, documents, materialize, mixed, word_hashes
+from .common import MIX, by_range, discard, distinct, documents, materialize, mixed, pack, unpack, word_hashes
 from .components import components
 
 SHINGLE = 3
@@ -53,23 +53,24 @@ LEAST_BLOCKS = 96
 BUCKET_FEATURES = 2_000_000
 #: A part with fewer features than this says little.
 THIN = 2
+#: The bits of a 64-bit hash that a feature keeps.
+KEPT = ~np.uint64(255)
 
 
 def shingles(texts: list[bytes], width: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct 64-bit shingle hashes."""
+    """For each text its sorted distinct shingle hashes: 56 bits, then eight zeros."""
     h, sizes = word_hashes(texts, lower=True)
     factor = [np.uint64(int(MIX) ** (k + 1) % 2**64) for k in range(width)]
     whole = np.zeros(0, np.uint64)
     if len(h) >= width:
         whole = sum(h[k : len(h) - width + 1 + k] * factor[k] for k in range(width))
-        whole = mixed(whole + np.uint64(width))
+        whole = mixed(whole + np.uint64(width)) & KEPT
     start = 0
     for n in sizes.tolist():
         if n >= width:
-            x = np.sort(whole[start : start + n - width + 1])
-            yield x[np.concatenate([[True], x[1:] != x[:-1]])]
+            yield distinct(whole[start : start + n - width + 1])
         else:
-            yield mixed(sum((h[start + k] * factor[k] for k in range(n)), np.zeros(1, np.uint64)) + np.uint64(n)) if n else np.zeros(0, np.uint64)
+            yield mixed(sum((h[start + k] * factor[k] for k in range(n)), np.zeros(1, np.uint64)) + np.uint64(n)) & KEPT if n else np.zeros(0, np.uint64)
         start += n
 
 
@@ -142,6 +143,15 @@ def signatures(features: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
 SETS = "block int, digest binary, n_shingles long, doc_ids array<bigint>, features binary"
 
 
+def coded(features: np.ndarray) -> bytes:
+    """A sorted set as differences, in planes of bytes."""
+    return pack(np.diff(features >> np.uint64(8), prepend=np.uint64(0)))
+
+
+def decoded(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64) << np.uint64(8)
+
+
 def _sets(width: int, blocks: int):
     """Rows of SETS for the distinct sets of a batch; the ids of its copies are listed, so that a batch sends a set once."""
 
@@ -153,9 +163,10 @@ def _sets(width: int, blocks: int):
             for lo in range(0, len(ids), 1000):
                 found: dict[bytes, list] = {}
                 for doc_id, s in zip(ids[lo : lo + 1000], shingles([t or b"" for t in text.slice(lo, 1000).to_pylist()], width), strict=True):
-                    data = s.tobytes()
-                    digest = hashlib.blake2b(data, digest_size=16).digest()
-                    found.setdefault(digest, [len(s), [], data])[1].append(doc_id)
+                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    if digest not in found:
+                        found[digest] = [len(s), [], coded(s)]
+                    found[digest][1].append(doc_id)
                 block = [int.from_bytes(hashlib.blake2b(d + salt, digest_size=8).digest(), "little") % blocks for d in found]
                 columns = [pa.array(block, pa.int32()), pa.array(list(found), pa.binary())]
                 columns += [pa.array(c, t) for c, t in zip(zip(*found.values(), strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
@@ -169,8 +180,8 @@ def _features(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place: dict[bytes, int] = {}
     row = np.array([place.setdefault(d, len(place)) for d in sets.column("digest").to_pylist()], np.int64)
     first = np.unique(row, return_index=True)[1]
-    data = sets.column("features").take(pa.array(first)).to_pylist()
-    return np.frombuffer(b"".join(data), np.uint64), np.array([len(d) // 8 for d in data], np.int64), row
+    data = [decoded(d) for d in sets.column("features").take(pa.array(first)).to_pylist()]
+    return np.concatenate(data), np.array([len(d) for d in data], np.int64), row
 
 
 def _ask(buckets: int):
@@ -178,9 +189,9 @@ def _ask(buckets: int):
 
     def run(sets: pa.Table) -> pa.Table:
         """A block's distinct features, sorted into buckets, by 32 bits of what sets them apart there."""
-        key = np.unique(_features(sets)[0])
+        key = distinct(_features(sets)[0])
         parts = by_range(key, buckets)
-        keys = [(key[at] % np.uint64(2**64 // buckets + 1) >> shift).astype("<u4").tobytes() for _, at in parts]
+        keys = [pack(np.diff(key[at] % np.uint64(2**64 // buckets + 1) >> shift, prepend=np.uint64(0))) for _, at in parts]
         block = sets.column("block")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "keys": pa.array(keys, pa.binary())})
 
@@ -193,7 +204,7 @@ CODE_STEPS = 7
 
 def _reply(asked: pa.Table) -> pa.Table:
     """For each block that asked this bucket: the codes of how many blocks have its keys."""
-    parts = [np.frombuffer(k, "<u4") for k in asked.column("keys").to_pylist()]
+    parts = [np.cumsum(unpack(k), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
     _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     code = (1 + np.floor(CODE_STEPS * np.log2(count))).astype(np.uint8)[back]
     codes, at = [], 0
