@@ -7,7 +7,7 @@ Every word under a surviving window of the last level goes.
 
 Documents are dealt into blocks by a hash. For each level a block sends each of its distinct window hashes once, sorted
 into buckets by hash; a bucket answers with one bit a hash: sent by another block as well. Within a block repeats are
-seen at once, so a passage that a third of all documents hold costs one hash a block. The first level sends 32 bits
+seen at once, so a passage that a third of all documents hold costs one hash a block. Hashes travel sorted, as differences. The first level sends 32 bits
 within its bucket (buckets have a constant number of windows, so chance agreement, which only lets a start through to
 the next level, stays constant too); later levels send all 64 bits.
 
@@ -18,15 +18,14 @@ stay whole. Repeated rows are copies like any other. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
-from .common import MIX, mixed
+from .common import MIX, by_range, distinct, documents, mixed, pack, unpack, word_hashes
 
 WINDOW = 35
 SHORTEST = 9
@@ -48,15 +47,15 @@ def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of each run of `length` word hashes, by doubling: the hash of a run from those of its halves."""
     if len(h) < length:
         return np.zeros(0, np.uint64)
-    total, size, power, width, factor = None, 0, h, 1, MIX
+    total, size, power, width, factor = None, 0, h, 1, int(MIX)
     for bit in bin(length)[:1:-1]:
         if bit == "1":
             n = len(h) - (size + width) + 1
-            total = power[:n].copy() if total is None else total[:n] * factor + power[size : size + n]
+            total = power[:n].copy() if total is None else total[:n] * np.uint64(factor) + power[size : size + n]
             size += width
         if 2 * width <= length:
-            power = power[: len(power) - width] * factor + power[width:]
-        width, factor = 2 * width, factor * factor
+            power = power[: len(power) - width] * np.uint64(factor) + power[width:]
+        width, factor = 2 * width, factor * factor % 2**64
     return mixed(total + np.uint64(length))
 
 
@@ -64,15 +63,9 @@ class Block:
     """The documents of a block, in a fixed order, their word hashes end to end."""
 
     def __init__(self, table: pa.Table) -> None:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.table = table
-        self.words = [words_of(t) for t in table.column("text").to_pylist()]
-        known: dict[bytes, int] = {}
-        for ws in self.words:
-            for w in set(ws).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.hashes = np.fromiter((known[w] for ws in self.words for w in ws), np.uint64, self.sizes.sum())
+        self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.texts = [t or b"" for t in self.table.column("text").cast(pa.binary()).to_pylist()]
+        self.hashes, self.sizes = word_hashes(self.texts)
         self.ends = np.repeat(np.cumsum(self.sizes), self.sizes)
 
     def starts(self, length: int, before: int | None, survived: np.ndarray | None) -> np.ndarray:
@@ -83,33 +76,26 @@ class Block:
 
 
 def _answered(block: Block, lengths: list[int], answers: dict[tuple[int, int], bytes], buckets: int):
-    """Replay the levels that have answers: (next level, its starts' hashes) or, after the last level, the survivors."""
-    survived, before = None, None
+    """Replay the levels that have answers: (next level, its distinct hashes, rising) or, after the last level, the survivors."""
+    survived, before, replied = None, None, {level for level, _ in answers}
     for level, length in enumerate(lengths):
         p = block.starts(length, before, survived)
         h = window_hashes(block.hashes, length)[p] if len(p) else np.zeros(0, np.uint64)
+        if len(h) and level not in replied:
+            return level, distinct(h), None
         key, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        if len(key) and not any(k[0] == level for k in answers):
-            return level, key, bucket, None
         again = count > 1
-        for b, inside in _by_bucket(bucket):
-            again[inside] |= np.unpackbits(np.frombuffer(answers[level, b], np.uint8), count=len(inside)).astype(bool)
+        for b, at in by_range(key, buckets):
+            again[at] |= np.unpackbits(np.frombuffer(answers[level, b], np.uint8), count=at.stop - at.start).astype(bool)
         survived, before = np.zeros(len(block.hashes), bool), length
         survived[p] = again[back]
-    return len(lengths), None, None, survived
+    return len(lengths), None, survived
 
 
-def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(bucket, places of its hashes in their order)."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
-    return [(int(bucket[order[a]]), order[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-
-def _packed(level: int, key: np.ndarray) -> bytes:
-    """First level: the 32 bits above those that chose the bucket; later levels: all."""
-    return (key >> np.uint64(32)).astype("<u4").tobytes() if level == 0 else key.astype("<u8").tobytes()
+def _packed(level: int, key: np.ndarray, buckets: int) -> bytes:
+    """Rising hashes of a bucket as differences: at the first level by 32 bits of what sets them apart there, later by all."""
+    apart = key % np.uint64(2**64 // buckets + 1)
+    return pack(np.diff(apart >> np.uint64(max(0, 33 - buckets.bit_length()) if level == 0 else 0), prepend=np.uint64(0)))
 
 
 ASK = "block int, level int, bucket int, keys binary"
@@ -121,9 +107,9 @@ def _ask(lengths: list[int], buckets: int):
         rows: dict[str, list] = {"block": [], "level": [], "bucket": [], "keys": []}
         if docs.num_rows:
             answers = {} if replies is None else {(r["level"], r["bucket"]): r["bits"] for r in replies.to_pylist()}
-            level, key, bucket, _ = _answered(Block(docs), lengths, answers, buckets)
-            for b, at in _by_bucket(bucket) if level < len(lengths) else []:
-                for name, value in zip(rows, (docs.column("block")[0].as_py(), level, b, _packed(level, key[at])), strict=True):
+            level, key, _ = _answered(Block(docs), lengths, answers, buckets)
+            for b, at in by_range(key, buckets) if level < len(lengths) else []:
+                for name, value in zip(rows, (docs.column("block")[0].as_py(), level, b, _packed(level, key[at], buckets)), strict=True):
                     rows[name].append(value)
         return pa.table(rows, schema=pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary())]))
 
@@ -138,8 +124,7 @@ def _ask(lengths: list[int], buckets: int):
 
 def _reply(asked: pa.Table) -> pa.Table:
     """For each block that asked this bucket: which of its hashes another block has sent."""
-    level = asked.column("level")[0].as_py()
-    parts = [np.frombuffer(k, "<u4" if level == 0 else "<u8") for k in asked.column("keys").to_pylist()]
+    parts = [np.cumsum(unpack(k), dtype=np.uint64) for k in asked.column("keys").to_pylist()]
     _, back, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     again, bits, at = count[back] > 1, [], 0
     for part in parts:
@@ -152,20 +137,20 @@ def _finish(lengths: list[int], buckets: int, with_text: bool, names: list[str])
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(docs)
         answers = {(r["level"], r["bucket"]): r["bits"] for r in replies.to_pylist()}
-        level, *_, survived = _answered(block, lengths, answers, buckets)
+        *_, survived = _answered(block, lengths, answers, buckets)
         gone = np.zeros(len(block.hashes) + 1, np.int64)
         if survived is not None:  # otherwise no start was left before the last level
             p = np.flatnonzero(survived)
             np.add.at(gone, p, 1)
             np.add.at(gone, p + lengths[-1], -1)
         keep = np.cumsum(gone)[:-1] == 0
+        removed = np.array([np.count_nonzero(~keep[b - n : b]) for b, n in zip(np.cumsum(block.sizes).tolist(), block.sizes.tolist(), strict=True)], np.int64)
         kept, at = [], 0
-        for ws in block.words:
-            own = keep[at : at + len(ws)]
-            kept.append(b" ".join(ws) if own.all() else b" ".join(w for w, k in zip(ws, own.tolist(), strict=True) if k))
-            at += len(ws)
-        removed = block.sizes - np.array([int(keep[b - n : b].sum()) for b, n in zip(np.cumsum(block.sizes), block.sizes, strict=True)], np.int64)
-        text = [k.decode("utf-8", "surrogatepass") for k in kept] if with_text else [""] * len(kept)
+        for text, n, r in zip(block.texts, block.sizes.tolist(), removed.tolist(), strict=True):
+            words = text.split()  # bytes.split() cuts at the same six separators
+            kept.append(b" ".join(itertools.compress(words, keep[at : at + n].tolist()) if r else words))
+            at += n
+        text = [k.decode() for k in kept] if with_text else [""] * len(kept)
         out = block.table.select(names)
         for name, values in (("n_words", pa.array(block.sizes)), ("n_removed", pa.array(removed)), ("kept_sha256", pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())), ("kept", pa.array(text, pa.string()))):
             out = out.append_column(name, values)
@@ -190,7 +175,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     buckets = max(64, -(-size // (5 * BUCKET_WINDOWS)))
     lengths = levels(window, shortest)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # Neither one id nor rows that are wholly equal are one block's alone.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
     grouped = dealt.groupBy("block")
     replies, (first, later) = None, _ask(lengths, buckets)
     for _ in lengths:
