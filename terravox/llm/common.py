@@ -39,6 +39,31 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def order_of(key: np.ndarray) -> np.ndarray:
+    """Places of 64-bit keys by rising key.
+
+    Places take the low bits of the keys for a plain sort, several times faster than argsort; where the bits that this
+    leaves of a key do not tell keys apart, argsort has to.
+    """
+    bits = np.uint64(len(key).bit_length())
+    if bits <= 24:
+        order = (np.sort((key >> bits << bits) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        rising = key[order]
+        if (rising[1:] >= rising[:-1]).all():
+            return order
+    return np.argsort(key, kind="stable")
+
+
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct values, and the place among them of each value."""
+    order = order_of(x)
+    rising = x[order]
+    new = np.concatenate([[True], rising[1:] != rising[:-1]])
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return rising[new], place
+
+
 #: Bytes of a word up to this place are looked up, further ones are computed.
 PLACES = 64
 BYTES = np.arange(256, dtype=np.uint64)

@@ -88,7 +88,7 @@ def test_pitman_yor_probabilities_sum_to_one():
     docs = pa.concat_tables([pa.Table.from_batches([b]) for b in pitman_yor._deal(iter(table.combine_chunks().to_batches()))])
     first, later = pitman_yor._asks(4)
     asked, replies = first(docs), None
-    for _ in range(3):
+    for _ in range(4):
         rows = [r for k, b in sorted({(r["kind"], r["bucket"]) for r in asked.to_pylist()}) for r in pitman_yor._reply(asked.filter(pa.array([(x["kind"], x["bucket"]) == (k, b) for x in asked.to_pylist()]))).to_pylist()]
         sums = {k: [sum(r[f"s{j}"] for r in rows if r["kind"] == k and r["block"] < 0) for j in range(4)] for k in {r["kind"] for r in rows}}
         told = [{**r, **{f"s{j}": sums[r["kind"]][j] for j in range(4)}} for r in rows if r["block"] >= 0]
@@ -105,13 +105,20 @@ def test_pitman_yor_probabilities_sum_to_one():
 
 
 def test_table_counts_follow_their_weights():
-    d, a, n = 0.6, 0.8, 40_000
     rng = np.random.default_rng(1)
-    t = pitman_yor.seat(np.full(n, 4.0), np.full(n, a), rng.integers(0, 2**63, n).astype(np.uint64), 3, d)
-    weight = np.exp(pitman_yor.stirling(d)[4, 1:5]) * a ** np.arange(1, 5)
-    assert np.abs(np.bincount(t.astype(int), minlength=5)[1:] / n - weight / weight.sum()).max() < 0.01
-    big = pitman_yor.seat(np.full(2000, 1e6), np.full(2000, 2.0), rng.integers(0, 2**63, 2000).astype(np.uint64), 3, 0.0)
-    assert abs(big.mean() - 2.0 * math.log(1e6 / 2)) < 3  # close to the mean of a restaurant without discount
+    # Customers, weights of opening, and how far the mean number of tables may be off: exact up to EXACT, close beyond.
+    for d, c, a, off in ((0.6, 4, 0.8, 0.01), (0.6, 200, 2.0, 0.02), (0.3, 800, 8.0, 0.02), (0.6, 2000, 8.0, 0.02), (0.9, 2000, 1.0, 0.02), (0.5, 2000, 40.0, 0.04)):
+        n = 20_000
+        t = pitman_yor.seat(np.full(n, float(c)), np.full(n, a), rng.integers(0, 2**63, n).astype(np.uint64), 3, d)
+        weight = pitman_yor.stirling(d, max(c, 2))[c, 1:] + np.arange(1, max(c, 2) + 1) * np.log(a)
+        weight = np.exp(weight - weight.max())
+        mean = (weight * np.arange(1, len(weight) + 1)).sum() / weight.sum()
+        assert abs(t.mean() - mean) < off * mean, (d, c, a)
+        if c <= pitman_yor.EXACT:
+            assert np.abs(np.bincount(t.astype(int), minlength=c + 1)[1 : c + 1] / n - weight[:c] / weight.sum()).max() < 0.015
+    for shape in (0.3, 7.5):
+        x = pitman_yor.gamma(np.full(50_000, shape), rng.integers(0, 2**63, 50_000).astype(np.uint64), 5)
+        assert abs(x.mean() - shape) < 0.03 * shape and abs(x.var() - shape) < 0.06 * shape
 
 
 # 2
