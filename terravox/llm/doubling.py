@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
 
     With carry, all columns of docs come along instead of doc_id alone (but for any named like a result or the block).
 
-    Texts are dealt to their blocks once: the levels' plans share that exchange.
+    Texts are dealt to their blocks once: the levels' plans share that exchange, and those of the answers.
     """
     own = ("n_words", "n_removed", "kept_sha256", "kept", "block")
     docs = docs.drop(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
@@ -181,7 +181,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
     replies, (first, later) = None, _ask(lengths, buckets)
     for _ in lengths:
         asked = grouped.applyInArrow(first, ASK) if replies is None else grouped.cogroup(replies.groupBy("block")).applyInArrow(later, ASK)
-        reply = asked.groupBy("bucket").applyInArrow(_reply, REPLY)
+        reply = asked.groupBy("bucket").applyInArrow(_reply, REPLY).repartition("block")
         replies = reply if replies is None else replies.union(reply)
     return grouped.cogroup(replies.groupBy("block")).applyInArrow(_finish(lengths, buckets, with_text, names), schema)
 
