@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
@@ -112,19 +112,18 @@ def codec(path: str, pattern: str) -> Codec:
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, ids_sha256, decoded_sha256), one per row of docs; ids are empty unless with_ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 ids = c.encode(text)
                 rows.append((len(ids), ids.astype(np.int32) if with_ids else [], hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            columns = zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string()), strict=True)
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(v, kind) for v, kind in columns)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,21 +55,24 @@ def lengths(n: int, limit: int = LIMIT) -> list[int]:
 def pieces(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Rows (doc_id, start, length, ids, ids_crc32, doc_tokens) of the decomposition; ids are empty unless with_ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = partial(tokenizer(path, pattern).encode, allowed_special="all")
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, times = [], []
+            for text in batch.column("text").to_pylist():
                 ids = np.array([*encode(text or ""), end_id], dtype="<u4")
                 start = 0
                 for n in lengths(len(ids), limit):
                     piece = ids[start : start + n]
-                    rows.append((doc_id, start, n, piece.astype(np.int32) if with_ids else [], zlib.crc32(piece.tobytes()), len(ids)))
+                    rows.append((start, n, piece.astype(np.int32) if with_ids else [], zlib.crc32(piece.tobytes()), len(ids)))
                     start += n
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+                times.append(len(lengths(len(ids), limit)))
+            doc_id = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(times)), times)))
+            columns = zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64()), strict=True)
+            yield pa.record_batch([doc_id, *(pa.array(v, kind) for v, kind in columns)], names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.mapInPandas(run, "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(run, "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:

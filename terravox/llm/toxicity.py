@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,13 +189,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs.withColumn("score", F.lit(0.0))
     margin, offset = model.margin, model.offset
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(margin, offset)
         for batch in batches:
-            texts = batch["text"].tolist()
-            yield batch.assign(score=np.concatenate([scorer(texts[k : k + 500]) for k in range(0, max(1, len(texts)), 500)]))
+            texts = batch.column("text").to_pylist()
+            scores = np.concatenate([scorer(texts[k : k + 500]) for k in range(0, max(1, len(texts)), 500)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInPandas(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

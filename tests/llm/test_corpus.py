@@ -20,7 +20,7 @@ def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, extra columns with clashing names."""
     long = " ".join(f"w{k % 977} x{k % 31}" for k in range(30_000))
     same = "one two three four five six " * 12
-    rows = [(1, None), (None, "a text without an id " * 4), (2, ""), (3, " \n\t "), (4, same), (5, same), (5, same), (6, same + "seven"), (7, long), (8, long + " end"), (9, "é ü 漢字 😀 <|endoftext|> $5 it's"), (10, "b")]
+    rows = [(1, None), (None, "a text without an id " * 4), (2, ""), (3, " \n\t "), (4, same), (5, same), (5, same), (6, same + "seven"), (7, long), (8, long + " end"), (9, "é ü 漢字 😀 <|endoftext|> $5 it's"), (10, "b"), (2**60 + 1, "an id that no double holds")]
     return spark.createDataFrame([(i, t, None, "s", None, 0.5, "k", "b", 1) for i, t in rows], ODD)
 
 
@@ -56,6 +56,7 @@ def test_odd_and_empty_tables(spark, labels, name):
 def test_packing_of_odd_tables(spark):
     pieces = packing.pack(odd(spark), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     assert sorted(r.sequence_id for r in pieces) == list(range(len(pieces)))
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in odd(spark).collect()}
     assert all(r.offset == 0 and r.length & (r.length - 1) == 0 and r.length <= 1024 for r in pieces)
     assert packing.pack(empty(spark), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
