@@ -3,11 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of docs; the last returns pieces of
 sequences. run() writes each stage's rows as Parquet into the shared folder and reads them again for the next, so a
 lost executor costs no more than the stage at hand.
+
+Null, empty and wordless texts fail the base rules of the first stage; the later stages, given such texts, keep them
+(packing gives each one piece of one id). Rows with null id are documents like any other. Of rows that repeat an id and
+its text one stays after the near-duplicate stage; of other ties the document of the least id. Labels with null id or
+class are skipped. Empty tables pass through all stages. Other columns of documents come along unchanged, also those
+named like an operator's results; only text and n_chars (where it exists) are written anew by substring dedup.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terravox.llm import doubling, jaccard, packing, quality, toxicity
@@ -21,15 +27,25 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _carrying(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all else as one struct, so that no column clashes with a result."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
+
+
+def _as_before(rows: DataFrame, docs: DataFrame, **written: Column) -> DataFrame:
+    """The columns of docs again; those written take the place of what was there."""
+    return rows.select(*(written.get(c, F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the log-likelihood ratio."""
-    return quality.judge(docs, _labels(spark, sf_dir)).where("kept").select(*docs.columns)
+    return _as_before(quality.judge(_carrying(docs), _labels(spark, sf_dir)).where("kept"), docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the decision."""
     model = toxicity.train(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.DECISION).select(*docs.columns)
+    return _as_before(toxicity.score(_carrying(docs), model).where(F.col("score") < toxicity.DECISION), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +70,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated windows of words; a text that loses nothing is unchanged."""
-    kept = doubling.dedup(docs, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = doubling.dedup(_carrying(docs), carry=True)
+    written = {"text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        written["n_chars"] = F.length(written["text"]).cast(docs.schema["n_chars"].dataType)
+    return _as_before(kept, docs, **written)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
