@@ -70,7 +70,7 @@ def shingles(texts: list[bytes], width: int = SHINGLE) -> Iterator[np.ndarray]:
         if n >= width:
             yield distinct(whole[start : start + n - width + 1])
         else:
-            yield mixed(sum((h[start + k] * factor[k] for k in range(n)), np.zeros(1, np.uint64)) + np.uint64(n)) & KEPT if n else np.zeros(0, np.uint64)
+            yield mixed(sum((h[start + k : start + k + 1] * factor[k] for k in range(n)), np.zeros(1, np.uint64)) + np.uint64(n)) & KEPT if n else np.zeros(0, np.uint64)
         start += n
 
 

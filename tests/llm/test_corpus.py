@@ -474,6 +474,19 @@ def test_pipeline_stages(spark, sf):
     assert c.run(spark, sf).count() > 0
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):
+    import corpus_pipeline as c
+
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, odd(spark), sf)
+        assert got.columns == odd(spark).columns and stage(spark, empty(spark), sf).count() == 0
+        rows = got.collect()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in odd(spark).collect()} and all((r.score, r.kept, r.block, r.words) == (0.5, "k", "b", 1) for r in rows)
+        assert name != "toxicity" or len(rows) == odd(spark).count()
+    assert {r.doc_id for r in c.pack(spark, odd(spark), sf).collect()} == {r.doc_id for r in odd(spark).collect()}
+    assert c.pack(spark, empty(spark), sf).count() == 0
+
+
 def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
     import corpus_pipeline as c
 
