@@ -61,13 +61,15 @@ def below_overhang(points: DataFrame, grid: DataFrame, meta: GridMeta, overhang:
 def merge_elevation(old: DataFrame, new: DataFrame, overhang: float, cleanup: bool = True) -> DataFrame:
     """Running lowest and highest heights.
 
-    Where a cell is seen again with a highest height that is within the overhang of its lowest, that height replaces a
-    remembered overhang.
+    Where what is remembered spans more than the overhang, from the lowest height of both, and the new scan's own heights
+    span less, the remembered overhang is gone: the new highest height takes its place.
     """
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    seen = both.groupBy(*CELL).agg(F.min("min_elevation").alias("min_elevation"), F.max("max_elevation").alias("_max"), F.max(F.when(F.col("_new") == 1, F.col("max_elevation"))).alias("_last"), F.sum("hits").alias("hits"))
-    cleaned = F.when(F.col("_last") - F.col("min_elevation") < overhang, F.col("_last")).otherwise(F.col("_max"))
-    return seen.select(*CELL, "min_elevation", (F.coalesce(cleaned, F.col("_max")) if cleanup else F.col("_max")).alias("max_elevation"), "hits")
+    pick = lambda c, k: F.max(F.when(F.col("_new") == k, F.col(c)))
+    seen = both.groupBy(*CELL).agg(F.min("min_elevation").alias("min_elevation"), pick("max_elevation", 0).alias("_old"), pick("max_elevation", 1).alias("_max"), pick("min_elevation", 1).alias("_min"), F.sum("hits").alias("hits"))
+    gone = (F.col("_old") - F.col("min_elevation") > overhang) & (F.col("_max") - F.col("_min") < overhang)
+    highest = F.greatest("_old", "_max")
+    return seen.select(*CELL, "min_elevation", (F.when(gone, F.col("_max")).otherwise(highest) if cleanup else highest).alias("max_elevation"), "hits")
 
 
 def merge_features(old: DataFrame, new: DataFrame, features: list[str], alpha: float) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import to_spherical
+from ..functions.geometry import quaternion_matrix, to_spherical
 
 
 @dataclass(frozen=True)
@@ -42,17 +42,22 @@ class SensorModel:
         return place(el, self.el, self.el_threshold) * self.az[2] + place(az, self.az, self.az_threshold)
 
 
-def local(df: DataFrame, sensor: tuple[float, float, float], x: Column, y: Column, z: Column) -> DataFrame:
-    return df.withColumns(to_spherical(x - sensor[0], y - sensor[1], z - sensor[2]))
+def local(df: DataFrame, sensor: tuple[float, ...], x: Column, y: Column, z: Column) -> DataFrame:
+    """Spherical coordinates as the sensor sees them: from its position and, where a quaternion x, y, z, w follows, turned back by it."""
+    at = (x - sensor[0], y - sensor[1], z - sensor[2])
+    if len(sensor) == 7:
+        turn = quaternion_matrix(*(F.lit(float(c)) for c in sensor[3:]))
+        at = tuple(turn[0][k] * at[0] + turn[1][k] * at[1] + turn[2][k] * at[2] for k in range(3))
+    return df.withColumns(to_spherical(*at))
 
 
-def bin_ranges(points: DataFrame, model: SensorModel, sensor: tuple[float, float, float], reduce=F.max) -> DataFrame:
+def bin_ranges(points: DataFrame, model: SensorModel, sensor: tuple[float, ...], reduce=F.max) -> DataFrame:
     """Range per bin; the table is bounded by the sensor's bins."""
     binned = local(points, sensor, F.col("x"), F.col("y"), F.col("z")).withColumn("bin", model.bin(F.col("el"), F.col("az")))
     return binned.where("bin is not null").groupBy("bin").agg(reduce("range").alias("bin_range"))
 
 
-def raytrace(voxels: DataFrame, points: DataFrame, model: SensorModel, sensor: tuple[float, float, float], centres: dict[str, Column], no_return: float = 200.0, drop_first: bool = True) -> DataFrame:
+def raytrace(voxels: DataFrame, points: DataFrame, model: SensorModel, sensor: tuple[float, ...], centres: dict[str, Column], no_return: float = 200.0, drop_first: bool = True) -> DataFrame:
     """One more miss for voxels whose centre is nearer than what their bin returned.
 
     Bins without a return count as seen up to no_return; bin 0 never has one (drop_first).
@@ -65,7 +70,7 @@ def raytrace(voxels: DataFrame, points: DataFrame, model: SensorModel, sensor: t
     return seen.withColumn("misses", F.col("misses") + passed.cast("double")).drop("bin", "bin_range", "el", "az", "range", *(f"_{k}" for k in centres))
 
 
-def render(voxels: DataFrame, model: SensorModel, sensor: tuple[float, float, float], centres: dict[str, Column], layers: list[str]) -> DataFrame:
+def render(voxels: DataFrame, model: SensorModel, sensor: tuple[float, ...], centres: dict[str, Column], layers: list[str]) -> DataFrame:
     """Depth image: per bin the nearest voxel's range and the mean of its layers (of all within 1e-6 of it)."""
     at = local(voxels.withColumns({f"_{k}": v for k, v in centres.items()}), sensor, *(F.col(f"_{k}") for k in centres)).withColumn("bin", model.bin(F.col("el"), F.col("az"))).where("bin is not null")
     near = at.withColumn("_r", F.round("range", 6)).groupBy("bin", "_r").agg(F.min("range").alias("depth"), *(F.avg(c).alias(c) for c in layers))

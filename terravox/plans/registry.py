@@ -257,7 +257,7 @@ def bev_overhang_filter(spark, d):
 
 
 @query(
-    f"SELECT gx, gy, {r6('least(coalesce(a.lo, b.lo), coalesce(b.lo, a.lo))')} AS min_elevation, {r6('CASE WHEN b.hi - least(coalesce(a.lo, b.lo), b.lo) < 6.0 THEN b.hi ELSE greatest(coalesce(a.hi, b.hi), coalesce(b.hi, a.hi)) END')} AS max_elevation, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS hits FROM {_ELEV.format(0)} a FULL JOIN {_ELEV.format(1)} b USING (gx, gy)",
+    f"SELECT gx, gy, {r6('least(coalesce(a.lo, b.lo), coalesce(b.lo, a.lo))')} AS min_elevation, {r6('CASE WHEN a.hi - least(a.lo, b.lo) > 6.0 AND b.hi - b.lo < 6.0 THEN b.hi ELSE greatest(coalesce(a.hi, b.hi), coalesce(b.hi, a.hi)) END')} AS max_elevation, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS hits FROM {_ELEV.format(0)} a FULL JOIN {_ELEV.format(1)} b USING (gx, gy)",
     "pts ins",
 )
 def bev_elevation_merge(spark, d):
@@ -368,12 +368,12 @@ def signed_distance(spark, d):
     return rounded(stencil.signed_distance(_bev(spark, d), F.col("m") > 0, 0.5), "sdf")
 
 
-_POSES = "(SELECT (event_id * 7) % 40 + 0.25 AS px, (event_id * 11) % 40 + 0.75 AS py FROM events WHERE event_id < 20)"
+_POSES = "(SELECT DISTINCT (event_id * 7) % 40 + 0.25 AS px, (event_id * 11) % 40 + 0.75 AS py FROM events)"
 
 
 @query(f"SELECT i, j, CASE WHEN d <= 4.0 THEN {r6('d')} ELSE 100.0 END AS distance FROM (SELECT i, j, min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2))) AS d FROM cells CROSS JOIN {_POSES} p GROUP BY i, j)", "cells")
 def distance_to_trajectory(spark, d):
-    poses = tables.table(spark, d, "events").where("event_id < 20").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py"))
+    poses = tables.table(spark, d, "events").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py")).distinct()
     made = stencil.distance_to(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0, 100.0)
     return made.withColumn("distance", F.when(F.col("distance") <= 4.0, round6("distance")).otherwise(F.col("distance")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import GridMeta
+from ..grid import KEYS, GridMeta
 from ..operators import voxel
 
 
@@ -13,7 +13,8 @@ class VoxelMap:
     """State of a mapper as versions of a Parquet table, one for each batch.
 
     A batch reads the newest version before its own number and writes version `number`: replayed after a failure it
-    writes the same rows again, so the state holds every scan once. The box may move; what leaves it is dropped.
+    writes the same rows again, so the state holds every scan once. Stored keys count from the frame's zero, so that the
+    box may move by whole cells (assign another meta): what leaves it is dropped, what stays keeps its voxel.
     """
 
     def __init__(self, spark: SparkSession, folder: str, meta: GridMeta, features: list[str], alpha: float, stamp: str = "stamp", cull_share: float | None = 0.75) -> None:
@@ -30,7 +31,11 @@ class VoxelMap:
 
     def state(self, before: int | None = None) -> DataFrame | None:
         known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.folder}/v={known[-1]}") if known else None
+        return self._keys(self.spark.read.parquet(f"{self.folder}/v={known[-1]}"), -1) if known else None
+
+    def _keys(self, voxels: DataFrame, sign: int) -> DataFrame:
+        """Keys of the box moved to those of the frame (sign 1), or back."""
+        return voxels.withColumns({k: F.col(k) + F.lit(sign * round(o / r)) for k, o, r in zip(KEYS, self.meta.origin, self.meta.resolution, strict=True)})
 
     def update(self, batch: DataFrame, number: int) -> None:
         """foreachBatch: merge a batch of points, cull, and write the next version."""
@@ -38,7 +43,7 @@ class VoxelMap:
         old = self.state(number)
         merged = new if old is None else voxel.merge(old.where(self.meta.contains_keys()), new, self.features, self.alpha)
         kept = merged if self.cull_share is None else voxel.cull(merged, self.cull_share)
-        kept.write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+        self._keys(kept, 1).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
 
     def start(self, points: DataFrame, checkpoint: str, **trigger):
         return points.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()

@@ -180,3 +180,30 @@ def test_query_against_sql(spark, sf, name):
     want = con.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert [[float(v) if isinstance(v, (int, np.integer, float)) and not isinstance(v, bool) else v for v in r] for r in _rows(got)] == [[float(v) if isinstance(v, (int, np.integer, float)) and not isinstance(v, bool) else v for v in r] for r in _rows(want)]
+
+
+def test_elevation_merge_forgets_an_overhang_only(spark):
+    grid = lambda rows: spark.createDataFrame(rows, "gx long, gy long, min_elevation double, max_elevation double, hits long")
+    old = grid([(0, 0, 0.0, 1.5, 1), (0, 1, 0.0, 9.0, 1), (0, 2, 0.0, 9.0, 1), (0, 3, 0.0, 9.0, 1), (0, 5, 5.0, 10.0, 1)])
+    new = grid([(0, 0, 0.0, 1.0, 2), (0, 1, 0.0, 1.0, 2), (0, 2, 0.0, 7.0, 2), (0, 4, 2.0, 3.0, 2), (0, 5, 1.0, 2.0, 2)])
+    got = {r.gy: (r.min_elevation, r.max_elevation, r.hits) for r in columns.merge_elevation(old, new, 6.0).collect()}
+    assert got == {0: (0.0, 1.5, 3), 1: (0.0, 1.0, 3), 2: (0.0, 9.0, 3), 3: (0.0, 9.0, 1), 4: (2.0, 3.0, 2), 5: (1.0, 2.0, 3)}
+
+
+def test_moving_map_keeps_its_voxels(spark, tmp_path):
+    meta = GridMeta((0.0, 0.0, 0.0), (4.0, 4.0, 4.0), (1.0, 1.0, 1.0))
+    state = VoxelMap(spark, str(tmp_path / "map"), meta, ["f"], 0.5, cull_share=None)
+    points = lambda *xs: spark.createDataFrame([(x, 2.5, 2.5, 1.0, 0.0) for x in xs], "x double, y double, z double, f double, stamp double")
+    state.update(points(0.5, 2.5), 0)
+    state.meta = meta.moved((1.0, 0.0, 0.0), (0.0, 0.0, 0.0))
+    state.update(points(2.5, 4.5), 1)
+    assert {(r.gx, r.gy, r.gz): r.hits for r in state.state().collect()} == {(1, 2, 2): 2.0, (3, 2, 2): 1.0}
+
+
+def test_rays_of_a_turned_sensor(spark):
+    """A sensor turned by 90 degrees to the left sees straight ahead what lies on the y axis."""
+    h = 0.5**0.5
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (0.0, 5.0, 0.0)], "x double, y double, z double")
+    got = rays.local(df, (1.0, 0.0, 3.0, 0.0, 0.0, h, h), F.col("x"), F.col("y"), F.col("z")).collect()
+    assert abs(got[0].az) < 1e-9 and abs(got[0].el) < 1e-9 and abs(got[0].range - 2) < 1e-9
+    assert abs(got[1].az - np.arctan2(1, 5)) < 1e-9 and abs(got[1].el - np.arctan2(-3, 26**0.5)) < 1e-9
