@@ -10,7 +10,9 @@ Cols = tuple[Column, ...]
 
 
 def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> list[list[Column]]:
-    """Rotation of a quaternion that is taken as it is, without normalisation."""
+    """Rotation of a quaternion, which need not be of unit length."""
+    size = F.sqrt(x * x + y * y + z * z + w * w)
+    x, y, z, w = x / size, y / size, z / size, w / size
     return [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
 
 
@@ -74,7 +76,7 @@ def pack_rgb(r: Column, g: Column, b: Column) -> Column:
 
 def fibonacci_palette(n: int) -> list[list[float]]:
     """n colours in [0, 1], evenly over a sphere."""
-    k = np.arange(n) + 0.5
+    k = np.arange(n)
     polar, turn = np.arccos(1 - 2 * k / n), np.pi * (1 + 5**0.5) * k
     return (np.stack([np.cos(turn) * np.sin(polar), np.sin(turn) * np.sin(polar), np.cos(polar)], 1) / 2 + 0.5).tolist()
 

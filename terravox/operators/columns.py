@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import GridMeta
@@ -47,9 +47,9 @@ def bev_from_points(points: DataFrame, meta: GridMeta, features: list[str]) -> D
     return inside.where(F.col(features[0]).isNotNull()).groupBy(*CELL).agg(*(F.avg(f).alias(f) for f in features), F.count(F.lit(1)).alias("hits"))
 
 
-def elevation_grid(points: DataFrame, meta: GridMeta) -> DataFrame:
+def elevation_grid(points: DataFrame, meta: GridMeta, per: tuple[str, ...] = ()) -> DataFrame:
     inside = points.withColumns(meta.dims(0, 1).keys()).where(meta.dims(0, 1).contains_keys())
-    return inside.groupBy(*CELL).agg(F.min("z").alias("min_elevation"), F.max("z").alias("max_elevation"), F.count(F.lit(1)).alias("hits"))
+    return inside.groupBy(*per, *CELL).agg(F.min("z").alias("min_elevation"), F.max("z").alias("max_elevation"), F.count(F.lit(1)).alias("hits"))
 
 
 def below_overhang(points: DataFrame, grid: DataFrame, meta: GridMeta, overhang: float) -> DataFrame:
@@ -58,6 +58,35 @@ def below_overhang(points: DataFrame, grid: DataFrame, meta: GridMeta, overhang:
     return known.where(F.col("z") < F.coalesce(F.col("min_elevation"), F.lit(1e10)) + overhang).drop("min_elevation")
 
 
+def below_remembered(points: DataFrame, meta: GridMeta, overhang: float, order: str) -> DataFrame:
+    """below_overhang of every scan against the lowest heights of the scans before it; the window has one row per scan and cell."""
+    keyed = points.withColumns(meta.dims(0, 1).keys())
+    lows = keyed.where(meta.dims(0, 1).contains_keys()).groupBy(order, *CELL).agg(F.min("z").alias("_z"))
+    before = Window.partitionBy(*CELL).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    known = keyed.join(lows.select(order, *CELL, F.min("_z").over(before).alias("_low")), [order, *CELL], "left")
+    return known.where(F.col("z") < F.coalesce(F.col("_low"), F.lit(1e10)) + overhang).drop("_low")
+
+
+def fold_elevation(grids: DataFrame, overhang: float, order: str) -> DataFrame:
+    """merge_elevation over all scans in order: a left fold over at most one entry per scan of each cell."""
+    seen = F.array_sort(F.collect_list(F.struct(order, F.col("min_elevation").alias("lo"), F.col("max_elevation").alias("hi"))))
+
+    def step(acc: Column, x: Column) -> Column:
+        lo = F.least(acc["lo"], x["lo"])
+        gone = (acc["hi"] - lo > overhang) & (x["hi"] - x["lo"] < overhang)
+        return F.struct(lo.alias("lo"), F.when(gone, x["hi"]).otherwise(F.greatest(acc["hi"], x["hi"])).alias("hi"))
+
+    none = F.struct(*(F.lit(None).cast("double").alias(k) for k in ("lo", "hi")))
+    made = grids.groupBy(*CELL).agg(F.aggregate(seen, none, step).alias("_e"), F.sum("hits").alias("hits"))
+    return made.select(*CELL, F.col("_e.lo").alias("min_elevation"), F.col("_e.hi").alias("max_elevation"), "hits")
+
+
+def shift(grid: DataFrame, meta: GridMeta, by: tuple[int, int], fill: dict[str, float]) -> DataFrame:
+    """The dense map after its origin has moved by whole cells; cells that come in hold the fill."""
+    moved = grid.withColumns({k: F.col(k) - d for k, d in zip(CELL, by, strict=True)}).where(meta.dims(0, 1).contains_keys())
+    return meta.dims(0, 1).mesh(grid.sparkSession).select(*CELL).join(moved, list(CELL), "left").na.fill(fill)
+
+
 def merge_elevation(old: DataFrame, new: DataFrame, overhang: float, cleanup: bool = True) -> DataFrame:
     """Running lowest and highest heights.
 

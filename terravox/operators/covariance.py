@@ -35,11 +35,39 @@ def positive(m: Six) -> Column:
     return (a > 0) & (a * d - b * b > 0) & (determinant(m) > 0)
 
 
-def without_outliers(rows: DataFrame, prefix: str, share: float = 0.99) -> DataFrame:
-    """Rows whose trace is not above the quantile of the table (one number, brought to the driver)."""
+def quantile(rows: DataFrame, value: Column, share: float, bins: int = 1024) -> float | None:
+    """The exact quantile, interpolated between neighbours, of a column without nulls and NaN.
+
+    Histograms over ever narrower spans find the value of the rank: each pass brings at most `bins` rows to the driver,
+    and no task holds more than its own bins.
+    """
+    seen = rows.select(value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, low, high = seen.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    rank = math.floor(place)
+    below = 0
+    while low < high:
+        at = F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / (high - low) * bins))
+        parts = seen.where(F.col("v").between(low, high)).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        for part in sorted(parts, key=lambda r: r["b"]):
+            low, high = part["lo"], part["hi"]
+            if rank < below + part["n"]:
+                break
+            below += part["n"]
+    first = low
+    if place == rank:
+        return first
+    after = seen.agg(F.count(F.when(F.col("v") <= first, 1)).alias("n"), F.min(F.when(F.col("v") > first, F.col("v"))).alias("v")).first()
+    return first if after["n"] > rank + 1 else (rank + 1 - place) * first + (place - rank) * after["v"]
+
+
+def without_outliers(rows: DataFrame, prefix: str, share: float = 0.99, slack: float = 0.0) -> DataFrame:
+    """Rows whose trace is not above the quantile of the table (one number on the driver) by more than the slack."""
     trace = of(prefix)[0] + of(prefix)[3] + of(prefix)[5]
-    limit = rows.agg(F.percentile(trace, share).alias("q")).first()["q"]
-    return rows.where(trace <= F.lit(limit).cast("double"))
+    limit = quantile(rows, trace, share)
+    return rows.where(trace <= F.lit(None if limit is None else limit + slack).cast("double"))
 
 
 def fuse_points(rows: DataFrame, key: list[str], prefix: str, features: list[str]) -> DataFrame:

@@ -13,19 +13,27 @@ from pyspark.sql import functions as F
 from ..grid import Kernel, kernel
 
 
-def scatter(cells: DataFrame, taps: Kernel, sums: dict[str, Column]) -> DataFrame:
-    """Cells with, for each of sums, the total of weight * value over the taps; absent neighbours count as nothing."""
+def scatter_each(cells: DataFrame, sums: dict[str, tuple[Kernel, Column]]) -> DataFrame:
+    """Cells with, for each of sums, the total of weight * value over its own taps, all in one shuffle; absent neighbours count as nothing."""
     own = [c for c in cells.columns if c not in ("i", "j")]
-    weights = {(di, dj): w for di, dj, w in taps}
-    weights.setdefault((0, 0), 0.0)
-    grid = F.array(*(F.struct(F.lit(di).alias("di"), F.lit(dj).alias("dj"), F.lit(w).alias("w")) for (di, dj), w in sorted(weights.items())))
-    spread = cells.withColumns({f"_{k}": v for k, v in sums.items()}).withColumn("_t", F.explode(grid))
+    weights: dict[tuple[int, int], dict[str, float]] = {(0, 0): {}}
+    for k, (taps, _) in sums.items():
+        for di, dj, w in taps:
+            weights.setdefault((di, dj), {})[k] = w
+    entry = lambda at, w: F.struct(F.lit(at[0]).alias("di"), F.lit(at[1]).alias("dj"), *(F.lit(float(w.get(k, 0.0))).alias(f"w{n}") for n, k in enumerate(sums)))
+    spread = cells.withColumns({f"_{k}": v for k, (_, v) in sums.items()}).withColumn("_t", F.explode(F.array(*(entry(at, w) for at, w in sorted(weights.items())))))
     here = (F.col("_t.di") == 0) & (F.col("_t.dj") == 0)
-    to = spread.withColumns({"i": F.col("i") - F.col("_t.di"), "j": F.col("j") - F.col("_t.dj"), "_here": here, "_w": F.col("_t.w")}).drop("_t")
-    out = to.groupBy("i", "j").agg(F.max(F.col("_here").cast("int")).alias("_cell"), *(F.max(F.when(F.col("_here"), F.col(c))).alias(c) for c in own), *(F.sum(F.col("_w") * F.col(f"_{k}")).alias(k) for k in sums))
+    to = spread.withColumns({"i": F.col("i") - F.col("_t.di"), "j": F.col("j") - F.col("_t.dj"), "_here": here})
+    parts = (F.sum(F.col(f"_t.w{n}") * F.col(f"_{k}")).alias(k) for n, k in enumerate(sums))
+    out = to.groupBy("i", "j").agg(F.max(F.col("_here").cast("int")).alias("_cell"), *(F.max(F.when(F.col("_here"), F.col(c))).alias(c) for c in own), *parts)
     return out.where("_cell = 1").drop("_cell")
 
 
+def scatter(cells: DataFrame, taps: Kernel, sums: dict[str, Column]) -> DataFrame:
+    """scatter_each with the same taps for all sums."""
+    return scatter_each(cells, {k: (taps, v) for k, v in sums.items()})
+
+
 def elevation_filter(cells: DataFrame, layer: str, mask: Column, taps: Kernel, low: float, high: float) -> DataFrame:
     """Known cells whose height differs from their neighbours' mean by more than the limits become unknown."""
     around = [t for t in taps if t[:2] != (0, 0)]
@@ -61,13 +69,11 @@ def slope(cells: DataFrame, layer: str, mask: str, kind: str, radius: float, res
     size = 3 if kind == "scharr" else 2 * round(radius / resolution) + 1
     half = size // 2
     window = [(i, j, 1.0) for i in range(-half, half + 1) for j in range(-half, half + 1)]
-    both = cells.withColumn("_z", F.col(layer))
-    near = scatter(both, [(i, j, w) for (i, j), w in dx.items()], {"_x": F.col("_z")})
-    near = scatter(near, [(i, j, w) for (i, j), w in dy.items()], {"_y": F.col("_z")})
-    near = scatter(near, window, {"_n": F.col(mask)})
+    taps = lambda d: [(i, j, w) for (i, j), w in d.items()]
+    near = scatter_each(cells, {"_x": (taps(dx), F.col(layer)), "_y": (taps(dy), F.col(layer)), "_n": (window, F.col(mask))})
     valid = F.col("_n") / (size * size) > 0.9999
     held = lambda c: F.when(valid, F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c) / resolution))).otherwise(0.0)
-    return near.withColumns({"slope_x": held("_x"), "slope_y": held("_y")}).withColumn("slope", F.hypot("slope_x", "slope_y")).drop("_x", "_y", "_n", "_z")
+    return near.withColumns({"slope_x": held("_x"), "slope_y": held("_y")}).withColumn("slope", F.hypot("slope_x", "slope_y")).drop("_x", "_y", "_n")
 
 
 def normals(cells: DataFrame, mask: str | None = None) -> DataFrame:
@@ -79,11 +85,17 @@ def normals(cells: DataFrame, mask: str | None = None) -> DataFrame:
 
 def adjacencies(cells: DataFrame, layer: str) -> DataFrame:
     """The four neighbours' values; beyond the edge a cell's own."""
-    near = cells
-    for name, di, dj in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1)):
-        near = scatter(near, [(di, dj, 1.0)], {name: F.col(layer), "_k": F.lit(1.0)})
-        near = near.withColumn(name, F.when(F.col("_k") > 0, F.col(name)).otherwise(F.col(layer))).drop("_k")
-    return near
+    ways = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}
+    values = {name: ([(*at, 1.0)], F.col(layer)) for name, at in ways.items()}
+    near = scatter_each(cells, values | {f"_k_{name}": ([(*at, 1.0)], F.lit(1.0)) for name, at in ways.items()})
+    return near.withColumns({name: F.when(F.col(f"_k_{name}") > 0, F.col(name)).otherwise(F.col(layer)) for name in ways}).drop(*(f"_k_{name}" for name in ways))
+
+
+def closed(cells: DataFrame, inside: Column, out: str = "closed") -> DataFrame:
+    """Binary closing by a cross of five cells: dilation, then erosion, to which cells beyond the map are outside."""
+    cross = [(0, 0, 1.0), (-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)]
+    wide = scatter(cells.withColumn("_m", inside.cast("double")), cross, {"_d": F.col("_m")}).withColumn("_d", (F.col("_d") > 0).cast("double"))
+    return scatter(wide, cross, {"_e": F.col("_d")}).withColumn(out, F.col("_e") > 4.5).drop("_m", "_d", "_e")
 
 
 def signed_distance(cells: DataFrame, inside: Column, resolution: float) -> DataFrame:

@@ -21,24 +21,45 @@ def as_vectors(parts: DataFrame, label: str, name: str = "c") -> DataFrame:
     return parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias(name))
 
 
+def moments(rows: DataFrame, n: int, v: str = "v") -> DataFrame:
+    """Rows (a, b, g) with a <= b: sums of v[a] v[b] over the first n components; a = -1: sums of v[b]; a = b = -1: the count.
+
+    Each task adds up its own rows in numpy and gives one matrix; null and too short vectors are skipped.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = np.triu_indices(n + 1)
+
+    def run(batches):
+        total = np.zeros((n + 1, n + 1))
+        for batch in batches:
+            lists = [x[:n] for x in batch.column(0).to_pylist() if x is not None and len(x) >= n]
+            if lists:
+                x = np.insert(np.array(lists, float), 0, 1.0, axis=1)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(a - 1, pa.int64()), pa.array(b - 1, pa.int64()), pa.array(total[a, b], pa.float64())], names=["a", "b", "g"])
+
+    return rows.select(v).mapInArrow(run, "a long, b long, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
+
+
 def gramian(rows: DataFrame, n: int, v: str = "v") -> DataFrame:
-    """Upper triangle of the sum of v v' over the first n components: n (n + 1) / 2 partial sums a task."""
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda a: F.transform(F.sequence(a, F.lit(n - 1)), lambda b: F.struct(a.alias("a"), b.alias("b"), (F.col(v)[a] * F.col(v)[b]).alias("x")))))
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.x").alias("g"))
+    """Upper triangle of the sum of v v' over the first n components."""
+    return moments(rows, n, v).where("a >= 0")
 
 
 def fit_pca(rows: DataFrame, n: int, q: int, v: str = "v"):
     """(mean, basis of q columns, share of energy): from the n x n second moments, by numpy on the driver."""
     import numpy as np
 
-    mean = [r["m"] for r in components(rows, [], v).where(F.col("d") < n).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()]
-    count, g = rows.count(), np.zeros((n, n))
-    for r in gramian(rows, n, v).collect():
-        g[r["a"], r["b"]] = g[r["b"], r["a"]] = r["g"]
-    values, basis = np.linalg.eigh(g / count - np.outer(mean, mean))
+    m = np.zeros((n + 1, n + 1))
+    for r in moments(rows, n, v).collect():
+        m[r["a"] + 1, r["b"] + 1] = m[r["b"] + 1, r["a"] + 1] = r["g"]
+    mean = m[0, 1:] / m[0, 0]
+    values, basis = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
     values, basis = values[::-1], basis[:, ::-1]
     basis = basis * np.sign(basis[np.abs(basis).argmax(0), range(n)])
-    return mean, basis[:, :q], values[:q] / values.sum()
+    return mean.tolist(), basis[:, :q], values[:q] / values.sum()
 
 
 def project(v: Column, mean: list[float], basis) -> list[Column]:
@@ -47,15 +68,32 @@ def project(v: Column, mean: list[float], basis) -> list[Column]:
     return [dot(centred, F.array(*(F.lit(float(x)) for x in column))) for column in zip(*basis, strict=True)]
 
 
+#: Centres of one broadcast array.
+BLOCK = 4096
+
+
+def blocks(centres: DataFrame) -> list[DataFrame]:
+    """The vocabulary as tables of one row (_all: array in label order), each of about BLOCK centres, cut by label."""
+    n = -(-centres.count() // BLOCK)
+    listed = lambda part: part.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_all"))
+    if n <= 1:
+        return [listed(centres)]
+    cuts = centres.stat.approxQuantile("label", [k / n for k in range(1, n)], 0.1 / n)
+    low, high = [None, *cuts], [*cuts, None]
+    inside = lambda a, b: (F.lit(True) if a is None else F.col("label") >= a) & (F.lit(True) if b is None else F.col("label") < b)
+    return [listed(centres.where(inside(a, b))) for a, b in zip(low, high, strict=True)]
+
+
 def assign(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v") -> DataFrame:
     """Each row's centre of the highest cosine (ties: the smallest label), with residual and cosine.
 
-    The vocabulary is a bounded table of vectors; it is one array for every row.
+    The vocabulary is broadcast in blocks of a bounded number of centres; a row keeps its best so far from block to block.
     """
-    listed = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_all"), F.lit(1).alias("_one")))
-    seen = rows.withColumn("_one", F.lit(1)).join(listed, "_one")
-    scored = F.transform("_all", lambda c: F.struct((dot(F.col(v), c["c"]) / (norm(F.col(v)) * norm(c["c"]))).alias("cos"), (-c["label"]).alias("m"), c["c"].alias("c")))
-    best = seen.withColumn("_b", F.array_max(scored))
+    best = rows.withColumn("_b", F.lit(None))
+    for k, part in enumerate(blocks(centres)):
+        scored = F.transform("_all", lambda c: F.struct((dot(F.col(v), c["c"]) / (norm(F.col(v)) * norm(c["c"]))).alias("cos"), (-c["label"]).alias("m"), c["c"].alias("c")))
+        found = F.array_max(scored)
+        best = best.crossJoin(F.broadcast(part)).withColumn("_b", F.greatest(F.col("_b"), found) if k else found).drop("_all")
     return best.select(*key, (-F.col("_b.m")).alias("centre"), F.col("_b.cos").alias("cosine"), F.zip_with(v, F.col("_b.c"), lambda a, b: a - b).alias("residual"))
 
 
@@ -70,9 +108,44 @@ def vlad(assigned: DataFrame, group: str) -> DataFrame:
 
 def residuals(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v") -> DataFrame:
     """L1 distance of each row to each centre: an array in label order."""
-    listed = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("_all"), F.lit(1).alias("_one")))
-    far = F.transform("_all", lambda c: F.aggregate(F.zip_with(F.col(v), c["c"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x))
-    return rows.withColumn("_one", F.lit(1)).join(listed, "_one").select(*key, far.alias("residuals"))
+    out = rows.withColumn("_far", F.array().cast("array<double>"))
+    for part in blocks(centres):
+        far = F.transform("_all", lambda c: F.aggregate(F.zip_with(F.col(v), c["c"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x))
+        out = out.crossJoin(F.broadcast(part)).withColumn("_far", F.concat("_far", far)).drop("_all")
+    return out.select(*key, F.col("_far").alias("residuals"))
+
+
+def kmeans(rows: DataFrame, centres: DataFrame, rounds: int, v: str = "v") -> DataFrame:
+    """Centres (label, c) after rounds of Lloyd's algorithm by cosine; a centre without rows stays where it is.
+
+    A round is one pass with partial sums; centres, which are bounded, are collected after each, so that plans stay short.
+    """
+    spark, schema = rows.sparkSession, "label long, c array<double>"
+    known = {r["label"]: r["c"] for r in centres.select(F.col("label").cast("long").alias("label"), "c").collect()}
+    for _ in range(rounds):
+        at = assign(rows, spark.createDataFrame(sorted(known.items()), schema), [v], v)
+        known |= {r["centre"]: r["c"] for r in as_vectors(class_means(at, "centre", v), "centre").collect()}
+    return spark.createDataFrame(sorted(known.items()), schema)
+
+
+def soft_vlad(rows: DataFrame, centres: DataFrame, group: str, temperature: float, v: str = "v") -> DataFrame:
+    """Rows (group, centre, d, x): residuals to every centre weighted by softmax(temperature * cosine), normalised as in vlad."""
+    listed = blocks(centres)
+    if len(listed) > 1:
+        raise ValueError(f"soft assignment takes at most {BLOCK} centres")
+    near = rows.crossJoin(F.broadcast(listed[0])).withColumn("_w", F.transform("_all", lambda c: F.exp(temperature * dot(F.col(v), c["c"]) / (norm(F.col(v)) * norm(c["c"])))))
+    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
+    parts = near.select(group, v, total.alias("_s"), F.explode(F.arrays_zip("_all", "_w")).alias("_z"))
+    share = F.col("_z._w") / F.col("_s")
+    weighted = F.zip_with(v, F.col("_z._all.c"), lambda a, b: a - b)
+    return vlad(parts.select(group, F.col("_z._all.label").alias("centre"), F.transform(weighted, lambda x: x * share).alias("residual")), group)
+
+
+def reduced_vlad(sums: DataFrame, group: str) -> DataFrame:
+    """Rows (group, d, x): the centres' parts of a VLAD added up and normalised."""
+    added = sums.groupBy(group, "d").agg(F.sum("x").alias("x"))
+    size = added.groupBy(group).agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n"))
+    return added.join(size, group).select(group, "d", F.coalesce(F.col("x") / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0)).alias("x"))
 
 
 def prototype_scores(rows: DataFrame, obstacles: list[list[float]], others: list[list[float]], key: list[str], v: str = "v") -> DataFrame:

@@ -99,16 +99,13 @@ def voxel_hits_bounds(spark, d):
     return rounded(made.select(*KEYS, "hits", "misses", "min_x", "max_x", "min_z", "max_z", "first_update", "last_update", "f0"), "min_x", "max_x", "min_z", "max_z", "f0")
 
 
-_SCAN = "(SELECT gx, gy, gz, 1.0 AS hits, min(z) AS lo, max(z) AS hi, avg(f0) AS f FROM ins WHERE scan_id = {} GROUP BY gx, gy, gz)"
-
-
 @query(
-    f"SELECT gx, gy, gz, coalesce(a.hits, 0) + coalesce(b.hits, 0) AS hits, {r6('least(coalesce(a.lo, b.lo), coalesce(b.lo, a.lo))')} AS min_z, {r6('greatest(coalesce(a.hi, b.hi), coalesce(b.hi, a.hi))')} AS max_z, CAST(CASE WHEN a.hits IS NULL THEN 1 ELSE 0 END AS DOUBLE) AS first_update, CAST(CASE WHEN b.hits IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS last_update, {r6('coalesce(0.5 * a.f + 0.5 * b.f, b.f, a.f)')} AS f0 FROM {_SCAN.format(0)} a FULL JOIN {_SCAN.format(1)} b USING (gx, gy, gz)",
+    f"+per AS (SELECT scan_id, gx, gy, gz, min(z) AS lo, max(z) AS hi, avg(f0) AS f FROM ins GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY gx, gy, gz ORDER BY scan_id DESC) AS back, count(*) OVER (PARTITION BY gx, gy, gz) AS n FROM per WHERE f IS NOT NULL), ema AS (SELECT gx, gy, gz, sum(f * CASE WHEN back = n THEN power(0.5, n - 1) ELSE power(0.5, back) END) AS f FROM rk GROUP BY gx, gy, gz), b AS (SELECT gx, gy, gz, CAST(count(*) AS DOUBLE) AS hits, min(lo) AS lo, max(hi) AS hi, min(scan_id) AS one, max(scan_id) AS two FROM per GROUP BY gx, gy, gz) SELECT gx, gy, gz, hits, {r6('lo')} AS min_z, {r6('hi')} AS max_z, CAST(one AS DOUBLE) AS first_update, CAST(two AS DOUBLE) AS last_update, {r6('f')} AS f0 FROM b LEFT JOIN ema USING (gx, gy, gz)",
     "pts ins",
 )
 def voxel_merge(spark, d):
-    scans = [voxel.voxelize(tables.points(spark, d).where(F.col("scan_id") == k), META, ["f0"], F.lit(float(k)), "avg") for k in (0, 1)]
-    return rounded(voxel.merge(*scans, ["f0"], 0.5).select(*KEYS, "hits", "min_z", "max_z", "first_update", "last_update", "f0"), "min_z", "max_z", "f0")
+    scans = voxel.voxelize(tables.points(spark, d), META, ["f0"], F.col("scan_id").cast("double"), "avg", per=("scan_id",))
+    return rounded(voxel.merge_all(scans, ["f0"], 0.5, "scan_id").select(*KEYS, "hits", "min_z", "max_z", "first_update", "last_update", "f0"), "min_z", "max_z", "f0")
 
 
 @query(
@@ -138,19 +135,18 @@ def voxel_midpoints(spark, d):
     return rounded(_voxels(spark, d).select(*KEYS, ((F.col("min_z") + F.col("max_z")) / 2).alias("mid_z"), F.col("f0").isNotNull().alias("has_features")), "mid_z")
 
 
-_KEYS01 = [f"(SELECT DISTINCT gx, gy, gz FROM ins WHERE scan_id = {k})" for k in (0, 1)]
+_TURN = "+k AS (SELECT DISTINCT scan_id, gx, gy, gz FROM ins), p AS (SELECT DISTINCT scan_id FROM k WHERE scan_id + 1 IN (SELECT scan_id FROM k)), a AS (SELECT * FROM k WHERE scan_id IN (SELECT scan_id FROM p)), b AS (SELECT scan_id - 1 AS scan_id, gx, gy, gz FROM k WHERE scan_id - 1 IN (SELECT scan_id FROM p))"
 
 
-@query(f"SELECT count(*) FILTER (WHERE a.k AND b.k) AS both, count(*) FILTER (WHERE b.k IS NULL) AS only_a, count(*) FILTER (WHERE a.k IS NULL) AS only_b FROM (SELECT *, true AS k FROM {_KEYS01[0]}) a FULL JOIN (SELECT *, true AS k FROM {_KEYS01[1]}) b USING (gx, gy, gz)", "pts ins")
+@query(f"{_TURN} SELECT scan_id, count(*) FILTER (WHERE x.k AND y.k) AS both, count(*) FILTER (WHERE y.k IS NULL) AS only_a, count(*) FILTER (WHERE x.k IS NULL) AS only_b FROM (SELECT *, true AS k FROM a) x FULL JOIN (SELECT *, true AS k FROM b) y USING (scan_id, gx, gy, gz) GROUP BY scan_id", "pts ins")
 def grid_overlap(spark, d):
-    inside = _inside(spark, d)
-    return voxel.overlap(*(inside.where(F.col("scan_id") == k).select(*KEYS).distinct() for k in (0, 1)))
+    """Voxels that each scan shares with the next."""
+    return voxel.overlaps_in_turn(_inside(spark, d), "scan_id")
 
 
-@query(f"(SELECT *, 1 AS side FROM ({_KEYS01[0]} EXCEPT {_KEYS01[1]})) UNION ALL (SELECT *, 2 AS side FROM ({_KEYS01[1]} EXCEPT {_KEYS01[0]}))", "pts ins")
+@query(f"{_TURN} SELECT *, 1 AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 2 AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "pts ins")
 def symmetric_difference(spark, d):
-    inside = _inside(spark, d)
-    return voxel.only_one(*(inside.where(F.col("scan_id") == k).select(*KEYS) for k in (0, 1)))
+    return voxel.sides_in_turn(_inside(spark, d), "scan_id").where("side <> 3")
 
 
 @query("SELECT DISTINCT gx, gy, gz FROM ins WHERE f0 IS NULL EXCEPT SELECT gx, gy, gz FROM ins WHERE f0 IS NOT NULL", "pts ins")
@@ -159,10 +155,16 @@ def voxels_without_features(spark, d):
     return inside.where("f0 is null").select(*KEYS).distinct().join(inside.where("f0 is not null").select(*KEYS), list(KEYS), "left_anti")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS broken", "")
+@query(
+    "SELECT count(*) AS voxels, CAST(sum(hits) AS DOUBLE) AS hits, count(*) FILTER (WHERE gx < 0 OR gx > 49 OR gy < 0 OR gy > 39 OR gz < 0 OR gz > 41 OR lo > hi OR one > two OR hits < 1) AS broken FROM (SELECT gx, gy, gz, count(DISTINCT scan_id) AS hits, min(z) AS lo, max(z) AS hi, min(scan_id) AS one, max(scan_id) AS two FROM ins GROUP BY gx, gy, gz)",
+    "pts ins",
+)
 def voxel_invariants(spark, d):
-    made = voxel.voxelize(tables.points(spark, d), META, ["f0"], F.col("scan_id").cast("double"), "avg")
-    return voxel.broken(made, META).agg(F.count(F.lit(1)).alias("broken"))
+    """Voxels, evidence and broken rows of the map that all scans make."""
+    scans = voxel.voxelize(tables.points(spark, d), META, ["f0"], F.col("scan_id").cast("double"), "avg", per=("scan_id",))
+    made = voxel.merge_all(scans, ["f0"], 0.5, "scan_id")
+    bad = voxel.broken(made, META).agg(F.count(F.lit(1)).alias("broken"))
+    return made.agg(F.count(F.lit(1)).alias("voxels"), F.sum("hits").alias("hits")).crossJoin(bad)
 
 
 # Rays
@@ -241,7 +243,7 @@ def bev_from_points(spark, d):
     return rounded(columns.bev_from_points(_inside(spark, d).drop(*KEYS), META, ["f0"]), "f0")
 
 
-_ELEV = "(SELECT gx, gy, min(z) AS lo, max(z) AS hi, count(*) AS n FROM ins WHERE scan_id = {} GROUP BY gx, gy)"
+_ELEV = "(SELECT gx, gy, min(z) AS lo, max(z) AS hi, count(*) AS n FROM ins GROUP BY gx, gy)"
 
 
 @query(f"SELECT gx, gy, {r6('min(z)')} AS min_elevation, {r6('max(z)')} AS max_elevation, count(*) AS hits FROM ins GROUP BY gx, gy", "pts ins")
@@ -249,36 +251,55 @@ def elevation_grid(spark, d):
     return rounded(columns.elevation_grid(_inside(spark, d).drop(*KEYS), META), "min_elevation", "max_elevation")
 
 
-@query(f"SELECT gx, gy, count(*) AS n, {r6('max(z)')} AS top FROM ins LEFT JOIN {_ELEV.format(0)} e USING (gx, gy) WHERE scan_id = 1 AND z < coalesce(lo, 1e10) + 2.0 GROUP BY gx, gy", "pts ins")
-def bev_overhang_filter(spark, d):
-    inside = _inside(spark, d).drop(*KEYS)
-    kept = columns.below_overhang(inside.where("scan_id = 1"), columns.elevation_grid(inside.where("scan_id = 0"), META), META, 2.0)
-    return rounded(kept.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top")), "top")
-
-
 @query(
-    f"SELECT gx, gy, {r6('least(coalesce(a.lo, b.lo), coalesce(b.lo, a.lo))')} AS min_elevation, {r6('CASE WHEN a.hi - least(a.lo, b.lo) > 6.0 AND b.hi - b.lo < 6.0 THEN b.hi ELSE greatest(coalesce(a.hi, b.hi), coalesce(b.hi, a.hi)) END')} AS max_elevation, CAST(coalesce(a.n, 0) + coalesce(b.n, 0) AS BIGINT) AS hits FROM {_ELEV.format(0)} a FULL JOIN {_ELEV.format(1)} b USING (gx, gy)",
+    f"+lows AS (SELECT scan_id, gx, gy, min(z) AS lo FROM ins GROUP BY ALL), mem AS (SELECT *, min(lo) OVER (PARTITION BY gx, gy ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM lows) SELECT scan_id, gx, gy, count(*) AS n, {r6('max(z)')} AS top FROM ins JOIN mem USING (scan_id, gx, gy) WHERE z < coalesce(low, 1e10) + 2.0 GROUP BY ALL",
     "pts ins",
 )
+def bev_overhang_filter(spark, d):
+    """Each scan's points below the overhang above what the scans before it saw."""
+    kept = columns.below_remembered(_inside(spark, d).drop(*KEYS), META, 2.0, "scan_id")
+    return rounded(kept.groupBy(F.col("scan_id").cast("long").alias("scan_id"), "gx", "gy").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("top")), "top")
+
+
+#: Numbers of the scans of the test points.
+SCANS = range(7)
+
+
+def _elevation_fold_sql() -> str:
+    scan = "(SELECT gx, gy, min(z) AS lo, max(z) AS hi, count(*) AS n FROM ins WHERE scan_id = {} GROUP BY gx, gy)"
+    out = f"+m0 AS {scan.format(SCANS[0])}"
+    for k in SCANS[1:]:
+        out += f", m{k} AS (SELECT gx, gy, least(coalesce(a.lo, b.lo), coalesce(b.lo, a.lo)) AS lo, CASE WHEN a.hi - least(a.lo, b.lo) > 6.0 AND b.hi - b.lo < 6.0 THEN b.hi ELSE greatest(coalesce(a.hi, b.hi), coalesce(b.hi, a.hi)) END AS hi, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM m{k - 1} a FULL JOIN {scan.format(k)} b USING (gx, gy))"
+    return out + f" SELECT gx, gy, {r6('lo')} AS min_elevation, {r6('hi')} AS max_elevation, CAST(n AS BIGINT) AS hits FROM m{SCANS[-1]}"
+
+
+@query(_elevation_fold_sql(), "pts ins")
 def bev_elevation_merge(spark, d):
-    inside = _inside(spark, d).drop(*KEYS)
-    grids = [columns.elevation_grid(inside.where(F.col("scan_id") == k), META) for k in (0, 1)]
-    return rounded(columns.merge_elevation(*grids, 6.0), "min_elevation", "max_elevation")
+    """Elevations of all scans, folded in order."""
+    grids = columns.elevation_grid(_inside(spark, d).drop(*KEYS), META, ("scan_id",))
+    return rounded(columns.fold_elevation(grids, 6.0, "scan_id"), "min_elevation", "max_elevation")
 
 
-@query(f"SELECT e.gx, e.gy, {r6('lo')} AS min_elevation, n AS num_points, {r6('coalesce(f, 0)')} AS f0, coalesce(k, 0) AS num_feature_points FROM {_ELEV.format(0)} e LEFT JOIN (SELECT gx, gy, avg(f0) AS f, count(*) AS k FROM ins WHERE scan_id = 0 AND f0 IS NOT NULL GROUP BY gx, gy) g ON e.gx = g.gx AND e.gy = g.gy", "pts ins")
+@query(f"SELECT e.gx, e.gy, {r6('lo')} AS min_elevation, n AS num_points, {r6('coalesce(f, 0)')} AS f0, coalesce(k, 0) AS num_feature_points FROM {_ELEV} e LEFT JOIN (SELECT gx, gy, avg(f0) AS f, count(*) AS k FROM ins WHERE f0 IS NOT NULL GROUP BY gx, gy) g ON e.gx = g.gx AND e.gy = g.gy", "pts ins")
 def bev_map(spark, d):
-    inside = _inside(spark, d).drop(*KEYS).where("scan_id = 0")
+    inside = _inside(spark, d).drop(*KEYS)
     both = columns.bev_map(columns.elevation_grid(inside, META), columns.bev_from_points(inside, META, ["f0"]), ["f0"])
     return rounded(both.select("gx", "gy", "min_elevation", "num_points", "f0", "num_feature_points"), "min_elevation", "f0")
 
 
-@query(f"SELECT CAST(k // 40 AS BIGINT) AS gx, CAST(k % 40 AS BIGINT) AS gy, {r6('coalesce(lo, 0.0)')} AS min_elevation FROM (SELECT unnest(range(2000)) AS k) LEFT JOIN {_ELEV.format(0)} e ON e.gx = k // 40 AND e.gy = k % 40", "pts ins")
+@query(f"SELECT CAST(k // 40 AS BIGINT) AS gx, CAST(k % 40 AS BIGINT) AS gy, {r6('coalesce(lo, 0.0)')} AS min_elevation FROM (SELECT unnest(range(2000)) AS k) LEFT JOIN {_ELEV} e ON e.gx = k // 40 AND e.gy = k % 40", "pts ins")
 def bev_dense(spark, d):
-    grid = columns.elevation_grid(_inside(spark, d).drop(*KEYS).where("scan_id = 0"), META).select("gx", "gy", "min_elevation")
+    grid = columns.elevation_grid(_inside(spark, d).drop(*KEYS), META).select("gx", "gy", "min_elevation")
     return rounded(columns.densify(grid, META), "min_elevation")
 
 
+@query(f"SELECT CAST(k // 40 AS BIGINT) AS gx, CAST(k % 40 AS BIGINT) AS gy, {r6('coalesce(lo, -1.0)')} AS min_elevation, coalesce(n, 0) AS hits FROM (SELECT unnest(range(2000)) AS k) LEFT JOIN {_ELEV} e ON e.gx = k // 40 + 3 AND e.gy = k % 40 - 5", "pts ins")
+def bev_shift(spark, d):
+    """The map after its origin has moved 3 cells on and 5 cells back; what comes in is -1 without hits."""
+    grid = columns.elevation_grid(_inside(spark, d).drop(*KEYS), META).select("gx", "gy", "min_elevation", "hits")
+    return rounded(columns.shift(grid, META, (3, -5), {"min_elevation": -1.0, "hits": 0}), "min_elevation")
+
+
 # Stencils
 
 GAUSS = kernel("gaussian", 2.0, 1.0, 2.0)
@@ -371,18 +392,25 @@ def signed_distance(spark, d):
 _POSES = "(SELECT DISTINCT (event_id * 7) % 40 + 0.25 AS px, (event_id * 11) % 40 + 0.75 AS py FROM events)"
 
 
-@query(f"SELECT i, j, CASE WHEN d <= 4.0 THEN {r6('d')} ELSE 100.0 END AS distance FROM (SELECT i, j, min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2))) AS d FROM cells CROSS JOIN {_POSES} p GROUP BY i, j)", "cells")
+@query(f"SELECT i, j, {r6('min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2)))')} AS distance FROM cells CROSS JOIN {_POSES} p GROUP BY i, j", "cells")
 def distance_to_trajectory(spark, d):
+    poses = tables.table(spark, d, "events").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py"))
+    return rounded(stencil.nearest_distance(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0), "distance")
+
+
+@query(f"SELECT i, j, CASE WHEN d <= 0.6 THEN {r6('d')} ELSE 100.0 END AS distance FROM (SELECT i, j, min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2))) AS d FROM cells CROSS JOIN {_POSES} p GROUP BY i, j)", "cells")
+def trajectory_within_reach(spark, d):
+    """distance_to_trajectory for users who ask for the surroundings of a path only: cells farther away get a bound."""
     poses = tables.table(spark, d, "events").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py")).distinct()
-    made = stencil.distance_to(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0, 100.0)
-    return made.withColumn("distance", F.when(F.col("distance") <= 4.0, round6("distance")).otherwise(F.col("distance")))
+    made = stencil.distance_to(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 0.6, 100.0)
+    return made.withColumn("distance", F.when(F.col("distance") <= 0.6, round6("distance")).otherwise(F.col("distance")))
 
 
-@query(f"SELECT i, j, {r6('min(sqrt(power(i + 0.5 - px, 2) + power(j + 0.5 - py, 2)))')} AS distance FROM cells CROSS JOIN (SELECT DISTINCT (event_id * 7) % 40 + 0.25 AS px, (event_id * 11) % 40 + 0.75 AS py FROM events) p GROUP BY i, j", "cells")
-def distance_to_trajectory_any(spark, d):
-    """distance_to_trajectory over all poses, without a bound."""
-    poses = tables.table(spark, d, "events").select((F.col("event_id") * 7 % 40 + 0.25).alias("px"), (F.col("event_id") * 11 % 40 + 0.75).alias("py"))
-    return rounded(stencil.nearest_distance(tables.cells(spark, d).select("i", "j"), poses, F.col("i") + 0.5, F.col("j") + 0.5, 4.0), "distance")
+@query(f"+{_taps('x5', [(0, 0, 1.0), (-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)])}, wide AS (SELECT i, j, CAST(s > 0 AS DOUBLE) AS m FROM {_near({'s': 'n.m'}, 'x5')}), shut AS (SELECT i, j, s > 4.5 AS m FROM {_near({'s': 'n.m'}, 'x5', 'wide')}) SELECT a.i, a.j, a.m AS closed, {r6('0.5 * CASE WHEN a.m THEN -sqrt(min(CASE WHEN NOT b.m THEN power(a.i - b.i, 2) + power(a.j - b.j, 2) END)) ELSE sqrt(min(CASE WHEN b.m THEN power(a.i - b.i, 2) + power(a.j - b.j, 2) END)) END')} AS sdf FROM shut a CROSS JOIN shut b GROUP BY a.i, a.j, a.m", "cells bev")
+def closed_distance(spark, d):
+    """Signed distance after holes of the mask are closed."""
+    shut = stencil.closed(_bev(spark, d), F.col("m") > 0)
+    return rounded(stencil.signed_distance(shut, F.col("closed"), 0.5).join(shut.select("i", "j", "closed"), ["i", "j"]), "sdf")
 
 
 @query()
@@ -430,15 +458,8 @@ def latest_message(spark, d):
 _IDX = "f AS (SELECT run, p, row_number() OVER (PARTITION BY run ORDER BY t) AS idx FROM odo)"
 
 
-@query(f"+{_IDX} SELECT a.run, a.idx, coalesce(min(CASE WHEN b.idx IS NULL OR abs(a.p - b.p) > 120 THEN k END) - 1, a.idx + 20) AS last_idx FROM (SELECT f.*, unnest(range(idx, idx + 21)) AS k FROM f) a LEFT JOIN f b ON a.run = b.run AND a.k = b.idx GROUP BY a.run, a.idx", "odo")
-def last_overlapping_frame(spark, d):
-    frames = tables.odometry(spark, d).select("run", "p", F.row_number().over(Window.partitionBy("run").orderBy("t")).cast("long").alias("idx"))
-    return temporal.last_overlap(frames, "run", 60.0, 20)
-
-
 @query(f"+{_IDX} SELECT a.run, a.idx, coalesce(min(CASE WHEN abs(a.p - b.p) > 120 THEN b.idx END) - 1, max(b.idx)) AS last_idx FROM f a JOIN f b ON a.run = b.run AND b.idx >= a.idx GROUP BY a.run, a.idx", "odo")
-def last_overlapping_frame_any(spark, d):
-    """last_overlapping_frame without its look-ahead of 20 frames."""
+def last_overlapping_frame(spark, d):
     frames = tables.odometry(spark, d).select("run", "p", F.row_number().over(Window.partitionBy("run").orderBy("t")).cast("long").alias("idx"))
     return temporal.last_overlap_any(frames, "run", 60.0)
 
@@ -468,7 +489,7 @@ CAMERAS = [
 _PROJ = (
     "cams AS (SELECT * FROM (VALUES (0, 4.0, -4.0, -20.0, 4.0, -4.0, -80.0, 1.0, -25.0), (1, -4.0, 4.0, 20.0, -4.0, -4.0, 120.0, -1.0, 25.0)) t(cam, a, b, c, e, f, g, h, o)), raw AS (SELECT gx, gy, gz, cam, a * x + b * y + c AS u_, e * x + f * z + g AS v_, h * x + o AS depth FROM vox CROSS JOIN cams), "
     "seen AS (SELECT gx, gy, gz, cam, CAST(depth AS DOUBLE) AS depth, CAST(u_ AS DOUBLE) / CAST(depth AS DOUBLE) AS u, CAST(v_ AS DOUBLE) / CAST(depth AS DOUBLE) AS v FROM raw WHERE depth > 0 AND CAST(u_ AS DOUBLE) / depth >= 0 AND CAST(u_ AS DOUBLE) / depth < 8 AND CAST(v_ AS DOUBLE) / depth >= 0 AND CAST(v_ AS DOUBLE) / depth < 8), "
-    "px AS (SELECT CAST(vec_id AS INT) AS cam, d % 8 AS pu, d // 8 AS pv, x AS value FROM (SELECT vec_id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 2))"
+    "px AS (SELECT CAST(vec_id AS INT) AS cam, d % 8 AS pu, d // 8 AS pv, avg(x) AS value FROM (SELECT vec_id % 2 AS vec_id, unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL)"
 )
 
 
@@ -477,7 +498,9 @@ def _seen(spark, d):
 
 
 def _pixels(spark, d):
-    return tables.descriptors(spark, d).where("vec_id < 2").select(F.col("vec_id").cast("int").alias("cam"), F.posexplode("v").alias("d", "value")).select("cam", (F.col("d") % 8).cast("long").alias("pu"), F.floor(F.col("d") / 8).alias("pv"), "value")
+    """The mean image of either camera: all embeddings are their images in turn."""
+    each = tables.descriptors(spark, d).select((F.col("vec_id") % 2).cast("int").alias("cam"), F.posexplode("v").alias("d", "value"))
+    return each.groupBy("cam", (F.col("d") % 8).cast("long").alias("pu"), F.floor(F.col("d") / 8).alias("pv")).agg(F.avg("value").alias("value"))
 
 
 @query(f"+{_PROJ} SELECT gx, gy, gz, cam, {r6('u')} AS u, {r6('v')} AS v, {r6('depth')} AS depth FROM seen", "pts ins vox")
@@ -580,9 +603,9 @@ def class_iou(spark, d):
     return rounded(vectors.confusion(at, "label", "centre"), "iou")
 
 
-@query(f"SELECT a, b, {r6('sum(v[a + 1] * v[b + 1])')} AS g FROM (SELECT CAST(v AS DOUBLE[]) AS v FROM desc_) CROSS JOIN (SELECT unnest(range(8)) AS a) CROSS JOIN (SELECT unnest(range(8)) AS b) WHERE a <= b GROUP BY a, b", "desc_")
+@query(f"SELECT a, b, {r6('sum(v[a + 1] * v[b + 1])')} AS g FROM (SELECT CAST(v AS DOUBLE[]) AS v FROM desc_) CROSS JOIN (SELECT unnest(range(64)) AS a) CROSS JOIN (SELECT unnest(range(64)) AS b) WHERE a <= b GROUP BY a, b", "desc_")
 def gramian(spark, d):
-    return rounded(vectors.gramian(tables.descriptors(spark, d), 8).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "g"), "g")
+    return rounded(vectors.gramian(tables.descriptors(spark, d), 64), "g")
 
 
 @query()
@@ -617,26 +640,72 @@ def _covariances(spark, d):
     return _inside(spark, d).where("f0 is not null").withColumns(noise)
 
 
-@query(f"+c AS (SELECT *, f0 + 0.01 + f1 + 0.02 + f0 + f1 + 0.01 AS tr FROM ins WHERE f0 IS NOT NULL), q AS (SELECT round(quantile_cont(tr, 0.99), 9) AS q FROM c) SELECT gx, gy, gz, count(*) AS n, {r6('avg(f0)')} AS f0 FROM c, q WHERE tr <= q.q + 1e-6 GROUP BY gx, gy, gz", "pts ins")
+def _inverse_sql(m: list[str]) -> list[str]:
+    """Six entries of the inverse of a symmetric matrix, 1e-6 added to its diagonal."""
+    a, b, c, d, e, f = (f"({x} + 1e-6)" if k in (0, 3, 5) else f"({x})" for k, x in enumerate(m))
+    return [f"(({x}) / ({_determinant_sql([a, b, c, d, e, f])}))" for x in (f"{d} * {f} - {e} * {e}", f"{c} * {e} - {b} * {f}", f"{b} * {e} - {c} * {d}", f"{a} * {f} - {c} * {c}", f"{b} * {c} - {a} * {e}", f"{a} * {d} - {b} * {b}")]
+
+
+def _determinant_sql(m: list[str]) -> str:
+    a, b, c, d, e, f = (f"({x})" for x in m)
+    return f"{a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {c} * {e}) + {c} * ({b} * {e} - {c} * {d})"
+
+
+_SIX = [f"c_{k}" for k in covariance.SIX]
+_COV = "c AS (SELECT *, f0 + 0.01 AS c_xx, 0.001::DOUBLE AS c_xy, 0.0::DOUBLE AS c_xz, f1 + 0.02 AS c_yy, 0.002::DOUBLE AS c_yz, f0 + f1 + 0.01 AS c_zz FROM ins WHERE f0 IS NOT NULL), lim AS (SELECT quantile_cont(c_xx + c_yy + c_zz, 0.99) AS q FROM c)"
+
+
+def _fused_sql(source: str, key: str) -> str:
+    """CTEs ending in `fused`: covariance of the mean precision, weighted centre and mean feature of each key."""
+    p = _inverse_sql(_SIX)
+    full = [[0, 1, 2], [1, 3, 4], [2, 4, 5]]
+    six = covariance.SIX
+    sums = ", ".join([f"avg(p_{k}) AS c_{k}" for k in six] + [f"avg({' + '.join(f'p_{six[full[r][c]]} * {a}' for c, a in enumerate('xyz'))}) AS b{r}" for r in range(3)])
+    centre = ", ".join(f"{' + '.join(f'v_{six[full[r][c]]} * b{c}' for c in range(3))} AS m_{a}" for r, a in enumerate("xyz"))
+    return (
+        f"prec AS (SELECT {key}, x, y, z, f0, {', '.join(f'{v} AS p_{k}' for k, v in zip(six, p, strict=True))} FROM {source}), mean AS (SELECT {key}, avg(f0) AS f, {sums} FROM prec GROUP BY {key}), "
+        f"inv AS (SELECT *, {', '.join(f'{v} AS v_{k}' for k, v in zip(six, _inverse_sql(_SIX), strict=True))} FROM mean), fused AS (SELECT {key}, f, {', '.join(f'v_{k}' for k in six)}, {centre} FROM inv)"
+    )
+
+
+_SHOWN = ", ".join([f"{r6('f')} AS f0", *(f"{r6(f'v_{k}')} AS cov_{k}" for k in covariance.SIX), *(f"{r6(f'm_{a}')} AS center_{a}" for a in "xyz")])
+
+
+def _covariance_fold_sql() -> str:
+    six, shown = covariance.SIX, ["f", *(f"v_{k}" for k in covariance.SIX), *(f"m_{a}" for a in "xyz")]
+    out = f"+{_COV}, {_fused_sql('c', 'scan_id, gx, gy, gz')}, t{SCANS[0]} AS (SELECT * EXCLUDE (scan_id) FROM fused WHERE scan_id = {SCANS[0]})"
+    for n in SCANS[1:]:
+        sides = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in shown)
+        weight = {s: f"exp(-0.5 * (3 * ln(2 * pi()) + ln({_determinant_sql([f'{s}_v_{k} + 1e-6' if k in ('xx', 'yy', 'zz') else f'{s}_v_{k}' for k in six])})))" for s in "ab"}
+        half = {s: _inverse_sql([f"{s}_v_{k}" for k in six]) for s in "ab"}
+        halves = ", ".join(f"0.5 * {a} + 0.5 * {b} AS h_{k}" for k, a, b in zip(six, half["a"], half["b"], strict=True))
+        joint = [("f", "(wa * a_f + wb * b_f) / (wa + wb + 1e-6)"), *zip([f"v_{k}" for k in six], _inverse_sql([f"h_{k}" for k in six]), strict=True), *((f"m_{a}", f"(a_m_{a} + b_m_{a}) / 2") for a in "xyz")]
+        out += f", j{n} AS (SELECT gx, gy, gz, {sides} FROM t{n - 1} a FULL JOIN (SELECT * FROM fused WHERE scan_id = {n}) b USING (gx, gy, gz)), w{n} AS (SELECT *, {weight['a']} AS wa, {weight['b']} AS wb, {halves} FROM j{n})"
+        out += f", t{n} AS (SELECT gx, gy, gz, {', '.join(f'coalesce({v}, a_{c}, b_{c}) AS {c}' for c, v in joint)} FROM w{n})"
+    return out + f" SELECT gx, gy, gz, {_SHOWN} FROM t{SCANS[-1]}"
+
+
+@query(f"+{_COV} SELECT gx, gy, gz, count(*) AS n, {r6('avg(f0)')} AS f0 FROM c, lim WHERE c_xx + c_yy + c_zz <= q + 1e-6 GROUP BY gx, gy, gz", "pts ins")
 def covariance_outliers(spark, d):
-    rows = _covariances(spark, d)
-    limit = rows.agg(F.percentile(F.col("cov_xx") + F.col("cov_yy") + F.col("cov_zz"), 0.99).alias("q")).first()["q"]
-    kept = rows.where(F.col("cov_xx") + F.col("cov_yy") + F.col("cov_zz") <= F.lit(round(limit, 9) + 1e-6 if limit is not None else None).cast("double"))
+    kept = covariance.without_outliers(_covariances(spark, d), "cov", slack=1e-6)
     return rounded(kept.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.avg("f0").alias("f0")), "f0")
 
 
-@query()
+@query(f"+{_COV}, few AS (SELECT c.* FROM c, lim WHERE c_xx + c_yy + c_zz <= q + 1e-6 AND c_xx > 0 AND c_xx * c_yy - c_xy * c_xy > 0 AND {_determinant_sql(_SIX)} > 0), {_fused_sql('few', 'gx, gy, gz')} SELECT gx, gy, gz, {_SHOWN} FROM fused", "pts ins")
 def covariance_voxels(spark, d):
-    rows = covariance.without_outliers(_covariances(spark, d), "cov").where(covariance.positive(covariance.of("cov")))
+    rows = covariance.without_outliers(_covariances(spark, d), "cov", slack=1e-6).where(covariance.positive(covariance.of("cov")))
     made = covariance.fuse_points(rows, list(KEYS), "cov", ["f0"])
     return rounded(made, *(c for c in made.columns if c not in KEYS))
 
 
-@query()
+@query(_covariance_fold_sql(), "pts ins")
 def covariance_merge(spark, d):
-    rows = _covariances(spark, d)
-    sides = [covariance.fuse_points(rows.where(F.col("scan_id") == k), list(KEYS), "cov", ["f0"]) for k in (0, 1)]
-    made = covariance.merge(*sides, list(KEYS), ["f0"])
+    """Covariance voxels of all scans, merged in order."""
+    per_scan = covariance.fuse_points(_covariances(spark, d), ["scan_id", *KEYS], "cov", ["f0"])
+    made = None
+    for k in SCANS:
+        one = per_scan.where(F.col("scan_id") == k).drop("scan_id")
+        made = one if made is None else covariance.merge(made, one, list(KEYS), ["f0"])
     return rounded(made, *(c for c in made.columns if c not in KEYS))
 
 
@@ -677,3 +746,8 @@ def hourly_windows(spark, d):
     hour = 3_600_000_000
     at = tables.odometry(spark, d).withColumn("hour_us", F.floor(F.col("t") / hour).cast("long") * hour)
     return at.groupBy(F.col("run").alias("user_id"), "hour_us").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The same queries under the names that they had while these had a cap.
+for _name in ("last_overlapping_frame", "distance_to_trajectory"):
+    QUERIES[f"{_name}_any"], ORACLE_SQL[f"{_name}_any"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -207,3 +207,12 @@ def test_rays_of_a_turned_sensor(spark):
     got = rays.local(df, (1.0, 0.0, 3.0, 0.0, 0.0, h, h), F.col("x"), F.col("y"), F.col("z")).collect()
     assert abs(got[0].az) < 1e-9 and abs(got[0].el) < 1e-9 and abs(got[0].range - 2) < 1e-9
     assert abs(got[1].az - np.arctan2(1, 5)) < 1e-9 and abs(got[1].el - np.arctan2(-3, 26**0.5)) < 1e-9
+
+
+def test_exact_quantile_by_histograms(spark):
+    rng = np.random.default_rng(8)
+    for values in (rng.lognormal(sigma=4, size=3000), rng.integers(0, 5, 500).astype(float), np.array([2.5]), np.append(np.zeros(99), 7.0)):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.25, 0.5, 0.99, 1.0):
+            assert np.isclose(covariance.quantile(rows, F.col("v"), share, 8), np.quantile(values, share), rtol=1e-12)
+    assert covariance.quantile(rows.where("false"), F.col("v"), 0.5) is None
