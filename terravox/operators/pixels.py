@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,26 @@ def bilinear(coords: DataFrame, pixels: DataFrame, key: list[str], image: str, w
     return at.join(pixels, [image, "pu", "pv"]).groupBy(*key).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
 
 
+def resize(image: DataFrame, key: list[str], size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
+    """Images (key, u, v, value) at another size, as rows (key, ou, ov, value).
+
+    Weights and source pixels depend on the sizes alone: a source pixel is spread over its targets, one shuffle in all.
+    """
+    def shares(n: int, m: int) -> list[list[tuple[int, float]]]:
+        out = [dict() for _ in range(n)]
+        for o in range(m):
+            at = (o + 0.5) * n / m - 0.5
+            low = math.floor(at)
+            for source, w in ((low, 1 - (at - low)), (low + 1, at - low)):
+                held = max(0, min(n - 1, source))
+                out[held][o] = out[held].get(o, 0.0) + w
+        return [sorted(x.items()) for x in out]
+
+    taps = lambda n, m: F.array(*(F.array(*(F.struct(F.lit(o).cast("long").alias("o"), F.lit(w).alias("w")) for o, w in s)) for s in shares(n, m)))
+    wide = image.withColumn("_u", F.explode(taps(size[0], to[0])[F.col("u").cast("int")])).withColumn("_v", F.explode(taps(size[1], to[1])[F.col("v").cast("int")]))
+    return wide.groupBy(*key, F.col("_u.o").alias("ou"), F.col("_v.o").alias("ov")).agg(F.sum(F.col("_u.w") * F.col("_v.w") * F.col("value")).alias("value"))
+
+
 def colorize(points: DataFrame, sampled: DataFrame, key: list[str], value: str = "value", eps: float = 1e-6) -> DataFrame:
     """Mean over the cameras that see a point, and their number; unseen points are 0."""
     mean = sampled.groupBy(*key).agg((F.sum(value) / (F.count(F.lit(1)) + eps)).alias(value), F.count(F.lit(1)).alias("n_cams"))

@@ -25,6 +25,11 @@ def _as_of(left: DataFrame, right: DataFrame, key: str, fields: list[str], slice
     return matched.join(carried, [key, "_s"], "left").select("_l.*", F.coalesce("_in", "_before").alias("_found"))
 
 
+def at_or_before(left: DataFrame, right: DataFrame, key: str, fields: list[str], slice_us: int) -> DataFrame:
+    """left with _found, the struct (t, fields) of the key's last right row at or before its t."""
+    return _as_of(left, right, key, fields, slice_us, False)
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, fields: list[str], slice_us: int = 86_400_000_000, tolerance_us: int | None = None) -> DataFrame:
     """left with the fields of the right row nearest in time (the earlier of a tie), null beyond the tolerance."""
     both = neighbours(left, right, key, fields, slice_us)

@@ -751,3 +751,5 @@ def hourly_windows(spark, d):
 # The same queries under the names that they had while these had a cap.
 for _name in ("last_overlapping_frame", "distance_to_trajectory"):
     QUERIES[f"{_name}_any"], ORACLE_SQL[f"{_name}_any"] = QUERIES[_name], ORACLE_SQL[_name]
+
+from . import motion, vocabulary  # noqa: E402, F401  (their queries enter themselves)

@@ -124,3 +124,10 @@ def run(blocks: list[dict], voxels: DataFrame, resolution: float, bev: DataFrame
             raise ValueError(f"{spec['type']} needs layers {missing}")
         bev = apply(bev, voxels, p, resolution)
     return bev
+
+
+def wave(spark, n: int, height: float, kx: float, ky: float) -> DataFrame:
+    """A made-up map of n x n cells of one metre, height * sin(kx i) cos(ky j), with its true slopes."""
+    at = spark.range(n * n).select(F.floor(F.col("id") / n).alias("i"), (F.col("id") % n).alias("j"))
+    x, y = kx * F.col("i"), ky * F.col("j")
+    return at.select("i", "j", (height * F.sin(x) * F.cos(y)).alias("z"), (height * kx * F.cos(x) * F.cos(y)).alias("slope_x"), (-height * ky * F.sin(x) * F.sin(y)).alias("slope_y"))

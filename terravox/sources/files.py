@@ -25,18 +25,30 @@ def npy_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, values) of text files with numbers between blanks, such as stamps and poses."""
+    """Rows (path, values) of text files with numbers between blanks, such as stamps and poses; null for what is no number."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.trim("value").alias("line")).where("line <> ''")
-    return lines.select("path", F.transform(F.split("line", r"\s+"), lambda x: x.cast("double")).alias("values"))
+    return lines.select("path", F.transform(F.split("line", r"\s+"), lambda x: x.try_cast("double")).alias("values"))
 
 
-def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, v, u, r, g, b) in [0, 1] of image files; one channel counts for all three."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    at = images.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
-    byte = lambda c: F.conv(F.hex(F.substring("data", 1, 0)), 16, 10) if c is None else F.conv(F.hex(F.expr(f"substring(data, k * nChannels + {c} + 1, 1)")), 16, 10).cast("double") / 255
-    channel = lambda c: F.when(F.col("nChannels") == 1, byte(0)).otherwise(byte(c))
-    return at.select(F.col("origin").alias("path"), F.floor(F.col("k") / F.col("width")).alias("v"), (F.col("k") % F.col("width")).alias("u"), channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+def image_pixels(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
+    """Rows (path, v, u, r, g, b) in [0, 1] of image files; one channel counts for all three, a fourth is left out.
+
+    A file that is no image gives one row of nulls beside its path, or none with drop_invalid.
+    """
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, w, h, n, raw in zip(batch["origin"], batch["width"], batch["height"], batch["nChannels"], batch["data"], strict=True):
+                if w <= 0 or h <= 0:
+                    yield pd.DataFrame({"path": [name], **{c: [None] for c in ("v", "u", "r", "g", "b")}})
+                    continue
+                bgr = np.frombuffer(raw, np.uint8).reshape(h, w, n)[..., : 1 if n == 1 else 3] / 255.0
+                v, u = np.divmod(np.arange(h * w), w)
+                flat = np.broadcast_to(bgr, (h, w, 3)).reshape(-1, 3)
+                yield pd.DataFrame({"path": name, "v": v, "u": u, "r": flat[:, 2], "g": flat[:, 1], "b": flat[:, 0]})
+
+    images = spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")
+    return images.select("origin", "width", "height", "nChannels", "data").mapInPandas(decode, "path string, v long, u long, r double, g double, b double")
 
 
 def packed_points(df: DataFrame, content: str = "content", colour: bool = False) -> DataFrame:
