@@ -11,12 +11,13 @@ table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, literal_array
+from .common import documents, literal_array, shared_folder
 
 SHARDS = 24
 VIRTUAL_SLOTS = 4096
@@ -88,23 +89,36 @@ def slot_sizes(sized: DataFrame, slots: int = VIRTUAL_SLOTS) -> tuple[list[int],
     return size, count
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, old: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Records with shard and place in it (slot, gapless from 0), and the map that puts them there."""
-    sized = records(docs, slots)
-    size, count = slot_sizes(sized, slots)
-    chosen = rebalance(old or first_map(shards, slots), size, shards)
-    first, filled = [], [0] * shards
-    for slot, s in enumerate(chosen.shard_of):
+def place(sized: DataFrame, slot_map: SlotMap, count: list[int]) -> DataFrame:
+    """Records with the shard that the map gives their virtual slot, and their place in it (slot, gapless from 0)."""
+    first, filled = [], [0] * slot_map.shards
+    for slot, s in enumerate(slot_map.shard_of):
         first.append(filled[s])
         filled[s] += count[slot]
     within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
-    placed = sized.withColumn("within", within).select(
+    return sized.withColumn("within", within).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
-        literal_array(chosen.shard_of, "int")[F.col("virtual_slot")].alias("shard"),
+        literal_array(slot_map.shard_of, "int")[F.col("virtual_slot")].alias("shard"),
         (literal_array(first, "bigint")[F.col("virtual_slot")] + F.col("within") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
-    return placed, chosen
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = VIRTUAL_SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """Records placed by the newest map of the table at path, and that map.
+
+    Without a path a new table with version 1 is written into the shared folder. The newest version is edited
+    by the bytes of these slots, the edit is appended as the next version, and records are placed by what is read back.
+    """
+    spark = docs.sparkSession
+    if path is None:
+        path = f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+        save_map(spark, first_map(shards, slots), path)
+    sized = records(docs, slots)
+    size, count = slot_sizes(sized, slots)
+    save_map(spark, rebalance(load_map(spark, path), size, shards), path)
+    stored = load_map(spark, path)
+    return place(sized, stored, count), stored
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

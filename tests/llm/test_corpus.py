@@ -140,6 +140,32 @@ def test_toxicity_on_held_out_words(spark):
 # 3
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """Each word's mean share of the margin, the worst word of a text, and the logistic of it, one n-gram after the other."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.DIMENSIONS)).astype(np.float32), rng.normal(size=(toxicity.DIMENSIONS, 2)).astype(np.float32), np.array([0.3, -0.2], np.float32), 0.7, -0.1)
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = ((h ^ c) * 0x9E3779B97F4A7C15) & mask
+            h ^= h >> 29
+        return h % toxicity.BUCKETS
+
+    def margin(word):
+        raw = b"<" + word.lower().encode() + b">"
+        bag = np.mean([model.embeddings[bucket(raw[k : k + n])] for n in toxicity.NGRAMS for k in range(len(raw) - n + 1)], axis=0)
+        out = bag @ model.outputs + model.bias
+        return 0.7 * float(out[1] - out[0]) - 0.1
+
+    empty_text = 0.7 * float(model.bias[1] - model.bias[0]) - 0.1
+    rows = odd(spark).where("doc_id is null or doc_id not in (7, 8)").select("doc_id", "text")
+    for r in toxicity.score(rows, model).collect():
+        worst = max((margin(w) for w in words(r.text)), default=empty_text)
+        assert abs(r.score - 1 / (1 + math.exp(-worst))) < 1e-5
+
+
 @pytest.mark.parametrize("width,threshold", [(3, 90), (5, 80)])
 def test_jaccard_against_brute_force(spark, sf, width, threshold):
     rng = np.random.default_rng(4)
@@ -373,17 +399,53 @@ def test_webp_far_references_and_tiles_of_codes():
     assert (got >> np.uint32(8) & np.uint32(255)).tolist() == [10, 20, 30, 30, 30, 30, 10, 20]
 
 
+def test_media_columns_against_the_texts(spark, sf):
+    docs = odd(spark).select("doc_id", "text").unionByName(common.documents(spark, sf).select("doc_id", "text"))
+    media = webp.store(docs)
+    stored = Counter((r.doc_id, hashlib.sha256(r.media).hexdigest(), len(r.media)) for r in media.collect())
+    got = webp.read(media).collect()
+    assert Counter((r.doc_id, r.media_sha256, r.media_bytes) for r in got) == stored
+
+    def columns(doc_id, text):
+        raw = (text or "").encode()
+        full = raw + b" " * (-len(raw) % 192 if raw else 192)
+        return doc_id, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])
+
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == Counter(columns(r.doc_id, r.text) for r in docs.collect())
+    by_payload = {}
+    for r in got:
+        assert by_payload.setdefault((r.n_bytes, r.payload_sha256), (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+
+
 # 7
 
 
-def test_sharding(spark, sf):
-    placed, slots = sharding.shard(common.documents(spark, sf))
+def test_sharding(spark, sf, tmp_path):
+    path = str(tmp_path / "maps")
+    sharding.save_map(spark, sharding.first_map(24), path)
+    docs = common.documents(spark, sf)
+    placed, slots = sharding.shard(docs, path=path)
     rows = placed.collect()
+    texts = Counter((r.doc_id, r.text) for r in docs.collect())
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts.elements())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    loads = []
     for s in range(24):
-        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+        own = [r for r in rows if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        loads.append(sum(r["size"] for r in own))
+    # No shard is farther from another than the lightest slot that could move between them.
+    weight = Counter()
+    for r in rows:
+        weight[r.virtual_slot] += r["size"]
+    heaviest = loads.index(max(loads))
+    assert max(loads) - min(loads) <= min(w for v, w in weight.items() if slots.shard_of[v] == heaviest)
     assert all(slots.shard_of[r.virtual_slot] == r.shard for r in rows)
-    grown = sharding.rebalance(slots, [1] * len(slots.shard_of), 25)
-    assert all(b == 24 for a, b in zip(slots.shard_of, grown.shard_of, strict=True) if a != b) or grown.version == slots.version + 1
+    # Versions stay readable; a second table of more shards edits the newest one.
+    assert sharding.load_map(spark, path, 1) == sharding.first_map(24) and sharding.load_map(spark, path) == slots and slots.version == 2
+    _, grown = sharding.shard(docs, shards=25, path=path)
+    moved = [(a, b) for a, b in zip(slots.shard_of, grown.shard_of, strict=True) if a != b]
+    assert grown.version == 3 and sharding.load_map(spark, path) == grown and any(b == 24 for _, b in moved)
 
 
 # 8
@@ -426,6 +488,35 @@ def test_quality_base_figures(spark, labels):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_verdict_against_brute_force(spark, sf):
+    """The log-likelihood ratio and the verdict in plain Python; only the hash of an n-gram is taken from Spark."""
+    buckets, threshold = 512, -0.02
+    docs = common.documents(spark, sf).select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    texts = [(r.doc_id, words(r.text), r.text) for r in docs.collect()]
+    grams = lambda ws: list(zip(ws, [*ws[1:], None], strict=False))
+    known = sorted({g for _, ws, _ in texts for g in grams(ws)}, key=repr)
+    hashed = spark.createDataFrame(known, "a string, b string").select("a", "b", *quality.buckets_of(F.struct("a", "b"), buckets)).collect()
+    bucket = {(r[0], r[1]): (r[2], r[3]) for r in hashed}
+    good_ids = {r.doc_id for r in marks.where("quality = 1 and doc_id is not null").collect()}
+    raw, good = Counter(), Counter()
+    for i, ws, _ in texts:
+        for g in grams(ws):
+            raw.update(bucket[g])
+            if i in good_ids:
+                good.update(bucket[g])
+    n, t = sum(raw.values()), sum(good.values())
+    share = lambda b: (raw[b] + 1) / (n + buckets)
+    ratio = lambda b: math.log((good[b] + buckets * share(b)) / (t + buckets)) - math.log(share(b))
+    want = {(i, x): sum(ratio(b) for g in grams(ws) for b in bucket[g]) / (2 * len(ws)) if ws else 0.0 for i, ws, x in texts}
+    got = quality.judge(docs, marks, buckets, threshold).collect()
+    assert len(got) == len(texts) and 0 < len(good_ids)
+    for r in got:
+        assert abs(r.llr - want[r.doc_id, r.text]) < 1e-9
+        assert r.kept == (not r.base_failed and r.llr >= threshold)
+    assert {r.kept for r in got if not r.base_failed} == {True, False}
+
+
 # 10
 
 
