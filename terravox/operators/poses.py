@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Cols, pose_matrix, transform
 from . import rays, temporal
 
 POSITION, TURN = ("px", "py", "pz"), ("qx", "qy", "qz", "qw")
-DAY = 86_400_000_000
+DAY = temporal.DAY
 
 
 def product(a: Cols, b: Cols) -> Cols:
@@ -95,8 +95,11 @@ def before_hidden_run(poses: DataFrame, key: str, share: float, longest: int) ->
     return temporal.before_run(poses, key, F.col("occluded") > share, longest)
 
 
-def speeds(rows: DataFrame, key: str) -> DataFrame:
+def speeds(rows: DataFrame, key: str, slice_us: int = DAY) -> DataFrame:
     """rows with speed: metres a second from the row before by stamp; null for a key's first."""
-    order = Window.partitionBy(key).orderBy("t")
-    way = F.sqrt(sum(((F.col(c) - F.lag(c).over(order)) ** 2 for c in POSITION), F.lit(0.0)))
-    return rows.withColumn("speed", way / F.nullif((F.col("t") - F.lag("t").over(order)) / 1e6, F.lit(0.0)))
+
+    def speed(order):
+        way = F.sqrt(sum(((F.col(c) - F.lag(c).over(order)) ** 2 for c in POSITION), F.lit(0.0)))
+        return way / F.nullif((F.col("t") - F.lag("t").over(order)) / 1e6, F.lit(0.0))
+
+    return temporal.looking_back(rows, key, 1, {"speed": speed}, slice_us)

@@ -1,7 +1,8 @@
 """Streams of stamps (microseconds): nearest matches, interpolation, overlaps and gates.
 
 As-of lookups never sort a whole run in one task: time is cut into slices, the last row of each slice is carried to the
-next by a window over slices (one row each), and rows are matched within their slice.
+next by a window over slices (one row each), and rows are matched within their slice. Rows that look at a number of rows
+before them are numbered by slices in the same way and dealt to blocks of equal numbers.
 """
 
 from __future__ import annotations
@@ -66,10 +67,64 @@ def slerp(q0: list[Column], q1: list[Column], t: Column) -> list[Column]:
     return [w0 * a + w1 * sign * b for a, b in zip(q0, q1, strict=True)]
 
 
-def without_repeats(rows: DataFrame, key: str, least_us: int) -> DataFrame:
+DAY = 86_400_000_000
+#: Rows of a run that one window task orders, besides the few that it looks back at.
+RUN_BLOCK = 4096
+
+
+def numbered(rows: DataFrame, key: str, name: str, slice_us: int = DAY) -> DataFrame:
+    """rows with their running number (1, 2, ...) by t in their key, null keys and stamps included.
+
+    Rows of one stamp are ordered by a hash of all their columns, so that asking twice gives the same numbers.
+
+    Rows are ordered within slices of time; a window over slices (one row each) adds up how many come before.
+    """
+    hashed = F.xxhash64(*(c for c, kind in rows.dtypes if "map<" not in kind))
+    at = rows.withColumn("_s", F.floor(F.col("t") / slice_us).cast("long"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy(F.col(key).alias("_key"), F.col("_s").alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_key", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = at.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_s").orderBy("t", hashed)))
+    met = inside.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_s").eqNullSafe(F.col("_slice")))
+    return met.select(*rows.columns, (F.col("_i") + F.col("_o")).cast("long").alias(name))
+
+
+def looking_back(rows: DataFrame, key: str, n: int, columns: dict, slice_us: int = DAY) -> DataFrame:
+    """rows with columns made by functions of a window that holds each row and at least the n rows before it in its key.
+
+    Numbered rows go to blocks of RUN_BLOCK; the last n of a block go to those after it as well, so that a run of any length
+    is ordered by many tasks. What a function sees beyond n rows back hangs on the blocks: it must not look there.
+    """
+    at = lambda k: F.floor(k / RUN_BLOCK)
+    k = F.col("_k") - 1
+    dealt = numbered(rows, key, "_k", slice_us).withColumn("_block", F.explode(F.sequence(at(k), at(k + n))))
+    order = Window.partitionBy(key, "_block").orderBy("_k")
+    return dealt.withColumns({c: f(order) for c, f in columns.items()}).where(F.col("_block") == at(k)).drop("_block", "_k")
+
+
+def without_repeats(rows: DataFrame, key: str, least_us: int, slice_us: int = DAY) -> DataFrame:
     """Rows whose stamp differs from the one before by more than least_us."""
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t"))
-    return rows.withColumn("_g", gap).where((F.col("_g") > least_us) | F.col("_g").isNull()).drop("_g")
+    gaps = looking_back(rows, key, 1, {"_g": lambda w: F.col("t") - F.lag("t").over(w)}, slice_us)
+    return gaps.where((F.col("_g") > least_us) | F.col("_g").isNull()).drop("_g")
+
+
+def strided(rows: DataFrame, key: str, first: int, step: int, slice_us: int = DAY) -> DataFrame:
+    """Every step-th row of a key by t, from number `first` (1: the earliest) on."""
+    k = F.col("_k")
+    return numbered(rows, key, "_k", slice_us).where((k >= first) & ((k - first) % step == 0)).drop("_k")
+
+
+def band_counts(rows: DataFrame, key: str, back_us: int, ahead_us: int, name: str, slice_us: int = DAY) -> DataFrame:
+    """rows with the number of rows of their key from t - back_us to t + ahead_us, both included.
+
+    Keys must not be null; rows without a stamp have 0. The number is that of rows up to the band's end less that of rows before it: two as-of lookups among running numbers.
+    """
+    known = numbered(rows.select(key, "t"), key, "_n", slice_us).groupBy(key, "t").agg(F.max("_n").alias("_n"))
+    ends = rows.withColumnRenamed("t", "_t")
+    for shift, end in ((ahead_us, "_hi"), (-back_us - 1, "_lo")):
+        asked = ends.withColumn("t", F.col("_t") + shift)
+        ends = at_or_before(asked, known, key, ["_n"], slice_us).withColumn(end, F.coalesce(F.col("_found._n"), F.lit(0))).drop("_found", "t")
+    return ends.withColumnRenamed("_t", "t").select(*rows.columns, (F.col("_hi") - F.col("_lo")).cast("long").alias(name))
 
 
 def overlap_clip(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -133,15 +188,17 @@ def last_overlap_any(frames: DataFrame, key: str, half: float) -> DataFrame:
     return below.join(ends, key).select(key, "idx", F.least(F.col("_s") - 1, "_end").alias("last_idx"))
 
 
-def before_run(rows: DataFrame, key: str, bad: Column, longest: int) -> DataFrame:
-    """Rows before the key's first run of `longest` bad ones in a row."""
-    order = Window.partitionBy(key).orderBy("t")
-    streak = F.sum(bad.cast("int")).over(order.rowsBetween(-(longest - 1), 0))
-    stop = F.max((streak >= longest).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_s", stop).where("_s = 0").drop("_s")
+def before_run(rows: DataFrame, key: str, bad: Column, longest: int, slice_us: int = DAY) -> DataFrame:
+    """Rows before the key's first run of `longest` bad ones in a row is whole."""
+    streak = {"_b": lambda w: F.sum(bad.cast("int")).over(w.rowsBetween(-(longest - 1), 0)) >= longest, "_i": lambda w: F.col("_k")}
+    at = looking_back(rows, key, longest - 1, streak, slice_us)
+    stops = at.where("_b").groupBy(F.col(key).alias("_key")).agg(F.min("_i").alias("_stop"))
+    met = at.join(stops, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.where("_stop is null or _i < _stop").select(*rows.columns)
 
 
-def trailing(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+def trailing(rows: DataFrame, key: str, value: str, n: int, slice_us: int = DAY) -> DataFrame:
     """Mean of the n rows before each, and the key's first value."""
-    order = Window.partitionBy(key).orderBy("t")
-    return rows.withColumns({"context_mean": F.avg(value).over(order.rowsBetween(-n, -1)), "first_value": F.first(value).over(order)})
+    at = looking_back(rows, key, n, {"context_mean": lambda w: F.avg(value).over(w.rowsBetween(-n, -1)), "_i": lambda w: F.col("_k")}, slice_us)
+    firsts = at.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(F.col(value).alias("v")), "_i").alias("_first"))
+    return at.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, "context_mean", F.col("_first.v").alias("first_value"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -125,8 +124,7 @@ _FRAMES = "f AS (SELECT run, p, event_id, row_number() OVER (PARTITION BY run OR
 @query(f"+{_FRAMES}, seen AS (SELECT run, idx, CAST(floor((p + event_id % 81 - 40) / 20) AS BIGINT) AS cell, CAST(event_id % 100 AS DOUBLE) AS f FROM f) SELECT o.run, o.idx, seen.cell, arg_max(seen.f, seen.idx) AS f FROM o JOIN seen ON o.run = seen.run AND seen.idx <= o.last_idx AND seen.cell BETWEEN floor((o.p - 60) / 20) AND floor((o.p + 60) / 20) GROUP BY o.run, o.idx, seen.cell", "odo")
 def inpainting_supervision(spark, d):
     """What each frame's box holds in the end, of all frames up to the last that overlaps it."""
-    order = Window.partitionBy("run").orderBy("t")
-    frames = tables.odometry(spark, d).select("run", "p", "event_id", F.row_number().over(order).cast("long").alias("idx"))
+    frames = temporal.numbered(tables.odometry(spark, d), "run", "idx").select("run", "p", "event_id", "idx")
     cell = F.floor((F.col("p") + F.col("event_id") % 81 - 40) / 20).cast("long")
     seen = frames.select("run", "idx", cell.alias("cell"), (F.col("event_id") % 100).cast("double").alias("f"))
     ends = frames.join(temporal.last_overlap_any(frames.select("run", "idx", "p"), "run", 60.0), ["run", "idx"])

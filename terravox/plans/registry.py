@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -460,7 +460,7 @@ _IDX = "f AS (SELECT run, p, row_number() OVER (PARTITION BY run ORDER BY t) AS
 
 @query(f"+{_IDX} SELECT a.run, a.idx, coalesce(min(CASE WHEN abs(a.p - b.p) > 120 THEN b.idx END) - 1, max(b.idx)) AS last_idx FROM f a JOIN f b ON a.run = b.run AND b.idx >= a.idx GROUP BY a.run, a.idx", "odo")
 def last_overlapping_frame(spark, d):
-    frames = tables.odometry(spark, d).select("run", "p", F.row_number().over(Window.partitionBy("run").orderBy("t")).cast("long").alias("idx"))
+    frames = temporal.numbered(tables.odometry(spark, d), "run", "idx").select("run", "p", "idx")
     return temporal.last_overlap_any(frames, "run", 60.0)
 
 
@@ -477,7 +477,7 @@ def trailing_context(spark, d):
 @query("SELECT event_id, CAST(k AS BIGINT) AS n FROM (SELECT event_id, count(*) OVER (PARTITION BY run ORDER BY t RANGE BETWEEN 86400000000 PRECEDING AND 86399999999 FOLLOWING) AS k FROM odo)", "odo")
 def accumulation_band(spark, d):
     day = 86_400_000_000
-    return tables.odometry(spark, d).select("event_id", F.count(F.lit(1)).over(Window.partitionBy("run").orderBy("t").rangeBetween(-day, day - 1)).alias("n"))
+    return temporal.band_counts(tables.odometry(spark, d), "run", day, day - 1, "n").select("event_id", "n")
 
 
 # Cameras and coordinates
@@ -725,8 +725,7 @@ def histogram(spark, d):
 
 @query("SELECT event_id FROM (SELECT event_id, run, row_number() OVER (PARTITION BY run ORDER BY t) AS k FROM odo) WHERE (k - 2) % 5 = 0 AND k >= 2", "odo")
 def stride_sample(spark, d):
-    at = tables.odometry(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("t")))
-    return at.where((F.col("k") >= 2) & ((F.col("k") - 2) % 5 == 0)).select("event_id")
+    return temporal.strided(tables.odometry(spark, d), "run", 2, 5).select("event_id")
 
 
 @query(f"SELECT scan_id, gx, count(*) AS n, {r6('avg(z)')} AS mean_z, {r6('stddev_samp(z)')} AS std_z FROM ins GROUP BY ROLLUP (scan_id, gx)", "pts ins")

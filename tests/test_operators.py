@@ -216,3 +216,28 @@ def test_exact_quantile_by_histograms(spark):
         for share in (0.0, 0.25, 0.5, 0.99, 1.0):
             assert np.isclose(covariance.quantile(rows, F.col("v"), share, 8), np.quantile(values, share), rtol=1e-12)
     assert covariance.quantile(rows.where("false"), F.col("v"), 0.5) is None
+
+
+def test_runs_over_many_blocks_and_slices(spark, monkeypatch):
+    """Numbers, gaps, streaks, means, strides and bands of runs that blocks and slices cut, against lists; with a null key."""
+    monkeypatch.setattr(temporal, "RUN_BLOCK", 4)
+    rng = np.random.default_rng(14)
+    runs = {k: sorted(int(t) for t in rng.choice(3000, n, replace=False)) for k, n in ((1, 90), (2, 3), (3, 1), (None, 17))}
+    runs = {k: [(t, float(rng.integers(0, 4))) for t in ts] for k, ts in runs.items()}
+    rows = spark.createDataFrame([(k, t, p) for k, ts in runs.items() for t, p in ts], "run long, t long, p double").repartition(5)
+    by = lambda df, *cs: {(r.run, r.t): tuple(r[c] for c in cs) if len(cs) > 1 else r[cs[0]] for r in df.collect()}
+    each = [(k, i, ts) for k, ts in runs.items() for i in range(len(ts))]
+    assert by(temporal.numbered(rows, "run", "n", 100), "n") == {(k, ts[i][0]): i + 1 for k, i, ts in each}
+    assert by(temporal.without_repeats(rows, "run", 20, 100), "t").keys() == {(k, ts[i][0]) for k, i, ts in each if i == 0 or ts[i][0] - ts[i - 1][0] > 20}
+    assert by(temporal.strided(rows, "run", 2, 5, 100), "t").keys() == {(k, ts[i][0]) for k, i, ts in each if i % 5 == 1}
+    for n in (3, 7):
+        got = by(temporal.trailing(rows, "run", "p", n, 100), "context_mean", "first_value")
+        for k, i, ts in each:
+            mean, first = got[k, ts[i][0]]
+            assert first == ts[0][1] and (mean is None if i == 0 else abs(mean - np.mean([p for _, p in ts[max(0, i - n) : i]])) < 1e-9)
+    for longest in (1, 2, 6):
+        whole = lambda ts, i: i + 1 >= longest and all(p > 1 for _, p in ts[i + 1 - longest : i + 1])  # noqa: B023, E731
+        assert by(temporal.before_run(rows, "run", F.col("p") > 1, longest, 100), "t").keys() == {(k, ts[i][0]) for k, i, ts in each if not any(whole(ts, j) for j in range(i + 1))}
+    known = {k: ts for k, ts in runs.items() if k is not None}
+    got = by(temporal.band_counts(rows.where("run is not null"), "run", 150, 70, "n", 100), "n")
+    assert got == {(k, t): sum(t - 150 <= u <= t + 70 for u, _ in ts) for k, ts in known.items() for t, _ in ts}
