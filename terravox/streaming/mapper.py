@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import KEYS, GridMeta
-from ..operators import voxel
+from ..operators import covariance, voxel
 
 
 class VoxelMap:
@@ -39,16 +39,54 @@ class VoxelMap:
 
     def update(self, batch: DataFrame, number: int) -> None:
         """foreachBatch: merge a batch of points, cull, and write the next version."""
-        new = voxel.voxelize(batch, self.meta, self.features, F.col(self.stamp), "avg")
+        new = self._scan(batch)
         old = self.state(number)
-        merged = new if old is None else voxel.merge(old.where(self.meta.contains_keys()), new, self.features, self.alpha)
-        kept = merged if self.cull_share is None else voxel.cull(merged, self.cull_share)
-        self._keys(kept, 1).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+        kept = new if old is None else self._merged(old.where(self.meta.contains_keys()), new)
+        self._keys(self._culled(kept), 1).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
+
+    def _scan(self, batch: DataFrame) -> DataFrame:
+        return voxel.voxelize(batch, self.meta, self.features, F.col(self.stamp), "avg")
+
+    def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return voxel.merge(old, new, self.features, self.alpha)
+
+    def _culled(self, voxels: DataFrame) -> DataFrame:
+        return voxels if self.cull_share is None else voxel.cull(voxels, self.cull_share)
+
+    def clear(self, number: int) -> None:
+        """Forget the map: version `number` has no voxels. Nothing is written where there was none before."""
+        old = self.state(number)
+        if old is not None:
+            self._keys(old.where("false"), 1).write.mode("overwrite").parquet(f"{self.folder}/v={number}")
 
     def start(self, points: DataFrame, checkpoint: str, **trigger):
         return points.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "200 milliseconds"})).start()
 
 
+class CovarianceMap(VoxelMap):
+    """A map of Gaussians: points bring their covariance in six columns cov_*; nothing is culled."""
+
+    def _scan(self, batch: DataFrame) -> DataFrame:
+        known = voxel.keyed(batch, self.meta).where(covariance.positive(covariance.of("cov")))
+        return covariance.fuse_points(covariance.without_outliers(known, "cov"), list(KEYS), "cov", self.features)
+
+    def _merged(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return covariance.merge(old, new, list(KEYS), self.features)
+
+    def _culled(self, voxels: DataFrame) -> DataFrame:
+        return voxels
+
+
+#: Mappers by the names that configurations use.
+MAPPERS = {"voxel": VoxelMap, "voxel_covariance": CovarianceMap}
+
+
+def transforms(odometry: DataFrame, parent: str = "odom", child: str = "base_link") -> DataFrame:
+    """Odometry (t, px .. pz, qx .. qw) as messages of a transform between two frames; a stream or a table."""
+    vector = lambda names, prefix: F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in names))
+    return odometry.select(F.col("t").alias("stamp"), F.lit(parent).alias("frame_id"), F.lit(child).alias("child_frame_id"), vector("xyz", "p").alias("translation"), vector("xyzw", "q").alias("rotation"))
+
+
 def latest_messages(stream: DataFrame, key: str, stamp: str, fields: list[str]) -> DataFrame:
     """The newest message of each key so far (update or complete mode)."""
     return stream.groupBy(key).agg(F.max_by(F.struct(stamp, *fields), stamp).alias("m")).select(key, "m.*")
