@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravox.grid import FeatureKeys, GridMeta, kernel
-from terravox.operators import columns, covariance, rays, stencil, temporal, voxel
+from terravox.operators import columns, covariance, poses, rays, stencil, temporal, voxel
 from terravox.plans import registry, terrain
 from terravox.streaming.mapper import VoxelMap
 
@@ -241,3 +241,21 @@ def test_runs_over_many_blocks_and_slices(spark, monkeypatch):
     known = {k: ts for k, ts in runs.items() if k is not None}
     got = by(temporal.band_counts(rows.where("run is not null"), "run", 150, 70, "n", 100), "n")
     assert got == {(k, t): sum(t - 150 <= u <= t + 70 for u, _ in ts) for k, ts in known.items() for t, _ in ts}
+
+
+def test_footprint_ends_where_it_is_hidden(spark):
+    """A vehicle drives ahead along x; a wall beside the way hides nothing, one across it hides what lies behind."""
+    fields = "run long, t long, px double, py double, pz double, qx double, qy double, qz double, qw double"
+    path = spark.createDataFrame([(1, k * 100_000, 0.5 * k, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for k in range(60)], fields)
+    images = path.where("t = 0").withColumn("image", F.lit(7).cast("long"))
+    plan = poses.footprint(0.4, 0.4, 2, 2, -1.0)
+    model = rays.SensorModel((-45.0, 45.0, 90), (-45.0, 45.0, 90))
+    camera = {"cam": 0, "width": 100, "height": 100, "p": [[50.0, -50.0, 0.0, 0.0], [50.0, 0.0, -50.0, 0.0], [1.0, 0.0, 0.0, 0.0]]}
+    wall = lambda x: spark.createDataFrame([(7, x, 0.05 * a, 0.05 * b) for a in range(-60, 61) for b in range(-60, 1)], "image long, x double, y double, z double")
+    pixel = lambda x, y: (math.floor(50 - 50 * y / x), math.floor(50 + 50 / x))
+    made = {x: {(r.u, r.v) for r in poses.footprint_pixels(images, path, wall(x), plan, model, camera, "run", "image", slack=0.5, longest=3, steps=80).collect()} for x in (5.0, 90.0)}
+    # In view are points at most 45 degrees down and aside, and at the camera only what lies ahead of it.
+    ahead = lambda far: {pixel(0.5 * k + dx, dy) for k in range(60) for dx in (-0.2, 0.2) for dy in (-0.2, 0.2) if 1.0 < 0.5 * k + dx < far and 0 <= pixel(0.5 * k + dx, dy)[0] < 100 and 0 <= pixel(0.5 * k + dx, dy)[1] < 100}
+    assert made[90.0] == ahead(100.0)
+    assert ahead(5.0) <= made[5.0] <= ahead(6.0)
+    assert {(u, v) for u, v in made[90.0] if v < 60} == {(r.u, r.v) for r in poses.footprint_pixels(images, path, wall(90.0), plan, model, camera, "run", "image", longest=3, steps=80, rows_below=60.0).collect()}

@@ -4,11 +4,12 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terravox.grid import GridMeta
-from terravox.operators import voxel
-from terravox.sources import files
+from terravox.operators import covariance, labels, voxel
+from terravox.sources import files, frames, generated, models
 from terravox.streaming import mapper
 
 
@@ -98,3 +99,90 @@ def test_windows_and_latest_messages_of_a_stream(spark, tmp_path):
     assert len(once) == batch.select("run", "ts").distinct().count()
     pairs = run(mapper.ready(stream().where("run = 0"), stream().where("run = 0"), "run", "30 seconds"), "pairs", "append")
     assert len(pairs) == batch.where("run = 0").alias("a").join(batch.where("run = 0").alias("b"), F.expr("a.ts = b.ts")).count()
+
+
+def test_frame_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", "lidar", f, float(k)) for f in range(4) for k in range(5)], "run string, topic string, frame long, x double")
+    about = rows.groupBy("run", "topic", "frame").agg(F.count("*").alias("n"), F.lit(0.5).alias("resolution"))
+    frames.save(rows, about, path)
+    frames.save(rows.withColumn("run", F.lit("b")).where("frame = 1"), about.withColumn("run", F.lit("b")).where("frame = 1"), path)
+    assert frames.load(spark, path).count() == 25 and frames.load(spark, path, "a", first=1, last=2).count() == 10
+    assert {(r.run, r.frame, r.n) for r in frames.about(spark, path, topic="lidar").collect()} == {("a", f, 5) for f in range(4)} | {("b", 1, 5)}
+    assert len(frames.load(spark, path, "b").inputFiles()) >= 1 and frames.load(spark, path, "none").count() == 0
+    assert [r.item for r in frames.repeated(rows.limit(1), 3).orderBy("item").collect()] == [0, 1, 2] and frames.repeated(rows, 0).count() == 0
+
+
+def test_models_written_and_read(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    basis = np.linalg.qr(rng.normal(size=(5, 3)))[0]
+    models.save_pca(spark, str(tmp_path / "pca"), [1.0, 2.0, 3.0, 4.0, 5.0], basis, [0.5, 0.3, 0.1])
+    mean, got, share = models.load_pca(spark, str(tmp_path / "pca"))
+    assert mean == [1.0, 2.0, 3.0, 4.0, 5.0] and np.array_equal(got, basis) and share.tolist() == [0.5, 0.3, 0.1]
+    assert np.array_equal(models.load_pca(spark, str(tmp_path / "pca"), 2)[1], basis[:, :2])
+    models.save_centres(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "label long, c array<double>"), str(tmp_path / "centres"))
+    assert models.load_centres(spark, str(tmp_path / "centres"), 2).count() == 2
+    with pytest.raises(ValueError, match="have not 3"):
+        models.load_centres(spark, str(tmp_path / "centres"), 3)
+
+
+def test_generated_grids(spark):
+    for seed in range(4):
+        grid = generated.meta(3, seed)
+        made = generated.voxels(spark, grid, 2, seed)
+        rows = made.collect()
+        cells = int(np.prod(grid.n))
+        assert len(rows) == len({(r.gx, r.gy, r.gz) for r in rows}) == cells // 2 and made.where(~grid.contains_keys()).count() == 0
+        assert sum(r.rand_0 is not None for r in rows) == cells // 4 and all(r.last_update >= r.first_update for r in rows)
+        assert sorted(rows) == sorted(generated.voxels(spark, grid, 2, seed).repartition(3).collect())
+    plane = generated.bev(spark, GridMeta((0.0, 0.0), (60.0, 50.0), (1.0, 1.0)), 1, 5).toPandas()
+    assert len(plane) == 3000 and abs(plane.rand_0.mean()) < 0.1 and abs(plane.rand_0.std() - 1) < 0.1 and plane.hits.between(0, 9).all()
+
+
+def test_mappers_by_name_and_clearing(spark, tmp_path):
+    assert mapper.MAPPERS.keys() == {"voxel", "voxel_covariance"}
+    cov = ", ".join(f"cov_{k} double" for k in covariance.SIX)
+    scan = lambda dx: spark.createDataFrame([(0.5 + dx, 1.5, 2.5, 2.0 + dx, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0), (3.5, 1.5, 2.5, 4.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0)], f"x double, y double, z double, f double, {cov}")
+    state = mapper.MAPPERS["voxel_covariance"](spark, str(tmp_path / "cov"), META, ["f"], 0.5)
+    for k, dx in enumerate((0.0, 0.25)):
+        state.update(scan(dx), k)
+    got = {(r.gx, r.gy, r.gz): r for r in state.state().collect()}
+    assert got.keys() == {(0, 1, 2), (3, 1, 2)} and abs(got[0, 1, 2].center_x - 0.625) < 1e-6 and abs(got[0, 1, 2].f - 2.125) < 1e-4  # the weights hold 1e-6 beside 0.06
+    state.clear(2)
+    assert state.state().count() == 0
+    state.update(scan(0.0), 3)
+    assert state.state().count() == 2
+
+
+def test_stream_of_transforms(spark, tmp_path):
+    poses = spark.createDataFrame([(k, float(k), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for k in range(4)], "t long, px double, py double, pz double, qx double, qy double, qz double, qw double")
+    poses.write.parquet(str(tmp_path / "in"))
+    mapper.transforms(spark.readStream.schema(poses.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tf").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.table("tf").orderBy("stamp").collect()
+    assert [(r.stamp, r.frame_id, r.child_frame_id, r.translation.x, r.rotation.w) for r in rows] == [(k, "odom", "base_link", float(k), 1.0) for k in range(4)]
+
+
+def test_compressed_masks(spark):
+    def compressed(lengths):
+        text = ""
+        for k, n in enumerate(lengths):
+            n -= lengths[k - 2] if k > 2 else 0
+            while True:
+                digit, n = n & 31, n >> 5
+                more = n != (-1 if digit & 16 else 0)
+                text += chr(48 + digit + (32 if more else 0))
+                if not more:
+                    break
+        return text
+
+    rng = np.random.default_rng(6)
+    masks = [(rng.random((h, w)) < p) for h, w, p in ((7, 5, 0.5), (40, 90, 0.02), (3, 3, 0.0), (4, 2, 1.0))]
+    rows = []
+    for k, m in enumerate(masks):
+        flat = np.r_[False, m.T.ravel(), not m.T.ravel()[-1]]
+        cuts = np.flatnonzero(np.diff(flat.astype(int)))
+        rows.append((k, compressed(np.diff(np.r_[0, cuts]).tolist()), m.shape[0]))
+    for k, text, height in [*rows, (9, None, 3), (10, "", 3)]:
+        got = labels.mask_pixels(spark.createDataFrame([(k, text)], "k long, s string").select("k", labels.run_lengths(F.col("s")).alias("n")), ["k"], "n", height).collect()
+        want = {(int(u), int(v)) for v, u in np.argwhere(masks[k])} if k < len(masks) else set()
+        assert len(got) == len(want) and {(r.u, r.v) for r in got} == want
