@@ -27,8 +27,9 @@ from .license_texts import LICENSES
 #: Replacements in this order, in syntax that Java's and RE2's patterns share. The text ends with a space by then.
 COPYRIGHT_LINE = r"(^|\n)[ \t\r#*/;-]*(portions )?(copyright|\(c\)|\x{A9}|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}\x{AB}\x{BB}\x{2010}-\x{2015}\x{2018}-\x{201F}\x{2022}]+"
-#: Endings of equivalent spellings: -ise/-ize, -our/-or, -ence/-ense, -ogue/-og.
-SPELLINGS = ((r"is(e|ed|es|er|ers|ing|ation|ations) ", "iz$1 "), (r"our(s|ed|ing|able)? ", "or$1 "), (r"ence(s|d)? ", "ense$1 "), (r"ogue(s|d)? ", "og$1 "), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("https ", "http "))
+#: Endings of equivalent spellings: -ise/-ize, -our/-or, -ence/-ense, -ogue/-og, after three letters, so that short words
+#: ("four" and "for", "hence", "rise") stay apart.
+SPELLINGS = ((r"([a-z]{3})is(e|ed|es|er|ers|ing|ation|ations) ", "$1iz$2 "), (r"([a-z]{3})our(s|ed|ing|able)? ", "$1or$2 "), (r"([a-z]{3})ence(s|d)? ", "$1ense$2 "), (r"([a-z]{3})ogue(s|d)? ", "$1og$2 "), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("https ", "http "))
 #: In lower-case text: a mention of copyright, and a statement of it, which ends with the line or where a licence begins.
 MENTION = r"copyright|\(c\)|\x{A9}|all rights reserved"
 STATEMENT = (

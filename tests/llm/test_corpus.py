@@ -594,3 +594,12 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, sf):
     assert {(1, a), (2, b), (None, d), (5, e)} <= cut
     packed = c.pack(spark, c.substring_dedup(spark, near, sf), sf).collect()
     assert min(sum(r.length for r in packed if r.doc_id == i) for i in (1, 2, 5)) > 60
+
+
+def test_short_words_keep_their_spelling(spark):
+    """Spellings are equal after three letters only: texts that differ by "four" and "for" have two digests."""
+    form = lambda *texts: [r.c for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(licenses.canonical(F.col("t")).alias("c")).collect()]
+    apart = form("for hour rise hence", "four hor rize hense")
+    assert apart[0] != apart[1] and apart == ["for hour rise hence", "four hor rize hense"]
+    same = form("Colour, licence; organisations favoured", "color license ORGANIZATIONS favored.")
+    assert same[0] == same[1]
