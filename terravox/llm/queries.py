@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, doubling, jaccard, licenses, packing, pitman_yor, quality, sharding, toxicity, webp
+from . import bestfit, bpe, doubling, jaccard, licenses, packing, pitman_yor, quality, sharding, toxicity, webp
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": doubling.query,
     "op9_quality_rules": quality.query,
     "op10_packing": packing.query,
+    "op11_best_fit_packing": bestfit.query,
     "pipeline": pipeline,
 }
 
