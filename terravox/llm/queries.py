@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, bpe, doubling, jaccard, licenses, packing, pitman_yor, quality, sharding, toxicity, webp
+from . import bestfit, bpe, doubling, jaccard, licenses, middle, packing, pitman_yor, quality, sharding, spelling, toxicity, webp
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality.query,
     "op10_packing": packing.query,
     "op11_best_fit_packing": bestfit.query,
+    "op12_fill_in_middle": middle.query,
+    "op13_spelling_variants": spelling.query,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": licenses.oracle(), "op12_fill_in_middle": middle.oracle()}
