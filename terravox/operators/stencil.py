@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Kernel, kernel
+from ..sources.working import written
 
 
 def scatter_each(cells: DataFrame, sums: dict[str, tuple[Kernel, Column]]) -> DataFrame:
@@ -98,21 +99,78 @@ def closed(cells: DataFrame, inside: Column, out: str = "closed") -> DataFrame:
     return scatter(wide, cross, {"_e": F.col("_d")}).withColumn(out, F.col("_e") > 4.5).drop("_m", "_d", "_e")
 
 
-def signed_distance(cells: DataFrame, inside: Column, resolution: float) -> DataFrame:
-    """Exact Euclidean distance to the mask, positive outside and negative inside.
+#: Columns that one task takes through an envelope, and rows of a tile of them.
+WIDE, TALL = 16, 4096
 
-    Each row's nearest cell of either kind comes from running windows; then, in each column, the least of the squared
-    sums over the rows. The second step is bounded by the map's height. Null where all cells are of one kind.
+
+def envelope(places: list[int], heights: list[int]) -> tuple[list[int], list[int]]:
+    """Of parabolas (i - place)^2 + height, by rising place: which are least anywhere, and from which whole i on each is.
+
+    One pass: a new parabola takes from the last one all beyond where they meet, and the last goes if that is all it had.
+    """
+    kept: list[int] = []
+    begin: list[int] = []
+    for n, (q, h) in enumerate(zip(places, heights, strict=True)):
+        start = None
+        while kept:
+            k = kept[-1]
+            p = places[k]
+            start = (h + q * q - heights[k] - p * p) // (2 * (q - p)) + 1
+            if len(kept) == 1 or start > begin[-1]:
+                break
+            kept.pop()
+            begin.pop()
+        kept.append(n)
+        begin.append(start)
+    return kept, begin
+
+
+def _envelopes(table):
+    """Arrow group of sites (kind, j, k, h): those left of each column, with the first row from which each is nearest (null: from the first)."""
+    import pyarrow as pa
+
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "j", "k", "h")), strict=True))
+    out: list[tuple] = []
+    lo = 0
+    while lo < len(rows):
+        hi = lo
+        while hi < len(rows) and rows[hi][:2] == rows[lo][:2]:
+            hi += 1
+        kept, begin = envelope([r[2] for r in rows[lo:hi]], [r[3] for r in rows[lo:hi]])
+        out.extend((*rows[lo + n], s) for n, s in zip(kept, begin, strict=True))
+        lo = hi
+    kinds = pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "j", "k", "h", "start"])
+
+
+def signed_distance(cells: DataFrame, inside: Column, resolution: float, tall: int = TALL) -> DataFrame:
+    """Exact Euclidean distance to the mask of a dense map, positive outside and negative inside; null where all cells are of one kind.
+
+    Each cell's gap to the nearest cell of either kind in its row comes from running windows. A column's distances are then
+    the lower envelope of parabolas at its rows: tiles of `tall` rows reduce their own parabolas to those that can be least, a
+    column's tiles put theirs together, and each tile gets those that are least somewhere in it. A cell takes the last that
+    begins at or before it, so the second step gives one row a cell, and its work grows with the number of cells.
     """
-    far = 1e9
     marked = cells.select("i", "j", inside.alias("m"))
     left, right = Window.partitionBy("i").orderBy("j"), Window.partitionBy("i").orderBy(F.col("j").desc())
-    gap = lambda kind: F.least(*(F.coalesce(F.abs(F.col("j") - F.last(F.when(F.col("m") == kind, F.col("j")), ignorenulls=True).over(w)), F.lit(far)) for w in (left, right)))
+    gap = lambda kind: F.least(*(F.abs(F.col("j") - F.last(F.when(F.col("m") == kind, F.col("j")), ignorenulls=True).over(w)) for w in (left, right)))
     rows = marked.withColumns({"to_in": gap(True), "to_out": gap(False)})
-    other = rows.select(F.col("i").alias("k"), "j", "to_in", "to_out")
-    square = lambda c: F.min((F.col("i") - F.col("k")) ** 2 + F.col(c).cast("double") ** 2)
-    both = marked.join(other, "j").groupBy("i", "j").agg(F.first("m").alias("m"), square("to_in").alias("a"), square("to_out").alias("b"))
-    return both.select("i", "j", (F.when(F.col("m") & (F.col("b") < far), -F.sqrt("b")).when(~F.col("m") & (F.col("a") < far), F.sqrt("a")) * resolution).alias("sdf"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("g")) for kind, c in ((True, "to_in"), (False, "to_out")))))
+    sites = rows.select("i", "j", kinds.alias("_s")).where("_s.g is not null").select("_s.kind", F.col("j").cast("long").alias("j"), F.col("i").cast("long").alias("k"), (F.col("_s.g").cast("long") ** 2).cast("long").alias("h"))
+    block, shape = F.floor(F.col("j") / WIDE).alias("_wide"), "kind boolean, j long, k long, h long, start long"
+    own = sites.groupBy("kind", block, F.floor(F.col("k") / tall).alias("_tall")).applyInArrow(_envelopes, shape)
+    least = own.select("kind", "j", "k", "h").groupBy("kind", block).applyInArrow(_envelopes, shape)
+    low, high = (v or 0 for v in marked.agg(F.min("i"), F.max("i")).first())
+    tile = lambda c: F.floor(c / tall)
+    following = F.lead("start").over(Window.partitionBy("kind", "j").orderBy("k"))
+    span = least.withColumn("_from", F.greatest(F.coalesce("start", F.lit(low)), F.lit(low))).withColumn("_to", F.least(F.coalesce(following - 1, F.lit(high)), F.lit(high))).where("_from <= _to")
+    dealt = span.withColumn("_tall", F.explode(F.sequence(tile(F.col("_from")), tile(F.col("_to"))))).select("kind", "j", "_tall", F.greatest("_from", F.col("_tall") * tall).alias("i"), F.lit(0).alias("_side"), F.struct("k", "h").alias("_site"))
+    asked = marked.select((~F.col("m")).alias("kind"), F.col("j").cast("long").alias("j"), tile(F.col("i")).alias("_tall"), F.col("i").cast("long").alias("i"), F.lit(1).alias("_side"))
+    down = Window.partitionBy("kind", "j", "_tall").orderBy("i", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(dealt, allowMissingColumns=True).withColumn("_site", F.last("_site", ignorenulls=True).over(down)).where("_side = 1")
+    far = F.sqrt((F.col("i") - F.col("_site.k")) ** 2 + F.col("_site.h")) * resolution
+    back = {c: F.col(c).cast(cells.schema[c].dataType) for c in ("i", "j")}
+    return found.select(*(v.alias(c) for c, v in back.items()), F.when(F.col("kind"), far).otherwise(-far).alias("sdf"))
 
 
 def distance_to(cells: DataFrame, poses: DataFrame, x: Column, y: Column, reach: float, bound: float) -> DataFrame:
@@ -129,30 +187,91 @@ def distance_to(cells: DataFrame, poses: DataFrame, x: Column, y: Column, reach:
     return met.select("i", "j", F.when(F.col("d") <= reach, F.col("d")).otherwise(bound).alias("distance"))
 
 
-def nearest_distance(cells: DataFrame, poses: DataFrame, x: Column, y: Column, side: float) -> DataFrame:
-    """Distance of each cell to the nearest of all poses, however far; null without poses.
+#: Poses that a square of the tree holds at most, how many times as wide its parent is, and levels below the first squares at most.
+LEAF, WIDER, DEEPEST = 64, 4, 20
+
+
+def _square(c: str, side: float, level: int) -> Column:
+    return F.floor(F.col(c) / (side * float(WIDER) ** level)).cast("long")
 
-    Poses are bounded by boxes in squares of `side`, those by boxes in squares twice as wide, and so on up to a few. From
-    there downwards a cell follows the boxes that can hold a nearer pose than the farthest corner of its best box.
+
+def quadtree(poses: DataFrame, side: float, leaf: int = LEAF) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Boxes around poses in squares of `side`, and of wider ones up to a few; squares that hold more than `leaf` poses are cut until none does.
+
+    Gives squares from the few largest down to `side`, then those of cut ones level by level (rows _sx, _sy, a box and
+    whether the square is a leaf), and the poses of the leaves of each level from `side` on.
+    """
+    box = {"_x0": F.min("px"), "_x1": F.max("px"), "_y0": F.min("py"), "_y1": F.max("py")}
+    at = lambda df, level: df.withColumns({f"_s{a}": _square(f"p{a}", side, level) for a in "xy"})
+    fine, held, level = [], [], 0
+    while True:
+        squares = at(poses, level).groupBy("_sx", "_sy").agg(*(f.alias(k) for k, f in box.items()), F.count(F.lit(1)).alias("_n"))
+        squares = written(squares.withColumn("_leaf", (F.col("_n") <= leaf) | F.lit(level == -DEEPEST)), f"squares-{-level}")
+        fine.append(squares)
+        mine = at(poses, level).join(squares.select("_sx", "_sy", "_leaf"), ["_sx", "_sy"])
+        held.append(mine.where("_leaf").select("_sx", "_sy", "px", "py"))
+        if squares.where("not _leaf").isEmpty():
+            break
+        poses, level = written(mine.where("not _leaf").select("px", "py"), f"dense-{-level}"), level - 1
+    coarse, up = [fine[0]], {"_x0": F.min("_x0"), "_x1": F.max("_x1"), "_y0": F.min("_y0"), "_y1": F.max("_y1")}
+    span = fine[0].agg(F.greatest(F.max("_sx") - F.min("_sx"), F.max("_sy") - F.min("_sy"))).first()[0] or 0
+    while span // WIDER ** (len(coarse) - 1) > 1:
+        coarse.append(coarse[-1].groupBy(F.floor(F.col("_sx") / WIDER).alias("_sx"), F.floor(F.col("_sy") / WIDER).alias("_sy")).agg(*(f.alias(k) for k, f in up.items())))
+    return coarse[:0:-1], fine, held
+
+
+def near_leaves(cells: DataFrame, tree: tuple[list[DataFrame], list[DataFrame], list[DataFrame]]) -> list[DataFrame]:
+    """For each level of leaves, rows (i, j, _x, _y, _sx, _sy): the leaves that can hold a cell's nearest pose.
+
+    From the few largest squares downwards a cell follows the boxes that can hold a nearer pose than the farthest corner of its best box.
     """
-    poses = poses.select("px", "py").where("px is not null and py is not null").distinct()
-    square = lambda c: F.floor(F.col(c) / side).cast("long")
-    box = {"_x0": F.min("_x0"), "_x1": F.max("_x1"), "_y0": F.min("_y0"), "_y1": F.max("_y1")}
-    squares = poses.select(square("px").alias("_sx"), square("py").alias("_sy"), *(F.col(c).alias(k) for c, ks in (("px", ("_x0", "_x1")), ("py", ("_y0", "_y1"))) for k in ks))
-    levels = [squares.groupBy("_sx", "_sy").agg(*(f.alias(k) for k, f in box.items()))]
-    span = squares.agg(F.greatest(F.max("_sx") - F.min("_sx"), F.max("_sy") - F.min("_sy"))).first()[0] or 0
-    while span >> (len(levels) - 1) > 1:
-        levels.append(levels[-1].groupBy(F.floor(F.col("_sx") / 2).alias("_sx"), F.floor(F.col("_sy") / 2).alias("_sy")).agg(*(f.alias(k) for k, f in box.items())))
+    coarse, fine, _ = tree
+    gap = [F.greatest(F.col(f"_{a}0") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"_{a}1"), F.lit(0.0)) for a in "xy"]
+    far = [F.greatest(F.abs(F.col(f"_{a}") - F.col(f"_{a}0")), F.abs(F.col(f"_{a}") - F.col(f"_{a}1"))) for a in "xy"]
 
     def near(rows: DataFrame) -> DataFrame:
-        gap = [F.greatest(F.col(f"_{a}0") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"_{a}1"), F.lit(0.0)) for a in "xy"]
-        far = [F.greatest(F.abs(F.col(f"_{a}") - F.col(f"_{a}0")), F.abs(F.col(f"_{a}") - F.col(f"_{a}1"))) for a in "xy"]
-        best = F.min(F.hypot(*far)).over(Window.partitionBy("i", "j"))
-        return rows.withColumns({"_least": F.hypot(*gap), "_best": best}).where(F.col("_least") <= F.col("_best") * (1 + 1e-9)).select("i", "j", "_x", "_y", "_sx", "_sy")
-
-    at = near(cells.select("i", "j", x.alias("_x"), y.alias("_y")).crossJoin(F.broadcast(levels[-1])))
-    for level in reversed(levels[:-1]):
-        parent = {"_px": F.floor(F.col("_sx") / 2), "_py": F.floor(F.col("_sy") / 2)}
-        at = near(at.withColumnsRenamed({"_sx": "_px", "_sy": "_py"}).join(level.withColumns(parent), ["_px", "_py"]))
-    found = at.join(poses.withColumns({"_sx": square("px"), "_sy": square("py")}), ["_sx", "_sy"]).groupBy("i", "j").agg(F.min(F.hypot(F.col("_x") - F.col("px"), F.col("_y") - F.col("py"))).alias("distance"))
-    return cells.select("i", "j").join(found, ["i", "j"], "left")
+        """A cell's squares that its best one does not rule out; _best is the least bound so far."""
+        best = F.least(F.min(F.hypot(*far)).over(Window.partitionBy("i", "j")), F.col("_best"))
+        return rows.withColumns({"_least": F.hypot(*gap), "_best": best}).where(F.col("_least") <= F.col("_best") * (1 + 1e-9)).select("i", "j", "_x", "_y", "_sx", "_sy", "_best", *(["_leaf"] if "_leaf" in rows.columns else []))
+
+    def down(at: DataFrame, level: DataFrame) -> DataFrame:
+        parent = {"_px": F.floor(F.col("_sx") / WIDER), "_py": F.floor(F.col("_sy") / WIDER)}
+        return near(at.drop("_leaf").withColumnsRenamed({"_sx": "_px", "_sy": "_py"}).join(level.withColumns(parent), ["_px", "_py"]))
+
+    levels = [*coarse, *fine]
+    at = near(cells.withColumn("_best", F.lit(float("inf"))).crossJoin(F.broadcast(levels[0])))
+    for level in levels[1 : len(coarse) + 1]:
+        at = down(at, level)
+    if len(fine) == 1:
+        return [at]
+    out = []
+    for k in range(len(fine)):
+        at = written(at if k == 0 else down(at.where("not _leaf"), fine[k]), f"near-{k}")
+        out.append(at.where("_leaf"))
+    # A bound that was found further down rules out leaves of the levels above.
+    bound = out[0].select("i", "j", "_best")
+    for part in out[1:]:
+        bound = bound.unionByName(part.select("i", "j", "_best"))
+    bound = written(bound.groupBy("i", "j").agg(F.min("_best").alias("_bound")), "bounds")
+    return [_ruled(part, fine[k], bound, gap) for k, part in enumerate(out)]
+
+
+def _ruled(part: DataFrame, squares: DataFrame, bound: DataFrame, gap: list[Column]) -> DataFrame:
+    kept = part.join(bound, ["i", "j"]).join(squares.select("_sx", "_sy", "_x0", "_x1", "_y0", "_y1"), ["_sx", "_sy"])
+    return kept.where(F.hypot(*gap) <= F.col("_bound") * (1 + 1e-9)).select("i", "j", "_x", "_y", "_sx", "_sy")
+
+
+def nearest_distance(cells: DataFrame, poses: DataFrame, x: Column, y: Column, side: float, leaf: int = LEAF) -> DataFrame:
+    """Distance of each cell to the nearest of all poses, however far; null without poses.
+
+    Poses lie in the leaves of a quadtree that hold `leaf` poses at most, however dense they are, so a cell is compared
+    with those of a few leaves. Squares are cut DEEPEST times at most: what then still shares one lies within side / 2^40.
+    """
+    poses = poses.select(F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py")).where("px is not null and py is not null").distinct()
+    tree = quadtree(written(poses, "poses"), side, leaf)
+    at = cells.select("i", "j", x.alias("_x"), y.alias("_y"))
+    met = [near.join(held, ["_sx", "_sy"]).groupBy("i", "j").agg(F.min(F.hypot(F.col("_x") - F.col("px"), F.col("_y") - F.col("py"))).alias("distance")) for near, held in zip(near_leaves(at, tree), tree[2], strict=True)]
+    found = met[0]
+    for more in met[1:]:
+        found = found.unionByName(more)
+    return cells.select("i", "j").join(found.groupBy("i", "j").agg(F.min("distance").alias("distance")), ["i", "j"], "left")
