@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,17 @@ class SensorModel:
         return place(el, self.el, self.el_threshold) * self.az[2] + place(az, self.az, self.az_threshold)
 
 
+def bins_of(model: SensorModel, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """SensorModel.bin for places as the sensor sees them, in numpy: numbers of bins (-1 outside) and ranges."""
+    flat, out = np.hypot(xyz[:, 0], xyz[:, 1]), []
+    for angle, (lo, hi, n), threshold in ((np.arctan2(xyz[:, 2], flat), model.el, model.el_threshold), (np.arctan2(xyz[:, 1], xyz[:, 0]), model.az, model.az_threshold)):
+        low, step = math.radians(lo), (math.radians(hi) - math.radians(lo)) / n
+        at = np.ceil((angle - low) / step).astype(np.int64) - 1
+        out.append((at, (at >= 0) & (at < n) & (angle - (low + at * step) <= (step if threshold is None else math.radians(threshold)) + 1e-9)))
+    (el, seen_el), (az, seen_az) = out
+    return np.where(seen_el & seen_az, el * model.az[2] + az, -1), np.sqrt((xyz**2).sum(1))
+
+
 def local(df: DataFrame, sensor: tuple[float, ...], x: Column, y: Column, z: Column) -> DataFrame:
     """Spherical coordinates as the sensor sees them: from its position and, where a quaternion x, y, z, w follows, turned back by it."""
     at = (x - sensor[0], y - sensor[1], z - sensor[2])

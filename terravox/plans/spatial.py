@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..grid import GridMeta
 from ..operators import boxes, rays, temporal
 from ..sources import tables
 from ..sources.tables import META, SENSOR, round6
 from ..sources.working import written
+from ..streaming import ticks
 from .registry import MODEL, _bin_sql, _D, _voxels, query, r6
 
 AXES = ("x", "y", "z")
@@ -74,3 +76,50 @@ def splat_render(spark, d):
     known = _voxels(spark, d).where("f0 is not null").select("gx", "gy", "gz", "f0", "f1", F.col("max_z").alias("top"))
     image = rays.splat(known, MODEL, SENSOR, META.centres(), META.resolution, ["f0", "f1", "top"])
     return image.select("bin", *(round6(c).alias(n) for c, n in (("depth", "depth"), ("f0", "red"), ("f1", "green"), ("top", "blue"))))
+
+
+# Maps that follow a vehicle
+
+_TICKS, _BASE = range(1, 8), GridMeta((-15.0, -12.0, -5.0), (30.0, 24.0, 10.0), (1.0, 1.0, 0.5))
+_POSE = {"x": "20.13 + 2.2 * tick + run", "y": "16.21 + 1.3 * tick - run", "z": "5.17 + 0.4 * tick"}
+_FIRST = {a: f"CAST(round((p{a} - {-o!r}) / {r!r}) AS BIGINT)" for a, o, r in zip(AXES, _BASE.origin, _BASE.resolution, strict=True)}
+_IN_BOX = " AND ".join(f"g{a} >= low_{a} AND g{a} < low_{a} + {n}" for a, n in zip(AXES, _BASE.n, strict=True))
+_OFF = [f"({c} - p{a})" for a, c in zip(AXES, ("x", "y", "z"), strict=True)]
+_OFF_CELL = ["(gx + 0.5 - px)", "(gy + 0.5 - py)", "((gz + 0.5) * 0.5 - pz)"]
+_DIST = lambda off: " + ".join(f"{c} * {c}" for c in off)
+
+
+def _ticks_sql() -> str:
+    """The map after the last tick: each tick's crop, rays, merge and cull is a step that names the one before."""
+    steps = [
+        "tp AS (SELECT CAST(l_linenumber % 3 AS BIGINT) AS run, CAST(year(l_shipdate) - 1994 AS BIGINT) AS tick, l_quantity - 0.5 AS x, (l_partkey % 40) + 0.5 AS y, l_extendedprice / 10000.0 AS z, CASE WHEN l_returnflag <> 'N' THEN l_discount END AS f0, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS f1 FROM lineitem)",
+        f"po AS (SELECT run, tick, {', '.join(f'CAST({v} AS DOUBLE) AS p{a}' for a, v in _POSE.items())} FROM (SELECT DISTINCT run, tick FROM tp))",
+        f"pl AS MATERIALIZED (SELECT *, {', '.join(f'{v} AS low_{a}' for a, v in _FIRST.items())} FROM po)",
+        f"pb AS MATERIALIZED (SELECT tp.*, pl.* EXCLUDE (run, tick), CAST(floor(x) AS BIGINT) AS gx, CAST(floor(y) AS BIGINT) AS gy, CAST(floor(z / 0.5) AS BIGINT) AS gz, {_DIST(_OFF)} AS d2, {_bin_sql(*_OFF)} AS bin FROM tp JOIN pl USING (run, tick))",
+        "rb AS MATERIALIZED (SELECT run, tick, bin, max(sqrt(d2)) AS far FROM pb WHERE bin > 0 GROUP BY ALL)",
+        f"nb AS (SELECT *, min(CASE WHEN f0 IS NOT NULL THEN d2 END) OVER (PARTITION BY run, tick, gx, gy, gz) AS best FROM pb WHERE {_IN_BOX})",
+        "nv AS MATERIALIZED (SELECT run, tick, gx, gy, gz, min(z) AS lo, max(z) AS hi, avg(f0) FILTER (WHERE d2 = best AND f0 IS NOT NULL) AS f0 FROM nb GROUP BY ALL)",
+        "s0 AS (SELECT run, gx, gy, gz, 0.0 AS hits, 0.0 AS misses, lo, hi, 0.0 AS one, 0.0 AS two, f0 FROM nv WHERE false)",
+    ]
+    for t in _TICKS:
+        steps += [
+            f"c{t} AS (SELECT s.*, px, py, pz FROM s{t - 1} s JOIN pl ON pl.run = s.run AND pl.tick = {t} WHERE {_IN_BOX})",
+            f"v{t} AS (SELECT *, sqrt({_DIST(_OFF_CELL)}) AS r, {_bin_sql(*_OFF_CELL)} AS bin FROM c{t})",
+            f"r{t} AS (SELECT v.* EXCLUDE (misses, px, py, pz, r, bin), misses + CASE WHEN v.bin IS NOT NULL AND r < coalesce(far, 200.0) THEN 1.0 ELSE 0.0 END AS misses FROM v{t} v LEFT JOIN rb ON rb.run = v.run AND rb.tick = {t} AND rb.bin = v.bin)",
+            f"m{t} AS (SELECT run, gx, gy, gz, coalesce(a.hits, 0) + CASE WHEN b.lo IS NULL THEN 0.0 ELSE 1.0 END AS hits, coalesce(a.misses, 0.0) AS misses, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi, coalesce(a.one, {t}.0) AS one, CASE WHEN b.lo IS NULL THEN a.two ELSE {t}.0 END AS two, coalesce(0.5 * a.f0 + 0.5 * b.f0, b.f0, a.f0) AS f0 FROM r{t} a FULL JOIN (SELECT * FROM nv WHERE tick = {t}) b USING (run, gx, gy, gz))",
+            f"s{t} AS MATERIALIZED (SELECT * EXCLUDE (low) FROM (SELECT *, min(gz) OVER (PARTITION BY run, gx, gy) AS low FROM m{t}) WHERE misses / (hits + misses) <= 0.75 OR gz = low)",
+        ]
+    return f"WITH {', '.join(steps)} SELECT run, gx, gy, gz, CAST(hits AS DOUBLE) AS hits, CAST(misses AS DOUBLE) AS misses, {r6('lo')} AS min_z, {r6('hi')} AS max_z, CAST(one AS DOUBLE) AS first_update, CAST(two AS DOUBLE) AS last_update, {r6('f0')} AS f0 FROM s{_TICKS[-1]}"
+
+
+@query(_ticks_sql())
+def voxel_ticks(spark, d):
+    """Maps of three vehicles that move while they scan: each tick moves, raytraces, merges and culls."""
+    run = F.col("l_linenumber") % 3
+    lines = tables.table(spark, d, "lineitem").withColumns({"run": run.cast("long"), "tick": (F.year("l_shipdate") - 1994).cast("long")})
+    points = tables.scan_points(lines, "run", "tick")
+    poses = lines.select("run", "tick").distinct().select("run", "tick", F.col("tick").alias("stamp"), *(F.expr(v).cast("double").alias(f"p{a}") for a, v in _POSE.items()))
+    live = ticks.VoxelTicks(_BASE, ("f0", "f1"), 0.5, 8, MODEL)
+    made = live.fold(live.table_messages(points, written(poses, "poses")))
+    names = ("min_z", "max_z", "f0")
+    return made.select("run", "gx", "gy", "gz", "hits", "misses", "first_update", "last_update", *(round6(F.nanvl(n, F.lit(None).cast("double"))).alias(n) for n in names))

@@ -18,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven scans: x, y, z and two features, which are null where a point has none."""
+    return scan_points(table(spark, sf_dir, "lineitem").withColumn("scan_id", F.year("l_shipdate") - 1995), "scan_id")
+
+
+def scan_points(lines: DataFrame, *keys: str) -> DataFrame:
     has = F.col("l_returnflag") != "N"
-    return table(spark, sf_dir, "lineitem").select(
-        (F.year("l_shipdate") - 1995).alias("scan_id"), (F.col("l_quantity") - 0.5).alias("x"), (F.col("l_partkey") % 40 + 0.5).alias("y"), (F.col("l_extendedprice") / 10000.0).alias("z"),
+    return lines.select(
+        *keys, (F.col("l_quantity") - 0.5).alias("x"), (F.col("l_partkey") % 40 + 0.5).alias("y"), (F.col("l_extendedprice") / 10000.0).alias("z"),
         F.when(has, F.col("l_discount")).alias("f0"), F.when(has, F.col("l_tax")).alias("f1"),
     )
 
