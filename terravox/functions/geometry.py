@@ -10,8 +10,8 @@ Cols = tuple[Column, ...]
 
 
 def quaternion_matrix(x: Column, y: Column, z: Column, w: Column) -> list[list[Column]]:
-    """Rotation of a quaternion, which need not be of unit length."""
-    size = F.sqrt(x * x + y * y + z * z + w * w)
+    """Rotation of a quaternion, which need not be of unit length; null for one of zeros."""
+    size = F.nullif(F.sqrt(x * x + y * y + z * z + w * w), F.lit(0.0))
     x, y, z, w = x / size, y / size, z / size, w / size
     return [[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]]
 
@@ -94,6 +94,18 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors; 0 where one has no length, null where one is null."""
+    size = norm(a) * norm(b)
+    return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+
+
+def unit(a: Column) -> Column:
+    """The vector at length 1; one of zeros stays as it is."""
+    size = norm(a)
+    return F.when(size == 0, a).otherwise(F.transform(a, lambda x: x / size))
+
+
 def apply_palette(v: Column, palette: list[list[float]], soft: bool = False) -> dict[str, Column]:
     """Colour of a vector: its entries weigh the palette's colours."""
     v = softmax(v) if soft else v

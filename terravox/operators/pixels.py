@@ -77,13 +77,14 @@ def top_coords(entries: DataFrame, key: list[str], k: int) -> DataFrame:
     return listed.select(*key, F.transform("c", lambda x: F.struct(*(x[f].alias(f) for f in ("seq", "cam", "u", "v")), (x["w"] / total).alias("w"))).alias("coords"))
 
 
-def merge_coords(old: DataFrame, new: DataFrame, key: list[str], k: int, alpha: float) -> DataFrame:
-    """Lists of both sides, weighted 1 - alpha and alpha where both have one, cut to the k heaviest."""
+def merge_coords(old: DataFrame, new: DataFrame, key: list[str], k: int, alpha: float, most: float | None = None) -> DataFrame:
+    """Lists of both sides, weighted 1 - alpha and alpha where both have one, cut to the k heaviest; weights are divided by their sum, of at most `most` (maps: 1)."""
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1))).groupBy(*key).agg(*(F.max(F.when(F.col("_n") == s, F.col("coords"))).alias(f"_{s}") for s in (0, 1)))
     scaled = lambda c, w: F.transform(c, lambda x: F.struct((-x["w"] * w).alias("m"), *(x[f].alias(f) for f in ("seq", "cam", "u", "v"))))
     blended = F.coalesce(F.concat(scaled(F.col("_0"), 1 - alpha), scaled(F.col("_1"), alpha)), scaled(F.col("_1"), 1.0), scaled(F.col("_0"), 1.0))
     cut = both.select(*key, F.slice(F.array_sort(blended), 1, k).alias("c"))
     total = F.greatest(F.aggregate("c", F.lit(0.0), lambda s, x: s - x["m"]), F.lit(1e-8))
+    total = total if most is None else F.least(total, F.lit(most))
     return cut.select(*key, F.transform("c", lambda x: F.struct(*(x[f].alias(f) for f in ("seq", "cam", "u", "v")), (-x["m"] / total).alias("w"))).alias("coords"))
 
 

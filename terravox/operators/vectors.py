@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import dot, norm
+from ..functions.geometry import cosine, dot, norm, unit
 
 
 def components(rows: DataFrame, key: list[str], v: str = "v") -> DataFrame:
@@ -85,13 +85,13 @@ def blocks(centres: DataFrame) -> list[DataFrame]:
 
 
 def assign(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v") -> DataFrame:
-    """Each row's centre of the highest cosine (ties: the smallest label), with residual and cosine.
+    """Each row's centre of the highest cosine (ties: the smallest label; a vector of zeros has cosine 0 to all), with residual and cosine.
 
     The vocabulary is broadcast in blocks of a bounded number of centres; a row keeps its best so far from block to block.
     """
     best = rows.withColumn("_b", F.lit(None))
     for k, part in enumerate(blocks(centres)):
-        scored = F.transform("_all", lambda c: F.struct((dot(F.col(v), c["c"]) / (norm(F.col(v)) * norm(c["c"]))).alias("cos"), (-c["label"]).alias("m"), c["c"].alias("c")))
+        scored = F.transform("_all", lambda c: F.struct(cosine(F.col(v), c["c"]).alias("cos"), (-c["label"]).alias("m"), c["c"].alias("c")))
         found = F.array_max(scored)
         best = best.crossJoin(F.broadcast(part)).withColumn("_b", F.greatest(F.col("_b"), found) if k else found).drop("_all")
     return best.select(*key, (-F.col("_b.m")).alias("centre"), F.col("_b.cos").alias("cosine"), F.zip_with(v, F.col("_b.c"), lambda a, b: a - b).alias("residual"))
@@ -115,30 +115,181 @@ def residuals(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v")
     return out.select(*key, F.col("_far").alias("residuals"))
 
 
-def kmeans(rows: DataFrame, centres: DataFrame, rounds: int, v: str = "v") -> DataFrame:
-    """Centres (label, c) after rounds of Lloyd's algorithm by cosine; a centre without rows stays where it is.
+def kmeans(rows: DataFrame, centres: DataFrame, rounds: int, v: str = "v", tol: float | None = None) -> DataFrame:
+    """Centres (label, c, n) after rounds of Lloyd's algorithm by cosine; a centre without rows stays where it is, with n = 0.
 
-    A round is one pass with partial sums; centres, which are bounded, are collected after each, so that plans stay short.
+    With tol, rounds end once no centre moves by more than that. A round is one pass with partial sums; centres, which are
+    bounded, are collected after each, so that plans stay short.
     """
-    spark, schema = rows.sparkSession, "label long, c array<double>"
-    known = {r["label"]: r["c"] for r in centres.select(F.col("label").cast("long").alias("label"), "c").collect()}
+    spark, schema = rows.sparkSession, "label long, c array<double>, n long"
+    known = {r["label"]: (list(r["c"]), 0) for r in centres.select(F.col("label").cast("long").alias("label"), "c").collect()}
     for _ in range(rounds):
-        at = assign(rows, spark.createDataFrame(sorted(known.items()), schema), [v], v)
-        known |= {r["centre"]: r["c"] for r in as_vectors(class_means(at, "centre", v), "centre").collect()}
-    return spark.createDataFrame(sorted(known.items()), schema)
+        table = spark.createDataFrame([(k, c, n) for k, (c, n) in sorted(known.items())], schema)
+        at = assign(rows, table, [v], v)
+        parts = components(at, ["centre"], v).groupBy("centre", "d").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
+        found = {r["centre"]: (r["c"], r["n"]) for r in parts.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).collect()}
+        moved = max((sum((a - b) ** 2 for a, b in zip(c, known[k][0], strict=True)) ** 0.5 for k, (c, _) in found.items()), default=0.0)
+        known = {k: found.get(k, (c, 0)) for k, (c, _) in known.items()}
+        if tol is not None and moved <= tol:
+            break
+    return spark.createDataFrame([(k, c, n) for k, (c, n) in sorted(known.items())], schema)
+
+
+def seed_centres(rows: DataFrame, k: int, key: str, v: str = "v", rounds: int = 5, oversample: int | None = None, tries: int = 10, seed: int = 0) -> DataFrame:
+    """k centres (label, c) to start Lloyd's rounds from, by k-means||, for the distance 1 - cosine.
+
+    Each round draws rows with a chance in proportion to their distance from the nearest centre so far, `oversample` (2 k) of
+    them on average; a row's luck is a hash of key, round and seed, so the draw hangs on no partitioning. The candidates, at most a
+    few oversample x rounds, are weighed by the rows nearest to them and cut to k on the driver, by the best of some tries of k-means++. Vectors of zeros and
+    nulls are never drawn; fewer than k distinct vectors give fewer centres.
+    """
+    import numpy as np
+
+    spark, l = rows.sparkSession, oversample or 2 * k
+    rows = rows.where(norm(F.col(v)) > 0).select(F.col(key).alias("_key"), unit(F.col(v)).alias("v"))
+    table = lambda cs: spark.createDataFrame([(n, c) for n, c in enumerate(cs)], "label long, c array<double>")
+    luck = lambda r: F.pmod(F.xxhash64("_key", F.lit(seed), F.lit(r)), F.lit(1 << 53)) / float(1 << 53)
+    first = rows.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(1).collect()
+    chosen = [list(r["v"]) for r in first]
+    for r in range(rounds if chosen else 0):
+        near = assign(rows, table(chosen), ["_key", "v"]).select("_key", "v", F.greatest(1 - F.col("cosine"), F.lit(0.0)).alias("_d"))
+        cost = near.agg(F.sum("_d")).first()[0] or 0.0
+        if cost <= 1e-12:
+            break
+        drawn = near.where(luck(r) < F.least(F.lit(1.0), l * F.col("_d") / cost)).orderBy("_key").collect()
+        chosen += [list(x["v"]) for x in drawn]
+    if not chosen:
+        return table([])
+    weight = {r["centre"]: r["count"] for r in assign(rows, table(chosen), ["_key"]).groupBy("centre").count().collect()}
+    c, w = np.array(chosen), np.array([weight.get(n, 0) for n in range(len(chosen))], float)
+    rng, best, least = np.random.default_rng(seed), None, np.inf
+    for _ in range(tries):
+        picked = [int(rng.choice(len(c), p=w / w.sum()))]
+        far = 1 - c @ c[picked[0]]
+        while len(picked) < k and (chance := w * np.maximum(far, 0)).sum() > 1e-12:
+            picked.append(int(rng.choice(len(c), p=chance / chance.sum())))
+            far = np.minimum(far, 1 - c @ c[picked[-1]])
+        centres = c[picked]
+        for _ in range(10):  # Lloyd's rounds among the candidates
+            at = (c @ centres.T).argmax(1)
+            sums = np.array([(w[at == n, None] * c[at == n]).sum(0) for n in range(len(centres))])
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centres = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+        cost = float((w * (1 - (c @ centres.T).max(1))).sum())
+        if cost < least:
+            best, least = centres, cost
+    return table(best.tolist())
+
+
+def range_pca(rows: DataFrame, n: int, q: int, v: str = "v", more: int = 10, rounds: int = 3, seed: int = 0, fan: int = 8):
+    """(mean, basis of q columns, share of energy) as fit_pca gives them, for vectors too wide for an n x n matrix.
+
+    A randomised range finder: rows times a thin matrix of q + more columns are made orthonormal by QR factors of each task,
+    put together in a tree of `fan` at a time; rows against that basis give a thin matrix again, which starts the next round.
+    What travels and what the driver holds is (q + more) x n numbers. Null and too short vectors are skipped.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    width = min(q + more, n)
+    source = rows.select(v)
+
+    def arrays(batches):
+        for batch in batches:
+            lists = [x[:n] for x in batch.column(0).to_pylist() if x is not None and len(x) >= n]
+            if lists:
+                yield np.array(lists, float)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        return pa.table({"i": table.column("i")[:1], "x": pa.array([np.sum(np.array(table.column("x").to_pylist()), axis=0)])})
+
+    def total(job) -> np.ndarray:
+        """Sum over tasks of the matrices that job gives, row by row."""
+        made = source.mapInArrow(lambda batches: (pa.record_batch({"i": pa.array(np.arange(len(m)), pa.int64()), "x": pa.array(list(m), pa.list_(pa.float64()))}) for m in job(arrays(batches))), "i long, x array<double>")
+        return np.array([r["x"] for r in made.groupBy("i").applyInArrow(add_up, "i long, x array<double>").orderBy("i").collect()])
+
+    def sums(parts):
+        out = np.zeros((1, n + 2))
+        for a in parts:
+            out[0, :n] += a.sum(0)
+            out[0, n:] += len(a), (a * a).sum()
+        yield out
+
+    (row,) = total(sums)
+    mean, count, energy = row[:n] / row[n], row[n], row[n + 1]
+    energy -= count * (mean @ mean)
+    thin = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+
+    def factor(thin):
+        def job(batches):
+            r = np.zeros((0, width))
+            for a in arrays(batches):
+                r = np.linalg.qr(np.vstack([r, (a - mean) @ thin]), mode="r")
+            yield pa.record_batch({"g": pa.array([hash_of(r)], pa.int64()), "r": pa.array([r.ravel()], pa.list_(pa.float64()))})
+
+        def hash_of(r):
+            return int(abs(r).sum() * 1e3) % (1 << 31)
+
+        def stacked(table: pa.Table) -> pa.Table:
+            r = np.linalg.qr(np.vstack([np.array(x).reshape(-1, width) for x in table.column("r").to_pylist()]), mode="r")
+            return pa.table({"g": pa.array([hash_of(r)], pa.int64()), "r": pa.array([r.ravel()])})
+
+        shape, left = "g long, r array<double>", source.mapInArrow(job, "g long, r array<double>")
+        parts = source.rdd.getNumPartitions()
+        while parts > fan:
+            parts = -(-parts // fan)
+            left = left.groupBy(F.pmod("g", F.lit(parts)).alias("_g")).applyInArrow(stacked, shape)
+        return np.linalg.qr(np.vstack([np.array(r["r"]).reshape(-1, width) for r in left.collect()]), mode="r")
+
+    for _ in range(rounds):
+        r = factor(thin)
+        size = np.abs(np.diag(r))
+        keep = size > 1e-12 * max(size.max(), 1e-300)
+        inverse = np.linalg.pinv(r) if not keep.all() else np.linalg.inv(r)
+
+        def against(parts, thin=thin, inverse=inverse):
+            out = np.zeros((width, n))
+            for a in parts:
+                a = a - mean
+                out += (a @ thin @ inverse).T @ a
+            yield out
+
+        b = total(against)
+        thin = np.linalg.qr(b.T)[0]
+    _, values, vt = np.linalg.svd(b, full_matrices=False)
+    basis = vt[:q].T
+    basis = basis * np.sign(basis[np.abs(basis).argmax(0), range(basis.shape[1])])
+    return mean.tolist(), basis, values[:q] ** 2 / max(energy, 1e-300)
+
+
+def norms(rows: DataFrame, mean: list[float], basis, v: str = "v") -> DataFrame:
+    """One row: mean norms of the centred vectors, of their projection, of what is left, and the cumulative share of each component's mean size."""
+    parts = project(F.col(v), mean, basis.tolist())
+    centred = F.zip_with(v, F.array(*map(F.lit, mean)), lambda a, b: a - b)
+    at = rows.select(dot(centred, centred).alias("_t"), F.array(*parts).alias("_p")).withColumn("_q", dot(F.col("_p"), F.col("_p")))
+    rest = F.sqrt(F.greatest(F.col("_t") - F.col("_q"), F.lit(0.0)))
+    sizes = [F.avg(F.abs(F.col("_p")[k])) for k in range(len(parts))]
+    total = F.nullif(F.avg(F.sqrt("_t")), F.lit(0.0))
+    steps = [sum(sizes[1 : k + 1], sizes[0]) / total for k in range(len(sizes))]
+    return at.agg(F.avg(F.sqrt("_t")).alias("total"), F.avg(F.sqrt("_q")).alias("projected"), F.avg(rest).alias("residual"), F.array(*steps).alias("cumulative"))
 
 
 def soft_vlad(rows: DataFrame, centres: DataFrame, group: str, temperature: float, v: str = "v") -> DataFrame:
     """Rows (group, centre, d, x): residuals to every centre weighted by softmax(temperature * cosine), normalised as in vlad."""
-    listed = blocks(centres)
-    if len(listed) > 1:
-        raise ValueError(f"soft assignment takes at most {BLOCK} centres")
-    near = rows.crossJoin(F.broadcast(listed[0])).withColumn("_w", F.transform("_all", lambda c: F.exp(temperature * dot(F.col(v), c["c"]) / (norm(F.col(v)) * norm(c["c"])))))
-    total = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
-    parts = near.select(group, v, total.alias("_s"), F.explode(F.arrays_zip("_all", "_w")).alias("_z"))
-    share = F.col("_z._w") / F.col("_s")
-    weighted = F.zip_with(v, F.col("_z._all.c"), lambda a, b: a - b)
-    return vlad(parts.select(group, F.col("_z._all.label").alias("centre"), F.transform(weighted, lambda x: x * share).alias("residual")), group)
+    weights = lambda near: F.transform("_all", lambda c: F.exp(temperature * cosine(F.col(v), c["c"])))
+    listed, summed = blocks(centres), rows.withColumn("_s", F.lit(0.0))
+    for part in listed:  # cosines lie in -1 .. 1, so the sum needs no running maximum
+        summed = summed.crossJoin(F.broadcast(part)).withColumn("_s", F.col("_s") + F.aggregate(weights(summed), F.lit(0.0), lambda s, x: s + x)).drop("_all")
+    shares = []
+    for part in listed:
+        near = summed.crossJoin(F.broadcast(part)).withColumn("_w", weights(summed)).select(group, v, "_s", F.explode(F.arrays_zip("_all", "_w")).alias("_z"))
+        weighted = F.zip_with(v, F.col("_z._all.c"), lambda a, b: a - b)
+        share = F.col("_z._w") / F.col("_s")
+        shares.append(near.select(group, F.col("_z._all.label").alias("centre"), F.transform(weighted, lambda x: x * share).alias("residual")))
+    parts = shares[0]
+    for more in shares[1:]:
+        parts = parts.unionByName(more)
+    return vlad(parts, group)
 
 
 def reduced_vlad(sums: DataFrame, group: str) -> DataFrame:
@@ -148,14 +299,20 @@ def reduced_vlad(sums: DataFrame, group: str) -> DataFrame:
     return added.join(size, group).select(group, "d", F.coalesce(F.col("x") / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0)).alias("x"))
 
 
+def prototype_cosines(rows: DataFrame, prototypes: dict[str, list[float]], key: list[str], v: str = "v") -> DataFrame:
+    """rows' key with one column a prototype: the cosine with it, 0 for a vector or prototype of zeros."""
+    return rows.select(*key, *(cosine(F.col(v), F.array(*map(F.lit, p))).alias(name) for name, p in prototypes.items()))
+
+
 def prototype_scores(rows: DataFrame, obstacles: list[list[float]], others: list[list[float]], key: list[str], v: str = "v") -> DataFrame:
     """Best cosine with an obstacle less the best with another prototype."""
-    best = lambda ps: F.greatest(*(dot(F.col(v), F.array(*map(F.lit, p))) / (norm(F.col(v)) * F.lit(sum(x * x for x in p) ** 0.5)) for p in ps)) if len(ps) > 1 else dot(F.col(v), F.array(*map(F.lit, ps[0]))) / (norm(F.col(v)) * F.lit(sum(x * x for x in ps[0]) ** 0.5))
-    return rows.select(*key, (best(obstacles) - best(others)).alias("obstacle_score"))
+    each = {f"_{side}{k}": p for side, ps in (("o", obstacles), ("n", others)) for k, p in enumerate(ps)}
+    best = lambda side, ps: F.greatest(*(F.col(f"_{side}{k}") for k in range(len(ps)))) if len(ps) > 1 else F.col(f"_{side}0")
+    return prototype_cosines(rows, each, key, v).select(*key, (best("o", obstacles) - best("n", others)).alias("obstacle_score"))
 
 
 def confusion(rows: DataFrame, label: str, predicted: str, ignore: int = -1) -> DataFrame:
-    """Per class: intersection, union, IoU, over rows whose label counts; accuracy comes along."""
+    """Per class: intersection, union, IoU, over rows whose label counts."""
     counts = rows.where(F.col(label) != ignore).groupBy(F.col(label).alias("l"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     sides = counts.select(F.explode(F.array(F.struct(F.col("l").alias("k"), F.lit(1).alias("s")), F.struct(F.col("p").alias("k"), F.lit(2).alias("s")))).alias("e"), "l", "p", "n")
     per = sides.groupBy("e.k").agg(F.sum(F.when((F.col("l") == F.col("p")) & (F.col("e.s") == 1), F.col("n")).otherwise(0)).alias("hit"), F.sum(F.when(F.col("l") == F.col("p"), F.col("n") / 2).otherwise(F.col("n"))).alias("u"))
@@ -168,3 +325,9 @@ def propagate(edges: DataFrame, target: str, label: str, k: int) -> DataFrame:
     top = edges.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).withColumn("_w", F.exp(F.col("cos") / 0.1))
     votes = top.groupBy(target, label).agg(F.sum("_w").alias("w"))
     return votes.groupBy(target).agg(F.max_by(label, F.struct(F.col("w"), -F.col(label))).alias("voted"), (F.max("w") / F.sum("w")).alias("share"))
+
+
+def accuracy(rows: DataFrame, label: str, predicted: str, ignore: int = -1) -> DataFrame:
+    """One row: rows whose label counts, and the share of them that is predicted right (null without any)."""
+    counted = rows.where(F.col(label) != ignore)
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).eqNullSafe(F.col(predicted)).cast("double")).alias("accuracy"))

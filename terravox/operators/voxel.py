@@ -10,7 +10,7 @@ from ..grid import AXES, KEYS, GridMeta
 
 def keyed(points: DataFrame, meta: GridMeta) -> DataFrame:
     """Points inside the box with their keys. The box is tested on the raw columns too, so that scans can prune."""
-    return points.withColumns(meta.keys()).where(meta.contains_keys())
+    return points.where(meta.contains_points()).withColumns(meta.keys()).where(meta.contains_keys())
 
 
 def mean_features(points: DataFrame, features: list[str]) -> DataFrame:

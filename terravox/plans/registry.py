@@ -573,13 +573,18 @@ def class_means(spark, d):
     return rounded(vectors.class_means(tables.descriptors(spark, d), "label").withColumn("d", F.col("d").cast("long")), "x")
 
 
-_COS = "cent AS (SELECT label, list(x ORDER BY d) AS c FROM means GROUP BY label), pair AS (SELECT e.vec_id, e.label, c.label AS centre, list_cosine_similarity(CAST(e.v AS DOUBLE[]), c.c) AS cosine, c.c AS c, CAST(e.v AS DOUBLE[]) AS v FROM desc_ e CROSS JOIN cent c), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, centre) AS k FROM pair)"
+_COS = "cent AS (SELECT label, list(x ORDER BY d) AS c FROM means GROUP BY label), unit AS (SELECT vec_id, label, list_transform(CAST(v AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[])))) AS v FROM desc_), pair AS (SELECT e.vec_id, e.label, c.label AS centre, list_cosine_similarity(e.v, c.c) AS cosine, c.c AS c, e.v AS v FROM unit e CROSS JOIN cent c), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, centre) AS k FROM pair)"
 
 
 def _centres(spark, d):
     return vectors.as_vectors(vectors.class_means(tables.descriptors(spark, d), "label"), "label")
 
 
+def _units(spark, d):
+    """Descriptors at length 1, as vocabularies take them."""
+    return tables.descriptors(spark, d).withColumn("v", geometry.unit(F.col("v")))
+
+
 @query(f"+{_COS} SELECT vec_id, centre, {r6('cosine')} AS cosine FROM best WHERE k = 1", "desc_ means")
 def nearest_centre(spark, d):
     return rounded(vectors.assign(tables.descriptors(spark, d), _centres(spark, d), ["vec_id"]).select("vec_id", "centre", "cosine"), "cosine")
@@ -587,13 +592,13 @@ def nearest_centre(spark, d):
 
 @query(f"+{_COS}, a AS (SELECT label, centre, unnest(range(64)) AS d, unnest(v) - unnest(c) AS x FROM best WHERE k = 1), s AS (SELECT label, centre, d, sum(x) AS x FROM a GROUP BY ALL), n AS (SELECT label, centre, d, x / sqrt(sum(x * x) OVER (PARTITION BY label, centre)) AS x FROM s) SELECT label, centre, d, {r6('x / sqrt(sum(x * x) OVER (PARTITION BY label))')} AS x FROM n", "desc_ means")
 def vlad_hard(spark, d):
-    assigned = vectors.assign(tables.descriptors(spark, d), _centres(spark, d), ["vec_id", "label"])
+    assigned = vectors.assign(_units(spark, d), _centres(spark, d), ["vec_id", "label"])
     return rounded(vectors.vlad(assigned, "label").withColumn("d", F.col("d").cast("long")), "x")
 
 
 @query(f"+{_COS} SELECT vec_id, centre, {r6('list_sum(list_transform(range(1, 65), lambda i: abs(v[i] - c[i])))')} AS residual FROM pair", "desc_ means")
 def vlad_residuals(spark, d):
-    far = vectors.residuals(tables.descriptors(spark, d), _centres(spark, d), ["vec_id"])
+    far = vectors.residuals(_units(spark, d), _centres(spark, d), ["vec_id"])
     return rounded(far.select("vec_id", F.posexplode("residuals").alias("centre", "residual")), "residual")
 
 
@@ -603,6 +608,12 @@ def class_iou(spark, d):
     return rounded(vectors.confusion(at, "label", "centre"), "iou")
 
 
+@query(f"+{_COS} SELECT count(*) AS n, {r6('avg(CASE WHEN label = centre THEN 1.0 ELSE 0.0 END)')} AS accuracy FROM best WHERE k = 1", "desc_ means")
+def class_accuracy(spark, d):
+    at = vectors.assign(tables.descriptors(spark, d), _centres(spark, d), ["vec_id", "label"])
+    return rounded(vectors.accuracy(at, "label", "centre"), "accuracy")
+
+
 @query(f"SELECT a, b, {r6('sum(v[a + 1] * v[b + 1])')} AS g FROM (SELECT CAST(v AS DOUBLE[]) AS v FROM desc_) CROSS JOIN (SELECT unnest(range(64)) AS a) CROSS JOIN (SELECT unnest(range(64)) AS b) WHERE a <= b GROUP BY a, b", "desc_")
 def gramian(spark, d):
     return rounded(vectors.gramian(tables.descriptors(spark, d), 64), "g")
@@ -628,7 +639,7 @@ def label_propagation(spark, d):
     rows = tables.descriptors(spark, d)
     near = rows.select(F.col("vec_id").alias("target"), F.col("v").alias("a"), F.explode(F.sequence(F.col("vec_id") - 12, F.col("vec_id") - 1)).alias("source"))
     edges = near.join(rows.select(F.col("vec_id").alias("source"), "label", F.col("v").alias("b")), "source")
-    cos = geometry.dot(F.col("a"), F.col("b")) / (geometry.norm(F.col("a")) * geometry.norm(F.col("b")))
+    cos = geometry.cosine(F.col("a"), F.col("b"))
     return rounded(vectors.propagate(edges.select("target", "source", "label", cos.alias("cos")), "target", "label", 5), "share")
 
 
@@ -751,4 +762,4 @@ def hourly_windows(spark, d):
 for _name in ("last_overlapping_frame", "distance_to_trajectory"):
     QUERIES[f"{_name}_any"], ORACLE_SQL[f"{_name}_any"] = QUERIES[_name], ORACLE_SQL[_name]
 
-from . import images, motion, spatial, sweeps, vocabulary  # noqa: E402, F401  (their queries enter themselves)
+from . import fitting, images, motion, spatial, sweeps, vocabulary  # noqa: E402, F401  (their queries enter themselves)

@@ -11,7 +11,7 @@ from ..operators import pixels, vectors
 from ..sources import tables
 from ..sources.tables import round6
 from . import terrain
-from .registry import _centres, _COS, query, r6, rounded
+from .registry import _centres, _COS, _units, query, r6, rounded
 
 ROUNDS = 2
 
@@ -28,8 +28,7 @@ def _kmeans_sql() -> str:
 @query(_kmeans_sql(), "desc_")
 def kmeans_vocabulary(spark, d):
     """Centres of the unit vectors, from the first six on."""
-    unit = F.transform("v", lambda x: x / geometry.norm(F.col("v")))
-    rows = tables.descriptors(spark, d).select("vec_id", unit.alias("v"))
+    rows = tables.descriptors(spark, d).select("vec_id", geometry.unit(F.col("v")).alias("v"))
     made = vectors.kmeans(rows, rows.where("vec_id < 6").select(F.col("vec_id").alias("label"), F.col("v").alias("c")), ROUNDS)
     return rounded(made.select("label", F.posexplode("c").alias("d", "x")).withColumn("d", F.col("d").cast("long")), "x")
 
@@ -39,13 +38,13 @@ _NORMED = "n AS (SELECT label, centre, d, x / sqrt(sum(x * x) OVER (PARTITION BY
 
 @query(f"+{_COS}, w AS (SELECT *, exp(2.0 * cosine) / sum(exp(2.0 * cosine)) OVER (PARTITION BY vec_id) AS w FROM pair), a AS (SELECT label, centre, w, unnest(range(64)) AS d, unnest(v) - unnest(c) AS x FROM w), s AS (SELECT label, centre, d, sum(w * x) AS x FROM a GROUP BY ALL), {_NORMED} SELECT label, centre, d, {r6('x / sqrt(sum(x * x) OVER (PARTITION BY label))')} AS x FROM n", "desc_ means")
 def vlad_soft(spark, d):
-    made = vectors.soft_vlad(tables.descriptors(spark, d), _centres(spark, d), "label", 2.0)
+    made = vectors.soft_vlad(_units(spark, d), _centres(spark, d), "label", 2.0)
     return rounded(made.withColumn("d", F.col("d").cast("long")), "x")
 
 
 @query(f"+{_COS}, a AS (SELECT label, centre, unnest(range(64)) AS d, unnest(v) - unnest(c) AS x FROM best WHERE k = 1), s AS (SELECT label, centre, d, sum(x) AS x FROM a GROUP BY ALL), {_NORMED}, r AS (SELECT label, d, sum(x) AS x FROM n GROUP BY ALL) SELECT label, d, {r6('x / sqrt(sum(x * x) OVER (PARTITION BY label))')} AS x FROM r", "desc_ means")
 def vlad_reduced(spark, d):
-    assigned = vectors.assign(tables.descriptors(spark, d), _centres(spark, d), ["vec_id", "label"])
+    assigned = vectors.assign(_units(spark, d), _centres(spark, d), ["vec_id", "label"])
     return rounded(vectors.reduced_vlad(vectors.vlad(assigned, "label"), "label").withColumn("d", F.col("d").cast("long")), "x")
 
 
