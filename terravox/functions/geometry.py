@@ -32,6 +32,17 @@ def rigid_inverse(m) -> list[list]:
     return [[*row, -(row[0] * m[0][3] + row[1] * m[1][3] + row[2] * m[2][3])] for row in turned] + [m[3]]
 
 
+def compose(a, b) -> list[list]:
+    """Product of two 4 x 4 matrices of rigid transforms, of columns or numbers."""
+    rows = [[a[r][0] * b[0][c] + a[r][1] * b[1][c] + a[r][2] * b[2][c] for c in range(4)] for r in range(3)]
+    return [[*row[:3], row[3] + a[r][3]] for r, row in enumerate(rows)] + [a[3]]
+
+
+def frame_extrinsics(cloud, image, extrinsics) -> list[list]:
+    """A camera's extrinsics set right for the way from a cloud's pose to an image's, both 4 x 4 matrices of columns: per frame and camera."""
+    return compose(compose(image, rigid_inverse(cloud)), extrinsics)
+
+
 def to_spherical(x: Column, y: Column, z: Column) -> dict[str, Column]:
     return {"el": F.atan2(z, F.hypot(x, y)), "az": F.atan2(y, x), "range": F.sqrt(x * x + y * y + z * z)}
 

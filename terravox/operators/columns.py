@@ -118,3 +118,16 @@ def bev_map(elevation: DataFrame, features: DataFrame, names: list[str]) -> Data
     """Elevation, features and both counts side by side."""
     left = elevation.withColumnRenamed("hits", "num_points")
     return left.join(features.withColumnRenamed("hits", "num_feature_points"), list(CELL), "left").na.fill(0, [*names, "num_feature_points"])
+
+
+def grid_map(cells: DataFrame, layers: list[str], rows: int, cols: int, inside: Column, constant: dict[str, float]) -> DataFrame:
+    """Rows (layer, values) as a map message stores them: both axes turned round, columns first; NaN outside the mask, null where there is no cell.
+
+    cells: i, j and the layers; constant layers are the same everywhere. An array has rows x cols entries, which the map bounds.
+    """
+    nan = F.lit(float("nan"))
+    masked = {c: F.when(inside, F.col(c).cast("double")).otherwise(nan) for c in layers} | {c: F.lit(float(v)) for c, v in constant.items()}
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("layer"), v.alias("v")) for c, v in masked.items())))
+    place = (cols - 1 - F.col("j")) * rows + (rows - 1 - F.col("i"))
+    held = cells.select(place.cast("int").alias("_p"), each.alias("_e")).groupBy("_e.layer").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_e.v"))).alias("_m"))
+    return held.select("layer", F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda p: F.try_element_at("_m", p)).alias("values"))

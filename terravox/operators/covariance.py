@@ -83,17 +83,31 @@ def fuse_points(rows: DataFrame, key: list[str], prefix: str, features: list[str
     return sums.select(*key, *features, *(v.alias(f"cov_{k}") for k, v in zip(SIX, c, strict=True)), *(v.alias(k) for k, v in centre.items()))
 
 
-def merge(a: DataFrame, b: DataFrame, key: list[str], features: list[str]) -> DataFrame:
-    """Keys of both: covariance inv(half of each precision), mean centre, features by the peaks of the Gaussians."""
-    one, two = (df.select(*key, *(F.col(c).alias(f"{n}_{c}") for c in df.columns if c not in key)) for n, df in (("a", a), ("b", b)))
-    both = one.join(two, key, "full")
-    ca, cb = of("a_cov"), of("b_cov")
+def _joint(a, b, features: list[str]) -> dict[str, Column]:
+    """Both Gaussians in one, from what a and b give by name: covariance inv(half of each precision), mean centre, features by the peaks."""
+    ca, cb = (tuple(s(f"cov_{k}") for k in SIX) for s in (a, b))
     half = tuple(0.5 * x + 0.5 * y for x, y in zip(inverse(ca), inverse(cb), strict=True))
     plus = lambda m: (m[0] + 1e-6, m[1], m[2], m[3] + 1e-6, m[4], m[5] + 1e-6)
     weight = lambda m: F.exp(-0.5 * (3 * math.log(2 * math.pi) + F.log(determinant(plus(m)))))
     wa, wb = weight(ca), weight(cb)
-    pick = lambda c, joint: F.coalesce(joint, F.col(f"a_{c}"), F.col(f"b_{c}")).alias(c)
-    return both.select(
-        *key, *(pick(f, (wa * F.col(f"a_{f}") + wb * F.col(f"b_{f}")) / (wa + wb + 1e-6)) for f in features),
-        *(pick(f"cov_{k}", v) for k, v in zip(SIX, inverse(half), strict=True)), *(pick(f"center_{x}", (F.col(f"a_center_{x}") + F.col(f"b_center_{x}")) / 2) for x in "xyz"),
-    )
+    made = {f: (wa * a(f) + wb * b(f)) / (wa + wb + 1e-6) for f in features}
+    made |= {f"cov_{k}": v for k, v in zip(SIX, inverse(half), strict=True)} | {f"center_{x}": (a(f"center_{x}") + b(f"center_{x}")) / 2 for x in "xyz"}
+    return {c: F.coalesce(v, a(c), b(c)) for c, v in made.items()}
+
+
+def merge(a: DataFrame, b: DataFrame, key: list[str], features: list[str]) -> DataFrame:
+    """Keys of both tables, those of one as they are."""
+    one, two = (df.select(*key, *(F.col(c).alias(f"{n}_{c}") for c in df.columns if c not in key)) for n, df in (("a", a), ("b", b)))
+    joint = _joint(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), features)
+    return one.join(two, key, "full").select(*key, *(v.alias(c) for c, v in joint.items()))
+
+
+def merge_all(scans: DataFrame, key: list[str], features: list[str], order: str) -> DataFrame:
+    """merge of all scans in order, at once: one shuffle and a left fold over at most one entry per scan of each key."""
+    names = [*features, *(f"cov_{k}" for k in SIX), *(f"center_{x}" for x in "xyz")]
+    listed = scans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(order, *names))).alias("_s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(x[order].alias(order), *(v.alias(c) for c, v in _joint(lambda c: acc[c], lambda c: x[c], features).items()))
+
+    return listed.select(*key, F.aggregate(F.slice("_s", 2, 1 << 30), F.get("_s", F.lit(0)), step).alias("_f")).select(*key, *(F.col(f"_f.{c}").alias(c) for c in names))

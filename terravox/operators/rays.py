@@ -63,6 +63,12 @@ def local(df: DataFrame, sensor: tuple[float, ...], x: Column, y: Column, z: Col
     return df.withColumns(to_spherical(*at))
 
 
+def range_gate(points: DataFrame, sensor: tuple[float, ...], low: float, high: float) -> DataFrame:
+    """Points farther from the sensor than low and nearer than high, with their range."""
+    far = F.sqrt(sum(((F.col(a) - s) ** 2 for a, s in zip("xyz", sensor, strict=False)), F.lit(0.0)))
+    return points.withColumn("range", far).where((F.col("range") > low) & (F.col("range") < high))
+
+
 def bin_ranges(points: DataFrame, model: SensorModel, sensor: tuple[float, ...], reduce=F.max) -> DataFrame:
     """Range per bin; the table is bounded by the sensor's bins."""
     binned = local(points, sensor, F.col("x"), F.col("y"), F.col("z")).withColumn("bin", model.bin(F.col("el"), F.col("az")))

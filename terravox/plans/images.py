@@ -29,11 +29,12 @@ def coarse_labels(spark, d):
     return fine.select("fine", labels.coarse(F.col("fine"), _COARSE).cast("long").alias("coarse")).groupBy("fine", "coarse").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT vec_id, {r6('CASE WHEN hi > 0 THEN coalesce((x - lo) / nullif(hi - lo, 0), 0) ELSE x END')} AS x FROM (SELECT *, min(x) OVER (PARTITION BY label) AS lo, max(x) OVER (PARTITION BY label) AS hi FROM (SELECT vec_id, label, CAST(v[1] AS DOUBLE) AS x FROM desc_))", "desc_")
+@query(f"SELECT vec_id, d, {r6('CASE WHEN hi > 0 THEN coalesce((x - lo) / nullif(hi - lo, 0), 0) ELSE x END')} AS x FROM (SELECT *, min(x) OVER (PARTITION BY label, d) AS lo, max(x) OVER (PARTITION BY label, d) AS hi FROM (SELECT vec_id, label, CAST(unnest(range(64)) AS BIGINT) AS d, CAST(unnest(v) AS DOUBLE) AS x FROM desc_))", "desc_")
 def class_min_max(spark, d):
-    """The first entry scaled within each class."""
-    rows = tables.descriptors(spark, d).select("vec_id", "label", F.col("v")[0].alias("x"))
-    return rounded(labels.min_max_by(rows, "label", "x").select("vec_id", "x"), "x")
+    """Each entry scaled within its class."""
+    each = tables.descriptors(spark, d).select("vec_id", "label", F.posexplode("v").alias("d", "x"))
+    rows = each.select("vec_id", F.col("d").cast("long").alias("d"), (F.col("label") * 64 + F.col("d")).alias("class"), "x")
+    return rounded(labels.min_max_by(rows, "class", "x").select("vec_id", "d", "x"), "x")
 
 
 @query("SELECT k AS bit, sum((event_id >> k) & 1) AS n FROM events CROSS JOIN (SELECT unnest(range(16)) AS k) GROUP BY k")
@@ -43,17 +44,19 @@ def bit_counts(spark, d):
     return each.groupBy(F.col("bit").cast("long").alias("bit")).agg(F.sum("one").alias("n"))
 
 
-@query("SELECT vec_id, p // 16 AS u, p % 16 AS v FROM (SELECT vec_id, unnest(range(CAST(b - n AS BIGINT), CAST(b AS BIGINT))) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY vec_id ORDER BY k) AS b FROM (SELECT vec_id, unnest(range(16)) AS k, unnest(list_transform(CAST(v AS DOUBLE[])[1:16], lambda x: CAST(floor(abs(x) * 20) AS BIGINT))) AS n FROM desc_)) WHERE k % 2 = 1)", "desc_")
+@query("SELECT vec_id, p // 16 AS u, p % 16 AS v FROM (SELECT vec_id, unnest(range(CAST(b - n AS BIGINT), CAST(b AS BIGINT))) AS p FROM (SELECT *, sum(n) OVER (PARTITION BY vec_id ORDER BY k) AS b FROM (SELECT vec_id, unnest(range(64)) AS k, unnest(list_transform(CAST(v AS DOUBLE[]), lambda x: CAST(floor(abs(x) * 20) AS BIGINT))) AS n FROM desc_)) WHERE k % 2 = 1)", "desc_")
 def mask_pixels(spark, d):
-    """Pixels of masks whose sixteen runs have lengths by the entries of a vector; images are 16 high."""
-    lengths = F.transform(F.slice("v", 1, 16), lambda x: F.floor(F.abs(x) * 20).cast("long"))
+    """Pixels of masks whose runs have lengths by the entries of a vector; images are 16 high."""
+    lengths = F.transform("v", lambda x: F.floor(F.abs(x) * 20).cast("long"))
     return labels.mask_pixels(tables.descriptors(spark, d).select("vec_id", lengths.alias("n")), ["vec_id"], "n", 16)
 
 
-@query(f"SELECT vec_id, c, {r6('(x - [0.485, 0.456, 0.406][c + 1]) / [0.229, 0.224, 0.225][c + 1]')} AS normalised, {r6('x')} AS restored FROM (SELECT vec_id, unnest(range(3)) AS c, unnest(CAST(v AS DOUBLE[])[1:3]) AS x FROM desc_)", "desc_")
+@query(f"SELECT vec_id, c, {r6('(x - [0.485, 0.456, 0.406][c % 3 + 1]) / [0.229, 0.224, 0.225][c % 3 + 1]')} AS normalised, {r6('x')} AS restored FROM (SELECT vec_id, unnest(range(64)) AS c, unnest(CAST(v AS DOUBLE[])) AS x FROM desc_)", "desc_")
 def channel_normalise(spark, d):
-    three = normalise.normalised(F.slice("v", 1, 3))
-    both = tables.descriptors(spark, d).select("vec_id", F.posexplode(F.arrays_zip(three.alias("n"), normalise.restored(three).alias("r"))).alias("c", "z"))
+    """Entries as channels by turns."""
+    mean, deviation = ((values * 22)[:64] for values in (normalise.MEAN, normalise.DEVIATION))
+    made = normalise.normalised(F.col("v"), mean, deviation)
+    both = tables.descriptors(spark, d).select("vec_id", F.posexplode(F.arrays_zip(made.alias("n"), normalise.restored(made, mean, deviation).alias("r"))).alias("c", "z"))
     return both.select("vec_id", F.col("c").cast("long").alias("c"), round6(F.col("z.n")).alias("normalised"), round6(F.col("z.r")).alias("restored"))
 
 
@@ -96,7 +99,7 @@ def run_tally(spark, d):
     return labels.tally(status, "run", F.col("ok"))
 
 
-@query(f"WITH {_POSES} SELECT t AS stamp, 'odom' AS frame_id, 'base_link' AS child_frame_id, {r6('px')} AS x, {r6('pz')} AS z, {r6('qw')} AS qw FROM pose")
+@query(f"WITH {_POSES} SELECT t AS stamp, 'odom' AS frame_id, 'base_link' AS child_frame_id, {r6('px')} AS x, {r6('py')} AS y, {r6('pz')} AS z, 0.0::DOUBLE AS qx, 0.0::DOUBLE AS qy, {r6('qz')} AS qz, {r6('qw')} AS qw FROM pose")
 def odometry_transforms(spark, d):
     made = mapper.transforms(_poses(spark, d))
-    return made.select("stamp", "frame_id", "child_frame_id", round6(F.col("translation.x")).alias("x"), round6(F.col("translation.z")).alias("z"), round6(F.col("rotation.w")).alias("qw"))
+    return made.select("stamp", "frame_id", "child_frame_id", *(round6(F.col(f"translation.{a}")).alias(a) for a in "xyz"), *(F.col(f"rotation.{a}").alias(f"q{a}") for a in "xy"), *(round6(F.col(f"rotation.{a}")).alias(f"q{a}") for a in "zw"))

@@ -118,6 +118,31 @@ def motion_gate(spark, d):
     return rounded(poses.speeds(_poses(spark, d), "run").where("speed >= 0.001").select("event_id", "speed"), "speed")
 
 
+_CAMERAS = [[[0.0, -1.0, 0.0, 20.0], [0.0, 0.0, -1.0, 5.0], [1.0, 0.0, 0.0, -25.0]], [[0.0, 1.0, 0.0, -20.0], [0.0, 0.0, -1.0, 6.0], [-1.0, 0.0, 0.0, 24.5]]]
+_BEFORE = "q AS (SELECT *, qw * qw - qz * qz AS c, 2 * qz * qw AS s, lag(px) OVER w AS ox, lag(py) OVER w AS oy, lag(pz) OVER w AS oz, lag(qw * qw - qz * qz) OVER w AS oc, lag(2 * qz * qw) OVER w AS os FROM pose WINDOW w AS (PARTITION BY run ORDER BY t)), k AS (SELECT *, c * oc + s * os AS tc, s * oc - c * os AS ts FROM q WHERE ox IS NOT NULL), m AS (SELECT *, px - (tc * ox - ts * oy) AS mx, py - (ts * ox + tc * oy) AS my, pz - oz AS mz FROM k)"
+_ENTRIES = [f"e{r}{c}" for r in range(3) for c in range(4)]
+
+
+def _camera_sql(cam: int, e: list[list[float]]) -> str:
+    rows = [[f"tc * {e[0][c]!r} - ts * {e[1][c]!r}" for c in range(4)], [f"ts * {e[0][c]!r} + tc * {e[1][c]!r}" for c in range(4)], [f"{e[2][c]!r}" for c in range(4)]]
+    for r, move in enumerate(("mx", "my", "mz")):
+        rows[r][3] += f" + {move}"
+    return f"SELECT event_id, {cam} AS cam, {', '.join(f'{r6(f'CAST({v} AS DOUBLE)')} AS {n}' for v, n in zip((v for row in rows for v in row), _ENTRIES, strict=True))} FROM m"
+
+
+@query(f"WITH {_POSES}, {_BEFORE} {' UNION ALL '.join(_camera_sql(k, e) for k, e in enumerate(_CAMERAS))}")
+def frame_extrinsics(spark, d):
+    """Extrinsics of both cameras at each pose, set right for the way since the pose before it, at which the cloud was taken."""
+    names = [*poses.POSITION, *poses.TURN]
+    order = {f"o_{c}": (lambda c: lambda w: F.lag(c).over(w))(c) for c in names}
+    both = temporal.looking_back(_poses(spark, d), "run", 1, order).where("o_px is not null")
+    at = lambda p: geometry.pose_matrix(tuple(F.col(p + c) for c in poses.POSITION), tuple(F.col(p + c) for c in poses.TURN))
+    cameras = spark.createDataFrame([(k, [v for row in e for v in row]) for k, e in enumerate(_CAMERAS)], "cam int, e array<double>")
+    given = [[F.col("e")[4 * r + c] for c in range(4)] for r in range(3)] + [[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)]]
+    made = geometry.frame_extrinsics(at("o_"), at(""), given)
+    return both.crossJoin(F.broadcast(cameras)).select("event_id", "cam", *(round6(v).alias(n) for v, n in zip((v for row in made[:3] for v in row), _ENTRIES, strict=True)))
+
+
 _FRAMES = "f AS (SELECT run, p, event_id, row_number() OVER (PARTITION BY run ORDER BY t) AS idx FROM odo), o AS (SELECT a.run, a.idx, any_value(a.p) AS p, coalesce(min(CASE WHEN abs(a.p - b.p) > 120 THEN b.idx END) - 1, max(b.idx)) AS last_idx FROM f a JOIN f b ON a.run = b.run AND b.idx >= a.idx GROUP BY a.run, a.idx)"
 
 

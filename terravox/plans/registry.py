@@ -713,10 +713,7 @@ def covariance_voxels(spark, d):
 def covariance_merge(spark, d):
     """Covariance voxels of all scans, merged in order."""
     per_scan = covariance.fuse_points(_covariances(spark, d), ["scan_id", *KEYS], "cov", ["f0"])
-    made = None
-    for k in SCANS:
-        one = per_scan.where(F.col("scan_id") == k).drop("scan_id")
-        made = one if made is None else covariance.merge(made, one, list(KEYS), ["f0"])
+    made = covariance.merge_all(per_scan, list(KEYS), ["f0"], "scan_id")
     return rounded(made, *(c for c in made.columns if c not in KEYS))
 
 
@@ -729,6 +726,21 @@ def grid_map_layers(spark, d):
     return rounded(long.withColumn("place", (39 - F.col("j")) * 40 + 39 - F.col("i")), "v").select("layer", "i", "j", "v", "place")
 
 
+@query(f"+m AS (SELECT i, j, m > 0 AS seen, z, top FROM bev JOIN cells USING (i, j, z, top)), l AS (SELECT i, j, seen, 'z' AS layer, z AS v FROM m UNION ALL SELECT i, j, seen, 'top', top FROM m UNION ALL SELECT i, j, true, 'elevation', 2.5 - 1.73 FROM m) SELECT layer, CAST((39 - j) * 40 + (39 - i) AS BIGINT) AS place, NOT seen AS masked, CASE WHEN seen THEN {r6('v')} END AS v FROM l", "cells bev")
+def grid_map_message(spark, d):
+    """Layers of a map as its message holds them: NaN outside the mask, and a layer of one height."""
+    message = columns.grid_map(_bev(spark, d), ["z", "top"], 40, 40, F.col("m") > 0, {"elevation": 2.5 - 1.73})
+    each = message.select("layer", F.posexplode("values").alias("place", "v")).where("v is not null")
+    return each.select("layer", F.col("place").cast("long").alias("place"), F.isnan("v").alias("masked"), F.when(~F.isnan("v"), round6(F.col("v"))).alias("v"))
+
+
+@query(f"+rg AS (SELECT scan_id, sqrt({_D}) AS r FROM pts) SELECT scan_id, count(*) AS n, {r6('min(r)')} AS nearest, {r6('max(r)')} AS farthest FROM rg WHERE r > 5.0 AND r < 20.0 GROUP BY scan_id", "pts")
+def range_gate(spark, d):
+    """Points of each scan between five and twenty metres from the sensor."""
+    kept = rays.range_gate(tables.points(spark, d), SENSOR, 5.0, 20.0)
+    return rounded(kept.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.min("range").alias("nearest"), F.max("range").alias("farthest")), "nearest", "farthest")
+
+
 @query("SELECT CAST(least(99, floor((l_extendedprice - 0) / 1100)) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
 def histogram(spark, d):
     return tables.table(spark, d, "lineitem").groupBy(F.least(F.lit(99), F.floor(F.col("l_extendedprice") / 1100)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

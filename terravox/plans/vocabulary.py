@@ -58,21 +58,22 @@ def pca_vlad(spark, d):
     return far.select("vec_id", F.transform(both, lambda x: F.round(x, 6)).alias("features"))
 
 
-_FIB = [[float(x) for x in c] for c in geometry.fibonacci_palette(8)]
+_COLOURS = 64
+_FIB = [[float(x) for x in c] for c in geometry.fibonacci_palette(_COLOURS)]
 
 
 def _palette_sql(axis: str) -> str:
     def colour(k: int) -> str:
-        turn, polar = 2 * math.pi * k / ((1 + 5**0.5) / 2), math.acos(1 - 2 * k / 8)
+        turn, polar = 2 * math.pi * k / ((1 + 5**0.5) / 2), math.acos(1 - 2 * k / _COLOURS)
         return repr({"x": math.cos(turn) * math.sin(polar), "y": math.sin(turn) * math.sin(polar), "z": math.cos(polar)}[axis] / 2 + 0.5)
 
-    return f"list_dot_product(w, [{', '.join(colour(k) for k in range(8))}]::DOUBLE[]) / list_sum(w)"
+    return f"list_dot_product(w, [{', '.join(colour(k) for k in range(_COLOURS))}]::DOUBLE[]) / list_sum(w)"
 
 
-@query(f"SELECT vec_id, {', '.join(f'{r6(_palette_sql(a))} AS {c}' for a, c in zip('xyz', 'rgb', strict=True))} FROM (SELECT vec_id, list_transform(CAST(v AS DOUBLE[])[1:8], lambda x: exp(x)) AS w FROM desc_)", "desc_")
+@query(f"SELECT vec_id, {', '.join(f'{r6(_palette_sql(a))} AS {c}' for a, c in zip('xyz', 'rgb', strict=True))} FROM (SELECT vec_id, list_transform(CAST(v AS DOUBLE[]), lambda x: exp(x)) AS w FROM desc_)", "desc_")
 def palette_colours(spark, d):
-    """Colours of vectors' first eight entries, made shares by a softmax, over a palette of eight."""
-    colours = geometry.apply_palette(F.slice("v", 1, 8), _FIB, soft=True)
+    """Colours of vectors, whose entries are made shares by a softmax, over a palette of as many."""
+    colours = geometry.apply_palette(F.col("v"), _FIB, soft=True)
     return tables.descriptors(spark, d).select("vec_id", *(round6(c).alias(k) for k, c in colours.items()))
 
 

@@ -65,6 +65,22 @@ def packed_points(df: DataFrame, content: str = "content", colour: bool = False)
     return df.select("frame_id", content).mapInPandas(read, "frame_id long, x double, y double, z double" + (", rgb long" if colour else ""))
 
 
+def pack_points(points: DataFrame, frame: str = "frame_id", order: str | None = None, colour: bool = False) -> DataFrame:
+    """Rows (frame, content, n): the records that packed_points reads, one a frame, in the order of a column; a frame's points are bounded by its sensor."""
+    kind = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4")] + ([("rgb", "<u4")] if colour else []))
+    names = [*kind.names]
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order) if order else group
+        out = np.zeros(len(group), kind)
+        for c in names:
+            out[c] = group[c].to_numpy()
+        return pd.DataFrame({frame: group[frame].iloc[:1], "content": [out.tobytes()], "n": [len(group)]})
+
+    kept = points.select(frame, *names, *([order] if order and order not in names else []))
+    return kept.groupBy(frame).applyInPandas(write, f"{frame} {points.schema[frame].dataType.simpleString()}, content binary, n long")
+
+
 def valid_points(points: DataFrame, least: float = 1e-5) -> DataFrame:
     """Without points at the origin or with NaN."""
     norm = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravox.functions import geometry
-from terravox.operators import blocks, pixels, sampling, vectors
-from terravox.sources import cache, runs
+from terravox.operators import blocks, columns, covariance, pixels, sampling, vectors
+from terravox.sources import cache, files, runs
 
 VECTORS = "id long, label long, v array<double>"
 
@@ -247,3 +247,38 @@ def test_accuracy_and_weights_of_maps(spark):
     old, new = spark.createDataFrame([(1, [(1, 0, 1.0, 1.0, 2.0)])], entry), spark.createDataFrame([(2, [(1, 0, 1.0, 1.0, 0.2)])], entry)
     weights = lambda most: [c.w for r in pixels.merge_coords(old, new, ["k"], 3, 0.5, most).orderBy("k").collect() for c in r.coords]
     assert weights(None) == [1.0, 1.0] and weights(1.0) == [2.0, 1.0]
+
+
+def test_clouds_as_records_and_back(spark):
+    rows = [(f, k, float(k), 0.5 * k, -1.0, 0x10203 + k) for f in (3, 5) for k in range(20)]
+    df = spark.createDataFrame(rows, "frame_id long, k long, x double, y double, z double, rgb long").repartition(7)
+    packed = files.pack_points(df, order="k", colour=True)
+    assert {r.frame_id: (r.n, len(r.content)) for r in packed.collect()} == {3: (20, 320), 5: (20, 320)}
+    back = files.packed_points(packed, colour=True).collect()
+    assert [(r.frame_id, r.x, r.y, r.z, r.rgb) for r in sorted(back, key=lambda r: (r.frame_id, r.x))] == [(f, x, y, z, c) for f, _, x, y, z, c in rows]
+
+
+def test_covariances_of_all_scans_in_one_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for scan in range(5):
+        for key in range(12):
+            if rng.random() < 0.7:
+                a = rng.normal(size=(3, 3))
+                c = a @ a.T + np.eye(3)
+                rows.append((key, scan, float(rng.uniform()), *map(float, (c[0, 0], c[0, 1], c[0, 2], c[1, 1], c[1, 2], c[2, 2])), *map(float, rng.normal(size=3))))
+    names = ["f", *(f"cov_{k}" for k in covariance.SIX), *(f"center_{a}" for a in "xyz")]
+    df = spark.createDataFrame(rows, "key long, scan long, " + ", ".join(f"{n} double" for n in names))
+    chained = None
+    for scan in range(5):
+        one = df.where(F.col("scan") == scan).drop("scan")
+        chained = one if chained is None else covariance.merge(chained, one, ["key"], ["f"])
+    want, got = ({r.key: [r[n] for n in names] for r in d.collect()} for d in (chained, covariance.merge_all(df, ["key"], ["f"], "scan")))
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_map_message_tells_masked_from_absent(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0), (1, 2, 3.0)], "i int, j int, z double")
+    got = {r.layer: r["values"] for r in columns.grid_map(cells, ["z"], 2, 3, F.col("z") < 2.5, {"flat": 7.0}).collect()}
+    assert got["z"][5] == 1.0 and got["z"][4] == 2.0 and got["z"][0] != got["z"][0] and got["z"][1:4] == [None] * 3
+    assert got["flat"] == [7.0, None, None, None, 7.0, 7.0]
