@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, by_range, distinct, documents, mixed, pack, unpack, word_hashes
+from .common import MIX, by_range, distinct, documents, materialize, mixed, pack, unpack, word_hashes
 
 WINDOW = 35
 SHORTEST = 9
@@ -164,7 +164,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
 
     With carry, all columns of docs come along instead of doc_id alone (but for any named like a result or the block).
 
-    Texts are dealt to their blocks once: the levels' plans share that exchange, and those of the answers.
+    Texts are dealt to their blocks once, as a table in the shared folder: no level depends on how the input was planned.
     """
     own = ("n_words", "n_removed", "kept_sha256", "kept", "block")
     docs = docs.drop(*own).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
@@ -175,8 +175,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     buckets = max(64, -(-size // (5 * BUCKET_WINDOWS)))
     lengths = levels(window, shortest)
-    # Neither one id nor rows that are wholly equal are one block's alone.
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
+    # Neither one id nor rows that are wholly equal are one block's alone. Blocks are written, so that all levels see the same.
+    dealt = materialize(docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")), "dealt")
     grouped = dealt.groupBy("block")
     replies, (first, later) = None, _ask(lengths, buckets)
     for _ in lengths:

@@ -472,6 +472,22 @@ def test_substring_dedup_against_brute_force(spark):
         assert (got[k].n_words, got[k].n_removed, got[k].kept) == (len(ws), len(gone), kept)
 
 
+def test_substring_dedup_of_a_joined_table_without_reused_exchanges(spark):
+    """All levels see one dealing of the texts, however the input was planned."""
+    rng = np.random.default_rng(12)
+    body = [f"w{k}" for k in range(90)]
+    texts = [" ".join([*(f"a{k}x{j}" for j in range(int(rng.integers(5, 30)))), *body[int(rng.integers(0, 40)) :]]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    joined = docs.join(spark.range(60).withColumnRenamed("id", "doc_id"), "doc_id")
+    want = {r.doc_id: (r.n_removed, r.kept) for r in doubling.dedup(docs).collect()}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert {r.doc_id: (r.n_removed, r.kept) for r in doubling.dedup(joined).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sum(n > 0 for n, _ in want.values()) > 30
+
+
 # 9
 
 
