@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import GridMeta
+from .voxel import folded
 
 CELL = ("gx", "gy")
 #: Reducers by name.
@@ -41,10 +42,10 @@ def terrain_diff(voxels: DataFrame, terrain: DataFrame, centre: Column, overhang
     return above.groupBy(*CELL).agg(F.greatest(F.lit(0.0), F.least(F.lit(overhang), F.coalesce(highest, F.lit(0.0)))).alias("diff"))
 
 
-def bev_from_points(points: DataFrame, meta: GridMeta, features: list[str]) -> DataFrame:
-    """Mean features and number of points per cell; points with features alone count."""
+def bev_from_points(points: DataFrame, meta: GridMeta, features: list[str], per: tuple[str, ...] = ()) -> DataFrame:
+    """Mean features and number of points per cell, or per scan and cell; points with features alone count."""
     inside = points.withColumns(meta.dims(0, 1).keys()).where(meta.dims(0, 1).contains_keys())
-    return inside.where(F.col(features[0]).isNotNull()).groupBy(*CELL).agg(*(F.avg(f).alias(f) for f in features), F.count(F.lit(1)).alias("hits"))
+    return inside.where(F.col(features[0]).isNotNull()).groupBy(*per, *CELL).agg(*(F.avg(f).alias(f) for f in features), F.count(F.lit(1)).alias("hits"))
 
 
 def elevation_grid(points: DataFrame, meta: GridMeta, per: tuple[str, ...] = ()) -> DataFrame:
@@ -108,6 +109,12 @@ def merge_features(old: DataFrame, new: DataFrame, features: list[str], alpha: f
     return both.groupBy(*CELL).agg(*(F.coalesce(pick(f, 0) * (1 - alpha) + pick(f, 1) * alpha, pick(f, 1), pick(f, 0)).alias(f) for f in features), F.sum("hits").alias("hits"))
 
 
+def fold_features(grids: DataFrame, features: list[str], alpha: float, order: str) -> DataFrame:
+    """merge_features over all scans in order: one shuffle, a left fold over at most one entry per scan of each cell."""
+    made = grids.groupBy(*CELL).agg(folded(features, alpha, order).alias("_f"), F.sum("hits").alias("hits"))
+    return made.select(*CELL, *(F.col(f"_f.{f}").alias(f) for f in features), "hits")
+
+
 def densify(grid: DataFrame, meta: GridMeta, fill: float = 0.0) -> DataFrame:
     """All cells of the map; layers of absent ones are `fill`. The mesh is bounded by the map's size."""
     layers = [c for c in grid.columns if c not in CELL]

@@ -112,3 +112,10 @@ def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def palette_mask(r: Column, g: Column, b: Column, bright: float = 253) -> Column:
     return (r + g + b) / 3 > bright
+
+
+def coords_of(flat: Column, k: int) -> Column:
+    """Array of k structs (seq, cam, u, v, w) from the flat layout: all seq, then all cam, u, v and w."""
+    part = lambda n: F.slice(flat, n * k + 1, k)
+    names = ("seq", "cam", "u", "v", "w")
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(*(F.get(part(n), i).alias(c) for n, c in enumerate(names))))

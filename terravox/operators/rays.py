@@ -9,25 +9,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import quaternion_matrix, to_spherical
+from ..functions.geometry import from_spherical, quaternion_matrix, to_spherical
+
+
+#: Elevations in degrees of the beams of a 32-beam sensor, and how far above a beam's lower edge a return may lie.
+BEAMS = (
+    -25.0, -15.639, -11.31, -8.843, -7.254, -6.148, -5.333, -4.667, -4.0, -3.667, -3.333, -3.0, -2.667, -2.333, -2.0, -1.667,
+    -1.0, -0.667, -0.333, 0.0, 0.333, 0.667, 1.0, 1.333, 1.667, 2.333, 3.0, 3.333, 4.667, 7.0, 10.333, 15.0, 15.5,
+)
+BEAM_HEIGHT = 0.5
 
 
 @dataclass(frozen=True)
 class SensorModel:
-    """Edges of elevation and azimuth bins in degrees; a residual above a threshold is outside of its bin."""
+    """Elevation and azimuth bins in degrees: first edge, last edge and number, or for elevations edges of their own; a residual above a threshold is outside of its bin."""
 
     el: tuple[float, float, int]
     az: tuple[float, float, int]
     el_threshold: float | None = None
     az_threshold: float | None = None
+    el_edges: tuple[float, ...] | None = None
 
     @staticmethod
     def named(kind: str, **config) -> SensorModel:
         if kind == "generic":
             return SensorModel(**config)
         if kind in ("vlp32c", "vlp32c_front"):
-            front = kind.endswith("front")
-            return SensorModel((-25.0, 15.0, 32), (-90.0, 90.0, 450) if front else (-180.0, 180.0, 900))
+            edges = tuple(b - BEAM_HEIGHT / 2 for b in BEAMS)
+            around = (-90.0, 90.0, 450) if kind.endswith("front") else (-180.0, 180.0, 900)
+            return SensorModel((edges[0], edges[-1], len(edges) - 1), around, BEAM_HEIGHT, None, edges)
         raise ValueError(f"unknown sensor {kind}")
 
     def bin(self, el: Column, az: Column) -> Column:
@@ -40,7 +50,13 @@ class SensorModel:
             residual = c - (low + at * step)
             return F.when((at >= 0) & (at < n) & (residual <= (step if threshold is None else math.radians(threshold)) + 1e-9), at)
 
-        return place(el, self.el, self.el_threshold) * self.az[2] + place(az, self.az, self.az_threshold)
+        def among(c: Column, edges: tuple[float, ...], threshold: float) -> Column:
+            low = F.array(*(F.lit(math.radians(e)) for e in edges))
+            at = F.size(F.filter(low, lambda e: e < c)) - 1
+            return F.when((at >= 0) & (at < len(edges) - 1) & (c - F.get(low, at) <= math.radians(threshold) + 1e-9), at).cast("long")
+
+        up = place(el, self.el, self.el_threshold) if self.el_edges is None else among(el, self.el_edges, self.el_threshold)
+        return up * self.az[2] + place(az, self.az, self.az_threshold)
 
 
 def bins_of(model: SensorModel, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +64,11 @@ def bins_of(model: SensorModel, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray
     flat, out = np.hypot(xyz[:, 0], xyz[:, 1]), []
     for angle, (lo, hi, n), threshold in ((np.arctan2(xyz[:, 2], flat), model.el, model.el_threshold), (np.arctan2(xyz[:, 1], xyz[:, 0]), model.az, model.az_threshold)):
         low, step = math.radians(lo), (math.radians(hi) - math.radians(lo)) / n
+        if model.el_edges is not None and not out:
+            edges = np.radians(model.el_edges)
+            at = np.searchsorted(edges, angle, "left") - 1
+            out.append((at, (at >= 0) & (at < n) & (angle - edges[np.maximum(at, 0)] <= math.radians(threshold) + 1e-9)))
+            continue
         at = np.ceil((angle - low) / step).astype(np.int64) - 1
         out.append((at, (at >= 0) & (at < n) & (angle - (low + at * step) <= (step if threshold is None else math.radians(threshold)) + 1e-9)))
     (el, seen_el), (az, seen_az) = out
@@ -63,6 +84,15 @@ def local(df: DataFrame, sensor: tuple[float, ...], x: Column, y: Column, z: Col
     return df.withColumns(to_spherical(*at))
 
 
+def placed(df: DataFrame, sensor: tuple[float, ...], el: Column, az: Column, r: Column) -> DataFrame:
+    """The way back from local(): x, y, z of places that a sensor at a position, turned by a quaternion where one follows, sees so."""
+    at = tuple(from_spherical(el, az, r)[a] for a in "xyz")
+    if len(sensor) == 7:
+        turn = quaternion_matrix(*(F.lit(float(c)) for c in sensor[3:]))
+        at = tuple(turn[k][0] * at[0] + turn[k][1] * at[1] + turn[k][2] * at[2] for k in range(3))
+    return df.withColumns({a: c + s for a, c, s in zip("xyz", at, sensor, strict=False)})
+
+
 def range_gate(points: DataFrame, sensor: tuple[float, ...], low: float, high: float) -> DataFrame:
     """Points farther from the sensor than low and nearer than high, with their range."""
     far = F.sqrt(sum(((F.col(a) - s) ** 2 for a, s in zip("xyz", sensor, strict=False)), F.lit(0.0)))

@@ -202,3 +202,10 @@ def trailing(rows: DataFrame, key: str, value: str, n: int, slice_us: int = DAY)
     at = looking_back(rows, key, n, {"context_mean": lambda w: F.avg(value).over(w.rowsBetween(-n, -1)), "_i": lambda w: F.col("_k")}, slice_us)
     firsts = at.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(F.col(value).alias("v")), "_i").alias("_first"))
     return at.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(*rows.columns, "context_mean", F.col("_first.v").alias("first_value"))
+
+
+def frames_around(frames: DataFrame, key: str, back: int, ahead: int, step: int, fields: list[str]) -> DataFrame:
+    """Rows (key, idx, other, fields): each frame with every step-th frame from idx - back to idx + ahead - 1; at most (back + ahead) / step a frame."""
+    others = frames.select(key, F.col("idx").alias("other"), *(F.col(f).alias(f"_{f}") for f in fields))
+    near = frames.select(key, "idx", F.explode(F.sequence(F.col("idx") - back, F.col("idx") + ahead - 1, F.lit(step).cast("long"))).alias("other"))
+    return near.join(others, [key, "other"]).select(key, "idx", "other", *(F.col(f"_{f}").alias(f) for f in fields))

@@ -331,3 +331,9 @@ def accuracy(rows: DataFrame, label: str, predicted: str, ignore: int = -1) -> D
     """One row: rows whose label counts, and the share of them that is predicted right (null without any)."""
     counted = rows.where(F.col(label) != ignore)
     return counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).eqNullSafe(F.col(predicted)).cast("double")).alias("accuracy"))
+
+
+def means_only(pixels: DataFrame, pixel: list[str], mask: str, features: list[str]) -> DataFrame:
+    """Rows (mask, n, features): means over the pixels that lie in that mask and in no other; pixels: one row a pixel and mask."""
+    alone = pixels.groupBy(*pixel).agg(F.count_distinct(mask).alias("_n"), F.first(mask).alias(mask), *(F.first(f).alias(f) for f in features)).where("_n = 1")
+    return alone.groupBy(mask).agg(F.count(F.lit(1)).alias("n"), *(F.avg(f).alias(f) for f in features))

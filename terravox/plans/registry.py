@@ -774,4 +774,4 @@ def hourly_windows(spark, d):
 for _name in ("last_overlapping_frame", "distance_to_trajectory"):
     QUERIES[f"{_name}_any"], ORACLE_SQL[f"{_name}_any"] = QUERIES[_name], ORACLE_SQL[_name]
 
-from . import fitting, images, motion, spatial, sweeps, vocabulary  # noqa: E402, F401  (their queries enter themselves)
+from . import details, fitting, images, motion, spatial, sweeps, vocabulary  # noqa: E402, F401  (their queries enter themselves)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..grid import GridMeta
+
 
 def npy_frames(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, frame_id, shape, values) of .npy files, found at any depth; frame_id is the number in the name."""
@@ -98,6 +100,8 @@ def write_frames(df: DataFrame, path: str, frame: str = "frame_id") -> None:
     df.repartition(frame).write.mode("overwrite").partitionBy(frame).parquet(path)
 
 
-def voxel_message(voxels: DataFrame, features: list[str]) -> DataFrame:
-    """Sparse message rows: key, features as one array."""
-    return voxels.select("gx", "gy", "gz", F.array(*features).alias("features"), F.lit(",".join(features)).alias("feature_keys"))
+def voxel_message(voxels: DataFrame, features: list[str], meta: GridMeta | None = None) -> DataFrame:
+    """Sparse message rows: key, features as one array, evidence where the voxels have it, and the grid's numbers beside each."""
+    about = [] if meta is None else [F.array(*(F.lit(float(v)) for v in values)).alias(name) for name, values in (("origin", meta.origin), ("length", meta.length), ("resolution", meta.resolution))]
+    evidence = [c for c in ("hits", "misses") if c in voxels.columns]
+    return voxels.select("gx", "gy", "gz", F.array(*features).alias("features"), F.lit(",".join(features)).alias("feature_keys"), *evidence, *about)

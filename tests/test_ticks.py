@@ -178,7 +178,7 @@ def test_bev_stream_follows_the_operators(spark, state_store, tmp_path):
 def test_numpy_bins_are_the_columns_bins(spark):
     rng = np.random.default_rng(3)
     xyz = rng.normal(0, 5, (4000, 3))
-    for model in (MODEL, rays.SensorModel((-25.0, 15.0, 32), (-90.0, 90.0, 450)), rays.SensorModel((-30.0, 30.0, 6), (-180.0, 180.0, 12), 5.0, 20.0)):
+    for model in (MODEL, rays.SensorModel.named("vlp32c_front"), rays.SensorModel.named("vlp32c"), rays.SensorModel((-30.0, 30.0, 6), (-180.0, 180.0, 12), 5.0, 20.0)):
         at, r = rays.bins_of(model, xyz)
         df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "k long, x double, y double, z double")
         got = rays.local(df, (0.0, 0.0, 0.0), F.col("x"), F.col("y"), F.col("z")).withColumn("bin", model.bin(F.col("el"), F.col("az"))).collect()
