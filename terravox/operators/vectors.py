@@ -6,15 +6,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cosine, dot, norm, unit
+from ..sources.working import written
 
 
 def components(rows: DataFrame, key: list[str], v: str = "v") -> DataFrame:
     return rows.select(*key, F.posexplode(v).alias("d", "x"))
 
 
+#: Groups whose sums a task holds before it passes them on.
+HELD = 4096
+
+
+def group_sums(rows: DataFrame, group: list[str], v: str = "v") -> DataFrame:
+    """Rows (group, d, x, n): sum of each component over a group's vectors, and how many have it; entries must not be null.
+
+    A task adds up its own vectors in numpy and gives a row for each group it has met, so a vector is never spread into a row
+    a component; null vectors are skipped.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    kinds = [rows.schema[c].dataType.simpleString() for c in group]
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def flush():
+            keys = list(zip(*(k[:-1] for k in held), strict=True)) if held else [[]] * len(group)
+            out = [pa.array(list(c), kind) for c, kind in zip(keys, arrow, strict=True)]
+            out += [pa.array([x for x, _ in held.values()], pa.list_(pa.float64())), pa.array([n for _, n in held.values()], pa.int64())]
+            held.clear()
+            return pa.record_batch(out, names=[*group, "x", "n"])
+
+        arrow = None
+        for batch in batches:
+            arrow = [batch.schema.field(c).type for c in group]
+            vectors = batch.column(len(group)).to_pylist()
+            df = pd.DataFrame({c: batch.column(c).to_pylist() for c in group} | {"size": [-1 if x is None else len(x) for x in vectors]}, dtype=object)
+            kept = df[df["size"] >= 0]
+            for key, at in kept.groupby([*group, "size"], dropna=False, sort=False).indices.items():
+                x = np.array([vectors[k] for k in kept.index[at]], float)
+                key = tuple(None if k != k else k for k in (key if isinstance(key, tuple) else (key,)))
+                total = held.setdefault(key, [np.zeros(x.shape[1]), 0])
+                total[0], total[1] = total[0] + x.sum(0), total[1] + len(x)
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in zip(group, kinds, strict=True)) + ", x array<double>, n long"
+    parts = rows.select(*group, v).mapInArrow(run, schema)
+    return parts.select(*group, "n", F.posexplode("x").alias("d", "x")).groupBy(*group, "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
 def class_means(rows: DataFrame, label: str, v: str = "v") -> DataFrame:
     """Rows (label, d, x): mean vector of each label, component by component."""
-    return components(rows, [label], v).groupBy(label, "d").agg(F.avg("x").alias("x"))
+    return group_sums(rows, [label], v).select(label, "d", (F.col("x") / F.col("n")).alias("x"))
 
 
 def as_vectors(parts: DataFrame, label: str, name: str = "c") -> DataFrame:
@@ -99,7 +147,11 @@ def assign(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v") ->
 
 def vlad(assigned: DataFrame, group: str) -> DataFrame:
     """Rows (group, centre, d, x): residual sums, normalised per centre and then per group."""
-    sums = components(assigned.withColumnRenamed("residual", "v"), [group, "centre"]).groupBy(group, "centre", "d").agg(F.sum("x").alias("x"))
+    return normalised(group_sums(assigned, [group, "centre"], "residual").drop("n"), group)
+
+
+def normalised(sums: DataFrame, group: str) -> DataFrame:
+    """Rows (group, centre, d, x) at length 1 per centre, then per group; what has no length stays 0."""
     intra = sums.groupBy(group, "centre").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n"))
     once = sums.join(intra, [group, "centre"]).withColumn("x", F.coalesce(F.col("x") / F.nullif(F.col("n"), F.lit(0.0)), F.lit(0.0))).drop("n")
     total = once.groupBy(group).agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("n"))
@@ -126,7 +178,7 @@ def kmeans(rows: DataFrame, centres: DataFrame, rounds: int, v: str = "v", tol:
     for _ in range(rounds):
         table = spark.createDataFrame([(k, c, n) for k, (c, n) in sorted(known.items())], schema)
         at = assign(rows, table, [v], v)
-        parts = components(at, ["centre"], v).groupBy("centre", "d").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
+        parts = group_sums(at, ["centre"], v).select("centre", "d", (F.col("x") / F.col("n")).alias("x"), "n")
         found = {r["centre"]: (r["c"], r["n"]) for r in parts.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).collect()}
         moved = max((sum((a - b) ** 2 for a, b in zip(c, known[k][0], strict=True)) ** 0.5 for k, (c, _) in found.items()), default=0.0)
         known = {k: found.get(k, (c, 0)) for k, (c, _) in known.items()}
@@ -225,20 +277,17 @@ def range_pca(rows: DataFrame, n: int, q: int, v: str = "v", more: int = 10, rou
             r = np.zeros((0, width))
             for a in arrays(batches):
                 r = np.linalg.qr(np.vstack([r, (a - mean) @ thin]), mode="r")
-            yield pa.record_batch({"g": pa.array([hash_of(r)], pa.int64()), "r": pa.array([r.ravel()], pa.list_(pa.float64()))})
-
-        def hash_of(r):
-            return int(abs(r).sum() * 1e3) % (1 << 31)
+            yield pa.record_batch({"r": pa.array([r.ravel()], pa.list_(pa.float64()))})
 
         def stacked(table: pa.Table) -> pa.Table:
             r = np.linalg.qr(np.vstack([np.array(x).reshape(-1, width) for x in table.column("r").to_pylist()]), mode="r")
-            return pa.table({"g": pa.array([hash_of(r)], pa.int64()), "r": pa.array([r.ravel()])})
+            return pa.table({"r": pa.array([r.ravel()])})
 
-        shape, left = "g long, r array<double>", source.mapInArrow(job, "g long, r array<double>")
-        parts = source.rdd.getNumPartitions()
+        left = written(source.mapInArrow(job, "r array<double>"), "factors")
+        parts = left.count()
         while parts > fan:
             parts = -(-parts // fan)
-            left = left.groupBy(F.pmod("g", F.lit(parts)).alias("_g")).applyInArrow(stacked, shape)
+            left = left.groupBy(F.pmod(F.xxhash64("r"), F.lit(parts)).alias("_g")).applyInArrow(stacked, "r array<double>")
         return np.linalg.qr(np.vstack([np.array(r["r"]).reshape(-1, width) for r in left.collect()]), mode="r")
 
     for _ in range(rounds):
@@ -280,16 +329,52 @@ def soft_vlad(rows: DataFrame, centres: DataFrame, group: str, temperature: floa
     listed, summed = blocks(centres), rows.withColumn("_s", F.lit(0.0))
     for part in listed:  # cosines lie in -1 .. 1, so the sum needs no running maximum
         summed = summed.crossJoin(F.broadcast(part)).withColumn("_s", F.col("_s") + F.aggregate(weights(summed), F.lit(0.0), lambda s, x: s + x)).drop("_all")
-    shares = []
-    for part in listed:
-        near = summed.crossJoin(F.broadcast(part)).withColumn("_w", weights(summed)).select(group, v, "_s", F.explode(F.arrays_zip("_all", "_w")).alias("_z"))
-        weighted = F.zip_with(v, F.col("_z._all.c"), lambda a, b: a - b)
-        share = F.col("_z._w") / F.col("_s")
-        shares.append(near.select(group, F.col("_z._all.label").alias("centre"), F.transform(weighted, lambda x: x * share).alias("residual")))
+    shares = [_soft_sums(summed.crossJoin(F.broadcast(part)), group, temperature, v) for part in listed]
     parts = shares[0]
     for more in shares[1:]:
         parts = parts.unionByName(more)
-    return vlad(parts, group)
+    return normalised(parts.groupBy(group, "centre", "d").agg(F.sum("x").alias("x")), group)
+
+
+def _soft_sums(near: DataFrame, group: str, temperature: float, v: str) -> DataFrame:
+    """Rows (group, centre, d, x), several a sum: a task's weighted residuals to each centre of the block in _all, added up in numpy."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind, label = near.schema[group].dataType.simpleString(), near.schema["_all"].dataType.elementType["label"].dataType.simpleString()
+
+    def unit_rows(x):
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size == 0, 1.0, size)
+
+    def run(batches):
+        labels, c, held, types = None, None, {}, None
+        for batch in batches:
+            types = batch.schema.field(0).type, batch.schema.field(3).type.value_type.field("label").type
+            if labels is None and batch.num_rows:
+                block = batch.column(3)[0].as_py()
+                labels, c = [x["label"] for x in block], np.array([x["c"] for x in block])
+            groups, vectors, total = (batch.column(k).to_pylist() for k in range(3))
+            by: dict = {}
+            for n, (g, x) in enumerate(zip(groups, vectors, strict=True)):
+                if x is not None:
+                    by.setdefault(g, []).append(n)
+            for g, at in by.items():
+                x = np.array([vectors[n] for n in at], float)
+                w = np.exp(temperature * (unit_rows(x) @ unit_rows(c).T)) / np.array([total[n] for n in at])[:, None]
+                held[g] = held.get(g, 0.0) + w.T @ x - w.sum(0)[:, None] * c
+            if len(held) * len(labels or ()) > HELD:
+                yield from spread(held, labels, types)
+                held = {}
+        if held:
+            yield from spread(held, labels, types)
+
+    def spread(held, labels, types):
+        for g, sums in held.items():
+            yield pa.record_batch([pa.array([g] * len(labels), types[0]), pa.array(labels, types[1]), pa.array(list(sums), pa.list_(pa.float64()))], names=[group, "centre", "x"])
+
+    sums = near.select(group, v, "_s", "_all").mapInArrow(run, f"`{group}` {kind}, centre {label}, x array<double>")
+    return sums.select(group, "centre", F.posexplode("x").alias("d", "x"))
 
 
 def reduced_vlad(sums: DataFrame, group: str) -> DataFrame:
