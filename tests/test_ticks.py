@@ -44,7 +44,7 @@ def expected(spark):
                 state = rays.raytrace(voxel.crop(state, old, meta), scan, MODEL, tuple(pose), meta.centres())
                 new = voxel.merge(state, new, ["f0", "f1"], 0.5)
             rows = voxel.cull(new).select(*KEYS, "hits", "misses", *(f"{e}_{a}" for e in ("min", "max") for a in "xyz"), "first_update", "last_update", "f0", "f1")
-            state, old = spark.createDataFrame(rows.toPandas(), rows.schema).coalesce(1), meta
+            state, old = spark.createDataFrame(rows.collect(), rows.schema).coalesce(1), meta
             if tick in out:
                 shift = [round(o / r) for o, r in zip(old.origin, old.resolution, strict=True)]
                 for r in state.collect():
