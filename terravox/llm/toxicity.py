@@ -38,12 +38,20 @@ FOLDS = 3
 DECISION = 0.7
 #: A worker forgets its known words beyond this many.
 KNOWN_WORDS = 400_000
+#: Words whose n-grams are worked out, or their vectors gathered, at a time.
+SLICE = 1 << 14
 #: Odd multiplier of the n-gram hash (fixed value).
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all words' n-grams, word after word, and where each word's begin."""
+    parts = [_subwords(words[k : k + SLICE], buckets) for k in range(0, max(1, len(words)), SLICE)]
+    before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([at + n for (_, at), n in zip(parts, before, strict=False)])
+
+
+def _subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     raw = b"".join(b"<" + w + b">" for w in words)
     x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
@@ -57,7 +65,7 @@ def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
             h = (h ^ x[k : len(x) - n + 1 + k]) * MIX
             h ^= h >> np.uint64(29)
         inside = owner[: len(h)] == owner[n - 1 :]
-        found.append((h[inside] % np.uint64(buckets)).astype(np.int64))
+        found.append((h[inside] % np.uint64(buckets)).astype(np.int32))
         of.append(owner[: len(h)][inside])
     ids, of = np.concatenate(found), np.concatenate(of)
     order = np.argsort(of, kind="stable")
@@ -116,12 +124,16 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, decay: float
     good *= bad.sum() / max(1.0, good.sum())
     ids, at = subwords(list(vocabulary))
     size = np.diff(np.append(at, len(ids))).astype(np.float32)[:, None]
-    spread = np.repeat(np.arange(len(at)), size[:, 0].astype(int))
+    spread = np.repeat(np.arange(len(at), dtype=np.int32), size[:, 0].astype(int))
+    del codes, owner
     p = {"e": rng.normal(0, 0.01, (BUCKETS, DIMENSIONS)), "w": rng.normal(0, 1, (DIMENSIONS, 2)), "b": np.zeros(2)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    word, edges = np.empty((len(at), DIMENSIONS), np.float32), [*range(0, len(at), SLICE), len(at)]
     for epoch in range(1, epochs + 1):
-        word = np.add.reduceat(p["e"][ids], at) / size
+        for lo, hi in zip(edges, edges[1:], strict=False):  # a slice of the words at a time
+            first, last = at[lo], at[hi] if hi < len(at) else len(ids)
+            word[lo:hi] = np.add.reduceat(p["e"][ids[first:last]], at[lo:hi] - first) / size[lo:hi]
         z = word @ p["w"] + p["b"]
         q = 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
         g = (q * (bad + good) - bad)[:, None] * np.array([[-1, 1]], np.float32)
@@ -133,7 +145,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, decay: float
             v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
             p[k] -= lr * (1 - epoch / (epochs + 1)) * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-8)
     model = Model(p["e"], p["w"], p["b"])
-    slope, intercept = calibrate(Scorer(model.margin, model.offset).margins(texts), y)
+    scorer = Scorer(model.margin, model.offset)
+    slope, intercept = calibrate(np.concatenate([scorer.margins(texts[k : k + 200]) for k in range(0, len(texts), 200)]), y)
     return Model(p["e"], p["w"], p["b"], slope, intercept)
 
 
