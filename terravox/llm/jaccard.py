@@ -15,11 +15,12 @@ also orders features from rare to frequent, alike for all sets.
 Texts with equal sets are one node. Sets that share a signature are candidates. A group of them is not expanded into
 pairs: the set with the fewest features of its own is the group's pivot, and each set is compared with the pivot that it
 shares the most signatures with. Verified links are contracted into components. What is left are links between sets of
-different components: sets that share a signature with any other are looked up by their rarest features, as many as
-two sets of those sizes cannot all do without (similar sets share one of them, in places that leave enough features to
-follow). Of a feature's sets those of its most frequent component are met by the others only, so that a large group of
-near copies, already one component, makes no pairs within itself. Each such pair is verified as well, and the links join
-their components. No link between different components is missed; nothing repeats in rounds that grow with a group.
+different components: sets whose signature groups hold a set of another component are looked up by their rarest
+features, as many as two sets of those sizes cannot all do without (similar sets share one of them, in places that leave
+enough features to follow). Of a feature's sets those of its most frequent component are met by the others only, so that
+a large group of near copies, already one component, makes no pairs within itself; and where a feature would make many
+pairs, its sets are asked for a second, third, ... common feature first. Each such pair is verified as well, and the
+links join their components. No link between different components is missed; nothing repeats in rounds that grow with a group.
 
 Null, empty and wordless texts have the empty set, linked with nothing; fewer words than a shingle make one shingle.
 Repeated ids: each row is a text of its own; component_id is the least id among the texts of its component. A null id
@@ -31,12 +32,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ THRESHOLD = 90
 #: Bytes of text that a block is made for, and the least number of blocks.
 BLOCK_BYTES = 12 << 20
 LEAST_BLOCKS = 96
+#: Copies of a set are spread over one of this many blocks, and over 8 at least.
+SPREAD = 8
 #: Features that a bucket is made for; a text has one for about every 5 bytes.
 BUCKET_FEATURES = 2_000_000
 #: A part with fewer features than this says little.
@@ -153,22 +156,25 @@ def decoded(data: bytes) -> np.ndarray:
 
 
 def _sets(width: int, blocks: int):
-    """Rows of SETS for the distinct sets of a batch; the ids of its copies are listed, so that a batch sends a set once."""
+    """Rows of SETS for the distinct sets of a batch; the ids of its copies are listed, so that a batch sends a block a set once.
+
+    Copies of one set are spread over blocks by their ids, so that a row's block hangs on the row alone.
+    """
+    salts = max(8, blocks // SPREAD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        salt = (task.partitionId() if task else 0).to_bytes(4, "little")
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())
             for lo in range(0, len(ids), 1000):
-                found: dict[bytes, list] = {}
+                found: dict[tuple[bytes, int], list] = {}
                 for doc_id, s in zip(ids[lo : lo + 1000], shingles([t or b"" for t in text.slice(lo, 1000).to_pylist()], width), strict=True):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if digest not in found:
-                        found[digest] = [len(s), [], coded(s)]
-                    found[digest][1].append(doc_id)
-                block = [int.from_bytes(hashlib.blake2b(d + salt, digest_size=8).digest(), "little") % blocks for d in found]
-                columns = [pa.array(block, pa.int32()), pa.array(list(found), pa.binary())]
+                    key = digest, zlib.crc32(str(doc_id).encode()) % salts
+                    if key not in found:
+                        found[key] = [len(s), [], coded(s)]
+                    found[key][1].append(doc_id)
+                block = [(int.from_bytes(d[:8], "little") + salt * (blocks // salts)) % blocks for d, salt in found]
+                columns = [pa.array(block, pa.int32()), pa.array([d for d, _ in found], pa.binary())]
                 columns += [pa.array(c, t) for c, t in zip(zip(*found.values(), strict=True), (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)]
                 yield pa.record_batch(columns, names=["block", "digest", "n_shingles", "doc_ids", "features"])
 
@@ -293,35 +299,115 @@ def _verify(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def rare(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Rows (feature, node, size, root, place): a set's rarest features, as many as its smallest partner may do without and one.
+    """Rows (node, size, root, features, places): a set's features from rare to frequent, as many as LEVELS common ones need.
 
-    Features of one set alone count as places but make no row.
+    A set and its smallest partner may differ in so many features that the first common one lies within the first
+    size - threshold * size + 1; each further one lies at most a place further on. Features of one set alone count as
+    places but are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, times = [], []
+            features, places = [], []
             for f, c in zip(batch.column("features").to_pylist(), batch.column("codes").to_pylist(), strict=True):
                 f, c = np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint8)
-                order = np.lexsort((f, c))[: len(f) + threshold * len(f) // -100 + 1]
+                order = np.lexsort((f, c))[: len(f) + threshold * len(f) // -100 + LEVELS]
                 place = np.flatnonzero(c[order] > 0)
-                out.append((f[order[place]].view(np.int64), place))
-                times.append(len(place))
-            same = [np.repeat(batch.column(k).to_numpy(), times) for k in ("node", "n_shingles", "root")]
-            feature, place = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.record_batch([pa.array(feature), *map(pa.array, same), pa.array(place)], names=["feature", "node", "size", "root", "place"])
+                features.append(f[order[place]].view(np.int64))
+                places.append(place.astype(np.int32))
+            same = [batch.column(k) for k in ("node", "n_shingles", "root")]
+            lists = [pa.array(features, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.record_batch([*same, *lists], names=["node", "size", "root", "features", "places"])
+
+    return nodes.select("node", "n_shingles", "root", "features", "codes").mapInArrow(run, "node long, size long, root long, features array<long>, places array<int>")
+
+
+#: Common features that a pair may be asked for before it is made: one more than a changed word has shingles of five words.
+LEVELS = 6
+#: Sets of a key that are met without more ado, and how many rows of a next level are worth one pair.
+FEW, WORTH = 8, 8
+#: A key's next level may hold this many times its pairs (shingles around one word come together), or the key's sets are met.
+GROWTH = 4
+
 
-    return nodes.select("node", "n_shingles", "root", "features", "codes").mapInArrow(run, "feature long, node long, size long, root long, place long")
+def _further(chains: DataFrame, level: int, threshold: int) -> DataFrame:
+    """Rows (key, parent, node, size, root, place, further): chains with one more feature, and how many could follow that."""
+    last = F.expr(f"size - ceil({threshold} * size / 100) + {level}")
+    following = F.filter(F.arrays_zip("features", "places"), lambda e: (e["places"] > F.col("place")) & (e["places"] <= last))
+    grown = chains.withColumn("last", last).withColumn("next", F.explode(following))
+    further = F.size(F.filter("places", lambda p: (p > F.col("next.places")) & (p <= F.col("last") + 1)))
+    key = F.xxhash64("key", "next.features").alias("key")
+    return grown.select(key, F.col("key").alias("parent"), "node", "size", "root", F.col("next.places").alias("place"), further.alias("further"))
 
 
-def _left_over(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that share a rare feature, with enough features of both to follow it."""
-    by_root = rows.groupBy("feature", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = by_root.groupBy("feature").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    others = rows.join(most.select("feature", "most"), "feature").where("root <> most").select("feature", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root", "place")))
+def _near(level: int, threshold: int):
+    """Whether a row's place leaves room for a partner of the set's own size or more: that of a pair's smaller set must."""
+    return F.expr(f"place <= size - ceil(2 * {threshold} * size / (100 + {threshold})) + {level}")
+
+
+def _keys(rows: DataFrame, level: int, threshold: int) -> DataFrame:
+    """Rows (key, parent, most, pairs, goes_on) of the keys with several roots: the most frequent one, how many pairs, what to do."""
+    count = lambda c: F.sum(c).alias(c)
+    by_root = rows.withColumn("near", _near(level, threshold).cast("int")).groupBy("key", "root").agg(F.first("parent").alias("parent"), F.count(F.lit(1)).alias("n"), count("near"), count("further"))
+    top = F.max(F.struct("n", "root", "near")).alias("top")
+    found = by_root.groupBy("key").agg(F.first("parent").alias("parent"), top, count("n"), count("near"), count("further"))
+    found = found.withColumn("pairs", F.expr("(near - top.near) * n + top.near * (n - top.n)")).where("n > top.n and pairs > 0")
+    goes_on = (F.col("pairs") > FEW * F.col("n")) & (WORTH * F.col("pairs") > F.col("further"))
+    return found.select("key", "parent", F.col("top.root").alias("most"), "pairs", goes_on.alias("goes_on"))
+
+
+def _meet(rows: DataFrame, level: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots in rows of the same key, whose places leave room for what they must share."""
     needed = F.ceil(threshold * (F.col("size") + F.col("o_size")) / (100 + threshold))
-    meets = (F.col("root") != F.col("o_root")) & (F.col("place") <= F.col("size") - needed) & (F.col("o_place") <= F.col("o_size") - needed)
-    return others.join(rows, "feature").where(meets).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+    room = (F.col("place") <= F.col("size") - needed + level) & (F.col("o_place") <= F.col("o_size") - needed + level)
+    apart = (F.col("root") != F.col("o_root")) & (F.col("size") >= F.col("o_size"))
+    smaller = rows.where(_near(level, threshold)).select("key", "most", *(F.col(c).alias(f"o_{c}") for c in ("node", "size", "root", "place")))
+    rows, within = rows.select("key", "node", "size", "root", "place", "most"), []
+    for x, y in ((smaller.where("o_root <> most").drop("most"), rows), (smaller.where("o_root = most").drop("most"), rows.where("root <> most"))):
+        within.append(x.join(y, "key").where(apart & room).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")))
+    return within[0].union(within[1])
+
+
+def _left_over(sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that share rare features, with enough features of both to follow them.
+
+    A pair is met at its first common feature in the order from rare to frequent, where the smaller set's place is among
+    those that leave room for a partner of its own size. Where that would make many pairs, the
+    sets are asked for one more common feature: their keys are then the chains of their first common feature and one
+    that follows it, and so on. Similar sets have all these features in common, in places that leave room for as many as
+    they must share, so no level loses a link; what a family of sets just below the threshold has in common by chance is
+    left behind. A key whose next level would hold more pairs than it has itself, GROWTH times over, is met where it is.
+    Sets so small that they may have no further common feature are met at once.
+    """
+    rows, met, written, before = _further(sets.withColumns({"key": F.lit(0).cast("long"), "place": F.lit(-1)}), 0, threshold), [], [], None
+    for level in range(LEVELS):
+        keys = materialize(_keys(rows, level, threshold), "keys")
+        written.append(keys)
+        if before:
+            held = keys.groupBy("parent").agg(F.sum("pairs").alias("held"))
+            stuck = before[1].join(held.withColumnRenamed("parent", "key"), "key").where(F.col("held") > GROWTH * F.col("pairs")).select("key", "most")
+            met.append(_meet(before[0].join(stuck, "key"), level - 1, threshold))
+            keys = keys.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti")
+        on = keys.where(F.col("goes_on") & F.lit(level + 1 < LEVELS))
+        small = F.expr(f"ceil({threshold} * size / 100) <= {level + 1}")
+        met.append(_meet(rows.join(keys.select("key", "most", "goes_on"), "key").where(~(F.col("goes_on") & F.lit(level + 1 < LEVELS)) | small), level, threshold))
+        if on.isEmpty():
+            break
+        before = rows, on.select("key", "most", "pairs")
+        chains = rows.join(on.select("key"), "key").select("key", "node", "place")
+        rows = materialize(_further(chains.join(sets, "node"), level + 1, threshold), "chains")
+        written.append(rows)
+    pairs = materialize(reduce(DataFrame.union, met).distinct(), "pairs")
+    discard(*written)
+    return pairs
+
+
+def _open(votes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (node, root) of the sets that share a signature group's pivot with a set of another component."""
+    root = lambda k: roots.select(F.col("id").alias(k), F.col("root").alias(f"{k}_root"))
+    placed = votes.select("node", "p").join(root("node"), "node", "left").withColumn("root", F.coalesce("node_root", "node"))
+    mixed_ = placed.join(root("p"), "p", "left").where(F.coalesce("p_root", "p") != F.col("root")).select("p").distinct()
+    return placed.join(mixed_, "p", "left_semi").select("node", "root").distinct()
 
 
 def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> DataFrame:
@@ -341,10 +427,10 @@ def join(docs: DataFrame, threshold: int = THRESHOLD, width: int = SHINGLE) -> D
     met = votes.where("node <> p").where(alike).groupBy("node").agg(F.max_by("p", F.struct("votes", "p")).alias("p"))
     links = materialize(_verify(met.select(F.col("p").alias("a"), F.col("node").alias("b")), nodes, threshold), "links")
     roots = components(links)
-    candidates = votes.select("node").distinct().join(roots, F.col("node") == roots["id"], "left").select("node", F.coalesce("root", "node").alias("root"))
-    rows = materialize(rare(nodes.join(candidates, "node"), threshold), "rare")
-    found = materialize(_verify(_left_over(rows, threshold), nodes, threshold), "found")
-    discard(votes, rows, links)
+    rows = materialize(rare(nodes.join(_open(votes, roots), "node"), threshold), "rare")
+    pairs = _left_over(rows, threshold)
+    found = materialize(_verify(pairs, nodes, threshold), "found")
+    discard(votes, rows, links, pairs)
     if not found.isEmpty():
         first, roots = roots, components(found.union(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a <> b")))
         discard(first)
