@@ -380,17 +380,20 @@ def _left_over(sets: DataFrame, threshold: int) -> DataFrame:
     Sets so small that they may have no further common feature are met at once.
     """
     rows, met, written, before = _further(sets.withColumns({"key": F.lit(0).cast("long"), "place": F.lit(-1)}), 0, threshold), [], [], None
+    meet = lambda pairs: met.append(materialize(pairs.distinct(), "met"))
     for level in range(LEVELS):
         keys = materialize(_keys(rows, level, threshold), "keys")
         written.append(keys)
         if before:
             held = keys.groupBy("parent").agg(F.sum("pairs").alias("held"))
-            stuck = before[1].join(held.withColumnRenamed("parent", "key"), "key").where(F.col("held") > GROWTH * F.col("pairs")).select("key", "most")
-            met.append(_meet(before[0].join(stuck, "key"), level - 1, threshold))
-            keys = keys.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti")
+            stuck = materialize(before[1].join(held.withColumnRenamed("parent", "key"), "key").where(F.col("held") > GROWTH * F.col("pairs")).select("key", "most"), "stuck")
+            written.append(stuck)
+            meet(_meet(before[0].join(stuck, "key"), level - 1, threshold))
+            keys = materialize(keys.join(stuck.select(F.col("key").alias("parent")), "parent", "left_anti"), "keys")
+            written.append(keys)
         on = keys.where(F.col("goes_on") & F.lit(level + 1 < LEVELS))
         small = F.expr(f"ceil({threshold} * size / 100) <= {level + 1}")
-        met.append(_meet(rows.join(keys.select("key", "most", "goes_on"), "key").where(~(F.col("goes_on") & F.lit(level + 1 < LEVELS)) | small), level, threshold))
+        meet(_meet(rows.join(keys.select("key", "most", "goes_on"), "key").where(~(F.col("goes_on") & F.lit(level + 1 < LEVELS)) | small), level, threshold))
         if on.isEmpty():
             break
         before = rows, on.select("key", "most", "pairs")
@@ -398,7 +401,7 @@ def _left_over(sets: DataFrame, threshold: int) -> DataFrame:
         rows = materialize(_further(chains.join(sets, "node"), level + 1, threshold), "chains")
         written.append(rows)
     pairs = materialize(reduce(DataFrame.union, met).distinct(), "pairs")
-    discard(*written)
+    discard(*written, *met)
     return pairs
 
 
