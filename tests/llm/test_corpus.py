@@ -236,52 +236,6 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
         assert {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, width).collect()} == brute(rows, threshold, width)
 
 
-def family(n):
-    """Documents of 200 words with most of a passage in common, just below the threshold."""
-    rng = np.random.default_rng(11)
-    rows = []
-    for i in range(n):
-        ws = [f"b{k}" for k in range(200)]
-        for at in rng.choice(200, int(rng.integers(4, 7)), replace=False):
-            ws[at] = f"v{rng.integers(0, 4)}"
-        rows.append((i, " ".join(ws)))
-    return rows
-
-
-def left_over_pairs(spark, monkeypatch, rows):
-    """The join's result and how many pairs it verified after the first links."""
-    counted, verify = [], jaccard._verify
-
-    def count(pairs, *rest):
-        counted.append(pairs.count())
-        return verify(pairs, *rest)
-
-    monkeypatch.setattr(jaccard, "_verify", count)
-    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    monkeypatch.undo()
-    return got, counted[1]
-
-
-def test_jaccard_of_a_family_just_below_the_threshold(spark, monkeypatch):
-    """Against brute force; a few pairs a document are verified, where all that share a changed word would be 25."""
-    rows = family(2400)
-    got, pairs = left_over_pairs(spark, monkeypatch, rows)
-    assert got == brute(rows, 90, 3)
-    assert pairs <= 12 * len(rows)
-
-
-def test_jaccard_of_rows_that_a_plan_deals_anew(spark):
-    """A repartitioned and joined table, whose exchanges the planner may not use again."""
-    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(60 + k % 3))) for k in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16).join(spark.range(120).withColumnRenamed("id", "doc_id"), "doc_id")
-    spark.conf.set("spark.sql.exchange.reuse", "false")
-    try:
-        got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
-    finally:
-        spark.conf.unset("spark.sql.exchange.reuse")
-    assert got == {k: k // 3 * 3 for k, _ in rows}
-
-
 def brute(rows, threshold, width):
     """Component ids by comparing all pairs of rows (doc_id, text); the rows' ids are distinct."""
     sets = {}
