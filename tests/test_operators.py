@@ -259,3 +259,20 @@ def test_footprint_ends_where_it_is_hidden(spark):
     assert made[90.0] == ahead(100.0)
     assert ahead(5.0) <= made[5.0] <= ahead(6.0)
     assert {(u, v) for u, v in made[90.0] if v < 60} == {(r.u, r.v) for r in poses.footprint_pixels(images, path, wall(90.0), plan, model, camera, "run", "image", longest=3, steps=80, rows_below=60.0).collect()}
+
+
+def test_footprints_share_a_cloud_without_copies(spark):
+    """Images of one place see one cloud: the same pixels as with a copy for each, and no shuffle of returns before they are bins."""
+    turn = {c: F.lit(v) for c, v in zip(poses.TURN, (0.0, 0.0, 0.0, 1.0), strict=True)}
+    path = spark.range(60).select(F.lit(1).alias("run"), (F.col("id") * 100_000).alias("t"), (F.col("id") * 0.5).alias("px"), F.lit(0.0).alias("py"), F.lit(1.0).alias("pz")).withColumns(turn)
+    images = path.where("t in (0, 500000, 900000)").withColumns({"image": F.col("t"), "place": F.when(F.col("t") == 0, 3).otherwise(4)})
+    clouds = spark.createDataFrame([(k, 5.0 * k, 0.1 * a, 0.1 * b) for k in (3, 4) for a in range(-30, 31) for b in range(-30, 1)], "place int, x double, y double, z double")
+    model = rays.SensorModel((-45.0, 45.0, 90), (-45.0, 45.0, 90))
+    camera = {"cam": 0, "width": 100, "height": 100, "p": [[50.0, -50.0, 0.0, 0.0], [50.0, 0.0, -50.0, 0.0], [1.0, 0.0, 0.0, 0.0]]}
+    ask = lambda cloud, **more: poses.footprint_pixels(images, path, cloud, poses.footprint(0.4, 0.4, 2, 2, -1.0), model, camera, "run", "image", slack=0.5, longest=3, steps=50, **more)
+    shared = ask(F.broadcast(clouds), on="place")
+    copies = ask(clouds.join(images.select("image", "place"), "place").drop("place"))
+    got = sorted(map(tuple, shared.collect()))
+    assert got == sorted(map(tuple, copies.collect())) and len({r[0] for r in got}) == 3
+    before = shared._jdf.queryExecution().sparkPlan().toString().split("\n")
+    assert sum("Exchange" in line for line in before) == 1  # the deal of the images; returns meet the broadcast cloud after it
