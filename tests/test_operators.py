@@ -132,6 +132,21 @@ def test_last_overlap_reaches_any_frame(spark):
     assert got == want and max(j - i for (_, i), j in want.items()) > 1000
 
 
+@pytest.mark.parametrize("fan", [2, 5, 256])
+def test_last_overlap_by_blocks(spark, monkeypatch, fan):
+    """Few and many levels, unknown places, keys that are text; runs of one block need no join."""
+    monkeypatch.setattr(temporal, "FAN", fan)
+    rng = np.random.default_rng(fan)
+    runs = {"a": rng.normal(scale=0.4, size=90).cumsum().tolist(), "b": [0.0] * 41, "c": [0.0, None, 0.0], "d": [3.0]}
+    frames = spark.createDataFrame([(k, i, p) for k, ps in runs.items() for i, p in enumerate(ps, 1)], "run string, idx long, p double")
+    made = temporal.last_overlap_any(frames, "run", 1.0)
+    got = {(r.run, r.idx): r.last_idx for r in made.collect()}
+    fails = lambda a, b: a is None or b is None or abs(a - b) > 2
+    assert got == {(k, i): next((j for j in range(i, len(ps)) if fails(ps[i - 1], ps[j])), len(ps)) if ps[i - 1] is not None else i - 1 for k, ps in runs.items() for i in range(1, len(ps) + 1)}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ("Join" in plan) == (fan < 90) and (fan < 90 or plan.count("Exchange ") == 1)
+
+
 def test_terrain_plan_fails_early(spark):
     with pytest.raises(ValueError, match="needs layers"):
         terrain.run([{"type": "slope", "input_layer": "z", "mask_layer": "m", "radius": 1.0}], cloud(spark), 1.0)
