@@ -155,3 +155,12 @@ def test_splat_of_one_voxel(spark):
         b = (math.ceil(el + 10) - 1) * 20 + math.ceil(az + 10) - 1
         want[b] = min(want.get(b, (1e9, 0)), (r, f))
     assert set(got) == set(want) and all(abs(got[b].depth - want[b][0]) < 1e-9 and got[b].f0 == want[b][1] and got[b].f1 == 0.0 for b in want)
+
+
+def test_splat_makes_its_voxels_once(spark):
+    """What voxels come from, a costly aggregation of points, is in no part of the image's plan."""
+    meta = GridMeta((0.0, 0.0, 0.0), (40.0, 40.0, 40.0), (1.0, 1.0, 1.0))
+    points = spark.range(1000).selectExpr("20 gx", "id % 10 gy", "10 gz", "cast(id as double) f0")
+    voxels = points.groupBy("gx", "gy", "gz").agg(F.stddev_samp("f0").alias("f0"))
+    image = rays.splat(voxels, rays.SensorModel((-30.0, 30.0, 20), (-30.0, 30.0, 20)), (10.5, 5.4, 10.4), meta.centres(), meta.resolution, ["f0"])
+    assert image.count() > 0 and "stddev" not in image._jdf.queryExecution().optimizedPlan().toString()
