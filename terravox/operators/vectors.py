@@ -167,19 +167,59 @@ def residuals(rows: DataFrame, centres: DataFrame, key: list[str], v: str = "v")
     return out.select(*key, F.col("_far").alias("residuals"))
 
 
+def _near(column, centres):
+    """Of an Arrow column of vectors: which are known, these as a matrix, the place of the centre of the highest cosine (the first of a tie) and that cosine.
+
+    A vector of zeros has cosine 0 to all. centres: a matrix of the same width.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    known = pc.is_valid(column).to_numpy(zero_copy_only=False)
+    column = column.drop_null()
+    if any(n != centres.shape[1] for n in pc.unique(pc.list_value_length(column)).to_pylist()):
+        raise ValueError("vectors and centres differ in width")
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1])
+    size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(centres, axis=1)
+    cosine = np.divide(x @ centres.T, size, out=np.zeros_like(size), where=size != 0)
+    at = cosine.argmax(1)
+    return known, x, at, cosine[np.arange(len(x)), at]
+
+
 def kmeans(rows: DataFrame, centres: DataFrame, rounds: int, v: str = "v", tol: float | None = None) -> DataFrame:
     """Centres (label, c, n) after rounds of Lloyd's algorithm by cosine; a centre without rows stays where it is, with n = 0.
 
     With tol, rounds end once no centre moves by more than that. A round is one pass with partial sums; centres, which are
     bounded, are collected after each, so that plans stay short.
     """
+    import numpy as np
+    import pyarrow as pa
+
     spark, schema = rows.sparkSession, "label long, c array<double>, n long"
     known = {r["label"]: (list(r["c"]), 0) for r in centres.select(F.col("label").cast("long").alias("label"), "c").collect()}
-    for _ in range(rounds):
-        table = spark.createDataFrame([(k, c, n) for k, (c, n) in sorted(known.items())], schema)
-        at = assign(rows, table, [v], v)
-        parts = group_sums(at, ["centre"], v).select("centre", "d", (F.col("x") / F.col("n")).alias("x"), "n")
-        found = {r["centre"]: (r["c"], r["n"]) for r in parts.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).collect()}
+    vectors = rows.select(F.col(v).cast("array<double>").alias("v"))
+
+    def summed(labels: np.ndarray, c: np.ndarray):
+        """A task's own sums by centre, in numpy."""
+
+        def run(batches):
+            x, n = np.zeros(c.shape), np.zeros(len(c), np.int64)
+            for batch in batches:
+                _, held, at, _ = _near(batch.column(0), c)
+                order = np.argsort(at, kind="stable")
+                starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+                x[at[order][starts]] += np.add.reduceat(held[order], starts, axis=0) if len(at) else 0
+                n += np.bincount(at, minlength=len(c))
+            some = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(labels[some]), pa.array(list(x[some]), pa.list_(pa.float64())), pa.array(n[some])], names=["centre", "x", "n"])
+
+        return run
+
+    for _ in range(rounds if known else 0):
+        labels = np.array(sorted(known))
+        parts = vectors.mapInArrow(summed(labels, np.array([known[k][0] for k in labels.tolist()], float)), "centre long, x array<double>, n long")
+        means = parts.select("centre", "n", F.posexplode("x").alias("d", "x")).groupBy("centre", "d").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+        found = {r["centre"]: (r["c"], r["n"]) for r in means.groupBy("centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"), F.max("n").alias("n")).collect()}
         moved = max((sum((a - b) ** 2 for a, b in zip(c, known[k][0], strict=True)) ** 0.5 for k, (c, _) in found.items()), default=0.0)
         known = {k: found.get(k, (c, 0)) for k, (c, _) in known.items()}
         if tol is not None and moved <= tol:
@@ -196,23 +236,49 @@ def seed_centres(rows: DataFrame, k: int, key: str, v: str = "v", rounds: int =
     nulls are never drawn; fewer than k distinct vectors give fewer centres.
     """
     import numpy as np
+    import pyarrow as pa
 
     spark, l = rows.sparkSession, oversample or 2 * k
-    rows = rows.where(norm(F.col(v)) > 0).select(F.col(key).alias("_key"), unit(F.col(v)).alias("v"))
+    # Cosines do not hang on lengths, so only what is drawn is brought to length 1.
+    rows = rows.select(F.col(key).alias("_key"), F.col(v).cast("array<double>").alias("v")).where(norm(F.col("v")) > 0)
     table = lambda cs: spark.createDataFrame([(n, c) for n, c in enumerate(cs)], "label long, c array<double>")
     luck = lambda r: F.pmod(F.xxhash64("_key", F.lit(seed), F.lit(r)), F.lit(1 << 53)) / float(1 << 53)
-    first = rows.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(1).collect()
+    first = rows.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(1).select(unit(F.col("v")).alias("v")).collect()
     chosen = [list(r["v"]) for r in first]
+    far = lambda cosine: np.maximum(1 - cosine, 0)
+
+    def cost_of(c: np.ndarray):
+        def run(batches):
+            yield pa.record_batch([pa.array([float(sum(far(_near(b.column(0), c)[3]).sum() for b in batches))])], names=["d"])
+
+        return run
+
+    def weight_of(c: np.ndarray):
+        def run(batches):
+            n = sum((np.bincount(_near(b.column(0), c)[2], minlength=len(c)) for b in batches), np.zeros(len(c), np.int64))
+            yield pa.record_batch([pa.array(np.arange(len(c))), pa.array(n)], names=["centre", "n"])
+
+        return run
+
+    def draw(c: np.ndarray, cost: float):
+        """The rows whose luck is below their chance."""
+
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(b.column(1).to_numpy() < np.minimum(1.0, l * far(_near(b.column(2), c)[3]) / cost)))
+
+        return run
+
     for r in range(rounds if chosen else 0):
-        near = assign(rows, table(chosen), ["_key", "v"]).select("_key", "v", F.greatest(1 - F.col("cosine"), F.lit(0.0)).alias("_d"))
-        cost = near.agg(F.sum("_d")).first()[0] or 0.0
+        c = np.array(chosen)
+        cost = rows.select("v").mapInArrow(cost_of(c), "d double").agg(F.sum("d")).first()[0] or 0.0
         if cost <= 1e-12:
             break
-        drawn = near.where(luck(r) < F.least(F.lit(1.0), l * F.col("_d") / cost)).orderBy("_key").collect()
+        drawn = rows.select("_key", luck(r).alias("_luck"), "v").mapInArrow(draw(c, cost), f"_key {rows.schema['_key'].dataType.simpleString()}, _luck double, v array<double>").select("_key", unit(F.col("v")).alias("v")).orderBy("_key").collect()
         chosen += [list(x["v"]) for x in drawn]
     if not chosen:
         return table([])
-    weight = {r["centre"]: r["count"] for r in assign(rows, table(chosen), ["_key"]).groupBy("centre").count().collect()}
+    weight = {r["centre"]: r["n"] for r in rows.select("v").mapInArrow(weight_of(np.array(chosen)), "centre long, n long").groupBy("centre").agg(F.sum("n").alias("n")).collect()}
     c, w = np.array(chosen), np.array([weight.get(n, 0) for n in range(len(chosen))], float)
     rng, best, least = np.random.default_rng(seed), None, np.inf
     for _ in range(tries):

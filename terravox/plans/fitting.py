@@ -9,7 +9,7 @@ from ..operators import blocks, pixels, sampling, vectors
 from ..sources import tables
 from ..sources.cache import ResultCache, model_digest
 from ..sources.tables import META, round6
-from ..sources.working import folder
+from ..sources.working import folder, written
 from .registry import _centres, _COS, _units, _voxels, query, r6, rounded
 
 _ENTRY = "(SELECT vec_id, CAST(unnest(range(64)) AS BIGINT) AS d, CAST(unnest(v) AS DOUBLE) AS x FROM desc_)"
@@ -83,6 +83,6 @@ def pca_of_recordings(spark, d):
 @query()
 def seeded_vocabulary(spark, d):
     """A vocabulary of eight centres seeded in rounds and moved six times at most, with the number of vectors of each."""
-    rows = _units(spark, d)
+    rows = written(_units(spark, d).select("vec_id", "v"), "units")
     centres = vectors.kmeans(rows, vectors.seed_centres(rows, 8, "vec_id", rounds=3), 6, tol=1e-6)
     return centres.select("label", "n", F.transform("c", lambda x: F.round(x, 6)).alias("c"))

@@ -282,3 +282,23 @@ def test_map_message_tells_masked_from_absent(spark):
     got = {r.layer: r["values"] for r in columns.grid_map(cells, ["z"], 2, 3, F.col("z") < 2.5, {"flat": 7.0}).collect()}
     assert got["z"][5] == 1.0 and got["z"][4] == 2.0 and got["z"][0] != got["z"][0] and got["z"][1:4] == [None] * 3
     assert got["flat"] == [7.0, None, None, None, 7.0, 7.0]
+
+
+def test_length_of_a_vector_is_worked_out_once(spark):
+    """Not for each entry, and a pass over all vectors is numpy's: no formula of a centre stands in its plan."""
+    from terravox.functions.geometry import unit
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(unit(F.col("v")).alias("u"))
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_nearest_of_a_batch():
+    import pyarrow as pa
+
+    column = pa.array([[1.0, 0.0], None, [0.0, 0.0], [-2.0, 2.0], [1.0, 1.0]], pa.list_(pa.float64()))
+    known, x, at, cosine = vectors._near(column, np.array([[0.0, 1.0], [5.0, 0.0], [0.0, 0.0]]))
+    assert known.tolist() == [True, False, True, True, True] and x.shape == (4, 2)
+    assert at.tolist() == [1, 0, 0, 0] and np.allclose(cosine, [1.0, 0.0, 0.5**0.5, 0.5**0.5])
+    with pytest.raises(ValueError, match="width"):
+        vectors._near(pa.array([[1.0], [1.0, 2.0]], pa.list_(pa.float64())), np.zeros((1, 2)))
