@@ -3,13 +3,19 @@
 The decoder reads prefix codes (simple and normal, one group or many), back-references, the colour cache, and inverts
 the predictor, cross-colour, subtract-green and palette transforms; it writes arrays of ARGB pixels. Many images are
 decoded in step: each image of a batch is a lane, and each round gives every lane its next pixel by numpy, so that no
-Python code runs for a pixel. The encoder writes the same format from RGB samples: literals, back-references to the
-pixel on the left or above, and the colour cache, under one fixed set of prefix codes; other transforms and fitted
-codes are options.
-
-A document's bytes are padded with spaces to rows of 64 RGB pixels (192 bytes); a medium is one image, or for long texts
-several one after the other, of at most ROWS rows each, so that lanes are even and memory is bounded. Null and empty
-texts are one row of spaces. Repeated rows give equal media. Extra columns are ignored.
+Python code runs for a pixel. Heads are read in step as well (the images within them are lanes, too), and transforms are
+inverted for all images of a batch together.
+
+The encoder writes the same format from RGB samples. An image of at most 256 colours gets a palette; others are written with
+green subtracted, a predictor and cross-colour factors, whose tiles choose among all modes and some factors by the bits that their
+pixels take. Pixels become literals, back-references to the pixel on the left or above, and cache entries, under fixed
+prefix codes; fitted codes are an option.
+
+A document's bytes are padded with spaces to rows of 64 RGB pixels (192 bytes); a medium is one image (beyond the format's 16,384
+rows, 3 MB, several one after the other). Images of more than SEGMENT stored pixels carry a chunk SEEK with the bit where each
+further segment begins. References and cache entries stay within a segment, so segments are lanes of their own and memory
+is bounded; other readers skip the chunk and see one plain image. Null and empty texts are one row of spaces. Repeated rows
+give equal media. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ import hashlib
 import heapq
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
-WIDTH, ROWS = 64, 64
+#: Pixels of a row, and rows that the format allows.
+WIDTH, ROWS = 64, 1 << 14
+#: Stored pixels that are decoded by one lane.
+SEGMENT = 4096
+#: Tiles of modes or factors that an image has at most; sides are powers of two, from 4.
+TILES = 4096
+#: Factors that a tile chooses from (of 32, signed bytes): green in red, and green and red in blue. Text wants its green back: -32.
+RED_FACTORS = (0, 224, 240, 32)
+BLUE_FACTORS = ((0, 0), (224, 0), (240, 0), (32, 0), (0, 224), (224, 16))
 CACHE_BITS = 8
 ROW_BYTES = 3 * WIDTH
 #: Bytes of payload that are encoded or decoded together.
@@ -37,6 +52,8 @@ BATCH_BYTES = 4 << 20
 SIGNATURE, LITERALS, LENGTHS, DISTANCES, MAX_BITS = 0x2F, 256, 24, 40, 15
 CACHE_FACTOR = 0x1E35A7BD
 OPAQUE = 0xFF000000
+#: Chunk with the bits where further segments begin.
+SEEK = b"SEEK"
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: (x to the left, y up) of the first 120 distance codes (fixed values).
@@ -210,28 +227,48 @@ def prefix_value(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 # Decoding in step
 
 
+#: Sets of five tables by their size and first bits; equal bits need no second reading.
+_TABLES: dict[tuple, list[tuple[int, int, list[np.ndarray]]]] = {}
+
+
+def read_tables(bits: Bits, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    first, by = bits.at >> 3, bits.at & 7
+    peek = lambda n: int.from_bytes(bits.data[first : first + (n + by + 7) // 8], "little") >> by & ((1 << n) - 1)
+    key = (sizes, peek(32))
+    for n, value, tables in _TABLES.get(key, ()):
+        if peek(n) == value:
+            bits.at += n
+            return tables
+    start = bits.at
+    tables = [lookup(read_code(bits, n)) for n in sizes]
+    if len(_TABLES) < 64 and len(_TABLES.get(key, ())) < 8:
+        _TABLES.setdefault(key, []).append((bits.at - start, peek(bits.at - start), tables))
+    return tables
+
+
 class Entropy:
     """What stands before the pixels of an entropy-coded image: cache bits, groups of five tables, tiles of groups."""
 
-    def __init__(self, bits: Bits, width: int, height: int, main: bool) -> None:
+    def __init__(self, width: int, height: int) -> None:
         self.width, self.height = width, height
-        self.cache = bits(4) if bits(1) else 0
         self.tile_bits, self.tiles = 0, None
+
+    def read(self, bits: Bits, main: bool) -> Generator:
+        self.cache = bits(4) if bits(1) else 0
         if main and bits(1):
             self.tile_bits = bits(3) + 2
-            self.tiles = (sub_image(bits, width, height, self.tile_bits) >> 8 & 0xFFFF).astype(np.int64)
+            self.tiles = ((yield from sub_image(bits, self.width, self.height, self.tile_bits)) >> 8 & 0xFFFF).astype(np.int64)
         groups = 1 if self.tiles is None else int(self.tiles.max()) + 1
         sizes = (LITERALS + LENGTHS + (1 << self.cache if self.cache else 0), LITERALS, LITERALS, LITERALS, DISTANCES)
-        self.tables = [[lookup(read_code(bits, n)) for n in sizes] for _ in range(groups)]
+        self.tables = [read_tables(bits, sizes) for _ in range(groups)]
         self.at = bits.at
 
 
-def sub_image(bits: Bits, width: int, height: int, tile_bits: int) -> np.ndarray:
-    w, h = (width + (1 << tile_bits) - 1) >> tile_bits, (height + (1 << tile_bits) - 1) >> tile_bits
-    head = Entropy(bits, w, h, False)
-    pixels, ends = decode_lanes([bits.data], [head])
-    bits.at = int(ends[0])
-    return pixels[0]
+def sub_image(bits: Bits, width: int, height: int, tile_bits: int) -> Generator:
+    """Asks for the pixels of an image within a head: yields what read_heads decodes together with other heads' images."""
+    head = Entropy((width + (1 << tile_bits) - 1) >> tile_bits, (height + (1 << tile_bits) - 1) >> tile_bits)
+    yield from head.read(bits, False)
+    return (yield bits, head)
 
 
 class _Pool:
@@ -242,10 +279,11 @@ class _Pool:
         self.first = np.zeros(len(heads), np.int64)
         rows: list[list[tuple[int, int]]] = []
         groups = 0
-        known: dict[int, int] = {}
+        known: dict[tuple, int] = {}
         for lane, head in enumerate(heads):
-            if id(head.tables) not in known:
-                known[id(head.tables)] = groups
+            own = tuple(map(id, head.tables))
+            if own not in known:
+                known[own] = groups
                 for tables in head.tables:
                     row = []
                     for t in tables:
@@ -256,15 +294,18 @@ class _Pool:
                         row.append((place[id(t)], len(t) - 1))
                     rows.append(row)
                     groups += 1
-            self.first[lane] = known[id(head.tables)]
+            self.first[lane] = known[own]
         self.table = np.concatenate(parts)
         self.place = np.array([[c[0] for c in r] for r in rows], np.int64).T.copy()
         self.mask = np.array([[c[1] for c in r] for r in rows], np.int64).T.copy()
 
 
-def decode_lanes(streams: list[bytes], heads: list[Entropy]) -> tuple[list[np.ndarray], np.ndarray]:
-    """ARGB pixels of each lane and the bit where each ends. Every round gives each lane that is not done one pixel."""
-    count = np.array([h.width * h.height for h in heads], np.int64)
+def decode_lanes(streams: list[bytes], heads: list[Entropy], bits: list[int], counts: list[int], firsts: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """ARGB pixels of each lane and the bit where each ends. Every round gives each lane that is not done one pixel.
+
+    A lane is `counts` pixels of an image from pixel `firsts` on, which begin at the stream's bit `bits`.
+    """
+    count = np.array(counts, np.int64)
     order = np.argsort(-count, kind="stable")
     pool = _Pool([heads[k] for k in order])
     starts, total = [], 0
@@ -276,14 +317,14 @@ def decode_lanes(streams: list[bytes], heads: list[Entropy]) -> tuple[list[np.nd
     for j in range(8):
         words |= raw[j : len(raw) - 8 + j].astype(np.uint64) << np.uint64(8 * j)
     n = count[order]
-    pos = np.array(starts, np.int64) * 8 + np.array([heads[k].at for k in order], np.int64)
+    pos = np.array(starts, np.int64) * 8 + np.array([bits[k] for k in order], np.int64)
     width = np.array([heads[k].width for k in order], np.int64)
     cache_bits = np.array([heads[k].cache for k in order], np.int64)
     caches, shift = np.zeros((len(order), 1 << int(cache_bits.max())), np.uint32) if cache_bits.any() else None, np.minimum(32 - cache_bits, 31).astype(np.uint32)
     all_cached = bool(cache_bits.all())
     out = np.zeros((int(n[0]) if len(n) else 0, len(order)), np.uint32)
     copy, reach = np.zeros(len(order), np.int64), np.ones(len(order), np.int64)
-    tiled = [(lane, heads[k]) for lane, k in enumerate(order) if heads[k].tiles is not None]
+    tiled = [(lane, heads[k], firsts[k]) for lane, k in enumerate(order) if heads[k].tiles is not None]
     lanes, near = np.arange(len(order)), np.array(NEAR, np.int64)
     table, place, mask = pool.table, pool.place, pool.mask
     last = np.array(len(words) - 1)
@@ -312,10 +353,10 @@ def decode_lanes(streams: list[bytes], heads: list[Entropy]) -> tuple[list[np.nd
         if len(now):
             group = pool.first[now]
             if tiled:
-                for lane, head in tiled:
+                for lane, head, before in tiled:
                     at = np.searchsorted(now, lane)
                     if at < len(now) and now[at] == lane:
-                        y, x = divmod(i, head.width)
+                        y, x = divmod(before + i, head.width)
                         group[at] += head.tiles[(y >> head.tile_bits) * ((head.width + (1 << head.tile_bits) - 1) >> head.tile_bits) + (x >> head.tile_bits)]
             p = pos[now]
             w = window(p)
@@ -409,31 +450,38 @@ def modes_at(tiles: np.ndarray, width: int, height: int, tile_bits: int) -> np.n
     return tiles[(y >> tile_bits) * across + (x >> tile_bits)]
 
 
-def undo_predictor(residual: np.ndarray, width: int, modes: np.ndarray) -> np.ndarray:
-    """Pixels from residuals along anti-diagonals: all pixels of x + 2y = d depend only on earlier ones."""
-    height = len(residual) // width
-    c = channels(residual).reshape(height, width, 4)
-    modes = modes.reshape(height, width)
-    c[0, 0] += (255, 0, 0, 0)
-    for x in range(1, width):
-        c[0, x] += c[0, x - 1]
-    c[0] &= 255
-    for y in range(1, height):
-        c[y, 0] = c[y, 0] + c[y - 1, 0] & 255
-    for d in range(3, width + 2 * height):
-        y = np.arange(max(1, (d - width + 2) // 2), min(height, (d + 1) // 2))
-        x = d - 2 * y
-        keep = (x >= 1) & (x < width)
-        y, x = y[keep], x[keep]
-        if not len(y):
-            continue
-        left, top, corner = c[y, x - 1], c[y - 1, x], c[y - 1, x - 1]
+def _within(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums from the start of each stretch on, modulo 256; starts rise from 0."""
+    total = np.cumsum(values, axis=0)
+    before = np.concatenate([np.zeros((1, values.shape[1]), total.dtype), total])[starts]
+    return total - np.repeat(before, np.diff(np.append(starts, len(values))), axis=0) & 255
+
+
+def undo_predictor(residual: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """Pixels of images that lie end to end, from residuals, each pixel's image width, place and mode.
+
+    First rows and columns are sums. Others go along anti-diagonals: all pixels of x + 2y = d depend only on earlier ones.
+    """
+    c = channels(residual)
+    row, column = np.flatnonzero(y == 0), np.flatnonzero(x == 0)
+    c[row[x[row] == 0], 0] += 255
+    c[row] = _within(np.flatnonzero(x[row] == 0), c[row])
+    c[column] = _within(np.flatnonzero(y[column] == 0), c[column])
+    inner = (x > 0) & (y > 0)
+    known = (modes > 0) & (modes < 14)
+    plain = np.flatnonzero(inner & ~known)
+    c[plain, 0] = c[plain, 0] + 255 & 255
+    at = np.flatnonzero(inner & known)
+    step = (x[at] + 2 * y[at]) * 16 + modes[at]
+    order = np.argsort(step, kind="stable")
+    at, step = at[order], step[order]
+    cuts = [*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(at)]
+    for first, end in pairwise(cuts):
+        k = at[first:end]
+        above = k - width[k]
         # Above right of the last column is the first pixel of the row itself.
-        right = c[np.where(x + 1 < width, y - 1, y), (x + 1) % width]
-        for mode in np.unique(modes[y, x]).tolist():
-            at = np.flatnonzero(modes[y, x] == mode)
-            c[y[at], x[at]] = c[y[at], x[at]] + predict(mode, left[at], top[at], right[at], corner[at]) & 255
-    return argb_of(c.reshape(-1, 4))
+        c[k] = c[k] + predict(int(step[first] & 15), c[k - 1], c[above], c[above + 1], c[above - 1]) & 255
+    return argb_of(c)
 
 
 def _delta(factor: np.ndarray, colour: np.ndarray) -> np.ndarray:
@@ -461,24 +509,46 @@ def bundle_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def undo_palette(packed: np.ndarray, width: int, height: int, palette: np.ndarray) -> np.ndarray:
-    bits = bundle_bits(len(palette))
-    x = np.arange(width)
-    green = (packed >> np.uint32(8) & np.uint32(255)).reshape(height, -1)[:, x >> bits]
-    depth = 8 >> bits
-    index = green >> ((x & ((1 << bits) - 1)) * depth).astype(np.uint32) & np.uint32((1 << depth) - 1)
-    table = np.zeros(256, np.uint32)
-    table[: len(palette)] = palette
-    return table[index].ravel()
+class Places:
+    """Places of the pixels of images that lie end to end."""
+
+    def __init__(self, widths: list[int], heights: list[int]) -> None:
+        self.widths, self.heights = np.array(widths, np.int64), np.array(heights, np.int64)
+        self.sizes = self.widths * self.heights
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.image = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.inside = np.arange(len(self.image)) - self.starts[self.image]
+        self.width = self.widths[self.image]
+        self.y, self.x = np.divmod(self.inside, self.width)
+
+    def tiles(self, tile_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each pixel's tile among the tiles of all images end to end, and the number of each image's."""
+        side = 1 << tile_bits
+        across = self.widths + side - 1 >> tile_bits
+        n = across * (self.heights + side - 1 >> tile_bits)
+        bits = tile_bits[self.image]
+        return (np.cumsum(n) - n)[self.image] + (self.y >> bits) * across[self.image] + (self.x >> bits), n
+
+
+def undo_palette(packed: np.ndarray, places: Places, palettes: list[np.ndarray]) -> np.ndarray:
+    """Pixels from packed indices; places are those of the pixels."""
+    bits = np.array([bundle_bits(len(p)) for p in palettes])
+    stored = places.widths + (1 << bits) - 1 >> bits
+    n = stored * places.heights
+    b = bits[places.image]
+    green = packed[(np.cumsum(n) - n)[places.image] + places.y * stored[places.image] + (places.x >> b)] >> np.uint32(8) & np.uint32(255)
+    depth = 8 >> b
+    index = green.astype(np.int64) >> (places.x & ((1 << b) - 1)) * depth & ((1 << depth) - 1)
+    table = np.zeros((len(palettes), 256), np.uint32)
+    for row, p in zip(table, palettes, strict=True):
+        row[: len(p)] = p
+    return table[places.image, index]
 
 
 class Head:
     """A parsed image up to its pixels."""
 
-    #: Heads without transforms or tiles do not depend on the image's size; equal bits need no second reading.
-    known: dict[bytes, list[tuple[int, int, Entropy]]] = {}
-
-    def __init__(self, body: bytes) -> None:
+    def read(self, body: bytes) -> Generator:
         if body[0] != SIGNATURE:
             raise ValueError("not a lossless image")
         bits = Bits(body, 8)
@@ -487,48 +557,72 @@ class Head:
         if bits(3):
             raise ValueError("unknown version")
         self.transforms: list[tuple] = []
-        for n, value, entropy in self.known.get(body[5:9], ()):
-            if int.from_bytes(body[5 : 5 + (n + 7) // 8], "little") & ((1 << n) - 1) == value:
-                self.entropy = object.__new__(Entropy)
-                self.entropy.__dict__ |= entropy.__dict__ | {"width": self.width, "height": self.height}
-                return
         width = self.width
         while bits(1):
             kind = bits(2)
             if kind in (PREDICTOR, CROSS_COLOUR):
                 tile_bits = bits(3) + 2
-                self.transforms.append((kind, width, tile_bits, sub_image(bits, width, self.height, tile_bits)))
+                self.transforms.append((kind, width, tile_bits, (yield from sub_image(bits, width, self.height, tile_bits))))
             elif kind == PALETTE:
                 n = bits(8) + 1
-                deltas = channels(sub_image(bits, n, 1, 0))
+                deltas = channels((yield from sub_image(bits, n, 1, 0)))
                 self.transforms.append((kind, width, argb_of(np.cumsum(deltas, axis=0))))
                 width = (width + (1 << bundle_bits(n)) - 1) >> bundle_bits(n)
             else:
-                self.transforms.append((kind,))
-        self.entropy = Entropy(bits, width, self.height, True)
-        if not self.transforms and self.entropy.tiles is None:
-            n = self.entropy.at - 40
-            seen = self.known.setdefault(body[5:9], [])
-            if len(seen) < 8:
-                seen.append((n, int.from_bytes(body[5 : 5 + (n + 7) // 8], "little") & ((1 << n) - 1), self.entropy))
-
-    def finish(self, argb: np.ndarray) -> np.ndarray:
-        for kind, *rest in reversed(self.transforms):
-            if kind == PREDICTOR:
-                width, tile_bits, tiles = rest
-                argb = undo_predictor(argb, width, (modes_at(tiles, width, self.height, tile_bits) >> np.uint32(8) & np.uint32(15)).astype(np.int64))
-            elif kind == CROSS_COLOUR:
-                width, tile_bits, tiles = rest
-                argb = cross_colour(argb, modes_at(tiles, width, self.height, tile_bits))
+                self.transforms.append((kind, width))
+        self.entropy = Entropy(width, self.height)
+        yield from self.entropy.read(bits, True)
+
+
+def read_heads(bodies: list[bytes]) -> list[Head]:
+    """Heads of images, read in step: the images within them are decoded together."""
+    heads = [Head() for _ in bodies]
+    asked = []
+    for head, body in zip(heads, bodies, strict=True):
+        run = head.read(body)
+        asked += [(run, *ask) for ask in [next(run, None)] if ask]
+    while asked:
+        n = [e.width * e.height for *_, e in asked]
+        # A pixel takes 14 bytes at most.
+        streams = [b.data[e.at >> 3 : (e.at >> 3) + 16 + 14 * k] for (_, b, e), k in zip(asked, n, strict=True)]
+        pixels, ends = decode_lanes(streams, [e for *_, e in asked], [e.at & 7 for *_, e in asked], n, [0] * len(n))
+        further = []
+        for (run, bits, e), px, end in zip(asked, pixels, ends.tolist(), strict=True):
+            bits.at = (e.at & ~7) + end
+            try:
+                further.append((run, *run.send(px)))
+            except StopIteration:
+                pass
+        asked = further
+    return heads
+
+
+def finish(heads: list[Head], pixels: list[np.ndarray]) -> list[np.ndarray]:
+    """Invert transforms, the last of an image first; images whose next one is of a kind go together."""
+    pixels, left = list(pixels), [list(h.transforms) for h in heads]
+    while any(left):
+        for kind in (PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE):
+            own = [k for k, t in enumerate(left) if t and t[-1][0] == kind]
+            if not own:
+                continue
+            steps = [left[k].pop() for k in own]
+            argb = np.concatenate([pixels[k] for k in own])
+            places = Places([t[1] for t in steps], [heads[k].height for k in own])
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                tile, _ = places.tiles(np.array([t[2] for t in steps], np.int64))
+                at = np.concatenate([t[3] for t in steps])[tile]
+                argb = undo_predictor(argb, places.width, places.x, places.y, (at >> np.uint32(8) & np.uint32(15)).astype(np.int64)) if kind == PREDICTOR else cross_colour(argb, at)
             elif kind == SUBTRACT_GREEN:
                 argb = green_shift(argb, 1)
             else:
-                argb = undo_palette(argb, rest[0], self.height, rest[1])
-        return argb
+                argb = undo_palette(argb, places, [t[2] for t in steps])
+            for k, first, n in zip(own, places.starts.tolist(), places.sizes.tolist(), strict=True):
+                pixels[k] = argb[first : first + n]
+    return pixels
 
 
-def images_of(media: bytes) -> list[bytes]:
-    """Bodies of the lossless images in one or several containers."""
+def parts_of(media: bytes) -> list[tuple[bytes, tuple[int, ...]]]:
+    """(body, bits where further segments begin) of the lossless images in one or several containers."""
     out, at = [], 0
     while at < len(media):
         if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 12] != b"WEBP":
@@ -537,17 +631,43 @@ def images_of(media: bytes) -> list[bytes]:
         while chunk < end:
             size = struct.unpack_from("<I", media, chunk + 4)[0]
             if media[chunk : chunk + 4] == b"VP8L":
-                out.append(media[chunk + 8 : chunk + 8 + size])
+                out.append((media[chunk + 8 : chunk + 8 + size], ()))
+            elif media[chunk : chunk + 4] == SEEK and out:
+                out[-1] = (out[-1][0], struct.unpack_from(f"<{size // 4}I", media, chunk + 8))
             chunk += 8 + size + (size & 1)
         at = end + (end & 1)
     return out
 
 
-def decode(bodies: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
-    """(width, height, ARGB pixels) of each image, decoded in step."""
-    heads = [Head(b) for b in bodies]
-    pixels, _ = decode_lanes(bodies, [h.entropy for h in heads])
-    return [(h.width, h.height, h.finish(p)) for h, p in zip(heads, pixels, strict=True)]
+def images_of(media: bytes) -> list[bytes]:
+    """Bodies of the lossless images in one or several containers."""
+    return [body for body, _ in parts_of(media)]
+
+
+def decode(bodies: list[bytes], entries: list[tuple[int, ...]] | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """(width, height, ARGB pixels) of each image, decoded in step; entries: bits where further segments begin."""
+    heads = read_heads(bodies)
+    lanes = []
+    for k, (body, head) in enumerate(zip(bodies, heads, strict=True)):
+        e = head.entropy
+        n, bits = e.width * e.height, [e.at, *(entries[k] if entries else ())]
+        if len(bits) > 1 and len(bits) != -(-n // SEGMENT):
+            raise ValueError("entries do not fit the image")
+        for j, (bit, end) in enumerate(zip(bits, [*bits[1:], 8 * len(body)], strict=True)):
+            lanes.append((k, e, body[bit >> 3 : (end + 7) >> 3], bit & 7, min(n - j * SEGMENT, SEGMENT) if len(bits) > 1 else n, j * SEGMENT, end - (bit & ~7) if j + 1 < len(bits) else None))
+    # Lanes under one set of codes are faster by themselves; many sets go together.
+    sets = {}
+    for lane in lanes:
+        sets.setdefault(tuple(map(id, lane[1].tables)), []).append(lane)
+    pixels: list[list[np.ndarray]] = [[] for _ in bodies]
+    for group in sets.values() if len(sets) <= 6 else [lanes]:
+        got, ends = decode_lanes([x[2] for x in group], [x[1] for x in group], [x[3] for x in group], [x[4] for x in group], [x[5] for x in group])
+        for (k, *_, expected), px, end in zip(group, got, ends.tolist(), strict=True):
+            if expected not in (None, end):
+                raise ValueError("a segment does not end where the next begins")
+            pixels[k].append(px)
+    whole = finish(heads, [np.concatenate(p) if len(p) > 1 else p[0] for p in pixels])
+    return [(h.width, h.height, p) for h, p in zip(heads, whole, strict=True)]
 
 
 # Encoding
@@ -565,20 +685,39 @@ class Codes:
         self.head = out
 
 
+def _codes(green: np.ndarray, red: np.ndarray, blue: np.ndarray, alpha: int | np.ndarray, cache_bits: int = 0) -> Codes:
+    """Codes by weights of the channels (alpha: its only value); lengths and cache slots alike, distances to the left and above."""
+    parts = [green, np.full(LENGTHS, 4.0), *([np.full(1 << cache_bits, 20.0)] if cache_bits else [])]
+    distance = np.zeros(DISTANCES)
+    distance[:2] = 1
+    return Codes([fit_lengths(x, 14) for x in (np.concatenate(parts), red, blue, np.eye(1, 256, alpha)[0] if isinstance(alpha, int) else alpha, distance)])
+
+
 @lru_cache(maxsize=1)
 def shared_codes() -> Codes:
-    """Fixed codes for text: bytes by a rough rank of their frequency in prose, cache slots and lengths alike."""
+    """Fixed codes for residuals of text, most of which are bytes as they are: by a rough rank of their frequency in prose."""
     weight = np.full(256, 2.0)
     weight[128:192] = 12
     weight[[0xC3, 0xE2]] = 120
+    weight[[*range(1, 9), *range(248, 256)]] = 10
+    weight[0] = 300
     for rank, c in enumerate(b" etaoinshrdlucmfwygpbvkqjxz"):
         weight[c] = 4000 / (rank + 2)
     weight[list(b".,\n")] = 100
     weight[list(b"ETAOINSHRDLUCMFWYGPBVKQJXZ0123456789'-")] = 20
-    green = np.concatenate([weight * 3, np.full(LENGTHS, 4.0), np.full(1 << CACHE_BITS, 20.0)])
-    alpha, distance = np.zeros(256), np.zeros(DISTANCES)
-    alpha[255], distance[:2] = 1, 1
-    return Codes([fit_lengths(x, 14) for x in (green, weight, weight, alpha, distance)])
+    return _codes(weight * 3, weight, weight, 0, CACHE_BITS)
+
+
+@lru_cache(maxsize=1)
+def inner_codes() -> tuple[Codes, Codes, Codes, Codes]:
+    """Fixed codes for tiles of modes, tiles of factors, differences of palettes, and indices into them."""
+    zero, one = np.eye(1, 256, 0)[0], np.ones(256)
+    modes, factors = np.zeros(256), np.zeros(256)
+    modes[:14], modes[0] = 4, 60
+    factors[[*RED_FACTORS, 16]], factors[224] = 8, 60
+    alpha = np.eye(1, 256, 0)[0] + np.eye(1, 256, 255)[0]
+    near = 1 / (1 + np.arange(256.0))
+    return _codes(modes, zero, zero, 255), _codes(factors, factors, factors, 255), _codes(4 * one, one + 300 * near, one, alpha), _codes(200 * near + 1, zero, zero, 255)
 
 
 def _tokens(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int):
@@ -615,9 +754,14 @@ def _tokens(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int):
     return places, kind[places], slot[places], length[places], value[places]
 
 
-def encode(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int = CACHE_BITS, codes: Codes | None = None, transforms: Out | None = None, main: bool = True) -> list[tuple[bytes, int]]:
+def encode(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int = CACHE_BITS, codes: Codes | None = None, transforms: Out | list[Out] | None = None, main: bool = True) -> list[tuple[bytes, int]]:
     """(bytes, number of bits) of each image's entropy-coded part; codes None fits them to these pixels."""
-    places, kind, slot, length, value = _tokens(argb, image, width, cache_bits)
+    return encode_segments(argb, image, image, width, cache_bits, codes, transforms, main)[0]
+
+
+def encode_segments(argb: np.ndarray, image: np.ndarray, segment: np.ndarray, width: int, cache_bits: int, codes: Codes | None, transforms: Out | list[Out] | None, main: bool = True) -> tuple[list[tuple[bytes, int]], list[list[int]]]:
+    """encode's parts, and for each image the bits where its segments after the first begin; tokens stay within segments (numbers that rise)."""
+    places, kind, slot, length, value = _tokens(argb, segment, width, cache_bits)
     lit, ref = np.flatnonzero(kind == 0), np.flatnonzero(kind == 2)
     px = argb[places[lit]]
     alpha, red, green, blue = ((px >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (24, 16, 8, 0))
@@ -638,8 +782,6 @@ def encode(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int = CA
             m += size
         bits[at], n[at] = v, m
     head = Out()
-    if transforms:
-        head.put(transforms.value, transforms.n)
     if main:
         head.put(0, 1)
     head.put(bool(cache_bits), 1)
@@ -651,12 +793,14 @@ def encode(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int = CA
     # Each image starts at a whole byte of the pool, which is put together in words of 64 bits.
     own = image[places]
     starts = np.flatnonzero(np.diff(own, prepend=-1))
+    before_pixels = transforms if isinstance(transforms, list) else [transforms or Out()] * len(starts)
+    front_bits = np.array([t.n + head.n for t in before_pixels], np.int64)
     ends = np.cumsum(n)
     before = np.concatenate([[0], ends])[starts]
-    sizes = np.add.reduceat(n, starts) + head.n
+    sizes = np.add.reduceat(n, starts) + front_bits
     room = (sizes + 7) // 8
     base = np.concatenate([[0], np.cumsum(room)[:-1]])
-    pos = ends - n + np.repeat(base * 8 + head.n - before, np.diff(np.append(starts, len(own))))
+    pos = ends - n + np.repeat(base * 8 + front_bits - before, np.diff(np.append(starts, len(own))))
     word, by = pos >> 6, (pos & 63).astype(np.uint64)
     cuts = np.flatnonzero(np.diff(word, prepend=-1))
     bits = bits.astype(np.uint64)
@@ -665,34 +809,151 @@ def encode(argb: np.ndarray, image: np.ndarray, width: int, cache_bits: int = CA
     # What a word cannot hold goes to the next; the double shift is one by 64 where nothing is left over.
     pool[word[cuts] + 1] |= np.bitwise_or.reduceat(bits >> (np.uint64(63) - by) >> np.uint64(1), cuts)
     pool = pool.view(np.uint8)
-    front = np.frombuffer(head.bytes(), np.uint8)
-    pool[(base[:, None] + np.arange(len(front))).ravel()] |= np.tile(front, len(base))
+    for first, t in zip(base.tolist(), before_pixels, strict=True):
+        front = np.frombuffer((t.value | head.value << t.n).to_bytes((t.n + head.n + 7) // 8, "little"), np.uint8)
+        pool[first : first + len(front)] |= front
     raw = pool.tobytes()
-    return [(raw[b : b + r], int(s)) for b, r, s in zip(base.tolist(), room.tolist(), sizes.tolist(), strict=True)]
+    further = np.flatnonzero(np.diff(segment[places], prepend=-1))
+    further = further[~np.isin(further, starts)]
+    which = np.searchsorted(starts, further, side="right") - 1
+    entries: list[list[int]] = [[] for _ in before_pixels]
+    for k, bit in zip(which.tolist(), (pos[further] - 8 * base[which]).tolist(), strict=True):
+        entries[k].append(bit)
+    return [(raw[b : b + r], int(s)) for b, r, s in zip(base.tolist(), room.tolist(), sizes.tolist(), strict=True)], entries
 
 
-def container(width: int, height: int, body: bytes) -> bytes:
+def container(width: int, height: int, body: bytes, entries: list[int] | tuple[int, ...] = ()) -> bytes:
+    """A file of one image; entries: bits of body where further segments begin."""
     body = bytes([SIGNATURE]) + (width - 1 | height - 1 << 14 | 1 << 28).to_bytes(4, "little") + body
-    pad = b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
+    chunks = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+    if entries:  # other chunks need the extended form
+        canvas = bytes(4) + (width - 1).to_bytes(3, "little") + (height - 1).to_bytes(3, "little")
+        chunks = b"VP8X" + struct.pack("<I", len(canvas)) + canvas + chunks + SEEK + struct.pack(f"<{1 + len(entries)}I", 4 * len(entries), *(40 + e for e in entries))
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WEBP" + chunks
+
+
+def _inner(pixels: np.ndarray, n: np.ndarray, codes: Codes) -> list[tuple[int, int]]:
+    """(bits, their number) of the images within heads, n pixels of each; no token refers to the row above."""
+    return [(int.from_bytes(raw, "little") & ((1 << size) - 1), size) for raw, size in encode(pixels, np.repeat(np.arange(len(n)), n), len(pixels) + 1, 0, codes, main=False)]
+
+
+def subtract_predicted(argb: np.ndarray, places: Places, tile: np.ndarray, n_tiles: int) -> tuple[np.ndarray, np.ndarray]:
+    """(residuals, modes of tiles): a tile takes the mode whose residuals take the fewest bits once green is added back."""
+    lengths = [x.astype(np.float32) for x in shared_codes().lengths[:3]]
+    c = channels(argb)[:, 1:].astype(np.int16)
+    shifted = lambda k: np.concatenate([np.zeros((k, 3), np.int16), c[: len(c) - k]]) if k < len(c) else np.zeros_like(c)
+    near = left, top, right, corner = shifted(1), shifted(WIDTH), shifted(WIDTH - 1), shifted(WIDTH + 1)
+    inner = np.flatnonzero((places.x > 0) & (places.y > 0))
+    best, modes = np.full(n_tiles, np.inf), np.zeros(n_tiles, np.int64)
+    of, own, around = tile[inner], c[inner], [v[inner] for v in near]
+    for mode in range(14):
+        rest = own - predict(mode, *around).astype(np.int16) if mode else own
+        green = rest[:, 1]
+        bits = lengths[0][green & 255] + lengths[1][rest[:, 0] + green & 255] + lengths[2][rest[:, 2] + green & 255]
+        cost = np.bincount(of, bits, n_tiles)
+        modes, best = np.where(cost < best, mode, modes), np.minimum(cost, best)
+    out = c.copy()
+    edge = np.flatnonzero(places.y == 0)
+    out[edge[places.x[edge] > 0]] -= left[edge[places.x[edge] > 0]]
+    edge = np.flatnonzero((places.x == 0) & (places.y > 0))
+    out[edge] -= top[edge]
+    chosen = modes[of]
+    for mode in np.unique(chosen[chosen > 0]).tolist():
+        k = inner[chosen == mode]
+        out[k] = c[k] - predict(mode, left[k], top[k], right[k], corner[k])
+    return argb_of(np.concatenate([np.zeros((len(c), 1), np.int16), out], 1)), modes
+
+
+def subtract_colours(argb: np.ndarray, tile: np.ndarray, n_tiles: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels, factors of tiles): a tile takes the factors whose pixels take the fewest bits."""
+    _, reds, blues, *_ = (x.astype(np.float32) for x in shared_codes().lengths)
+    c = channels(argb)
+    red, green, blue = c[:, 1], c[:, 2], c[:, 3]
+    least = lambda costs: np.argmin(costs, axis=0)
+    cost = lambda lengths, left: np.bincount(tile, lengths[left & 255], n_tiles)
+    to_red = np.array(RED_FACTORS)[least([cost(reds, red - _delta(np.int32(f), green)) for f in RED_FACTORS])]
+    to_blue = np.array(BLUE_FACTORS)[least([cost(blues, blue - _delta(np.int32(f), green) - _delta(np.int32(h), red)) for f, h in BLUE_FACTORS])]
+    factors = (OPAQUE | to_blue[:, 1] << 16 | to_blue[:, 0] << 8 | to_red).astype(np.uint32)
+    return cross_colour(argb, factors[tile], undo=False), factors
+
+
+def _segments(places: Places) -> np.ndarray:
+    n = -(-places.sizes // SEGMENT)
+    return (np.cumsum(n) - n)[places.image] + places.inside // SEGMENT
+
+
+def _spatial(argb: np.ndarray, heights: list[int]) -> list[bytes]:
+    """Files of images with green subtracted, predictor and cross-colour."""
+    places = Places([WIDTH] * len(heights), heights)
+    tile_bits = np.full(len(heights), 2)
+    while (many := places.tiles(tile_bits)[1] > TILES).any():
+        tile_bits = tile_bits + many
+    tile, n = places.tiles(tile_bits)
+    mode_codes, factor_codes, *_ = inner_codes()
+    rest, modes = subtract_predicted(green_shift(argb, -1), places, tile, int(n.sum()))
+    rest, factors = subtract_colours(rest, tile, int(n.sum()))
+    heads = []
+    for m, f, side in zip(_inner(modes.astype(np.uint32) << np.uint32(8) | np.uint32(OPAQUE), n, mode_codes), _inner(factors, n, factor_codes), (tile_bits - 2).tolist(), strict=True):
+        head = Out()
+        head.put(1, 1), head.put(SUBTRACT_GREEN, 2)
+        head.put(1, 1), head.put(PREDICTOR, 2), head.put(side, 3), head.put(*m)
+        head.put(1, 1), head.put(CROSS_COLOUR, 2), head.put(side, 3), head.put(*f)
+        heads.append(head)
+    coded, entries = encode_segments(rest, places.image, _segments(places), WIDTH, CACHE_BITS, shared_codes(), heads)
+    return [container(WIDTH, h, body, e) for h, (body, _), e in zip(heights, coded, entries, strict=True)]
+
+
+def _indexed(index: np.ndarray, heights: list[int], palettes: list[np.ndarray], bits: int) -> list[bytes]:
+    """Files of images by their palettes, whose indices take 8 >> bits bits."""
+    side = 1 << bits
+    *_, palette_codes, index_codes = inner_codes()
+    packed = np.zeros(len(index) // side, np.int64)
+    for k in range(side):
+        packed |= index[k::side] << k * (8 >> bits)
+    deltas = [argb_of(np.diff(channels(p), axis=0, prepend=np.zeros((1, 4), np.int32))) for p in palettes]
+    n = np.array([len(p) for p in palettes])
+    heads = []
+    for part, k in zip(_inner(np.concatenate(deltas), n, palette_codes), n.tolist(), strict=True):
+        head = Out()
+        head.put(1, 1), head.put(PALETTE, 2), head.put(k - 1, 8), head.put(*part)
+        heads.append(head)
+    places = Places([WIDTH >> bits] * len(heights), heights)
+    coded, entries = encode_segments((packed << 8 | OPAQUE).astype(np.uint32), places.image, _segments(places), WIDTH >> bits, 0, index_codes, heads)
+    return [container(WIDTH, h, body, e) for h, (body, _), e in zip(heights, coded, entries, strict=True)]
 
 
 def pack_payloads(payloads: list[bytes]) -> list[bytes]:
     """The medium of each payload (a positive multiple of ROW_BYTES)."""
     most = ROWS * ROW_BYTES
     parts = [p[k : k + most] for p in payloads for k in range(0, len(p), most)]
-    sizes = np.array([len(p) // 3 for p in parts])
+    heights = np.array([len(p) // ROW_BYTES for p in parts])
+    places = Places([WIDTH] * len(parts), heights.tolist())
     rgb = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3).astype(np.uint32)
     argb = np.uint32(OPAQUE) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]
-    coded = encode(argb, np.repeat(np.arange(len(parts)), sizes), WIDTH, codes=shared_codes())
-    files = iter([container(WIDTH, int(n) // WIDTH, body) for (body, _), n in zip(coded, sizes, strict=True)])
-    return [b"".join(next(files) for _ in range(0, len(p), most)) for p in payloads]
+    colours, index = np.unique(places.image << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64), return_inverse=True)
+    n = np.bincount(colours >> 24, minlength=len(parts))
+    first = np.cumsum(n) - n
+    files: list[bytes] = [b""] * len(parts)
+    # Kinds: bits by which indices are bundled, or none of them.
+    kinds = np.array([bundle_bits(k) if k <= 256 else -1 for k in n.tolist()])
+    for kind in np.unique(kinds).tolist():
+        own = np.flatnonzero(kinds == kind)
+        px = kinds[places.image] == kind
+        if kind < 0:
+            made = _spatial(argb[px], heights[own].tolist())
+        else:
+            palettes = [(OPAQUE | colours[first[k] : first[k] + n[k]] & 0xFFFFFF).astype(np.uint32) for k in own.tolist()]
+            made = _indexed(index[px] - first[places.image[px]], heights[own].tolist(), palettes, kind)
+        for k, file in zip(own.tolist(), made, strict=True):
+            files[k] = file
+    file = iter(files)
+    return [b"".join(next(file) for _ in range(0, len(p), most)) for p in payloads]
 
 
 def unpack_payloads(media: list[bytes]) -> list[bytes]:
     """RGB samples of each medium's images, end to end."""
-    bodies = [images_of(m) for m in media]
-    pixels = iter(decode([b for part in bodies for b in part]))
+    bodies = [parts_of(m) for m in media]
+    pixels = iter(decode([b for part in bodies for b, _ in part], [e for part in bodies for _, e in part]))
     out = []
     for part in bodies:
         samples = [next(pixels)[2].astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes() for _ in part]
@@ -747,9 +1008,9 @@ def read_pixels(media: DataFrame) -> DataFrame:
         for batch in batches:
             for s in _spans(_lengths(batch.column("media"))):
                 ids, files = (batch.column(c)[s.start : s.stop].to_pylist() for c in ("doc_id", "media"))
-                bodies = [(i, k, b) for i, f in zip(ids, files, strict=True) for k, b in enumerate(images_of(f or b""))]
-                pixels = decode([b for *_, b in bodies])
-                rows = [(i, k, w, h, p.astype("<u4").tobytes()) for (i, k, _), (w, h, p) in zip(bodies, pixels, strict=True)]
+                bodies = [(i, k, *part) for i, f in zip(ids, files, strict=True) for k, part in enumerate(parts_of(f or b""))]
+                pixels = decode([b for *_, b, _ in bodies], [e for *_, e in bodies])
+                rows = [(i, k, w, h, p.astype("<u4").tobytes()) for (i, k, *_), (w, h, p) in zip(bodies, pixels, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
 
     return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(run, "doc_id long, image int, width int, height int, argb binary")

@@ -417,6 +417,38 @@ def test_media_columns_against_the_texts(spark, sf):
         assert by_payload.setdefault((r.n_bytes, r.payload_sha256), (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
 
+def test_media_hold_every_transform_and_one_image_a_text():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("etaoinshr"), 5)) for _ in range(900)]
+    prose = " ".join(rng.choice(words, 22000))
+    ramp = bytes(np.clip(80 + rng.integers(-1, 2, (80, 192)).cumsum(0), 33, 126).astype(np.uint8)).decode()  # rows much like those above
+    texts = [None, "", "a", "ab" * 300, "one line\n" * 900, prose[:600], prose[:12289], prose, ramp, "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 2000, 9000))]
+    payloads = [webp.payload(t)[0] for t in texts]
+    media = webp.pack_payloads(payloads)
+    assert webp.unpack_payloads(media) == payloads
+    parts = [webp.parts_of(m) for m in media]
+    assert [len(p) for p in parts] == [1] * len(texts) and max(len(e) for ((_, e),) in parts) > 9
+    # A reader that knows no segments sees the same image.
+    plain = webp.decode([b for ((b, _),) in parts])
+    assert [p.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1].tobytes() for *_, p in plain] == payloads
+    heads = webp.read_heads([b for ((b, _),) in parts])
+    kinds = [tuple(t[0] for t in h.transforms) for h in heads]
+    spatial = (webp.SUBTRACT_GREEN, webp.PREDICTOR, webp.CROSS_COLOUR)
+    assert kinds == [(webp.PALETTE,)] * 6 + [spatial] * 4
+    modes = {int(m) >> 8 & 15 for h in heads[6:] for m in h.transforms[1][3]}
+    factors = {int(f) & 0xFFFFFF for h in heads[6:] for f in h.transforms[2][3]}
+    assert len(modes) > 2 and len(factors) > 2
+    with pytest.raises(ValueError):  # a segment that begins elsewhere
+        webp.decode([parts[7][0][0]], [(parts[7][0][1][0] + 1, *parts[7][0][1][1:])])
+
+
+def test_webp_tall_images_have_fewer_tiles():
+    rows = np.random.default_rng(9).integers(97, 123, 1100 * 192).astype(np.uint8).tobytes()
+    (file,) = webp.pack_payloads([rows])
+    (head,) = webp.read_heads(webp.images_of(file))
+    assert [len(t[3]) for t in head.transforms[1:]] == [8 * 138] * 2 and webp.unpack_payloads([file]) == [rows]
+
+
 # 7
 
 
