@@ -38,9 +38,9 @@ from .common import documents
 #: Pixels of a row, and rows that the format allows.
 WIDTH, ROWS = 64, 1 << 14
 #: Stored pixels that are decoded by one lane.
-SEGMENT = 4096
+SEGMENT = 1024
 #: Tiles of modes or factors that an image has at most; sides are powers of two, from 4.
-TILES = 4096
+TILES = 512
 #: Factors that a tile chooses from (of 32, signed bytes): green in red, and green and red in blue. Text wants its green back: -32.
 RED_FACTORS = (0, 224, 240, 32)
 BLUE_FACTORS = ((0, 0), (224, 0), (240, 0), (32, 0), (0, 224), (224, 16))
@@ -450,59 +450,76 @@ def modes_at(tiles: np.ndarray, width: int, height: int, tile_bits: int) -> np.n
     return tiles[(y >> tile_bits) * across + (x >> tile_bits)]
 
 
-def _within(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums from the start of each stretch on, modulo 256; starts rise from 0."""
-    total = np.cumsum(values, axis=0)
-    before = np.concatenate([np.zeros((1, values.shape[1]), total.dtype), total])[starts]
-    return total - np.repeat(before, np.diff(np.append(starts, len(values))), axis=0) & 255
+def _bytes(argb: np.ndarray) -> np.ndarray:
+    """A copy's channels as bytes: blue, green, red, alpha in a last axis."""
+    return argb.astype("<u4", copy=True).view(np.uint8).reshape(-1, 4)
 
 
-def undo_predictor(residual: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray, modes: np.ndarray) -> np.ndarray:
-    """Pixels of images that lie end to end, from residuals, each pixel's image width, place and mode.
+def _joined(c: np.ndarray) -> np.ndarray:
+    return c.reshape(-1).view("<u4").astype(np.uint32, copy=False)
+
+
+def _within(first: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sums from the start of each stretch on, modulo 256; first marks where stretches start."""
+    starts = np.flatnonzero(first)
+    total = np.cumsum(c, axis=0, dtype=np.uint8)
+    before = np.concatenate([np.zeros((1, 4), np.uint8), total])[starts]
+    return total - np.repeat(before, np.diff(np.append(starts, len(c))), axis=0)
+
+
+def undo_predictor(residual: np.ndarray, places: Places, modes: np.ndarray) -> np.ndarray:
+    """Pixels of images that lie end to end, from residuals and each pixel's mode.
 
     First rows and columns are sums. Others go along anti-diagonals: all pixels of x + 2y = d depend only on earlier ones.
     """
-    c = channels(residual)
+    c, x, y = _bytes(residual), places.x, places.y
     row, column = np.flatnonzero(y == 0), np.flatnonzero(x == 0)
-    c[row[x[row] == 0], 0] += 255
-    c[row] = _within(np.flatnonzero(x[row] == 0), c[row])
-    c[column] = _within(np.flatnonzero(y[column] == 0), c[column])
-    inner = (x > 0) & (y > 0)
-    known = (modes > 0) & (modes < 14)
-    plain = np.flatnonzero(inner & ~known)
-    c[plain, 0] = c[plain, 0] + 255 & 255
-    at = np.flatnonzero(inner & known)
+    at = np.flatnonzero((modes > 0) & (modes < 14))
+    at = at[(x[at] > 0) & (y[at] > 0)]
+    begins = x[row] == 0
+    top, side = c[row], c[column]
+    top[begins, 3] += 255
+    top = _within(begins, top)
+    side[y[column] == 0] = top[begins]
+    c[at, 3] += 1
+    c[:, 3] += 255
+    c[row], c[column] = top, _within(y[column] == 0, side)
     step = (x[at] + 2 * y[at]) * 16 + modes[at]
     order = np.argsort(step, kind="stable")
     at, step = at[order], step[order]
     cuts = [*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(at)]
+    above = at - places.widths[places.image[at]]
     for first, end in pairwise(cuts):
-        k = at[first:end]
-        above = k - width[k]
+        k, up = at[first:end], above[first:end]
         # Above right of the last column is the first pixel of the row itself.
-        c[k] = c[k] + predict(int(step[first] & 15), c[k - 1], c[above], c[above + 1], c[above - 1]) & 255
-    return argb_of(c)
+        c[k] += predict(int(step[first] & 15), *(c[n].astype(np.int32) for n in (k - 1, up, up + 1, up - 1))).astype(np.uint8)
+    return _joined(c)
 
 
 def _delta(factor: np.ndarray, colour: np.ndarray) -> np.ndarray:
-    signed = lambda v: (v & 255) - ((v & 128) << 1)
-    return signed(factor) * signed(colour) >> 5
+    """What a colour (bytes) foretells of another by a factor, modulo 256."""
+    return (factor.view(np.int8).astype(np.int16) * colour.view(np.int8) >> 5).astype(np.uint8)
 
 
 def cross_colour(argb: np.ndarray, factors: np.ndarray, undo: bool = True) -> np.ndarray:
     """Add (or take away) what green foretells of red, and green and red of blue."""
-    c, f = channels(argb), channels(factors)
-    sign = 1 if undo else -1
-    red = c[:, 1] + sign * _delta(f[:, 3], c[:, 2]) & 255
-    blue = c[:, 3] + sign * (_delta(f[:, 2], c[:, 2]) + _delta(f[:, 1], red if undo else c[:, 1])) & 255
-    return argb_of(np.stack([c[:, 0], red, c[:, 2], blue], 1))
+    c, f = _bytes(argb), _bytes(factors)
+    blue, green, red = c[:, 0], c[:, 1], c[:, 2]
+    to_red = _delta(f[:, 0], green)
+    if undo:
+        red += to_red
+        blue += _delta(f[:, 1], green) + _delta(f[:, 2], red)
+    else:
+        blue -= _delta(f[:, 1], green) + _delta(f[:, 2], red)
+        red -= to_red
+    return _joined(c)
 
 
 def green_shift(argb: np.ndarray, sign: int) -> np.ndarray:
-    c = channels(argb)
-    c[:, 1] += sign * c[:, 2]
-    c[:, 3] += sign * c[:, 2]
-    return argb_of(c)
+    c = _bytes(argb)
+    for k in (0, 2):
+        c[:, k] += c[:, 1] if sign > 0 else -c[:, 1]
+    return _joined(c)
 
 
 def bundle_bits(colours: int) -> int:
@@ -513,21 +530,20 @@ class Places:
     """Places of the pixels of images that lie end to end."""
 
     def __init__(self, widths: list[int], heights: list[int]) -> None:
-        self.widths, self.heights = np.array(widths, np.int64), np.array(heights, np.int64)
-        self.sizes = self.widths * self.heights
+        self.widths, self.heights = np.array(widths, np.int32), np.array(heights, np.int32)
+        self.sizes = self.widths.astype(np.int64) * self.heights
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.image = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.inside = np.arange(len(self.image)) - self.starts[self.image]
-        self.width = self.widths[self.image]
-        self.y, self.x = np.divmod(self.inside, self.width)
+        self.image = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.inside = (np.arange(len(self.image)) - np.repeat(self.starts, self.sizes)).astype(np.int32)
+        self.y, self.x = np.divmod(self.inside, self.widths[0] if len(set(widths)) == 1 else self.widths[self.image])
 
     def tiles(self, tile_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each pixel's tile among the tiles of all images end to end, and the number of each image's."""
         side = 1 << tile_bits
         across = self.widths + side - 1 >> tile_bits
         n = across * (self.heights + side - 1 >> tile_bits)
-        bits = tile_bits[self.image]
-        return (np.cumsum(n) - n)[self.image] + (self.y >> bits) * across[self.image] + (self.x >> bits), n
+        bits = tile_bits.astype(np.int32)[self.image]
+        return (np.cumsum(n) - n)[self.image] + (self.y >> bits) * across.astype(np.int32)[self.image] + (self.x >> bits), n
 
 
 def undo_palette(packed: np.ndarray, places: Places, palettes: list[np.ndarray]) -> np.ndarray:
@@ -600,6 +616,7 @@ def read_heads(bodies: list[bytes]) -> list[Head]:
 def finish(heads: list[Head], pixels: list[np.ndarray]) -> list[np.ndarray]:
     """Invert transforms, the last of an image first; images whose next one is of a kind go together."""
     pixels, left = list(pixels), [list(h.transforms) for h in heads]
+    before, places, tile = None, None, (None, None)
     while any(left):
         for kind in (PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE):
             own = [k for k, t in enumerate(left) if t and t[-1][0] == kind]
@@ -607,11 +624,14 @@ def finish(heads: list[Head], pixels: list[np.ndarray]) -> list[np.ndarray]:
                 continue
             steps = [left[k].pop() for k in own]
             argb = np.concatenate([pixels[k] for k in own])
-            places = Places([t[1] for t in steps], [heads[k].height for k in own])
+            widths = [t[1] for t in steps]
+            if (own, widths) != before:
+                before, places, tile = (own, widths), Places(widths, [heads[k].height for k in own]), (None, None)
             if kind in (PREDICTOR, CROSS_COLOUR):
-                tile, _ = places.tiles(np.array([t[2] for t in steps], np.int64))
-                at = np.concatenate([t[3] for t in steps])[tile]
-                argb = undo_predictor(argb, places.width, places.x, places.y, (at >> np.uint32(8) & np.uint32(15)).astype(np.int64)) if kind == PREDICTOR else cross_colour(argb, at)
+                tile_bits, values = [t[2] for t in steps], np.concatenate([t[3] for t in steps])
+                if tile[0] != tile_bits:
+                    tile = tile_bits, places.tiles(np.array(tile_bits))[0]
+                argb = undo_predictor(argb, places, (values >> np.uint32(8) & np.uint32(15)).astype(np.uint8)[tile[1]]) if kind == PREDICTOR else cross_colour(argb, values[tile[1]])
             elif kind == SUBTRACT_GREEN:
                 argb = green_shift(argb, 1)
             else:
@@ -840,12 +860,13 @@ def _inner(pixels: np.ndarray, n: np.ndarray, codes: Codes) -> list[tuple[int, i
 def subtract_predicted(argb: np.ndarray, places: Places, tile: np.ndarray, n_tiles: int) -> tuple[np.ndarray, np.ndarray]:
     """(residuals, modes of tiles): a tile takes the mode whose residuals take the fewest bits once green is added back."""
     lengths = [x.astype(np.float32) for x in shared_codes().lengths[:3]]
-    c = channels(argb)[:, 1:].astype(np.int16)
-    shifted = lambda k: np.concatenate([np.zeros((k, 3), np.int16), c[: len(c) - k]]) if k < len(c) else np.zeros_like(c)
+    # A channel lies end to end, the array is seen the other way round.
+    c = np.ascontiguousarray(_bytes(argb)[:, 2::-1].T).astype(np.int16).T
+    shifted = lambda k: np.concatenate([np.zeros((3, min(k, len(c))), np.int16), c.T[:, : max(len(c) - k, 0)]], 1).T
     near = left, top, right, corner = shifted(1), shifted(WIDTH), shifted(WIDTH - 1), shifted(WIDTH + 1)
     inner = np.flatnonzero((places.x > 0) & (places.y > 0))
     best, modes = np.full(n_tiles, np.inf), np.zeros(n_tiles, np.int64)
-    of, own, around = tile[inner], c[inner], [v[inner] for v in near]
+    of, own, around = tile[inner], c.T[:, inner].T, [v.T[:, inner].T for v in near]
     for mode in range(14):
         rest = own - predict(mode, *around).astype(np.int16) if mode else own
         green = rest[:, 1]
@@ -861,18 +882,19 @@ def subtract_predicted(argb: np.ndarray, places: Places, tile: np.ndarray, n_til
     for mode in np.unique(chosen[chosen > 0]).tolist():
         k = inner[chosen == mode]
         out[k] = c[k] - predict(mode, left[k], top[k], right[k], corner[k])
-    return argb_of(np.concatenate([np.zeros((len(c), 1), np.int16), out], 1)), modes
+    rest = np.zeros((len(c), 4), np.uint8)
+    rest[:, 2::-1] = out & 255
+    return _joined(rest), modes
 
 
 def subtract_colours(argb: np.ndarray, tile: np.ndarray, n_tiles: int) -> tuple[np.ndarray, np.ndarray]:
     """(pixels, factors of tiles): a tile takes the factors whose pixels take the fewest bits."""
     _, reds, blues, *_ = (x.astype(np.float32) for x in shared_codes().lengths)
-    c = channels(argb)
-    red, green, blue = c[:, 1], c[:, 2], c[:, 3]
-    least = lambda costs: np.argmin(costs, axis=0)
-    cost = lambda lengths, left: np.bincount(tile, lengths[left & 255], n_tiles)
-    to_red = np.array(RED_FACTORS)[least([cost(reds, red - _delta(np.int32(f), green)) for f in RED_FACTORS])]
-    to_blue = np.array(BLUE_FACTORS)[least([cost(blues, blue - _delta(np.int32(f), green) - _delta(np.int32(h), red)) for f, h in BLUE_FACTORS])]
+    blue, green, red = np.ascontiguousarray(_bytes(argb)[:, :3].T)
+    cost = lambda lengths, left: np.bincount(tile, lengths[left], n_tiles)
+    from_green, from_red = ({f: _delta(np.array([f], np.uint8), x) for f in known} for x, known in ((green, {*RED_FACTORS, *(f for f, _ in BLUE_FACTORS)}), (red, {f for _, f in BLUE_FACTORS})))
+    to_red = np.array(RED_FACTORS)[np.argmin([cost(reds, red - from_green[f]) for f in RED_FACTORS], axis=0)]
+    to_blue = np.array(BLUE_FACTORS)[np.argmin([cost(blues, blue - from_green[f] - from_red[h]) for f, h in BLUE_FACTORS], axis=0)]
     factors = (OPAQUE | to_blue[:, 1] << 16 | to_blue[:, 0] << 8 | to_red).astype(np.uint32)
     return cross_colour(argb, factors[tile], undo=False), factors
 
@@ -930,7 +952,7 @@ def pack_payloads(payloads: list[bytes]) -> list[bytes]:
     places = Places([WIDTH] * len(parts), heights.tolist())
     rgb = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3).astype(np.uint32)
     argb = np.uint32(OPAQUE) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2]
-    colours, index = np.unique(places.image << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64), return_inverse=True)
+    colours, index = np.unique(places.image.astype(np.int64) << 24 | (argb & np.uint32(0xFFFFFF)).astype(np.int64), return_inverse=True)
     n = np.bincount(colours >> 24, minlength=len(parts))
     first = np.cumsum(n) - n
     files: list[bytes] = [b""] * len(parts)
