@@ -61,6 +61,54 @@ def test_volume_forgets_what_it_leaves(spark):
     assert sorted((r.idx, r.gx, r.hits, r.f) for r in held.collect()) == [(1, 0, 3, 6.0), (2, 0, 3, 6.0), (4, 9, 1, 1.0), (5, 9, 1, 1.0), (6, 0, 2, 8.0), (7, 0, 2, 8.0)]
 
 
+@pytest.mark.parametrize(("fan", "pairs", "asking", "size"), [(2, 7, 4, 3), (3, 1 << 20, 64, 16), (16, 50, 4096, 256)])
+def test_supervision_in_blocks_and_slices(spark, monkeypatch, fan, pairs, asking, size):
+    """Runs over several blocks, slices and pieces, against a volume that is moved frame by frame."""
+    for name, value in (("FAN", fan), ("PAIRS", pairs), ("ASKING", asking)):
+        monkeypatch.setattr(boxes, name, value)
+    rng, frames, volumes, seen, want = random.Random(fan), [], [], {}, {}
+    for run, n in ((1, 70), (2, 1), (3, 23)):
+        at, p = [], 0
+        for _ in range(n):
+            p += rng.choice((-2, -1, 0, 0, 1, 2))
+            at.append(p)
+        box = lambda q, w: tuple(e for a in AXES for e in ((q - w, q + w) if a == "x" else (-w, w)))
+        frames += [(run, k + 1, *box(q, 1)) for k, q in enumerate(at)]
+        volumes += [(run, k + 1, *box(q, 4)) for k, q in enumerate(at)]
+        for k, q in enumerate(at):
+            for _ in range(3):
+                seen[run, k + 1, q + rng.randint(-5, 5), rng.randint(-1, 1), 0] = rng.choice((None, rng.random()))
+        states, state = [], {}
+        for k, q in enumerate(at):
+            for (r, i, *c), f in seen.items():
+                if (r, i) == (run, k + 1):
+                    h, first, before = state.get(tuple(c), (0, i, None))
+                    state[tuple(c)] = h + 1, first, before if f is None else f
+            state = {c: v for c, v in state.items() if abs(c[0] - q) <= 4}
+            states.append(dict(state))
+        for k, q in enumerate(at):
+            end = k
+            while end + 1 < n and abs(at[end + 1] - q) <= 2:
+                end += 1
+            want |= {(run, k + 1, *c): v for c, v in states[end].items() if abs(c[0] - q) <= 1 and abs(c[1]) <= 1}
+    integers = SCHEMA.replace("double", "long")
+    rows = spark.createDataFrame([(*k, f) for k, f in seen.items()], "run long, idx long, gx long, gy long, gz long, f double")
+    out = boxes.supervision(spark.createDataFrame(frames, integers), rows, spark.createDataFrame(volumes, integers), "run", AXES, ["f"], slice_frames=size).collect()
+    assert len(out) == len(want) and {tuple(r[:5]): (r.hits, r.first_idx, r.f) for r in out} == want
+
+
+def test_supervision_shuffles_no_row_a_frame_and_cell(spark):
+    """A vehicle that stands still among 400 cells: 300 frames hold 120,000 of them."""
+    integers = SCHEMA.replace("double", "long")
+    frames = spark.createDataFrame([(1, k + 1, *(e for _ in AXES for e in (0, 19))) for k in range(300)], integers)
+    seen = spark.createDataFrame([(1, 1 + k % 9, k % 20, k // 20, 0, 1.0) for k in range(400)], "run long, idx long, gx long, gy long, gz long, f double")
+    jvm = spark.sparkContext._jvm
+    written = lambda: sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())))
+    before = written()
+    assert boxes.supervision(frames, seen, frames, "run", AXES, ["f"]).count() == 120_000
+    assert written() - before < 20_000
+
+
 def test_envelope_is_the_minimum():
     rng = random.Random(2)
     for _ in range(300):
